@@ -267,3 +267,210 @@ _reg("v2_triggers_wrap_aware", f"""WITH {v2_trigger_cte(DetectConfig(wrap_aware=
 _reg("v2_default_triggers", f"""WITH {PROFILE},
 d AS ({default_rows_sql('ws')})
 {TRIG_OUT} FROM d""")
+
+
+# ---------------------------------------------------------------------------
+# trigger evaluation
+# ---------------------------------------------------------------------------
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _policy_cte() -> str:
+    from tempora.sources.policies import (HPA_START_MAX, HPA_START_MIN, N_SETS, SET_HPA_NAMESPACE,
+                                          TRIGGER_FIELDS, TRIGGER_SETS)
+
+    cols = ", ".join(n for n, _ in TRIGGER_FIELDS)
+    vals = ",\n    ".join("(" + ", ".join(_lit(v) for v in row) + ")" for row in TRIGGER_SETS)
+    casts = ", ".join(f"CAST({n} AS {'INTEGER' if t == 'int' else 'BOOLEAN' if t == 'boolean' else 'VARCHAR'})"
+                      f" AS {n}" for n, t in TRIGGER_FIELDS)
+    hns = " ".join(f"WHEN {k} THEN '{v}'" for k, v in SET_HPA_NAMESPACE.items() if v is not None)
+    return RS + f""",
+inst AS (SELECT namespace, deployment, ts FROM rs),
+wls AS (SELECT DISTINCT namespace, deployment FROM inst),
+tset0({cols}) AS (VALUES
+    {vals}),
+tset AS (SELECT {casts} FROM tset0),
+pol AS (
+  SELECT namespace, deployment, ascii(right(deployment, 1)) % {N_SETS} AS set_id,
+         namespace AS policy_namespace, deployment || '-smarthpa' AS policy_name,
+         CASE ascii(right(deployment, 1)) % {N_SETS} {hns} END AS hpa_namespace,
+         deployment || '-hpa' AS hpa_name
+  FROM wls),
+trig_all AS (
+  SELECT p.namespace, p.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
+         coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace, t.*
+  FROM pol p JOIN tset t ON p.set_id = t.set_id),
+trig AS (SELECT * FROM trig_all WHERE NOT suspend),
+hpa AS (SELECT namespace AS hns, deployment || '-hpa' AS hname, {HPA_START_MIN} AS cur_min,
+               {HPA_START_MAX} AS cur_max FROM wls)"""
+
+
+CLOCK_RE = r"^([0-9]|[01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9])([.,][0-9]+)?$"
+DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _ok(c: str) -> str:
+    return f"coalesce(regexp_matches({c}, '{CLOCK_RE}'), false)"
+
+
+def _mins(c: str) -> str:
+    return (f"CASE WHEN {_ok(c)} THEN TRY_CAST(regexp_extract({c}, '{CLOCK_RE}', 1) AS INTEGER) * 60"
+            f" + TRY_CAST(regexp_extract({c}, '{CLOCK_RE}', 2) AS INTEGER) END")
+
+
+def _codes(c: str) -> str:
+    return f"list_transform(string_split({c}, ','), lambda x: trim(x))"
+
+
+STATES = _policy_cte() + f""",
+zones AS (SELECT name AS zone_name FROM pg_timezone_names()),
+tz AS (SELECT trig.*, coalesce(z.zone_name, 'UTC') AS zone
+       FROM trig LEFT JOIN zones z ON trig.timezone = z.zone_name),
+j0 AS (
+  SELECT i.ts, tz.*, timezone(tz.zone, i.ts AT TIME ZONE 'UTC') AS local_ts
+  FROM inst i JOIN tz ON i.namespace = tz.namespace AND i.deployment = tz.deployment),
+j1 AS (
+  SELECT *, hour(local_ts) * 60 + minute(local_ts) AS cur, {_mins('start_time')} AS s, {_mins('end_time')} AS e,
+         CASE WHEN NOT {_ok('start_time')} THEN 'failed to parse start time'
+              WHEN NOT {_ok('end_time')} THEN 'failed to parse end time' END AS error,
+         CASE WHEN NOT coalesce(has_interval, false) THEN false
+              WHEN coalesce(recurring, '') <> '' THEN
+                   list_contains({_codes('recurring')},
+                                 ['SUN', 'M', 'TU', 'W', 'TH', 'F', 'SAT'][dayofweek(local_ts) + 1])
+              WHEN coalesce(start_date, '') <> '' AND coalesce(end_date, '') <> '' THEN
+                   coalesce(regexp_matches(start_date, '{DATE_RE}') AND regexp_matches(end_date, '{DATE_RE}')
+                            AND ts > try_strptime(start_date, '%Y-%m-%d')
+                            AND ts < try_strptime(end_date, '%Y-%m-%d'), false)
+              ELSE false END AS gate
+  FROM j0),
+st AS (
+  SELECT namespace, deployment, ts, policy_namespace, policy_name, hpa_target_namespace, hpa_name, name,
+         coalesce(priority, 0) AS priority, start_min, start_max, end_min, end_max, local_ts, error,
+         CASE WHEN error IS NOT NULL THEN 'Unknown' WHEN NOT gate THEN 'Unknown'
+              WHEN (CASE WHEN s <= e THEN cur >= s AND cur < e ELSE cur >= s OR cur < e END) THEN 'Within'
+              WHEN cur >= e THEN 'After' ELSE 'Before' END AS state
+  FROM j1),
+act AS (
+  SELECT namespace, deployment, ts,
+         first(name ORDER BY priority DESC, name) FILTER (WHERE state = 'Within') AS active_name,
+         max(priority) FILTER (WHERE state = 'Within') AS active_priority,
+         count(*) FILTER (WHERE state = 'Within') AS n_within
+  FROM st GROUP BY ALL),
+dd AS (
+  SELECT *, row_number() OVER (PARTITION BY namespace, deployment, ts, name ORDER BY priority DESC) AS k FROM st),
+gb AS (
+  SELECT namespace, deployment, ts, hpa_target_namespace, hpa_name,
+         max(priority) FILTER (WHERE state = 'Within') AS top,
+         list({{'np': -priority, 'name': name, 'mn': start_min, 'mx': start_max}} ORDER BY -priority, name)
+           FILTER (WHERE state = 'Within') AS w,
+         list({{'np': -priority, 'name': name, 'mn': end_min, 'mx': end_max}} ORDER BY -priority, name)
+           FILTER (WHERE state = 'After') AS a
+  FROM dd WHERE k = 1 GROUP BY ALL),
+eb AS (
+  SELECT gb.namespace, gb.deployment, gb.ts,
+         CASE WHEN top IS NOT NULL THEN 'start' WHEN len(coalesce(a, [])) > 0 THEN 'end' ELSE 'none' END AS source,
+         hpa.cur_min, hpa.cur_max,
+         list_reduce(
+           list_transform(CASE WHEN top IS NOT NULL THEN list_filter(w, lambda x: -x.np = top)
+                               ELSE coalesce(a, []) END, lambda x: {{'mn': x.mn, 'mx': x.mx}}),
+           lambda acc, x: CASE WHEN coalesce(x.mn < 0, false) OR coalesce(x.mx <= 0, false)
+                                    OR coalesce(coalesce(x.mn, acc.mn) > coalesce(x.mx, acc.mx), false)
+                               THEN acc
+                               ELSE {{'mn': coalesce(x.mn, acc.mn), 'mx': coalesce(x.mx, acc.mx)}} END,
+           {{'mn': hpa.cur_min, 'mx': hpa.cur_max}}) AS f
+  FROM gb LEFT JOIN hpa ON gb.hpa_target_namespace = hpa.hns AND gb.hpa_name = hpa.hname),
+bounds AS (
+  SELECT namespace, deployment, ts, source,
+         CASE WHEN cur_max IS NOT NULL THEN f.mn END AS min_replicas,
+         CASE WHEN cur_max IS NOT NULL THEN f.mx END AS max_replicas,
+         CASE WHEN cur_max IS NULL THEN 'hpa not found' END AS error
+  FROM eb)"""
+
+TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
+
+_reg("window_state", f"""WITH {STATES}
+SELECT namespace, deployment, {TS}, name, CAST(priority AS BIGINT) AS priority,
+       strftime(local_ts, '%Y-%m-%d %H:%M:%S') AS local_ts, state, error
+FROM st""")
+
+_reg("active_trigger", f"""WITH {STATES}
+SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS BIGINT) AS active_priority,
+       CAST(n_within AS BIGINT) AS n_within
+FROM act""")
+
+_reg("higher_priority_active", f"""WITH {STATES}
+SELECT namespace, deployment, {TS}, name, CAST(priority AS BIGINT) AS priority, state,
+       coalesce(max(CASE WHEN state = 'Within' THEN priority END)
+                  OVER (PARTITION BY namespace, deployment, ts) > priority, false) AS higher_active
+FROM st""")
+
+_reg("effective_bounds", f"""WITH {STATES}
+SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS BIGINT) AS min_replicas,
+       CAST(max_replicas AS BIGINT) AS max_replicas, error
+FROM bounds""")
+
+_reg("schedule_timeline", f"""WITH {STATES},
+lagged AS (
+  SELECT *, row_number() OVER w AS rn,
+         lag(min_replicas) OVER w AS pmin, lag(max_replicas) OVER w AS pmax
+  FROM bounds WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
+SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS BIGINT) AS min_replicas,
+       CAST(max_replicas AS BIGINT) AS max_replicas, error
+FROM lagged
+WHERE rn = 1 OR min_replicas IS DISTINCT FROM pmin OR max_replicas IS DISTINCT FROM pmax""")
+
+_reg("trigger_transitions", f"""WITH {STATES},
+lagged AS (
+  SELECT *, row_number() OVER w AS rn, lag(active_name) OVER w AS from_trigger
+  FROM act WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
+SELECT namespace, deployment, {TS}, from_trigger, active_name AS to_trigger
+FROM lagged WHERE rn = 1 OR from_trigger IS DISTINCT FROM active_name""")
+
+_CRON_MAP = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
+                     {"SUN": 0, "M": 1, "TU": 2, "W": 3, "TH": 4, "F": 5, "SAT": 6}.items())
+_WEEKDAYS = (f"CASE WHEN coalesce(recurring, '') = '' THEN '*' "
+             f"ELSE coalesce(nullif(array_to_string(list_filter(list_transform({_codes('recurring')}, "
+             f"lambda c: CASE c {_CRON_MAP} END), lambda x: x IS NOT NULL), ','), ''), '*') END")
+
+
+def _cron(c: str) -> str:
+    return (f"CASE WHEN {_ok(c)} THEN CAST(TRY_CAST(regexp_extract({c}, '{CLOCK_RE}', 2) AS INTEGER) AS VARCHAR)"
+            f" || ' ' || CAST(TRY_CAST(regexp_extract({c}, '{CLOCK_RE}', 1) AS INTEGER) AS VARCHAR)"
+            f" || ' * * ' || {_WEEKDAYS} END")
+
+
+_reg("trigger_cron_plan", f"""WITH {_policy_cte()}
+SELECT policy_namespace, policy_name, name, {_cron('start_time')} AS start_cron,
+       {_cron('end_time')} AS end_cron, {_WEEKDAYS} AS cron_weekdays
+FROM trig""")
+
+
+def _cfg_bad(mn: str, mx: str) -> str:
+    return f"(coalesce({mn} < 0, false) OR coalesce({mx} <= 0, false) OR coalesce({mn} > {mx}, false))"
+
+
+_reg("trigger_validation", f"""WITH {_policy_cte()},
+zones AS (SELECT name AS zone_name FROM pg_timezone_names()),
+v AS (
+  SELECT t.policy_namespace, t.policy_name, t.name, [
+    CASE WHEN NOT {_ok('start_time')} THEN 'start_time_invalid' END,
+    CASE WHEN NOT {_ok('end_time')} THEN 'end_time_invalid' END,
+    CASE WHEN NOT (coalesce(has_interval, false) AND (coalesce(recurring, '') <> ''
+                   OR (coalesce(start_date, '') <> '' AND coalesce(end_date, '') <> '')))
+         THEN 'no_valid_interval' END,
+    CASE WHEN coalesce(timezone, '') <> '' AND z.zone_name IS NULL THEN 'unknown_timezone' END,
+    CASE WHEN {_cfg_bad('start_min', 'start_max')} THEN 'start_config_invalid' END,
+    CASE WHEN {_cfg_bad('end_min', 'end_max')} THEN 'end_config_invalid' END,
+    CASE WHEN coalesce(hpa_name, '') = '' THEN 'hpa_ref_missing' END] AS rules
+  FROM trig_all t LEFT JOIN zones z ON t.timezone = z.zone_name)
+SELECT policy_namespace, policy_name, name, rule
+FROM (SELECT policy_namespace, policy_name, name, unnest(rules) AS rule FROM v)
+WHERE rule IS NOT NULL""")

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tempora.config import WL, DetectConfig, ProfileConfig
 from tempora.operators import detect as D
 from tempora.operators import profile as P
+from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
 from tempora.sources import events as E
+from tempora.sources import policies as PO
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -123,3 +125,66 @@ def v2_default_triggers(spark, sf_dir):
     _, _, stats, _ = _profile_parts(spark, sf_dir)
     none = stats.select(*WL).where(F.lit(False))
     return portable(G.default_triggers(stats, none))
+
+
+# ---------------------------------------------------------------------------
+# trigger evaluation over every sample instant of every workload
+# ---------------------------------------------------------------------------
+
+def _schedule_inputs(spark, sf_dir):
+    inst = E.replica_samples(spark, sf_dir).select(*WL, "ts")
+    wls = PO.workloads(inst)
+    return inst, wls, PO.policy_triggers(spark, wls)
+
+
+def _states(spark, sf_dir):
+    inst, wls, trig = _schedule_inputs(spark, sf_dir)
+    return S.window_state(inst, trig, spark), wls
+
+
+@query("window_state")
+def window_state(spark, sf_dir):
+    st, _ = _states(spark, sf_dir)
+    return portable(st.select(*WL, "ts", "name", "priority", "local_ts", "state", "error"))
+
+
+@query("active_trigger")
+def active_trigger(spark, sf_dir):
+    st, _ = _states(spark, sf_dir)
+    return portable(S.active_trigger(st))
+
+
+@query("higher_priority_active")
+def higher_priority_active(spark, sf_dir):
+    st, _ = _states(spark, sf_dir)
+    return portable(S.higher_priority_active(st))
+
+
+@query("effective_bounds")
+def effective_bounds(spark, sf_dir):
+    st, wls = _states(spark, sf_dir)
+    return portable(S.effective_bounds(st, PO.hpa_bounds(wls)))
+
+
+@query("schedule_timeline")
+def schedule_timeline(spark, sf_dir):
+    st, wls = _states(spark, sf_dir)
+    return portable(S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls))))
+
+
+@query("trigger_transitions")
+def trigger_transitions(spark, sf_dir):
+    st, _ = _states(spark, sf_dir)
+    return portable(S.trigger_transitions(S.active_trigger(st)))
+
+
+@query("trigger_cron_plan")
+def trigger_cron_plan(spark, sf_dir):
+    _, _, trig = _schedule_inputs(spark, sf_dir)
+    return portable(S.cron_plan(trig))
+
+
+@query("trigger_validation")
+def trigger_validation(spark, sf_dir):
+    _, wls, _ = _schedule_inputs(spark, sf_dir)
+    return portable(S.trigger_validation(PO.policy_triggers(spark, wls, include_suspended=True), spark))
