@@ -474,3 +474,253 @@ v AS (
 SELECT policy_namespace, policy_name, name, rule
 FROM (SELECT policy_namespace, policy_name, name, unnest(rules) AS rule FROM v)
 WHERE rule IS NOT NULL""")
+
+
+# ---------------------------------------------------------------------------
+# metric samples, resampling and the merged per-bucket frame
+# ---------------------------------------------------------------------------
+
+def _samples_cte() -> str:
+    from tempora.config import METRIC_SOURCES
+    from tempora.sources.events import EVENT_METRIC
+
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_METRIC.items())
+    srcs = ", ".join(f"('{t}', '{n}', {r})" for t, n, r in METRIC_SOURCES)
+    return EV + f""",
+srcs(metric_type, metric_name, src_rank) AS (VALUES {srcs}),
+ms0 AS (
+  SELECT event_id, ts, namespace, deployment, pod, 'main' AS container,
+         CASE event_type {names} END AS metric_name,
+         CASE WHEN isnan(value) THEN NULL ELSE value END AS value
+  FROM ev),
+ms AS (
+  SELECT m.*, s.metric_type, s.src_rank,
+         '__name__=' || m.metric_name || '_container=main_deployment=' || m.deployment
+         || '_namespace=' || m.namespace || '_pod=' || m.pod AS series_id
+  FROM ms0 m JOIN srcs s ON m.metric_name = s.metric_name
+  WHERE m.metric_name IS NOT NULL),
+best AS (SELECT namespace, deployment, metric_type, min(src_rank) AS b FROM ms GROUP BY ALL),
+fb AS (
+  SELECT ms.* FROM ms JOIN best b ON ms.namespace = b.namespace AND ms.deployment = b.deployment
+                                 AND ms.metric_type = b.metric_type AND ms.src_rank = b.b),
+c1 AS (
+  SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS pv,
+         lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS pts,
+         time_bucket(INTERVAL '5 minutes', ts) AS bucket
+  FROM fb WHERE metric_type = 'cpu' AND value IS NOT NULL),
+c2 AS (
+  SELECT namespace, deployment, pod, container, series_id, bucket,
+         sum(CASE WHEN pv IS NULL THEN NULL WHEN value >= pv THEN value - pv ELSE value END) AS total,
+         count(pv) AS npairs, max(ts) AS last_ts, min(ts) AS first_ts, arg_min(pts, ts) AS start0
+  FROM c1 GROUP BY ALL),
+cpu_rate AS (
+  SELECT namespace, deployment, pod, container, series_id, bucket,
+         CASE WHEN npairs > 0 AND epoch_us(last_ts) - epoch_us(coalesce(start0, first_ts)) > 0
+              THEN total / ((epoch_us(last_ts) - epoch_us(coalesce(start0, first_ts))) / 1e6) END AS rate
+  FROM c2),
+cpu_pod AS (
+  SELECT namespace, deployment, pod, container, bucket, sum(rate) AS value
+  FROM cpu_rate WHERE rate IS NOT NULL GROUP BY ALL),
+rsmp AS (
+  SELECT namespace, deployment, metric_type, metric_name, pod, container, series_id,
+         time_bucket(INTERVAL '5 minutes', ts) AS bucket,
+         arg_max(value, ts) AS value, max(ts) AS last_ts, count(*) AS n_raw
+  FROM fb WHERE value IS NOT NULL GROUP BY ALL),
+mem_pod AS (
+  SELECT namespace, deployment, pod, container, bucket, sum(value) AS value
+  FROM rsmp WHERE metric_type = 'memory' GROUP BY ALL),
+ser AS (
+  SELECT namespace, deployment, pod, container, bucket, value, 'cpu' AS metric_type FROM cpu_pod
+  UNION ALL
+  SELECT namespace, deployment, pod, container, bucket, value, 'memory' FROM mem_pod
+  UNION ALL
+  SELECT namespace, deployment, pod, container, bucket, value, 'replicas' FROM rsmp
+  WHERE metric_type = 'replicas')"""
+
+
+_METRICS = ["cpu", "memory", "replicas"]
+_STATS = [("mean", "avg"), ("max", "max"), ("min", "min"), ("std", "stddev_samp")]
+_WIDE_COLS = [f"{m}_{s}" for m in _METRICS for s, _ in _STATS]
+
+
+def _merged_cte() -> str:
+    aggs = ",\n         ".join(f"{fn}(CASE WHEN metric_type = '{m}' THEN value END) AS {m}_{s}"
+                               for m in _METRICS for s, fn in _STATS)
+    fills = ",\n         ".join(
+        f"coalesce(last_value({c} IGNORE NULLS) OVER fw, first_value({c} IGNORE NULLS) OVER bw) AS {c}"
+        for c in _WIDE_COLS)
+    return _samples_cte() + f""",
+wide AS (
+  SELECT namespace, deployment, bucket,
+         {aggs}
+  FROM ser GROUP BY ALL),
+merged AS (
+  SELECT namespace, deployment, bucket,
+         {fills}
+  FROM wide
+  WINDOW fw AS (PARTITION BY namespace, deployment ORDER BY bucket
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         bw AS (PARTITION BY namespace, deployment ORDER BY bucket
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+feat AS (
+  SELECT *, hour(bucket) AS hour, minute(bucket) AS minute, isodow(bucket) - 1 AS day_of_week,
+         CASE WHEN isodow(bucket) - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend,
+         hour(bucket) + minute(bucket) / 60.0 AS time_of_day,
+         hour(bucket) * 4 + minute(bucket) // 15 AS time_slot,
+         weekofyear(bucket) AS week, strftime(bucket, '%Y-%m-%d') AS date,
+         (isodow(bucket) - 1 < 5 AND hour(bucket) >= 9 AND hour(bucket) < 17) AS is_peak
+  FROM merged),
+grid AS (
+  SELECT namespace, deployment, day_of_week, time_slot,
+         avg(cpu_mean) AS cpu_mean, avg(memory_mean) AS memory_mean, avg(replicas_mean) AS replicas_mean,
+         avg(time_of_day) AS time_of_day, avg(is_weekend) AS is_weekend
+  FROM feat GROUP BY ALL)"""
+
+
+_FEATURES = ["cpu_mean", "memory_mean", "replicas_mean", "time_of_day", "is_weekend"]
+
+
+def _zgrid_cte() -> str:
+    zs = ",\n         ".join(
+        f"CASE WHEN count({c}) OVER w > 0 THEN CASE WHEN stddev_pop({c}) OVER w > 0 "
+        f"THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0.0 END END AS z_{c}" for c in _FEATURES)
+    return _merged_cte() + f""",
+zgrid AS (
+  SELECT *,
+         {zs}
+  FROM grid WINDOW w AS (PARTITION BY namespace, deployment))"""
+
+
+def _assign_cte(k: int = 4) -> str:
+    cents = ", ".join(f"avg(z_{c}) AS c_{c}" for c in _FEATURES)
+    d2 = " + ".join(f"coalesce((z.z_{c} - c.c_{c}) * (z.z_{c} - c.c_{c}), 0.0)" for c in _FEATURES)
+    return _zgrid_cte() + f""",
+cent AS (
+  SELECT namespace, deployment, CAST(floor(time_slot * {k} / 96) AS INTEGER) AS centroid, {cents}
+  FROM zgrid GROUP BY ALL),
+dist AS (
+  SELECT z.namespace, z.deployment, z.day_of_week, z.time_slot, c.centroid, {d2} AS d2
+  FROM zgrid z JOIN cent c ON z.namespace = c.namespace AND z.deployment = c.deployment),
+lab AS (
+  SELECT namespace, deployment, day_of_week, time_slot, centroid AS cluster, d2 AS distance2
+  FROM (SELECT *, row_number() OVER (PARTITION BY namespace, deployment, day_of_week, time_slot
+                                     ORDER BY d2, centroid) AS rn FROM dist)
+  WHERE rn = 1)"""
+
+
+BK = "strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket"
+_KEYS = "namespace, deployment"
+
+_reg("samples_resample_5m", f"""WITH {_samples_cte()},
+lb AS (SELECT * FROM ms WHERE ts BETWEEN (SELECT max(ts) FROM ms) - INTERVAL 30 DAY AND (SELECT max(ts) FROM ms)),
+r AS (
+  SELECT namespace, deployment, metric_type, metric_name, pod, series_id,
+         time_bucket(INTERVAL '5 minutes', ts) AS bucket, arg_max(value, ts) AS value,
+         max(ts) AS last_ts, count(*) AS n_raw
+  FROM lb WHERE value IS NOT NULL GROUP BY ALL)
+SELECT namespace, deployment, metric_type, metric_name, pod, series_id, {BK}, round(value, 6) AS value,
+       strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, CAST(n_raw AS BIGINT) AS n_raw
+FROM r""")
+
+_reg("samples_label_filter", f"""WITH {_samples_cte()}
+SELECT CAST(event_id AS BIGINT) AS event_id, namespace, deployment, pod, container, metric_name, series_id,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 6) AS value
+FROM ms
+WHERE metric_name = 'container_cpu_usage_seconds_total' AND regexp_matches(pod, '^(?:pod-.*)$')""")
+
+_reg("source_fallback", f"""WITH {_samples_cte()}
+SELECT namespace, deployment, metric_type, metric_name, CAST(count(*) AS BIGINT) AS samples,
+       round(sum(value), 6) AS value_sum
+FROM fb GROUP BY ALL""")
+
+_reg("counter_rate_sum", f"""WITH {_samples_cte()}
+SELECT namespace, deployment, pod, container, {BK}, round(value, 6) AS value FROM cpu_pod""")
+
+_reg("memory_sum_by_pod", f"""WITH {_samples_cte()}
+SELECT namespace, deployment, pod, container, {BK}, round(value, 6) AS value FROM mem_pod""")
+
+_reg("per_timestamp_stats", f"""WITH {_samples_cte()}
+SELECT namespace, deployment, metric_type, {BK}, round(avg(value), 6) AS mean, round(max(value), 6) AS max,
+       round(min(value), 6) AS min, round(stddev_samp(value), 6) AS std
+FROM ser GROUP BY namespace, deployment, metric_type, bucket""")
+
+_reg("max_per_timestamp", f"""WITH {_samples_cte()}
+SELECT namespace, deployment, {BK}, round(greatest(CAST(0 AS DOUBLE), max(value)), 6) AS value
+FROM ser WHERE metric_type = 'replicas' GROUP BY namespace, deployment, bucket""")
+
+_reg("outer_merge_fill", f"""WITH {_merged_cte()}
+SELECT namespace, deployment, {BK}, {", ".join(f"round({c}, 6) AS {c}" for c in _WIDE_COLS)}
+FROM merged""")
+
+_reg("unified_timestamps", f"""WITH {_samples_cte()}
+SELECT DISTINCT namespace, deployment, {BK} FROM ser""")
+
+_reg("time_features", f"""WITH {_merged_cte()}
+SELECT namespace, deployment, {BK}, CAST(hour AS BIGINT) AS hour, CAST(minute AS BIGINT) AS minute,
+       CAST(day_of_week AS BIGINT) AS day_of_week, CAST(is_weekend AS BIGINT) AS is_weekend,
+       round(time_of_day, 6) AS time_of_day, CAST(time_slot AS BIGINT) AS time_slot,
+       CAST(week AS BIGINT) AS week, date, is_peak
+FROM feat""")
+
+_reg("slot_grid", f"""WITH {_merged_cte()}
+SELECT namespace, deployment, CAST(day_of_week AS BIGINT) AS day_of_week, CAST(time_slot AS BIGINT) AS time_slot,
+       {", ".join(f"round({c}, 6) AS {c}" for c in _FEATURES)}
+FROM grid""")
+
+_reg("standardized_grid", f"""WITH {_zgrid_cte()}
+SELECT namespace, deployment, CAST(day_of_week AS BIGINT) AS day_of_week, CAST(time_slot AS BIGINT) AS time_slot,
+       {", ".join(f"round(z_{c}, 6) AS z_{c}" for c in _FEATURES)}
+FROM zgrid""")
+
+_reg("kmeans_assign_step", f"""WITH {_assign_cte()}
+SELECT namespace, deployment, CAST(day_of_week AS BIGINT) AS day_of_week, CAST(time_slot AS BIGINT) AS time_slot,
+       CAST(cluster AS BIGINT) AS cluster, round(distance2, 6) AS distance2
+FROM lab""")
+
+_reg("cluster_patterns_fixed", f"""WITH {_assign_cte()},
+cp0 AS (
+  SELECT g.namespace, g.deployment, l.cluster, min(g.time_slot) AS s0, max(g.time_slot) AS s1,
+         list_sort(list_distinct(list(g.day_of_week))) AS days,
+         avg(g.cpu_mean) AS avg_cpu, avg(g.memory_mean) AS avg_memory, avg(g.replicas_mean) AS avg_replicas,
+         CAST(ceil(max(g.replicas_mean)) AS INTEGER) AS peak0,
+         stddev_samp(g.cpu_mean) AS sd, count(g.cpu_mean) AS ncpu
+  FROM grid g JOIN lab l ON g.namespace = l.namespace AND g.deployment = l.deployment
+                         AND g.day_of_week = l.day_of_week AND g.time_slot = l.time_slot
+  GROUP BY g.namespace, g.deployment, l.cluster),
+cp1 AS (
+  SELECT *, s1 // 4 + CASE WHEN ((s1 % 4) + 1) * 15 >= 60 THEN 1 ELSE 0 END AS eh0,
+         CASE WHEN ((s1 % 4) + 1) * 15 >= 60 THEN 0 ELSE ((s1 % 4) + 1) * 15 END AS em0
+  FROM cp0),
+cp AS (
+  SELECT namespace, deployment, cluster AS pattern_id, s0 // 4 AS start_hour, (s0 % 4) * 15 AS start_minute,
+         CASE WHEN eh0 >= 24 THEN 23 ELSE eh0 END AS end_hour, CASE WHEN eh0 >= 24 THEN 59 ELSE em0 END AS end_minute,
+         days, coalesce(avg_cpu, 0.0) AS avg_cpu, coalesce(avg_memory, 0.0) AS avg_memory,
+         coalesce(avg_replicas, 1.0) AS avg_replicas, greatest(1, coalesce(peak0, 1)) AS peak_replicas,
+         CASE WHEN ncpu > 0 THEN least(1.0, greatest(0.5, 1 - sd / (avg_cpu + 1e-10))) ELSE 0.7 END AS confidence
+  FROM cp1),
+cpd AS (
+  SELECT * FROM cp WHERE (end_hour - start_hour) + (end_minute - start_minute) / 60.0 >= 1.0),
+sup AS (
+  SELECT p.namespace, p.deployment, p.pattern_id, count(*) AS support, avg(f.replicas_mean) AS ravg,
+         CAST(ceil(max(f.replicas_mean)) AS INTEGER) AS rpeak
+  FROM cpd p JOIN feat f ON p.namespace = f.namespace AND p.deployment = f.deployment
+  WHERE f.hour BETWEEN p.start_hour AND p.end_hour AND list_contains(p.days, f.day_of_week)
+  GROUP BY ALL)
+SELECT p.namespace, p.deployment, CAST(p.pattern_id AS BIGINT) AS pattern_id,
+       CAST(p.start_hour AS BIGINT) AS start_hour, CAST(p.start_minute AS BIGINT) AS start_minute,
+       CAST(p.end_hour AS BIGINT) AS end_hour, CAST(p.end_minute AS BIGINT) AS end_minute,
+       array_to_string(p.days, ',') AS days, round(p.avg_cpu, 6) AS avg_cpu, round(p.avg_memory, 6) AS avg_memory,
+       round(coalesce(s.ravg, p.avg_replicas), 6) AS avg_replicas,
+       CAST(coalesce(s.rpeak, p.peak_replicas) AS BIGINT) AS peak_replicas,
+       round(p.confidence, 6) AS confidence, CAST(s.support AS BIGINT) AS support
+FROM cpd p JOIN sup s ON p.namespace = s.namespace AND p.deployment = s.deployment AND p.pattern_id = s.pattern_id
+WHERE s.support >= 10""")
+
+_reg("v1_default_triggers", f"""WITH {_samples_cte()},
+wl AS (SELECT DISTINCT namespace, deployment FROM ms),
+cpu AS (SELECT DISTINCT namespace, deployment FROM ms WHERE metric_type = 'cpu')
+SELECT namespace, deployment, 'default-business-hours' AS name, 'default' AS pattern_type,
+       CAST(100 AS BIGINT) AS priority, 'UTC' AS timezone, '09:00:00' AS start_time, '17:00:00' AS end_time,
+       'M,TU,W,TH,F' AS recurring, CAST(2 AS BIGINT) AS min_replicas, CAST(10 AS BIGINT) AS max_replicas,
+       CAST(1 AS BIGINT) AS end_min_replicas, CAST(3 AS BIGINT) AS end_max_replicas, 0.5 AS confidence
+FROM wl WHERE NOT EXISTS (SELECT 1 FROM cpu WHERE cpu.namespace = wl.namespace AND cpu.deployment = wl.deployment)""")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.config import WL, DetectConfig, ProfileConfig
+from tempora.operators import cluster as K
 from tempora.operators import detect as D
 from tempora.operators import profile as P
+from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
@@ -188,3 +190,145 @@ def trigger_cron_plan(spark, sf_dir):
 def trigger_validation(spark, sf_dir):
     _, wls, _ = _schedule_inputs(spark, sf_dir)
     return portable(S.trigger_validation(PO.policy_triggers(spark, wls, include_suspended=True), spark))
+
+
+# ---------------------------------------------------------------------------
+# sample sources, resampling and the merged per-bucket frame
+# ---------------------------------------------------------------------------
+
+def _samples(spark, sf_dir):
+    return E.samples(spark, sf_dir)
+
+
+def _series(spark, sf_dir):
+    return R.v1_series(_samples(spark, sf_dir))
+
+
+def _features(spark, sf_dir):
+    return K.time_features(R.merged_frame(_series(spark, sf_dir)))
+
+
+@query("samples_resample_5m")
+def samples_resample_5m(spark, sf_dir):
+    s = R.lookback(_samples(spark, sf_dir), 30)
+    r = R.resample(s).withColumn("metric_type", F.col("metric_type"))
+    return portable(r.select(*WL, "metric_type", "metric_name", "pod", "series_id", "bucket", "value",
+                             "last_ts", "n_raw"))
+
+
+@query("samples_label_filter")
+def samples_label_filter(spark, sf_dir):
+    s = R.select_labels(_samples(spark, sf_dir), {"__name__": "container_cpu_usage_seconds_total"},
+                        {"pod": "pod-"})
+    return portable(s.select("event_id", *WL, "pod", "container", "metric_name", "series_id", "ts", "value"))
+
+
+@query("source_fallback")
+def source_fallback(spark, sf_dir):
+    fb = R.source_fallback(_samples(spark, sf_dir))
+    return portable(fb.groupBy(*WL, "metric_type", "metric_name")
+                    .agg(F.count(F.lit(1)).alias("samples"), F.sum("value").alias("value_sum")))
+
+
+@query("counter_rate_sum")
+def counter_rate_sum(spark, sf_dir):
+    fb = R.source_fallback(_samples(spark, sf_dir))
+    rate = R.counter_rate(fb.where(F.col("metric_type") == "cpu"))
+    return portable(R.sum_by_pod(rate, "rate"))
+
+
+@query("memory_sum_by_pod")
+def memory_sum_by_pod(spark, sf_dir):
+    fb = R.source_fallback(_samples(spark, sf_dir))
+    return portable(R.sum_by_pod(R.resample(fb.where(F.col("metric_type") == "memory"))))
+
+
+@query("per_timestamp_stats")
+def per_timestamp_stats(spark, sf_dir):
+    return portable(R.per_timestamp_stats(_series(spark, sf_dir)))
+
+
+@query("max_per_timestamp")
+def max_per_timestamp(spark, sf_dir):
+    s = _series(spark, sf_dir).where(F.col("metric_type") == "replicas")
+    return portable(R.max_per_timestamp(s))
+
+
+@query("outer_merge_fill")
+def outer_merge_fill(spark, sf_dir):
+    return portable(R.merged_frame(_series(spark, sf_dir)))
+
+
+@query("unified_timestamps")
+def unified_timestamps(spark, sf_dir):
+    return portable(R.unified_timestamps(_series(spark, sf_dir)))
+
+
+@query("time_features")
+def time_features(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return portable(f.select(*WL, "bucket", "hour", "minute", "day_of_week", "is_weekend", "time_of_day",
+                             "time_slot", "week", "date", "is_peak"))
+
+
+# ---------------------------------------------------------------------------
+# grid, clustering and mined patterns
+# ---------------------------------------------------------------------------
+
+@query("slot_grid")
+def slot_grid(spark, sf_dir):
+    return portable(K.slot_grid(_features(spark, sf_dir)))
+
+
+@query("standardized_grid")
+def standardized_grid(spark, sf_dir):
+    z = K.standardize(K.slot_grid(_features(spark, sf_dir)))
+    return portable(z.select(*WL, "day_of_week", "time_slot", *[f"z_{c}" for c in K.FEATURES]))
+
+
+@query("kmeans_assign_step")
+def kmeans_assign_step(spark, sf_dir):
+    z = K.standardize(K.slot_grid(_features(spark, sf_dir)))
+    return portable(K.assign_fixed(z))
+
+
+@query("cluster_patterns_fixed")
+def cluster_patterns_fixed(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    grid = K.slot_grid(f)
+    labels = K.assign_fixed(K.standardize(grid))
+    return portable(K.refine_patterns(K.cluster_patterns(grid, labels), f))
+
+
+@query("silhouette_fixed_labels")
+def silhouette_fixed_labels(spark, sf_dir):
+    z = K.standardize(K.slot_grid(_features(spark, sf_dir)))
+    return portable(K.silhouette_fixed(z, K.assign_fixed(z)))
+
+
+@query("kmeans_best_k")
+def kmeans_best_k(spark, sf_dir):
+    z = K.standardize(K.slot_grid(_features(spark, sf_dir)))
+    return portable(K.best_k_clusters(z))
+
+
+@query("v1_patterns")
+def v1_patterns(spark, sf_dir):
+    return portable(K.mine_patterns(_features(spark, sf_dir), cut_lineage=True))
+
+
+@query("v1_triggers")
+def v1_triggers(spark, sf_dir):
+    """Mined triggers, plus the default for workloads where mining found no pattern."""
+    f = _features(spark, sf_dir)
+    mined = G.v1_triggers(K.mine_patterns(f, cut_lineage=True))
+    return portable(mined.unionByName(G.v1_default_triggers(f.select(*WL), mined)))
+
+
+@query("v1_default_triggers")
+def v1_default_triggers(spark, sf_dir):
+    """Workloads whose mining yields no triggers get the default; here every workload with
+    samples but no usable CPU series is one (computed over the whole table)."""
+    s = _samples(spark, sf_dir)
+    has_cpu = s.where(F.col("metric_type") == "cpu").select(*WL).distinct()
+    return portable(G.v1_default_triggers(s.select(*WL), has_cpu))
