@@ -283,7 +283,7 @@ def _lit(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
-def _policy_cte() -> str:
+def _policy_tail(trig_name: str = "trig") -> str:
     from tempora.sources.policies import (HPA_START_MAX, HPA_START_MIN, N_SETS, SET_HPA_NAMESPACE,
                                           TRIGGER_FIELDS, TRIGGER_SETS)
 
@@ -292,7 +292,7 @@ def _policy_cte() -> str:
     casts = ", ".join(f"CAST({n} AS {'INTEGER' if t == 'int' else 'BOOLEAN' if t == 'boolean' else 'VARCHAR'})"
                       f" AS {n}" for n, t in TRIGGER_FIELDS)
     hns = " ".join(f"WHEN {k} THEN '{v}'" for k, v in SET_HPA_NAMESPACE.items() if v is not None)
-    return RS + f""",
+    return f""",
 inst AS (SELECT namespace, deployment, ts FROM rs),
 wls AS (SELECT DISTINCT namespace, deployment FROM inst),
 tset0({cols}) AS (VALUES
@@ -308,11 +308,15 @@ trig_all AS (
   SELECT p.namespace, p.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
          coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace, t.*
   FROM pol p JOIN tset t ON p.set_id = t.set_id),
-trig AS (SELECT * FROM trig_all WHERE NOT suspend),
+{trig_name} AS (SELECT * FROM trig_all WHERE NOT suspend),
 hpa AS (SELECT namespace AS hns, deployment || '-hpa' AS hname, {HPA_START_MIN} AS cur_min,
                {HPA_START_MAX} AS cur_max FROM wls)"""
 
 
+def _policy_cte() -> str:
+    return RS + _policy_tail()
+
+
 CLOCK_RE = r"^([0-9]|[01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9])([.,][0-9]+)?$"
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
@@ -330,7 +334,7 @@ def _codes(c: str) -> str:
     return f"list_transform(string_split({c}, ','), lambda x: trim(x))"
 
 
-STATES = _policy_cte() + f""",
+STATES_TAIL = f""",
 zones AS (SELECT name AS zone_name FROM pg_timezone_names()),
 tz AS (SELECT trig.*, coalesce(z.zone_name, 'UTC') AS zone
        FROM trig LEFT JOIN zones z ON trig.timezone = z.zone_name),
@@ -393,6 +397,7 @@ bounds AS (
          CASE WHEN cur_max IS NOT NULL THEN f.mx END AS max_replicas,
          CASE WHEN cur_max IS NULL THEN 'hpa not found' END AS error
   FROM eb)"""
+STATES = _policy_cte() + STATES_TAIL
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 
@@ -724,3 +729,234 @@ SELECT namespace, deployment, 'default-business-hours' AS name, 'default' AS pat
        'M,TU,W,TH,F' AS recurring, CAST(2 AS BIGINT) AS min_replicas, CAST(10 AS BIGINT) AS max_replicas,
        CAST(1 AS BIGINT) AS end_min_replicas, CAST(3 AS BIGINT) AS end_max_replicas, 0.5 AS confidence
 FROM wl WHERE NOT EXISTS (SELECT 1 FROM cpu WHERE cpu.namespace = wl.namespace AND cpu.deployment = wl.deployment)""")
+
+
+# ---------------------------------------------------------------------------
+# documents and run statistics
+# ---------------------------------------------------------------------------
+
+RS_ALL = _samples_cte() + """,
+rs_all AS (
+  SELECT namespace, deployment, metric_type, metric_name, pod, container, series_id,
+         time_bucket(INTERVAL '5 minutes', ts) AS bucket, arg_max(value, ts) AS value
+  FROM ms WHERE value IS NOT NULL GROUP BY ALL)"""
+
+_reg("matrix_json_roundtrip", f"""WITH {RS_ALL}
+SELECT namespace, deployment, pod, metric_name, series_id, strftime(bucket, '%Y-%m-%d %H:%M:%S') AS ts,
+       round(value, 6) AS value
+FROM rs_all""")
+
+_reg("matrix_replica_series", f"""WITH {RS_ALL}
+SELECT namespace, deployment, strftime(bucket, '%Y-%m-%d %H:%M:%S') AS ts,
+       round(greatest(CAST(0 AS DOUBLE), max(value)), 6) AS value
+FROM rs_all WHERE metric_type = 'replicas' GROUP BY namespace, deployment, bucket""")
+
+
+def _trigger_struct_sql() -> str:
+    return ("{'name': name, 'priority': CAST(priority AS INTEGER), 'timezone': timezone, "
+            "'interval': {'recurring': recurring}, 'startTime': start_time, 'endTime': end_time, "
+            "'startHPAConfig': {'minReplicas': CAST(min_replicas AS INTEGER), "
+            "'maxReplicas': CAST(max_replicas AS INTEGER)}, "
+            "'endHPAConfig': {'minReplicas': CAST(end_min_replicas AS INTEGER), "
+            "'maxReplicas': CAST(end_max_replicas AS INTEGER)}}")
+
+
+ALLTRIG = v2_trigger_cte() + """,
+alltrig AS (SELECT * FROM trig UNION ALL SELECT * FROM dflt)"""
+
+_reg("trigger_json", f"""WITH {ALLTRIG}
+SELECT namespace, deployment, name, CAST(to_json({_trigger_struct_sql()}) AS VARCHAR) AS trigger_json
+FROM alltrig""")
+
+_reg("policy_documents", f"""WITH {ALLTRIG}
+SELECT namespace, deployment, CAST(count(*) AS BIGINT) AS n_triggers,
+       CAST(to_json({{'apiVersion': 'autoscaling.sarabala.io/v1alpha1', 'kind': 'SmartHorizontalPodAutoscaler',
+                'metadata': {{'name': deployment || '-smarthpa', 'namespace': coalesce(nullif(namespace, ''), 'default')}},
+                'spec': {{'HPAObjectRef': {{'name': deployment || '-hpa',
+                                           'namespace': coalesce(nullif(namespace, ''), 'default')}},
+                         'triggers': list({_trigger_struct_sql()} ORDER BY priority DESC, name)}}}}) AS VARCHAR)
+         AS document
+FROM alltrig GROUP BY namespace, deployment""")
+
+_reg("run_stats", f"""WITH {ALLTRIG},
+{_samples_cte().replace(EV + ",", "", 1).strip()},
+pts AS (
+  SELECT namespace, deployment, count(*) FILTER (WHERE metric_type = 'cpu') AS cpu_points,
+         count(*) FILTER (WHERE metric_type = 'memory') AS memory_points,
+         count(*) FILTER (WHERE metric_type = 'replicas') AS replicas_points
+  FROM fb GROUP BY ALL),
+pc AS (SELECT namespace, deployment, count(*) AS patterns FROM pat GROUP BY ALL),
+tc AS (SELECT namespace, deployment, count(*) AS triggers FROM alltrig GROUP BY ALL),
+rst AS (
+  SELECT namespace, deployment, round(avg(value), 2) AS avg_replicas,
+         CAST(trunc(max(value)) AS BIGINT) AS max_replicas, CAST(trunc(min(value)) AS BIGINT) AS min_replicas,
+         count(*) AS data_points
+  FROM cl GROUP BY ALL)
+SELECT r.namespace, r.deployment, CAST(r.data_points AS BIGINT) AS data_points,
+       CAST(p.cpu_points AS BIGINT) AS cpu_points, CAST(p.memory_points AS BIGINT) AS memory_points,
+       CAST(p.replicas_points AS BIGINT) AS replicas_points,
+       CAST(coalesce(pc.patterns, 0) AS BIGINT) AS patterns, CAST(coalesce(tc.triggers, 0) AS BIGINT) AS triggers,
+       round(r.avg_replicas, 6) AS avg_replicas, r.max_replicas, r.min_replicas
+FROM rst r
+LEFT JOIN pts p ON r.namespace = p.namespace AND r.deployment = p.deployment
+LEFT JOIN pc ON r.namespace = pc.namespace AND r.deployment = pc.deployment
+LEFT JOIN tc ON r.namespace = tc.namespace AND r.deployment = tc.deployment""")
+
+
+# ---------------------------------------------------------------------------
+# policy tables
+# ---------------------------------------------------------------------------
+
+_reg("policies_for_hpa", f"""WITH {_policy_cte()},
+polt AS (SELECT *, coalesce(nullif(hpa_namespace, ''), policy_namespace) AS tns FROM pol)
+SELECT h.hns AS hpa_namespace, h.hname AS hpa_name, p.policy_namespace, p.policy_name
+FROM hpa h JOIN polt p ON h.hns = p.tns AND h.hname = p.hpa_name""")
+
+_reg("dangling_refs", f"""WITH {_policy_cte()},
+polt AS (SELECT *, coalesce(nullif(hpa_namespace, ''), policy_namespace) AS tns FROM pol)
+SELECT policy_namespace, policy_name, tns AS hpa_target_namespace, hpa_name
+FROM polt p
+WHERE coalesce(hpa_name, '') <> ''
+  AND NOT EXISTS (SELECT 1 FROM hpa h WHERE h.hns = p.tns AND h.hname = p.hpa_name)""")
+
+_reg("policy_snapshot_diff", f"""WITH {RS},
+snap AS (
+  SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 1 ELSE 2 END AS half, namespace AS policy_namespace,
+         deployment || '-smarthpa' AS policy_name, count(DISTINCT (isodow(ts), hour(ts))) AS generation
+  FROM rs GROUP BY ALL),
+a AS (SELECT * FROM snap WHERE half = 1),
+b AS (SELECT * FROM snap WHERE half = 2)
+SELECT coalesce(a.policy_namespace, b.policy_namespace) AS policy_namespace,
+       coalesce(a.policy_name, b.policy_name) AS policy_name,
+       CAST(a.generation AS BIGINT) AS gen_before, CAST(b.generation AS BIGINT) AS gen_after,
+       CASE WHEN a.generation IS NULL THEN 'new' WHEN b.generation IS NULL THEN 'deleted'
+            WHEN a.generation <> b.generation THEN 'changed' ELSE 'unchanged' END AS status
+FROM a FULL OUTER JOIN b ON a.policy_namespace = b.policy_namespace AND a.policy_name = b.policy_name""")
+
+_reg("namespaces", f"""WITH {_policy_cte()}
+SELECT policy_namespace AS namespace FROM pol UNION SELECT 'default'""")
+
+
+# ---------------------------------------------------------------------------
+# planned hour-of-day analyzer
+# ---------------------------------------------------------------------------
+
+def _planned_tail() -> str:
+    from tempora.operators.planned import DAY_TYPE_RECURRING, PlannedConfig
+
+    cfg = PlannedConfig()
+    rec = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DAY_TYPE_RECURRING.items())
+    return f""",
+hpts AS (SELECT namespace, deployment, date_trunc('hour', ts) AS hour_ts, arg_max(value, ts) AS value
+         FROM cl GROUP BY ALL),
+pts_h AS (SELECT *, hour(hour_ts) AS hour,
+                 CASE WHEN isodow(hour_ts) - 1 >= 5 THEN 'weekend' ELSE 'weekday' END AS day_type FROM hpts),
+spl0 AS (
+  SELECT namespace, deployment,
+         quantile_cont(value, 0.95) FILTER (WHERE day_type = 'weekday') AS weekday_p95,
+         quantile_cont(value, 0.95) FILTER (WHERE day_type = 'weekend') AS weekend_p95,
+         quantile_cont(value, 0.5) AS overall_p50
+  FROM pts_h GROUP BY ALL),
+spl AS (
+  SELECT *, CASE WHEN weekday_p95 > 0 THEN abs(weekday_p95 - weekend_p95) / weekday_p95 * 100 END AS diff_pct,
+         coalesce(CASE WHEN weekday_p95 > 0 THEN abs(weekday_p95 - weekend_p95) / weekday_p95 * 100 END
+                  > {cfg.split_threshold_percent}, false) AS split
+  FROM spl0),
+hpk AS (
+  SELECT p.namespace, p.deployment, CASE WHEN s.split THEN p.day_type ELSE 'daily' END AS dtype, p.hour,
+         s.overall_p50, quantile_cont(p.value, 0.5) AS p50, quantile_cont(p.value, 0.95) AS p95
+  FROM pts_h p JOIN spl s ON p.namespace = s.namespace AND p.deployment = s.deployment
+  GROUP BY ALL),
+isl AS (
+  SELECT *, hour - row_number() OVER (PARTITION BY namespace, deployment, dtype ORDER BY hour) AS grp
+  FROM hpk WHERE p95 > overall_p50 * {cfg.peak_multiplier_percent / 100.0}),
+gw AS (
+  SELECT namespace, deployment, dtype, grp, min(hour) AS start_hour, max(hour) + 1 AS end_hour,
+         CAST(ceil(max(p50)) AS INTEGER) AS min_r, CAST(ceil(max(p95)) AS INTEGER) AS max_r, max(p95) AS peak_p95
+  FROM isl GROUP BY ALL),
+gen AS (
+  SELECT namespace, deployment,
+         'ai-peak-' || dtype || '-' || lpad(CAST(start_hour AS VARCHAR), 2, '0') || '-'
+           || lpad(CAST(end_hour AS VARCHAR), 2, '0') AS name,
+         dtype AS day_type,
+         100 - (row_number() OVER (PARTITION BY namespace, deployment ORDER BY peak_p95 DESC, dtype, start_hour) - 1)
+           * 10 AS priority,
+         CASE dtype {rec} END AS recurring,
+         lpad(CAST(start_hour AS VARCHAR), 2, '0') || ':00:00' AS start_time,
+         lpad(CAST(end_hour % 24 AS VARCHAR), 2, '0') || ':00:00' AS end_time,
+         min_r AS min_replicas, greatest(max_r, min_r) AS max_replicas, peak_p95
+  FROM gw)"""
+
+
+PLANNED = CL + _planned_tail()
+
+
+def _hours_sql(st: str, en: str) -> str:
+    s, e = _mins(st), _mins(en)
+    return (f"list_filter(range(24), lambda h: CASE WHEN ({s}) = ({e}) THEN false "
+            f"WHEN ({s}) < ({e}) THEN h * 60 < ({e}) AND h * 60 + 60 > ({s}) "
+            f"ELSE h * 60 + 60 > ({s}) OR h * 60 < ({e}) END)")
+
+
+OVERLAP_TAIL = f""",
+gh AS (SELECT namespace, deployment, name, {_hours_sql('start_time', 'end_time')} AS g_hours,
+              {_codes('recurring')} AS g_days FROM gen),
+mh AS (SELECT namespace, deployment, name AS m_name, {_hours_sql('start_time', 'end_time')} AS m_hours,
+              CASE WHEN coalesce(recurring, '') = '' THEN NULL ELSE {_codes('recurring')} END AS m_days
+       FROM manual WHERE NOT starts_with(name, 'ai-')),
+hits AS (
+  SELECT g.namespace, g.deployment, g.name, m.m_name,
+         coalesce(list_has_any(g.g_hours, m.m_hours), false)
+           AND coalesce(list_has_any(g.g_days, m.m_days), m.m_days IS NULL) AS hit
+  FROM gh g LEFT JOIN mh m ON g.namespace = m.namespace AND g.deployment = m.deployment),
+ovl AS (
+  SELECT namespace, deployment, name, coalesce(bool_or(coalesce(hit, false)), false) AS suppressed,
+         min(m_name) FILTER (WHERE hit) AS blocked_by
+  FROM hits GROUP BY ALL)"""
+
+_reg("data_gate", f"""WITH {PLANNED}
+SELECT namespace, deployment, CAST(count(*) AS BIGINT) AS hourly_points, count(*) >= 72 AS sufficient,
+       CASE WHEN count(*) >= 72 THEN 'Analyzed' ELSE 'InsufficientData' END AS status
+FROM pts_h GROUP BY ALL""")
+
+_reg("hour_percentiles", f"""WITH {PLANNED}
+SELECT namespace, deployment, CAST(hour AS BIGINT) AS hour, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.95), 6) AS p95, CAST(count(*) AS BIGINT) AS n
+FROM pts_h GROUP BY ALL""")
+
+_reg("weekend_split", f"""WITH {PLANNED}
+SELECT namespace, deployment, round(weekday_p95, 6) AS weekday_p95, round(weekend_p95, 6) AS weekend_p95,
+       round(overall_p50, 6) AS overall_p50, round(diff_pct, 6) AS diff_pct, split
+FROM spl""")
+
+_reg("peak_windows", f"""WITH {PLANNED}
+SELECT namespace, deployment, name, day_type, CAST(priority AS BIGINT) AS priority, recurring, start_time,
+       end_time, CAST(min_replicas AS BIGINT) AS min_replicas, CAST(max_replicas AS BIGINT) AS max_replicas,
+       round(peak_p95, 6) AS peak_p95
+FROM gen""")
+
+_reg("manual_overlap", f"""WITH {CL}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL}
+SELECT namespace, deployment, name, suppressed, blocked_by FROM ovl""")
+
+_reg("deviation", f"""WITH {CL}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL},
+ai AS (SELECT g.* FROM gen g JOIN ovl o ON g.namespace = o.namespace AND g.deployment = o.deployment
+                                         AND g.name = o.name
+       WHERE NOT o.suppressed),
+ai_flat AS (
+  SELECT a.namespace, a.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
+         coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace,
+         CAST(NULL AS INTEGER) AS set_id, a.name, CAST(a.priority AS INTEGER) AS priority, 'UTC' AS timezone,
+         true AS has_interval, a.recurring, CAST(NULL AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date,
+         a.start_time, a.end_time, CAST(a.min_replicas AS INTEGER) AS start_min,
+         CAST(a.max_replicas AS INTEGER) AS start_max, CAST(NULL AS INTEGER) AS end_min,
+         CAST(NULL AS INTEGER) AS end_max, false AS suspend
+  FROM ai a JOIN pol p ON a.namespace = p.namespace AND a.deployment = p.deployment),
+trig AS (SELECT * FROM manual UNION ALL SELECT * FROM ai_flat){STATES_TAIL}
+SELECT r.namespace, r.deployment, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS ts, act.active_name,
+       round(r.value, 6) AS value, CAST(ai.min_replicas AS BIGINT) AS min_replicas,
+       CAST(ai.max_replicas AS BIGINT) AS max_replicas
+FROM rs r
+JOIN act ON r.namespace = act.namespace AND r.deployment = act.deployment AND r.ts = act.ts
+JOIN ai ON ai.namespace = act.namespace AND ai.deployment = act.deployment AND ai.name = act.active_name
+WHERE starts_with(act.active_name, 'ai-')
+  AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))""")

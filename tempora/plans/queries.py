@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from tempora.config import WL, DetectConfig, ProfileConfig
 from tempora.operators import cluster as K
 from tempora.operators import detect as D
+from tempora.operators import planned as PL
+from tempora.operators import policy as PJ
 from tempora.operators import profile as P
 from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
 from tempora.sources import events as E
+from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
+from tempora.sources import sinks as SK
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -332,3 +336,154 @@ def v1_default_triggers(spark, sf_dir):
     s = _samples(spark, sf_dir)
     has_cpu = s.where(F.col("metric_type") == "cpu").select(*WL).distinct()
     return portable(G.v1_default_triggers(s.select(*WL), has_cpu))
+
+
+# ---------------------------------------------------------------------------
+# documents: matrix JSON, trigger JSON, policy documents, run statistics
+# ---------------------------------------------------------------------------
+
+def _resampled_with_labels(spark, sf_dir):
+    r = R.resample(_samples(spark, sf_dir))
+    return r.select("*", E.labels_col().alias("labels"), F.col("bucket").alias("ts"))
+
+
+@query("matrix_json_roundtrip")
+def matrix_json_roundtrip(spark, sf_dir):
+    """Resampled series -> one matrix document per (series, day) -> parsed back to rows."""
+    docs = MX.samples_to_documents(_resampled_with_labels(spark, sf_dir), value_format="%s")
+    back = MX.matrix_to_samples(docs.select(MX.parse_documents(F.col("document")).alias("d")), "d")
+    return portable(back.select(*WL, "pod", "metric_name", "series_id", "ts", "value"))
+
+
+@query("matrix_replica_series")
+def matrix_replica_series(spark, sf_dir):
+    """Replica series read from matrix documents: max across series per instant, floor 0."""
+    r = _resampled_with_labels(spark, sf_dir).where(F.col("metric_type") == "replicas")
+    docs = MX.samples_to_documents(r, value_format="%s")
+    back = MX.matrix_to_samples(docs.select(MX.parse_documents(F.col("document")).alias("d")), "d")
+    return portable(MX.matrix_replicas(back))
+
+
+@query("trigger_json")
+def trigger_json(spark, sf_dir):
+    pats, stats = _patterns(spark, sf_dir)
+    return portable(SK.trigger_json(G.v2_triggers(pats, stats)))
+
+
+@query("policy_documents")
+def policy_documents(spark, sf_dir):
+    pats, stats = _patterns(spark, sf_dir)
+    return portable(SK.policy_documents(G.v2_triggers(pats, stats)))
+
+
+@query("run_stats")
+def run_stats(spark, sf_dir):
+    c, hourly, stats, dm = _profile_parts(spark, sf_dir)
+    pats = D.detect(hourly, stats, dm, spark)
+    trig = G.v2_triggers(pats, stats)
+    fb = R.source_fallback(_samples(spark, sf_dir))
+    return portable(SK.run_stats(fb, pats, trig, c))
+
+
+# ---------------------------------------------------------------------------
+# policy tables
+# ---------------------------------------------------------------------------
+
+def _wls(spark, sf_dir):
+    return PO.workloads(E.replica_samples(spark, sf_dir))
+
+
+@query("policies_for_hpa")
+def policies_for_hpa(spark, sf_dir):
+    wls = _wls(spark, sf_dir)
+    return portable(PJ.policies_for_hpa(PO.hpa_bounds(wls), PO.policies(wls)))
+
+
+@query("dangling_refs")
+def dangling_refs(spark, sf_dir):
+    wls = _wls(spark, sf_dir)
+    return portable(PJ.dangling_refs(PO.hpa_bounds(wls), PO.policies(wls)))
+
+
+def _snapshot(rs, first_half: bool):
+    """Policy snapshot of one half of the month: generation = distinct (weekday, hour) cells with samples."""
+    half = F.dayofmonth("ts") <= 15
+    s = rs.where(half if first_half else ~half)
+    g = s.groupBy(*WL).agg(F.countDistinct(F.weekday("ts"), F.hour("ts")).cast("bigint").alias("generation"))
+    return PO.policies(g.select(*WL)).drop("generation").join(g, WL)
+
+
+@query("policy_snapshot_diff")
+def policy_snapshot_diff(spark, sf_dir):
+    rs = E.replica_samples(spark, sf_dir)
+    return portable(PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)))
+
+
+@query("namespaces")
+def namespaces(spark, sf_dir):
+    return portable(PJ.namespaces(PO.policies(_wls(spark, sf_dir)), spark))
+
+
+# ---------------------------------------------------------------------------
+# planned hour-of-day analyzer (our reading of a prose specification)
+# ---------------------------------------------------------------------------
+
+def _points(spark, sf_dir):
+    return PL.hourly_points(_clean(spark, sf_dir))
+
+
+@query("data_gate")
+def data_gate(spark, sf_dir):
+    return portable(PL.data_gate(_points(spark, sf_dir)))
+
+
+@query("hour_percentiles")
+def hour_percentiles(spark, sf_dir):
+    return portable(PL.hour_percentiles(_points(spark, sf_dir)))
+
+
+@query("weekend_split")
+def weekend_split(spark, sf_dir):
+    return portable(PL.weekend_split(_points(spark, sf_dir)))
+
+
+@query("peak_windows")
+def peak_windows(spark, sf_dir):
+    return portable(PL.peak_windows(_points(spark, sf_dir)))
+
+
+def _ai_and_manual(spark, sf_dir):
+    wls = _wls(spark, sf_dir)
+    gen = PL.peak_windows(_points(spark, sf_dir))
+    manual = PO.policy_triggers(spark, wls)
+    return wls, gen, manual
+
+
+@query("manual_overlap")
+def manual_overlap(spark, sf_dir):
+    _, gen, manual = _ai_and_manual(spark, sf_dir)
+    return portable(PL.manual_overlap(gen, manual))
+
+
+@query("deviation")
+def deviation(spark, sf_dir):
+    """Replica samples outside the bounds of the active generated trigger (manual ones skip)."""
+    wls, gen, manual = _ai_and_manual(spark, sf_dir)
+    keep = PL.manual_overlap(gen, manual).where(~F.col("suppressed")).select(*WL, "name")
+    ai = gen.join(keep, WL + ["name"])
+    pol = PO.policies(wls).drop("set_id")
+    ai_flat = (ai.join(pol, WL)
+               .select(*WL, "policy_namespace", "policy_name", "generation", "hpa_namespace", "hpa_name", "name",
+                       "priority", F.lit("UTC").alias("timezone"), F.lit(True).alias("has_interval"), "recurring",
+                       F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("end_date"),
+                       "start_time", "end_time", F.col("min_replicas").alias("start_min"),
+                       F.col("max_replicas").alias("start_max"), F.lit(None).cast("int").alias("end_min"),
+                       F.lit(None).cast("int").alias("end_max"), F.lit(False).alias("suspend"))
+               .withColumn("hpa_target_namespace",
+                           F.coalesce(F.nullif(F.col("hpa_namespace"), F.lit("")), F.col("policy_namespace"))))
+    trig = ai_flat.unionByName(manual.drop("set_id"))
+    rs = E.replica_samples(spark, sf_dir)
+    st = S.window_state(rs.select(*WL, "ts"), trig, spark)
+    act = S.active_trigger(st)
+    bounds = ai.select(*WL, F.col("name").alias("active_name"), "min_replicas", "max_replicas")
+    return portable(PL.deviation(rs, act, bounds))

@@ -43,6 +43,17 @@ def _workload_cols(user_id) -> dict:
     }
 
 
+def labels_col() -> F.Column:
+    """Label map of a sample row (metric name, container, deployment, namespace, pod)."""
+    return F.create_map(
+        F.lit("__name__"), F.col("metric_name"),
+        F.lit("container"), F.col("container"),
+        F.lit("deployment"), F.col("deployment"),
+        F.lit("namespace"), F.col("namespace"),
+        F.lit("pod"), F.col("pod"),
+    )
+
+
 def metric_samples(events: DataFrame) -> DataFrame:
     """Long-form samples: one row per event with workload labels and metric name.
 
@@ -59,17 +70,10 @@ def metric_samples(events: DataFrame) -> DataFrame:
     ).where(F.col("metric_name").isNotNull())
     types = F.create_map(*[x for t, n, _ in METRIC_SOURCES for x in (F.lit(n), F.lit(t))])
     ranks = F.create_map(*[x for _, n, r in METRIC_SOURCES for x in (F.lit(n), F.lit(r))])
-    labels = F.create_map(
-        F.lit("__name__"), F.col("metric_name"),
-        F.lit("container"), F.col("container"),
-        F.lit("deployment"), F.col("deployment"),
-        F.lit("namespace"), F.col("namespace"),
-        F.lit("pod"), F.col("pod"),
-    )
     return (src
             .withColumn("metric_type", F.try_element_at(types, F.col("metric_name")))
             .withColumn("src_rank", F.try_element_at(ranks, F.col("metric_name")))
-            .withColumn("labels", labels)
+            .withColumn("labels", labels_col())
             .withColumn("series_id", series_id(F.col("labels"))))
 
 
