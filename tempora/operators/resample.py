@@ -148,11 +148,16 @@ def merged_frame(series: DataFrame, fill: bool = True) -> DataFrame:
 
 
 def ffill_bfill(df: DataFrame, cols: list[str], order: str = "bucket") -> DataFrame:
-    """Forward fill then backward fill every column, per workload in time order."""
-    fw = Window.partitionBy(*WL).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    bw = Window.partitionBy(*WL).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    """Forward fill then backward fill every column, per workload in time order.
+
+    Both fills are running frames (unbounded preceding .. current row); the
+    backward fill runs over descending time. A frame ending at unbounded
+    following would be re-evaluated per row (quadratic in the partition).
+    """
+    fw = Window.partitionBy(*WL).orderBy(F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    bw = Window.partitionBy(*WL).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(*[c for c in df.columns if c not in cols],
-                     *[F.coalesce(F.last(c, True).over(fw), F.first(c, True).over(bw)).alias(c) for c in cols])
+                     *[F.coalesce(F.last(c, True).over(fw), F.last(c, True).over(bw)).alias(c) for c in cols])
 
 
 def unified_timestamps(series: DataFrame) -> DataFrame:

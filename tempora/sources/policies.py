@@ -182,3 +182,27 @@ def trigger_struct(prefix: str = "") -> F.Column:
         F.col("start_time").alias("startTime"), F.col("end_time").alias("endTime"),
         cfg("min_replicas", "max_replicas").alias("startHPAConfig"),
         cfg("end_min_replicas", "end_max_replicas").alias("endHPAConfig"))
+
+
+FLAT_DDL = ("namespace string, deployment string, policy_namespace string, policy_name string, "
+            "generation bigint, hpa_namespace string, hpa_name string, name string, priority int, "
+            "timezone string, has_interval boolean, recurring string, start_date string, end_date string, "
+            "start_time string, end_time string, start_min int, start_max int, end_min int, end_max int, "
+            "suspend boolean")
+_FLAT_COLS = [c.split()[0] for c in FLAT_DDL.split(", ")]
+
+
+def triggers_frame(spark: SparkSession, rows: list[dict], namespace: str = "default",
+                   deployment: str = "app", include_suspended: bool = False) -> DataFrame:
+    """Flat trigger table from plain dicts (policy/HPA fields default to one policy per workload)."""
+    base = {"namespace": namespace, "deployment": deployment, "policy_namespace": namespace,
+            "policy_name": f"{deployment}-smarthpa", "generation": 1, "hpa_namespace": None,
+            "hpa_name": f"{deployment}-hpa", "priority": None, "timezone": "UTC", "has_interval": True,
+            "recurring": None, "start_date": None, "end_date": None, "start_min": None, "start_max": None,
+            "end_min": None, "end_max": None, "suspend": False}
+    data = [tuple({**base, **r}.get(c) for c in _FLAT_COLS) for r in rows]
+    t = spark.createDataFrame(data, FLAT_DDL)
+    if not include_suspended:
+        t = t.where(~F.col("suspend"))
+    return t.withColumn("hpa_target_namespace",
+                        F.coalesce(F.nullif(F.col("hpa_namespace"), F.lit("")), F.col("policy_namespace")))
