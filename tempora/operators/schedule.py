@@ -20,6 +20,24 @@ from tempora.functions import clock as C
 STATE_UNKNOWN, STATE_BEFORE, STATE_WITHIN, STATE_AFTER = "Unknown", "Before", "Within", "After"
 
 
+def state_columns(ts: F.Column, zone: F.Column, start_time: F.Column, end_time: F.Column,
+                  has_interval: F.Column, recurring: F.Column, start_date: F.Column,
+                  end_date: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    """(local wall clock, state, error) of one trigger at one instant; usable inside lambdas."""
+    local = F.from_utc_timestamp(ts, zone)
+    cur = F.hour(local) * 60 + F.minute(local)
+    s, e = C.clock_minutes(start_time), C.clock_minutes(end_time)
+    err = (F.when(~C.clock_ok(start_time), F.lit("failed to parse start time"))
+            .when(~C.clock_ok(end_time), F.lit("failed to parse end time")))
+    gate = C.day_gate(ts, local, has_interval, recurring, start_date, end_date)
+    state = (F.when(err.isNotNull(), F.lit(STATE_UNKNOWN))
+              .when(~gate, F.lit(STATE_UNKNOWN))
+              .when(C.in_window(cur, s, e), F.lit(STATE_WITHIN))
+              .when(cur >= e, F.lit(STATE_AFTER))
+              .otherwise(F.lit(STATE_BEFORE)))
+    return local, state, err
+
+
 def window_state(instants: DataFrame, triggers: DataFrame, spark: SparkSession) -> DataFrame:
     """State of every trigger at every instant of its workload.
 
@@ -30,24 +48,41 @@ def window_state(instants: DataFrame, triggers: DataFrame, spark: SparkSession)
     """
     t = C.with_zone(triggers, spark, "timezone", "zone")
     j = instants.join(t, WL)
-    local = F.from_utc_timestamp(F.col("ts"), F.col("zone"))
-    cur = F.hour(local) * 60 + F.minute(local)
-    s, e = C.clock_minutes(F.col("start_time")), C.clock_minutes(F.col("end_time"))
-    err = (F.when(~C.clock_ok(F.col("start_time")), F.lit("failed to parse start time"))
-            .when(~C.clock_ok(F.col("end_time")), F.lit("failed to parse end time")))
-    gate = C.day_gate(F.col("ts"), local, F.col("has_interval"), F.col("recurring"),
-                      F.col("start_date"), F.col("end_date"))
-    state = (F.when(err.isNotNull(), F.lit(STATE_UNKNOWN))
-              .when(~gate, F.lit(STATE_UNKNOWN))
-              .when(C.in_window(cur, s, e), F.lit(STATE_WITHIN))
-              .when(cur >= e, F.lit(STATE_AFTER))
-              .otherwise(F.lit(STATE_BEFORE)))
+    local, state, err = state_columns(F.col("ts"), F.col("zone"), F.col("start_time"), F.col("end_time"),
+                                      F.col("has_interval"), F.col("recurring"), F.col("start_date"),
+                                      F.col("end_date"))
     return j.select(*WL, "ts", "policy_namespace", "policy_name", "hpa_target_namespace", "hpa_name",
                     "name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"),
                     "start_min", "start_max", "end_min", "end_max",
                     local.alias("local_ts"), state.alias("state"), err.alias("error"))
 
 
+def trigger_arrays(triggers: DataFrame, spark: SparkSession) -> DataFrame:
+    """One row per workload with all its triggers in an array (bounded by the policy size).
+
+    This is the static side for streams: each arriving sample evaluates its
+    workload's triggers row by row, with no streaming aggregation or state.
+    """
+    t = C.with_zone(triggers, spark, "timezone", "zone")
+    item = F.struct("name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"), "zone", "has_interval",
+                    "recurring", "start_date", "end_date", "start_time", "end_time", "start_min", "start_max",
+                    "end_min", "end_max")
+    return t.groupBy(*WL).agg(F.collect_list(item).alias("triggers"))
+
+
+def active_from_array(ts: F.Column, triggers: F.Column) -> F.Column:
+    """Winning Within trigger (struct with name, priority, start_min, start_max) from a trigger array."""
+    def st(x):
+        return state_columns(ts, x["zone"], x["start_time"], x["end_time"], x["has_interval"], x["recurring"],
+                             x["start_date"], x["end_date"])[1]
+
+    cands = F.transform(F.filter(triggers, lambda x: st(x) == STATE_WITHIN),
+                        lambda x: F.struct((-x["priority"]).alias("np"), x["name"].alias("name"),
+                                           x["priority"].alias("priority"), x["start_min"].alias("start_min"),
+                                           x["start_max"].alias("start_max")))
+    return F.try_element_at(F.array_sort(cands), F.lit(1))
+
+
 def active_trigger(states: DataFrame) -> DataFrame:
     """Winning Within trigger per (workload, instant): highest priority, then name ascending."""
     within = F.col("state") == STATE_WITHIN

@@ -960,3 +960,7 @@ JOIN act ON r.namespace = act.namespace AND r.deployment = act.deployment AND r.
 JOIN ai ON ai.namespace = act.namespace AND ai.deployment = act.deployment AND ai.name = act.active_name
 WHERE starts_with(act.active_name, 'ai-')
   AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))""")
+
+_reg("active_trigger_rowwise", f"""WITH {STATES}
+SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS BIGINT) AS active_priority
+FROM act""")

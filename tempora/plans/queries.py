@@ -487,3 +487,15 @@ def deviation(spark, sf_dir):
     act = S.active_trigger(st)
     bounds = ai.select(*WL, F.col("name").alias("active_name"), "min_replicas", "max_replicas")
     return portable(PL.deviation(rs, act, bounds))
+
+
+@query("active_trigger_rowwise")
+def active_trigger_rowwise(spark, sf_dir):
+    """The streaming evaluation path run in batch: each instant picks its winner from its
+    workload's trigger array (no aggregation); must equal ``active_trigger``."""
+    inst, _, trig = _schedule_inputs(spark, sf_dir)
+    arrays = S.trigger_arrays(trig, spark)
+    win = S.active_from_array(F.col("ts"), F.col("triggers"))
+    out = inst.join(arrays, WL, "left").select(*WL, "ts", win["name"].alias("active_name"),
+                                               win["priority"].alias("active_priority"))
+    return portable(out)

@@ -48,7 +48,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local "
+                               "scratch folder does not survive executor loss on a cluster")
         d = tempfile.mkdtemp(prefix="tempora-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def broadcast_if_small(df, max_rows: int = 1_000_000):
+    """Broadcast a static lookup side only after measuring it; beyond the bound the plain
+    DataFrame is returned and Spark shuffles both sides instead.
+
+    Meant for static sides of stream joins, where AQE cannot re-plan from runtime sizes.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
