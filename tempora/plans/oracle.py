@@ -964,3 +964,16 @@ WHERE starts_with(act.active_name, 'ai-')
 _reg("active_trigger_rowwise", f"""WITH {STATES}
 SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS BIGINT) AS active_priority
 FROM act""")
+
+_reg("policies_for_changed_hpa", f"""WITH {_policy_cte()},
+snap AS (
+  SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 1 ELSE 2 END AS half, namespace, deployment,
+         count(DISTINCT (isodow(ts), hour(ts))) AS generation
+  FROM rs GROUP BY ALL),
+chg AS (
+  SELECT a.namespace, a.deployment || '-hpa' AS name
+  FROM snap a JOIN snap b ON a.namespace = b.namespace AND a.deployment = b.deployment
+  WHERE a.half = 1 AND b.half = 2 AND a.generation <> b.generation),
+polt AS (SELECT *, coalesce(nullif(hpa_namespace, ''), policy_namespace) AS tns FROM pol)
+SELECT policy_namespace, policy_name FROM polt p
+WHERE EXISTS (SELECT 1 FROM chg c WHERE c.namespace = p.tns AND c.name = p.hpa_name)""")

@@ -499,3 +499,23 @@ def active_trigger_rowwise(spark, sf_dir):
     out = inst.join(arrays, WL, "left").select(*WL, "ts", win["name"].alias("active_name"),
                                                win["priority"].alias("active_priority"))
     return portable(out)
+
+
+@query("pattern_report")
+def pattern_report(spark, sf_dir):
+    """Mined patterns per workload as a JSON report with data-point counts."""
+    series = _series(spark, sf_dir)
+    f = K.time_features(R.merged_frame(series))
+    return portable(SK.pattern_report(K.mine_patterns(f, cut_lineage=True), series))
+
+
+@query("policies_for_changed_hpa")
+def policies_for_changed_hpa(spark, sf_dir):
+    """Policies to re-evaluate for the HPAs whose workload's policy snapshot changed between the
+    two halves of the month (semi-join; each policy once)."""
+    rs = E.replica_samples(spark, sf_dir)
+    diff = PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)).where("status = 'changed'")
+    changed = diff.select(F.col("policy_namespace").alias("namespace"),
+                          F.regexp_replace("policy_name", "-smarthpa$", "-hpa").alias("name"))
+    wls = PO.workloads(rs)
+    return portable(PJ.policies_for_changed(changed, PO.policies(wls)))

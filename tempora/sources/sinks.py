@@ -56,3 +56,24 @@ def run_stats(samples_by_metric: DataFrame, patterns: DataFrame, triggers: DataF
                     F.coalesce("patterns", F.lit(0)).alias("patterns"),
                     F.coalesce("triggers", F.lit(0)).alias("triggers"),
                     "avg_replicas", "max_replicas", "min_replicas"))
+
+
+def pattern_report(patterns: DataFrame, series: DataFrame) -> DataFrame:
+    """Per workload: the mined patterns as JSON (camelCase fields) plus data-point counts."""
+    p = patterns.select(*WL, F.struct(
+        F.col("pattern_id").alias("_id"),
+        F.struct(F.col("start_hour").alias("startHour"), F.col("start_minute").alias("startMinute"),
+                 F.col("end_hour").alias("endHour"), F.col("end_minute").alias("endMinute"),
+                 F.col("days"), F.col("avg_cpu").alias("avgCpu"), F.col("avg_memory").alias("avgMemory"),
+                 F.col("avg_replicas").alias("avgReplicas"), F.col("peak_replicas").alias("peakReplicas"),
+                 F.col("confidence")).alias("p")).alias("e"))
+    pg = p.groupBy(*WL).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    counts = (series.groupBy(*WL)
+              .agg(*[F.count(F.when(F.col("metric_type") == m, 1)).alias(n)
+                     for m, n in (("cpu", "cpuDataPoints"), ("memory", "memoryDataPoints"),
+                                  ("replicas", "replicaDataPoints"))]))
+    j = counts.join(pg, WL, "left").withColumn("es", F.coalesce("es", F.array().cast(pg.schema["es"].dataType)))
+    doc = F.struct(F.lit(True).alias("success"), F.transform("es", lambda e: e["p"]).alias("patterns"),
+                   F.struct("cpuDataPoints", "memoryDataPoints", "replicaDataPoints",
+                            F.size("es").alias("patternsDetected")).alias("stats"))
+    return j.select(*WL, F.size("es").alias("patterns_detected"), F.to_json(doc).alias("report"))
