@@ -1,16 +1,16 @@
 """Replica profiling: cleaning, 7x24 hourly profile, daily profile, workload statistics.
 
-Every aggregate here is keyed by workload plus a time cell, or by workload
-alone over algebraic (partially aggregated) functions, so a hot workload is
-combined map-side before the shuffle. Statistics are joined back to samples
-on the workload key; the statistics side has one row per workload and AQE
-turns the join into a broadcast when its measured size is under the
-threshold (otherwise a shuffle join with skew splitting).
+Inputs are step-reduced series (one value per workload and 5-minute bucket),
+so a workload holds at most span / step rows whatever the raw volume. Every
+aggregate is keyed by workload plus a time cell, or by workload alone over
+algebraic (partially aggregated) functions; exact percentiles buffer one
+count per distinct value (``exact_percentiles=False`` switches to the
+bounded-memory approximation).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.config import WL, ProfileConfig
@@ -27,14 +27,18 @@ def percentiles(col: str, pcts: list[float], cfg: ProfileConfig = ProfileConfig(
 
 def clean(samples: DataFrame, cfg: ProfileConfig = ProfileConfig()) -> DataFrame:
     """Drop missing values, drop values outside mean +/- k*std (population std; std 0 keeps all),
-    then clamp to the replica floor. Each row keeps its own instant."""
+    then clamp to the replica floor. Each row keeps its own instant.
+
+    Input is the step-reduced series (one row per workload and bucket), so one
+    workload holds at most span / step rows: the statistics are a window over
+    the workload (one pass, no self-join).
+    """
     s = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    st = s.groupBy(*WL).agg(F.avg("value").alias("_mu"), F.stddev_pop("value").alias("_sd"))
+    w = Window.partitionBy(*WL)
+    mu, sd = F.avg("value").over(w), F.stddev_pop("value").over(w)
     k = F.lit(cfg.outlier_std)
-    keep = ((F.col("_sd") <= 0)
-            | ((F.col("value") >= F.col("_mu") - k * F.col("_sd"))
-               & (F.col("value") <= F.col("_mu") + k * F.col("_sd"))))
-    return (s.join(st, WL).where(keep)
+    keep = (sd <= 0) | ((F.col("value") >= mu - k * sd) & (F.col("value") <= mu + k * sd))
+    return (s.withColumn("_keep", keep).where("_keep")
              .select(*WL, "ts", F.greatest(F.col("value"), F.lit(cfg.min_replicas_floor)).alias("value")))
 
 

@@ -22,6 +22,7 @@ from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
+from tempora.session import checkpoint_dir
 from tempora.sources import events as E
 from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
@@ -41,8 +42,16 @@ def query(name: str):
 # shared building blocks
 # ---------------------------------------------------------------------------
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise a shared reduction once in the shared checkpoint folder (read by several
+    branches of one plan): each raw scan then happens once, and a lost executor re-reads the
+    checkpoint instead of replaying the lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _clean(spark, sf_dir, cfg: ProfileConfig = ProfileConfig()):
-    return P.clean(E.replica_samples(spark, sf_dir, cfg.step_minutes), cfg)
+    return _cut(P.clean(E.replica_samples(spark, sf_dir, cfg.step_minutes), cfg))
 
 
 def _profile_parts(spark, sf_dir):
@@ -55,7 +64,7 @@ def _profile_parts(spark, sf_dir):
 
 def _patterns(spark, sf_dir, cfg: DetectConfig = DetectConfig()):
     _, hourly, stats, dm = _profile_parts(spark, sf_dir)
-    return D.detect(hourly, stats, dm, spark, cfg), stats
+    return _cut(D.detect(hourly, stats, dm, spark, cfg)), stats
 
 
 # ---------------------------------------------------------------------------
@@ -138,7 +147,7 @@ def v2_default_triggers(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _schedule_inputs(spark, sf_dir):
-    inst = E.replica_samples(spark, sf_dir).select(*WL, "ts")
+    inst = _cut(E.replica_samples(spark, sf_dir).select(*WL, "ts"))
     wls = PO.workloads(inst)
     return inst, wls, PO.policy_triggers(spark, wls)
 
@@ -205,11 +214,11 @@ def _samples(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    return R.v1_series(_samples(spark, sf_dir))
+    return _cut(R.v1_series(_samples(spark, sf_dir)))
 
 
 def _features(spark, sf_dir):
-    return K.time_features(R.merged_frame(_series(spark, sf_dir)))
+    return _cut(K.time_features(R.merged_frame(_series(spark, sf_dir))))
 
 
 @query("samples_resample_5m")
@@ -318,14 +327,14 @@ def kmeans_best_k(spark, sf_dir):
 
 @query("v1_patterns")
 def v1_patterns(spark, sf_dir):
-    return portable(K.mine_patterns(_features(spark, sf_dir), cut_lineage=True))
+    return portable(K.mine_patterns(_features(spark, sf_dir)))
 
 
 @query("v1_triggers")
 def v1_triggers(spark, sf_dir):
     """Mined triggers, plus the default for workloads where mining found no pattern."""
     f = _features(spark, sf_dir)
-    mined = G.v1_triggers(K.mine_patterns(f, cut_lineage=True))
+    mined = G.v1_triggers(_cut(K.mine_patterns(f)))
     return portable(mined.unionByName(G.v1_default_triggers(f.select(*WL), mined)))
 
 
@@ -390,7 +399,7 @@ def run_stats(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _wls(spark, sf_dir):
-    return PO.workloads(E.replica_samples(spark, sf_dir))
+    return _cut(PO.workloads(E.replica_samples(spark, sf_dir)))
 
 
 @query("policies_for_hpa")
@@ -415,7 +424,7 @@ def _snapshot(rs, first_half: bool):
 
 @query("policy_snapshot_diff")
 def policy_snapshot_diff(spark, sf_dir):
-    rs = E.replica_samples(spark, sf_dir)
+    rs = _cut(E.replica_samples(spark, sf_dir))
     return portable(PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)))
 
 
@@ -429,7 +438,7 @@ def namespaces(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _points(spark, sf_dir):
-    return PL.hourly_points(_clean(spark, sf_dir))
+    return _cut(PL.hourly_points(_clean(spark, sf_dir)))
 
 
 @query("data_gate")
@@ -469,6 +478,7 @@ def manual_overlap(spark, sf_dir):
 def deviation(spark, sf_dir):
     """Replica samples outside the bounds of the active generated trigger (manual ones skip)."""
     wls, gen, manual = _ai_and_manual(spark, sf_dir)
+    gen = _cut(gen)
     keep = PL.manual_overlap(gen, manual).where(~F.col("suppressed")).select(*WL, "name")
     ai = gen.join(keep, WL + ["name"])
     pol = PO.policies(wls).drop("set_id")
@@ -482,7 +492,7 @@ def deviation(spark, sf_dir):
                .withColumn("hpa_target_namespace",
                            F.coalesce(F.nullif(F.col("hpa_namespace"), F.lit("")), F.col("policy_namespace"))))
     trig = ai_flat.unionByName(manual.drop("set_id"))
-    rs = E.replica_samples(spark, sf_dir)
+    rs = _cut(E.replica_samples(spark, sf_dir))
     st = S.window_state(rs.select(*WL, "ts"), trig, spark)
     act = S.active_trigger(st)
     bounds = ai.select(*WL, F.col("name").alias("active_name"), "min_replicas", "max_replicas")
@@ -513,7 +523,7 @@ def pattern_report(spark, sf_dir):
 def policies_for_changed_hpa(spark, sf_dir):
     """Policies to re-evaluate for the HPAs whose workload's policy snapshot changed between the
     two halves of the month (semi-join; each policy once)."""
-    rs = E.replica_samples(spark, sf_dir)
+    rs = _cut(E.replica_samples(spark, sf_dir))
     diff = PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)).where("status = 'changed'")
     changed = diff.select(F.col("policy_namespace").alias("namespace"),
                           F.regexp_replace("policy_name", "-smarthpa$", "-hpa").alias("name"))
