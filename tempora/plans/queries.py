@@ -22,7 +22,7 @@ from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
-from tempora.session import checkpoint_dir
+from tempora.session import materialize
 from tempora.sources import events as E
 from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
@@ -43,11 +43,9 @@ def query(name: str):
 # ---------------------------------------------------------------------------
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Materialise a shared reduction once in the shared checkpoint folder (read by several
-    branches of one plan): each raw scan then happens once, and a lost executor re-reads the
-    checkpoint instead of replaying the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a shared reduction once (a parquet table in the shared checkpoint folder):
+    it is read by several branches of one plan, so each raw scan happens once."""
+    return materialize(df)
 
 
 def _clean(spark, sf_dir, cfg: ProfileConfig = ProfileConfig()):
@@ -64,7 +62,7 @@ def _profile_parts(spark, sf_dir):
 
 def _patterns(spark, sf_dir, cfg: DetectConfig = DetectConfig()):
     _, hourly, stats, dm = _profile_parts(spark, sf_dir)
-    return _cut(D.detect(hourly, stats, dm, spark, cfg)), stats
+    return D.detect(hourly, stats, dm, spark, cfg), stats
 
 
 # ---------------------------------------------------------------------------
@@ -214,7 +212,7 @@ def _samples(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    return _cut(R.v1_series(_samples(spark, sf_dir)))
+    return R.v1_series(_samples(spark, sf_dir))
 
 
 def _features(spark, sf_dir):
@@ -514,9 +512,9 @@ def active_trigger_rowwise(spark, sf_dir):
 @query("pattern_report")
 def pattern_report(spark, sf_dir):
     """Mined patterns per workload as a JSON report with data-point counts."""
-    series = _series(spark, sf_dir)
-    f = K.time_features(R.merged_frame(series))
-    return portable(SK.pattern_report(K.mine_patterns(f, cut_lineage=True), series))
+    series = _cut(_series(spark, sf_dir))
+    f = _cut(K.time_features(R.merged_frame(series)))
+    return portable(SK.pattern_report(K.mine_patterns(f), series))
 
 
 @query("policies_for_changed_hpa")

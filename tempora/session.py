@@ -18,6 +18,7 @@ BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -67,3 +68,16 @@ def broadcast_if_small(df, max_rows: int = 1_000_000):
 
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize(df, name: str = "cut"):
+    """Cut lineage by writing a parquet table under the shared checkpoint folder and reading
+    it back: one computation, columnar re-reads with pruning, and a lost executor re-reads
+    files instead of replaying the plan. (``Dataset.checkpoint`` on an unpersisted plan
+    computes it twice.)"""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
