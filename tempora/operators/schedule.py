@@ -20,16 +20,35 @@ from tempora.functions import clock as C
 STATE_UNKNOWN, STATE_BEFORE, STATE_WITHIN, STATE_AFTER = "Unknown", "Before", "Within", "After"
 
 
-def state_columns(ts: F.Column, zone: F.Column, start_time: F.Column, end_time: F.Column,
-                  has_interval: F.Column, recurring: F.Column, start_date: F.Column,
-                  end_date: F.Column) -> tuple[F.Column, F.Column, F.Column]:
-    """(local wall clock, state, error) of one trigger at one instant; usable inside lambdas."""
-    local = F.from_utc_timestamp(ts, zone)
+def prepare_triggers(triggers: DataFrame, spark: SparkSession) -> DataFrame:
+    """Per-trigger constants computed once on the (small) trigger table: resolved zone,
+    start/end minutes, time-text error, recurrence codes and the date range as instants."""
+    t = C.with_zone(triggers, spark, "timezone", "zone")
+    rec = F.coalesce(F.col("recurring"), F.lit(""))
+    sd, ed = F.coalesce(F.col("start_date"), F.lit("")), F.coalesce(F.col("end_date"), F.lit(""))
+    err = (F.when(~C.clock_ok(F.col("start_time")), F.lit("failed to parse start time"))
+            .when(~C.clock_ok(F.col("end_time")), F.lit("failed to parse end time")))
+    gate_kind = (F.when(~F.coalesce(F.col("has_interval"), F.lit(False)), F.lit("none"))
+                  .when(rec != "", F.lit("recurring"))
+                  .when((sd != "") & (ed != ""),
+                        F.when(C.date_text_ok(sd) & C.date_text_ok(ed), F.lit("range")).otherwise(F.lit("none")))
+                  .otherwise(F.lit("none")))
+    return t.select("*",
+                    C.clock_minutes(F.col("start_time")).alias("_s"), C.clock_minutes(F.col("end_time")).alias("_e"),
+                    err.alias("_err"), gate_kind.alias("_gate"), C.recurring_codes(rec).alias("_codes"),
+                    F.try_to_timestamp(sd, F.lit("yyyy-MM-dd")).alias("_sd"),
+                    F.try_to_timestamp(ed, F.lit("yyyy-MM-dd")).alias("_ed"))
+
+
+def state_columns(ts: F.Column, t) -> tuple[F.Column, F.Column, F.Column]:
+    """(local wall clock, state, error) of one prepared trigger ``t`` (columns or struct fields)
+    at one instant; usable inside lambdas."""
+    local = F.from_utc_timestamp(ts, t["zone"])
     cur = F.hour(local) * 60 + F.minute(local)
-    s, e = C.clock_minutes(start_time), C.clock_minutes(end_time)
-    err = (F.when(~C.clock_ok(start_time), F.lit("failed to parse start time"))
-            .when(~C.clock_ok(end_time), F.lit("failed to parse end time")))
-    gate = C.day_gate(ts, local, has_interval, recurring, start_date, end_date)
+    s, e, err = t["_s"], t["_e"], t["_err"]
+    gate = (F.when(t["_gate"] == "recurring", F.array_contains(t["_codes"], C.local_day_code(local)))
+             .when(t["_gate"] == "range", F.coalesce((ts > t["_sd"]) & (ts < t["_ed"]), F.lit(False)))
+             .otherwise(F.lit(False)))
     state = (F.when(err.isNotNull(), F.lit(STATE_UNKNOWN))
               .when(~gate, F.lit(STATE_UNKNOWN))
               .when(C.in_window(cur, s, e), F.lit(STATE_WITHIN))
@@ -38,6 +57,11 @@ def state_columns(ts: F.Column, zone: F.Column, start_time: F.Column, end_time:
     return local, state, err
 
 
+class _Cols:
+    def __getitem__(self, k):
+        return F.col(k)
+
+
 def window_state(instants: DataFrame, triggers: DataFrame, spark: SparkSession) -> DataFrame:
     """State of every trigger at every instant of its workload.
 
@@ -45,12 +69,10 @@ def window_state(instants: DataFrame, triggers: DataFrame, spark: SparkSession)
     a closed day gate gives Unknown; else Within (half-open, wraps midnight),
     After when the local minute is at or past the end, else Before. Seconds are
     dropped; the local clock is the trigger zone's (unknown zone -> UTC).
+    Trigger text is parsed once per trigger, not per instant.
     """
-    t = C.with_zone(triggers, spark, "timezone", "zone")
-    j = instants.join(t, WL)
-    local, state, err = state_columns(F.col("ts"), F.col("zone"), F.col("start_time"), F.col("end_time"),
-                                      F.col("has_interval"), F.col("recurring"), F.col("start_date"),
-                                      F.col("end_date"))
+    j = instants.join(prepare_triggers(triggers, spark), WL)
+    local, state, err = state_columns(F.col("ts"), _Cols())
     return j.select(*WL, "ts", "policy_namespace", "policy_name", "hpa_target_namespace", "hpa_name",
                     "name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"),
                     "start_min", "start_max", "end_min", "end_max",
@@ -58,25 +80,20 @@ def window_state(instants: DataFrame, triggers: DataFrame, spark: SparkSession)
 
 
 def trigger_arrays(triggers: DataFrame, spark: SparkSession) -> DataFrame:
-    """One row per workload with all its triggers in an array (bounded by the policy size).
+    """One row per workload with all its prepared triggers in an array (bounded by the policy size).
 
     This is the static side for streams: each arriving sample evaluates its
     workload's triggers row by row, with no streaming aggregation or state.
     """
-    t = C.with_zone(triggers, spark, "timezone", "zone")
-    item = F.struct("name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"), "zone", "has_interval",
-                    "recurring", "start_date", "end_date", "start_time", "end_time", "start_min", "start_max",
-                    "end_min", "end_max")
+    t = prepare_triggers(triggers, spark)
+    item = F.struct("name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"), "zone", "_s", "_e", "_err",
+                    "_gate", "_codes", "_sd", "_ed", "start_min", "start_max", "end_min", "end_max")
     return t.groupBy(*WL).agg(F.collect_list(item).alias("triggers"))
 
 
 def active_from_array(ts: F.Column, triggers: F.Column) -> F.Column:
     """Winning Within trigger (struct with name, priority, start_min, start_max) from a trigger array."""
-    def st(x):
-        return state_columns(ts, x["zone"], x["start_time"], x["end_time"], x["has_interval"], x["recurring"],
-                             x["start_date"], x["end_date"])[1]
-
-    cands = F.transform(F.filter(triggers, lambda x: st(x) == STATE_WITHIN),
+    cands = F.transform(F.filter(triggers, lambda x: state_columns(ts, x)[1] == STATE_WITHIN),
                         lambda x: F.struct((-x["priority"]).alias("np"), x["name"].alias("name"),
                                            x["priority"].alias("priority"), x["start_min"].alias("start_min"),
                                            x["start_max"].alias("start_max")))
