@@ -118,16 +118,22 @@ METRICS = ["cpu", "memory", "replicas"]
 STATS = ["mean", "max", "min", "std"]
 
 
-def v1_series(samples: DataFrame, step_minutes: int = 5) -> DataFrame:
+def v1_series(samples, step_minutes: int = 5) -> DataFrame:
     """The three metric series sets of each workload, one value per (series, bucket):
     CPU = counter rate summed by pod; memory = usage summed by pod (working set as
-    fallback); replicas = gauge (three fallback sources)."""
-    fb = source_fallback(samples)
-    cpu = counter_rate(fb.where(F.col("metric_type") == "cpu"), step_minutes)
+    fallback); replicas = gauge (three fallback sources).
+
+    ``samples`` is a DataFrame of all samples, or a loader ``metric_type -> DataFrame``
+    so each branch reads only its own sources (filter pushed to the scan).
+    """
+    def load(t):
+        return samples(t) if callable(samples) else samples.where(F.col("metric_type") == t)
+
+    cpu = counter_rate(source_fallback(load("cpu")), step_minutes)
     cpu = sum_by_pod(cpu, "rate").withColumn("metric_type", F.lit("cpu"))
-    mem = resample(fb.where(F.col("metric_type") == "memory"), step_minutes)
+    mem = resample(source_fallback(load("memory")), step_minutes)
     mem = sum_by_pod(mem).withColumn("metric_type", F.lit("memory"))
-    rep = resample(fb.where(F.col("metric_type") == "replicas"), step_minutes)
+    rep = resample(source_fallback(load("replicas")), step_minutes)
     rep = rep.select(*WL, "pod", "container", "bucket", "value").withColumn("metric_type", F.lit("replicas"))
     return cpu.unionByName(mem).unionByName(rep)
 

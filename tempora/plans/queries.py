@@ -212,7 +212,7 @@ def _samples(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    return R.v1_series(_samples(spark, sf_dir))
+    return R.v1_series(lambda t: E.samples(spark, sf_dir, [t]))
 
 
 def _features(spark, sf_dir):
@@ -229,7 +229,7 @@ def samples_resample_5m(spark, sf_dir):
 
 @query("samples_label_filter")
 def samples_label_filter(spark, sf_dir):
-    s = R.select_labels(_samples(spark, sf_dir), {"__name__": "container_cpu_usage_seconds_total"},
+    s = R.select_labels(E.samples(spark, sf_dir, ["cpu"]), {"__name__": "container_cpu_usage_seconds_total"},
                         {"pod": "pod-"})
     return portable(s.select("event_id", *WL, "pod", "container", "metric_name", "series_id", "ts", "value"))
 
@@ -243,15 +243,15 @@ def source_fallback(spark, sf_dir):
 
 @query("counter_rate_sum")
 def counter_rate_sum(spark, sf_dir):
-    fb = R.source_fallback(_samples(spark, sf_dir))
-    rate = R.counter_rate(fb.where(F.col("metric_type") == "cpu"))
+    fb = R.source_fallback(E.samples(spark, sf_dir, ["cpu"]))
+    rate = R.counter_rate(fb)
     return portable(R.sum_by_pod(rate, "rate"))
 
 
 @query("memory_sum_by_pod")
 def memory_sum_by_pod(spark, sf_dir):
-    fb = R.source_fallback(_samples(spark, sf_dir))
-    return portable(R.sum_by_pod(R.resample(fb.where(F.col("metric_type") == "memory"))))
+    fb = R.source_fallback(E.samples(spark, sf_dir, ["memory"]))
+    return portable(R.sum_by_pod(R.resample(fb)))
 
 
 @query("per_timestamp_stats")
@@ -365,7 +365,8 @@ def matrix_json_roundtrip(spark, sf_dir):
 @query("matrix_replica_series")
 def matrix_replica_series(spark, sf_dir):
     """Replica series read from matrix documents: max across series per instant, floor 0."""
-    r = _resampled_with_labels(spark, sf_dir).where(F.col("metric_type") == "replicas")
+    r = R.resample(E.samples(spark, sf_dir, ["replicas"]))
+    r = r.select("*", E.labels_col().alias("labels"), F.col("bucket").alias("ts"))
     docs = MX.samples_to_documents(r, value_format="%s")
     back = MX.matrix_to_samples(docs.select(MX.parse_documents(F.col("document")).alias("d")), "d")
     return portable(MX.matrix_replicas(back))

@@ -54,12 +54,22 @@ def labels_col() -> F.Column:
     )
 
 
-def metric_samples(events: DataFrame) -> DataFrame:
+def event_types_for(metric_types) -> list[str]:
+    """Event types whose samples feed the given metric types (all fallback sources included)."""
+    names = {n for t, n, _ in METRIC_SOURCES if t in set(metric_types)}
+    return [e for e, n in EVENT_METRIC.items() if n in names]
+
+
+def metric_samples(events: DataFrame, metric_types=None) -> DataFrame:
     """Long-form samples: one row per event with workload labels and metric name.
 
     Columns: namespace, deployment, pod, container, metric_name, metric_type,
     src_rank, labels (map), series_id, ts (timestamp), value (double, NULL for NaN).
+    ``metric_types`` restricts the read with a plain ``event_type IN (...)`` filter that
+    reaches the parquet scan (row-group and partition pruning).
     """
+    if metric_types:
+        events = events.where(F.col("event_type").isin(event_types_for(metric_types)))
     name_map = F.create_map(*[x for k, v in EVENT_METRIC.items() for x in (F.lit(k), F.lit(v))])
     src = events.select(
         F.col("event_id"),
@@ -100,5 +110,5 @@ def replica_samples(spark: SparkSession, sf_dir: str, step_minutes: int = 5) ->
     return replica_signal(read_table(spark, sf_dir, "events"), step_minutes)
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_samples(read_table(spark, sf_dir, "events"))
+def samples(spark: SparkSession, sf_dir: str, metric_types=None) -> DataFrame:
+    return metric_samples(read_table(spark, sf_dir, "events"), metric_types)
