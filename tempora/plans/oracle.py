@@ -977,3 +977,11 @@ chg AS (
 polt AS (SELECT *, coalesce(nullif(hpa_namespace, ''), policy_namespace) AS tns FROM pol)
 SELECT policy_namespace, policy_name FROM polt p
 WHERE EXISTS (SELECT 1 FROM chg c WHERE c.namespace = p.tns AND c.name = p.hpa_name)""")
+
+_reg("policy_documents_roundtrip", f"""WITH {ALLTRIG}
+SELECT coalesce(nullif(namespace, ''), 'default') AS policy_namespace, deployment || '-smarthpa' AS policy_name,
+       coalesce(nullif(namespace, ''), 'default') AS hpa_target_namespace, deployment || '-hpa' AS hpa_name,
+       name, CAST(priority AS BIGINT) AS priority, timezone, recurring, start_time, end_time,
+       CAST(min_replicas AS BIGINT) AS start_min, CAST(max_replicas AS BIGINT) AS start_max,
+       CAST(end_min_replicas AS BIGINT) AS end_min, CAST(end_max_replicas AS BIGINT) AS end_max, false AS suspend
+FROM alltrig""")

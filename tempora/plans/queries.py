@@ -528,3 +528,15 @@ def policies_for_changed_hpa(spark, sf_dir):
                           F.regexp_replace("policy_name", "-smarthpa$", "-hpa").alias("name"))
     wls = PO.workloads(rs)
     return portable(PJ.policies_for_changed(changed, PO.policies(wls)))
+
+
+@query("policy_documents_roundtrip")
+def policy_documents_roundtrip(spark, sf_dir):
+    """Generated policy documents parsed back with the fixed schema and exploded to trigger rows."""
+    pats, stats = _patterns(spark, sf_dir)
+    docs = SK.policy_documents(G.v2_triggers(pats, stats))
+    parsed = docs.select(F.from_json("document", PO.POLICY_DOC).alias("d")).select("d.*")
+    t = PO.explode_policy_documents(parsed)
+    return portable(t.select("policy_namespace", "policy_name", "hpa_target_namespace", "hpa_name", "name",
+                             "priority", "timezone", "recurring", "start_time", "end_time", "start_min",
+                             "start_max", "end_min", "end_max", "suspend"))
