@@ -407,7 +407,7 @@ SELECT namespace, deployment, {TS}, name, CAST(priority AS BIGINT) AS priority,
 FROM st""")
 
 _reg("active_trigger", f"""WITH {STATES}
-SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS BIGINT) AS active_priority,
+SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS DOUBLE) AS active_priority,
        CAST(n_within AS BIGINT) AS n_within
 FROM act""")
 
@@ -418,8 +418,8 @@ SELECT namespace, deployment, {TS}, name, CAST(priority AS BIGINT) AS priority,
 FROM st""")
 
 _reg("effective_bounds", f"""WITH {STATES}
-SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS BIGINT) AS min_replicas,
-       CAST(max_replicas AS BIGINT) AS max_replicas, error
+SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
+       CAST(max_replicas AS DOUBLE) AS max_replicas, error
 FROM bounds""")
 
 _reg("schedule_timeline", f"""WITH {STATES},
@@ -427,8 +427,8 @@ lagged AS (
   SELECT *, row_number() OVER w AS rn,
          lag(min_replicas) OVER w AS pmin, lag(max_replicas) OVER w AS pmax
   FROM bounds WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
-SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS BIGINT) AS min_replicas,
-       CAST(max_replicas AS BIGINT) AS max_replicas, error
+SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
+       CAST(max_replicas AS DOUBLE) AS max_replicas, error
 FROM lagged
 WHERE rn = 1 OR min_replicas IS DISTINCT FROM pmin OR max_replicas IS DISTINCT FROM pmax""")
 
@@ -828,7 +828,7 @@ a AS (SELECT * FROM snap WHERE half = 1),
 b AS (SELECT * FROM snap WHERE half = 2)
 SELECT coalesce(a.policy_namespace, b.policy_namespace) AS policy_namespace,
        coalesce(a.policy_name, b.policy_name) AS policy_name,
-       CAST(a.generation AS BIGINT) AS gen_before, CAST(b.generation AS BIGINT) AS gen_after,
+       CAST(a.generation AS DOUBLE) AS gen_before, CAST(b.generation AS DOUBLE) AS gen_after,
        CASE WHEN a.generation IS NULL THEN 'new' WHEN b.generation IS NULL THEN 'deleted'
             WHEN a.generation <> b.generation THEN 'changed' ELSE 'unchanged' END AS status
 FROM a FULL OUTER JOIN b ON a.policy_namespace = b.policy_namespace AND a.policy_name = b.policy_name""")
@@ -962,7 +962,7 @@ WHERE starts_with(act.active_name, 'ai-')
   AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))""")
 
 _reg("active_trigger_rowwise", f"""WITH {STATES}
-SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS BIGINT) AS active_priority
+SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS DOUBLE) AS active_priority
 FROM act""")
 
 _reg("policies_for_changed_hpa", f"""WITH {_policy_cte()},

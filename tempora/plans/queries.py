@@ -161,10 +161,16 @@ def window_state(spark, sf_dir):
     return portable(st.select(*WL, "ts", "name", "priority", "local_ts", "state", "error"))
 
 
+def _nullable_as_double(df, *cols):
+    """Columns that can be NULL are reported as DOUBLE so both engines hand over the same
+    pandas dtype (float with NaN) to the comparison."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 @query("active_trigger")
 def active_trigger(spark, sf_dir):
     st, _ = _states(spark, sf_dir)
-    return portable(S.active_trigger(st))
+    return portable(_nullable_as_double(S.active_trigger(st), "active_priority"))
 
 
 @query("higher_priority_active")
@@ -176,13 +182,15 @@ def higher_priority_active(spark, sf_dir):
 @query("effective_bounds")
 def effective_bounds(spark, sf_dir):
     st, wls = _states(spark, sf_dir)
-    return portable(S.effective_bounds(st, PO.hpa_bounds(wls)))
+    return portable(_nullable_as_double(S.effective_bounds(st, PO.hpa_bounds(wls)), "min_replicas",
+                                        "max_replicas"))
 
 
 @query("schedule_timeline")
 def schedule_timeline(spark, sf_dir):
     st, wls = _states(spark, sf_dir)
-    return portable(S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls))))
+    return portable(_nullable_as_double(S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls))),
+                                        "min_replicas", "max_replicas"))
 
 
 @query("trigger_transitions")
@@ -424,7 +432,8 @@ def _snapshot(rs, first_half: bool):
 @query("policy_snapshot_diff")
 def policy_snapshot_diff(spark, sf_dir):
     rs = _cut(E.replica_samples(spark, sf_dir))
-    return portable(PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)))
+    return portable(_nullable_as_double(PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)),
+                                        "gen_before", "gen_after"))
 
 
 @query("namespaces")
@@ -507,7 +516,7 @@ def active_trigger_rowwise(spark, sf_dir):
     win = S.active_from_array(F.col("ts"), F.col("triggers"))
     out = inst.join(arrays, WL, "left").select(*WL, "ts", win["name"].alias("active_name"),
                                                win["priority"].alias("active_priority"))
-    return portable(out)
+    return portable(_nullable_as_double(out, "active_priority"))
 
 
 @query("pattern_report")
