@@ -170,3 +170,17 @@ def test_wrap_aware_windows(spark):
     assert (parity["start_time"], parity["end_time"]) == ("00:00:00", "23:00:00")
     assert (wrap["start_time"], wrap["end_time"]) == ("17:00:00", "09:00:00")
     assert parity["name"] == "weekday-evening-off-peak"
+
+
+def test_approximate_percentiles_option(spark):
+    from tempora.config import ProfileConfig
+
+    ts, vals = synthetic(seed=11)
+    df = spark.createDataFrame([("n", "d", t, v) for t, v in zip(ts, vals)],
+                               "namespace string, deployment string, ts timestamp, value double")
+    c = P.clean(df)
+    exact = P.workload_stats(c).first()
+    approx = P.workload_stats(c, ProfileConfig(exact_percentiles=False)).first()
+    for k in ("p25", "p50", "p75", "p90", "p95"):
+        assert approx[k] in set(vals) or approx[k] >= 1.0  # an observed value, not interpolated
+        assert abs(approx[k] - exact[k]) <= 1.0
