@@ -985,3 +985,36 @@ SELECT coalesce(nullif(namespace, ''), 'default') AS policy_namespace, deploymen
        CAST(min_replicas AS BIGINT) AS start_min, CAST(max_replicas AS BIGINT) AS start_max,
        CAST(end_min_replicas AS BIGINT) AS end_min, CAST(end_max_replicas AS BIGINT) AS end_max, false AS suspend
 FROM alltrig""")
+
+
+def _pair_dist() -> str:
+    return "sqrt(" + " + ".join(f"coalesce((a.z_{c} - b.z_{c}) * (a.z_{c} - b.z_{c}), 0.0)" for c in _FEATURES) + ")"
+
+
+# brute force over all cell pairs of a workload (the Spark side never emits pairs)
+_reg("silhouette_fixed_labels", f"""WITH {_assign_cte()},
+zl AS (
+  SELECT z.*, l.cluster FROM zgrid z JOIN lab l ON z.namespace = l.namespace AND z.deployment = l.deployment
+    AND z.day_of_week = l.day_of_week AND z.time_slot = l.time_slot),
+pairs AS (
+  SELECT a.namespace, a.deployment, a.day_of_week, a.time_slot, a.cluster AS ca, b.cluster AS cb,
+         {_pair_dist()} AS d
+  FROM zl a JOIN zl b ON a.namespace = b.namespace AND a.deployment = b.deployment
+   AND NOT (a.day_of_week = b.day_of_week AND a.time_slot = b.time_slot)),
+pc AS (
+  SELECT namespace, deployment, day_of_week, time_slot, ca, cb, avg(d) AS md
+  FROM pairs GROUP BY ALL),
+si AS (
+  SELECT namespace, deployment, day_of_week, time_slot,
+         max(CASE WHEN ca = cb THEN md END) AS a, min(CASE WHEN ca <> cb THEN md END) AS b
+  FROM pc GROUP BY ALL),
+s AS (
+  SELECT namespace, deployment,
+         avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS sil
+  FROM si GROUP BY ALL),
+n AS (SELECT namespace, deployment, count(*) AS n_cells, count(DISTINCT cluster) AS n_clusters FROM zl GROUP BY ALL)
+SELECT n.namespace, n.deployment,
+       round(CASE WHEN n.n_clusters < 2 OR n.n_clusters >= n.n_cells THEN NULL ELSE coalesce(s.sil, 0.0) END, 6)
+         AS silhouette,
+       CAST(n.n_cells AS BIGINT) AS n_cells, CAST(n.n_clusters AS BIGINT) AS n_clusters
+FROM n LEFT JOIN s ON n.namespace = s.namespace AND n.deployment = s.deployment""")
