@@ -300,7 +300,7 @@ tset0({cols}) AS (VALUES
 tset AS (SELECT {casts} FROM tset0),
 pol AS (
   SELECT namespace, deployment, ascii(right(deployment, 1)) % {N_SETS} AS set_id,
-         namespace AS policy_namespace, deployment || '-smarthpa' AS policy_name,
+         namespace AS policy_namespace, deployment || '-schedule' AS policy_name,
          CASE ascii(right(deployment, 1)) % {N_SETS} {hns} END AS hpa_namespace,
          deployment || '-hpa' AS hpa_name
   FROM wls),
@@ -770,8 +770,8 @@ FROM alltrig""")
 
 _reg("policy_documents", f"""WITH {ALLTRIG}
 SELECT namespace, deployment, CAST(count(*) AS BIGINT) AS n_triggers,
-       CAST(to_json({{'apiVersion': 'autoscaling.sarabala.io/v1alpha1', 'kind': 'SmartHorizontalPodAutoscaler',
-                'metadata': {{'name': deployment || '-smarthpa', 'namespace': coalesce(nullif(namespace, ''), 'default')}},
+       CAST(to_json({{'apiVersion': 'tempora/v1', 'kind': 'ScalingSchedule',
+                'metadata': {{'name': deployment || '-schedule', 'namespace': coalesce(nullif(namespace, ''), 'default')}},
                 'spec': {{'HPAObjectRef': {{'name': deployment || '-hpa',
                                            'namespace': coalesce(nullif(namespace, ''), 'default')}},
                          'triggers': list({_trigger_struct_sql()} ORDER BY priority DESC, name)}}}}) AS VARCHAR)
@@ -822,7 +822,7 @@ WHERE coalesce(hpa_name, '') <> ''
 _reg("policy_snapshot_diff", f"""WITH {RS},
 snap AS (
   SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 1 ELSE 2 END AS half, namespace AS policy_namespace,
-         deployment || '-smarthpa' AS policy_name, count(DISTINCT (isodow(ts), hour(ts))) AS generation
+         deployment || '-schedule' AS policy_name, count(DISTINCT (isodow(ts), hour(ts))) AS generation
   FROM rs GROUP BY ALL),
 a AS (SELECT * FROM snap WHERE half = 1),
 b AS (SELECT * FROM snap WHERE half = 2)
@@ -979,7 +979,7 @@ SELECT policy_namespace, policy_name FROM polt p
 WHERE EXISTS (SELECT 1 FROM chg c WHERE c.namespace = p.tns AND c.name = p.hpa_name)""")
 
 _reg("policy_documents_roundtrip", f"""WITH {ALLTRIG}
-SELECT coalesce(nullif(namespace, ''), 'default') AS policy_namespace, deployment || '-smarthpa' AS policy_name,
+SELECT coalesce(nullif(namespace, ''), 'default') AS policy_namespace, deployment || '-schedule' AS policy_name,
        coalesce(nullif(namespace, ''), 'default') AS hpa_target_namespace, deployment || '-hpa' AS hpa_name,
        name, CAST(priority AS BIGINT) AS priority, timezone, recurring, start_time, end_time,
        CAST(min_replicas AS BIGINT) AS start_min, CAST(max_replicas AS BIGINT) AS start_max,

@@ -534,7 +534,7 @@ def policies_for_changed_hpa(spark, sf_dir):
     rs = _cut(E.replica_samples(spark, sf_dir))
     diff = PJ.snapshot_diff(_snapshot(rs, True), _snapshot(rs, False)).where("status = 'changed'")
     changed = diff.select(F.col("policy_namespace").alias("namespace"),
-                          F.regexp_replace("policy_name", "-smarthpa$", "-hpa").alias("name"))
+                          F.regexp_replace("policy_name", "-schedule$", "-hpa").alias("name"))
     wls = PO.workloads(rs)
     return portable(PJ.policies_for_changed(changed, PO.policies(wls)))
 

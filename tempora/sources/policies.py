@@ -83,7 +83,7 @@ def workloads(samples: DataFrame) -> DataFrame:
 
 
 def policies(wls: DataFrame) -> DataFrame:
-    """One policy per workload: name ``<deployment>-smarthpa``, HPA ``<deployment>-hpa``."""
+    """One policy per workload: name ``<deployment>-schedule``, HPA ``<deployment>-hpa``."""
     ns_map = F.create_map(*[x for k, v in SET_HPA_NAMESPACE.items() if v is not None
                             for x in (F.lit(k), F.lit(v))])
     sid = set_of(F.col("deployment"))
@@ -91,7 +91,7 @@ def policies(wls: DataFrame) -> DataFrame:
         *WL,
         sid.alias("set_id"),
         F.col("namespace").alias("policy_namespace"),
-        F.concat(F.col("deployment"), F.lit("-smarthpa")).alias("policy_name"),
+        F.concat(F.col("deployment"), F.lit("-schedule")).alias("policy_name"),
         F.lit(1).cast("bigint").alias("generation"),
         F.try_element_at(ns_map, sid).alias("hpa_namespace"),
         F.concat(F.col("deployment"), F.lit("-hpa")).alias("hpa_name"))
@@ -196,7 +196,7 @@ def triggers_frame(spark: SparkSession, rows: list[dict], namespace: str = "defa
                    deployment: str = "app", include_suspended: bool = False) -> DataFrame:
     """Flat trigger table from plain dicts (policy/HPA fields default to one policy per workload)."""
     base = {"namespace": namespace, "deployment": deployment, "policy_namespace": namespace,
-            "policy_name": f"{deployment}-smarthpa", "generation": 1, "hpa_namespace": None,
+            "policy_name": f"{deployment}-schedule", "generation": 1, "hpa_namespace": None,
             "hpa_name": f"{deployment}-hpa", "priority": None, "timezone": "UTC", "has_interval": True,
             "recurring": None, "start_date": None, "end_date": None, "start_min": None, "start_max": None,
             "end_min": None, "end_max": None, "suspend": False}

@@ -19,7 +19,7 @@ def trigger_json(triggers: DataFrame) -> DataFrame:
     return triggers.select(*WL, "name", F.to_json(trigger_struct()).alias("trigger_json"))
 
 
-def policy_documents(triggers: DataFrame, api_version: str = "autoscaling.sarabala.io/v1alpha1") -> DataFrame:
+def policy_documents(triggers: DataFrame, api_version: str = "tempora/v1") -> DataFrame:
     """One nested policy document per workload: triggers by priority (descending, then name).
 
     Defaults: namespace ``default`` when missing, HPA name ``<deployment>-hpa``. The
@@ -31,8 +31,8 @@ def policy_documents(triggers: DataFrame, api_version: str = "autoscaling.saraba
     g = t.groupBy(*WL).agg(F.array_sort(F.collect_list("e")).alias("es"))
     doc = F.struct(
         F.lit(api_version).alias("apiVersion"),
-        F.lit("SmartHorizontalPodAutoscaler").alias("kind"),
-        F.struct(F.concat(F.col("deployment"), F.lit("-smarthpa")).alias("name"), ns.alias("namespace"))
+        F.lit("ScalingSchedule").alias("kind"),
+        F.struct(F.concat(F.col("deployment"), F.lit("-schedule")).alias("name"), ns.alias("namespace"))
         .alias("metadata"),
         F.struct(F.struct(F.concat(F.col("deployment"), F.lit("-hpa")).alias("name"), ns.alias("namespace"))
                  .alias("HPAObjectRef"),

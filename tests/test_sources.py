@@ -80,7 +80,7 @@ def test_generated_policy_document(spark):
         "end_time string, recurring string, min_replicas int, max_replicas int, end_min_replicas int, "
         "end_max_replicas int")
     d = json.loads(SK.policy_documents(trig).first()["document"])
-    assert d["metadata"] == {"name": "web-smarthpa", "namespace": "default"}
+    assert d["metadata"] == {"name": "web-schedule", "namespace": "default"}
     assert d["spec"]["HPAObjectRef"] == {"name": "web-hpa", "namespace": "default"}
     assert [x["name"] for x in d["spec"]["triggers"]] == ["a", "b"]
     assert d["spec"]["triggers"][0]["startHPAConfig"] == {"minReplicas": 3, "maxReplicas": 9}
