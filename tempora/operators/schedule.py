@@ -219,5 +219,7 @@ def trigger_validation(triggers: DataFrame, spark: SparkSession) -> DataFrame:
         ("end_config_invalid", cfg_bad("end_min", "end_max")),
         ("hpa_ref_missing", F.coalesce(F.col("hpa_name"), F.lit("")) == ""),
     ]
+    if "interval_timezone" in triggers.columns:
+        rules.append(("zone_under_interval", F.col("interval_timezone").isNotNull()))
     arr = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
     return (t.select("policy_namespace", "policy_name", "name", F.explode(arr).alias("rule")))

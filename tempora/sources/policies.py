@@ -124,7 +124,10 @@ HPA_CONFIG = T.StructType([T.StructField("minReplicas", T.IntegerType()),
                            T.StructField("desiredReplicas", T.IntegerType())])
 INTERVAL = T.StructType([T.StructField("recurring", T.StringType()),
                          T.StructField("startDate", T.StringType()),
-                         T.StructField("endDate", T.StringType())])
+                         T.StructField("endDate", T.StringType()),
+                         # not part of the interval: read only so validation can report a zone
+                         # placed here by mistake (it is otherwise ignored and UTC applies)
+                         T.StructField("timezone", T.StringType())])
 TRIGGER = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("priority", T.IntegerType()),
     T.StructField("timezone", T.StringType()), T.StructField("interval", INTERVAL),
@@ -158,6 +161,7 @@ def explode_policy_documents(docs: DataFrame, include_suspended: bool = False) -
                  F.col("t.timezone").alias("timezone"), F.col("t.interval").isNotNull().alias("has_interval"),
                  F.col("t.interval.recurring").alias("recurring"),
                  F.col("t.interval.startDate").alias("start_date"), F.col("t.interval.endDate").alias("end_date"),
+                 F.col("t.interval.timezone").alias("interval_timezone"),
                  F.col("t.startTime").alias("start_time"), F.col("t.endTime").alias("end_time"),
                  F.col("t.startHPAConfig.minReplicas").alias("start_min"),
                  F.col("t.startHPAConfig.maxReplicas").alias("start_max"),

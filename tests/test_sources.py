@@ -111,3 +111,19 @@ def test_label_selector_prefix_is_anchored(spark):
                                 ({"pod": "web-2", "namespace": "b"},)], "labels map<string,string>")
     got = R.select_labels(df, {"namespace": "a"}, {"pod": "web"}).collect()
     assert [r["labels"]["pod"] for r in got] == ["web-1"]
+
+
+def test_zone_misplaced_under_interval_is_reported(spark, scratch):
+    from tempora.operators import schedule as S
+
+    doc = {"metadata": {"name": "p", "namespace": "ns"},
+           "spec": {"HPAObjectRef": {"name": "h"},
+                    "triggers": [{"name": "x", "priority": 1, "startTime": "09:00:00", "endTime": "10:00:00",
+                                  "interval": {"recurring": "M", "timezone": "America/Los_Angeles"}}]}}
+    p = os.path.join(scratch, "p.json")
+    with open(p, "w") as fh:
+        fh.write(json.dumps(doc))
+    t = PO.explode_policy_documents(PO.read_policy_documents(spark, p))
+    assert t.first()["timezone"] is None  # the misplaced zone does not apply
+    rules = [r["rule"] for r in S.trigger_validation(t, spark).collect()]
+    assert rules == ["zone_under_interval"]
