@@ -470,23 +470,25 @@ def peak_windows(spark, sf_dir):
 
 
 def _ai_and_manual(spark, sf_dir):
-    wls = _wls(spark, sf_dir)
-    gen = PL.peak_windows(_points(spark, sf_dir))
+    """One materialised replica series feeds workloads, cleaned points and instants."""
+    rs = _cut(E.replica_samples(spark, sf_dir))
+    wls = PO.workloads(rs)
+    points = _cut(PL.hourly_points(P.clean(rs)))
+    gen = _cut(PL.peak_windows(points))
     manual = PO.policy_triggers(spark, wls)
-    return wls, gen, manual
+    return rs, wls, gen, manual
 
 
 @query("manual_overlap")
 def manual_overlap(spark, sf_dir):
-    _, gen, manual = _ai_and_manual(spark, sf_dir)
+    _, _, gen, manual = _ai_and_manual(spark, sf_dir)
     return portable(PL.manual_overlap(gen, manual))
 
 
 @query("deviation")
 def deviation(spark, sf_dir):
     """Replica samples outside the bounds of the active generated trigger (manual ones skip)."""
-    wls, gen, manual = _ai_and_manual(spark, sf_dir)
-    gen = _cut(gen)
+    rs, wls, gen, manual = _ai_and_manual(spark, sf_dir)
     keep = PL.manual_overlap(gen, manual).where(~F.col("suppressed")).select(*WL, "name")
     ai = gen.join(keep, WL + ["name"])
     pol = PO.policies(wls).drop("set_id")
@@ -500,7 +502,6 @@ def deviation(spark, sf_dir):
                .withColumn("hpa_target_namespace",
                            F.coalesce(F.nullif(F.col("hpa_namespace"), F.lit("")), F.col("policy_namespace"))))
     trig = ai_flat.unionByName(manual.drop("set_id"))
-    rs = _cut(E.replica_samples(spark, sf_dir))
     st = S.window_state(rs.select(*WL, "ts"), trig, spark)
     act = S.active_trigger(st)
     bounds = ai.select(*WL, F.col("name").alias("active_name"), "min_replicas", "max_replicas")
