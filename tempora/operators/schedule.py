@@ -223,3 +223,22 @@ def trigger_validation(triggers: DataFrame, spark: SparkSession) -> DataFrame:
         rules.append(("zone_under_interval", F.col("interval_timezone").isNotNull()))
     arr = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
     return (t.select("policy_namespace", "policy_name", "name", F.explode(arr).alias("rule")))
+
+
+def boundary_instants(triggers: DataFrame, span: DataFrame, spark: SparkSession) -> DataFrame:
+    """Exact start/end instants of every trigger on every local day of its workload's span.
+
+    ``span`` has one row per workload with ``t0``/``t1`` (the instants to cover). Each
+    trigger expands to (days in span + 2) x 2 local clock times, converted to UTC with the
+    trigger's zone; rows outside [t0, t1] are dropped. Work grows with triggers x days.
+    """
+    t = prepare_triggers(triggers, spark).where(F.col("_err").isNull()).join(span, WL)
+    day = F.explode(F.sequence(F.date_sub(F.to_date("t0"), 1), F.date_add(F.to_date("t1"), 1)))
+    d = t.select(*WL, "zone", "t0", "t1", "_s", "_e", day.alias("day"))
+    m = F.explode(F.array("_s", "_e"))
+    local = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("m") * 60)
+    ticks = d.select(*WL, "t0", "t1", "zone", "day", m.alias("m"))
+    utc = F.to_utc_timestamp(local, F.col("zone"))
+    return (ticks.select(*WL, utc.alias("ts"), "t0", "t1")
+            .where(F.col("ts").between(F.col("t0"), F.col("t1")))
+            .select(*WL, "ts").distinct())

@@ -283,7 +283,7 @@ def _lit(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
-def _policy_tail(trig_name: str = "trig") -> str:
+def _policy_tail(trig_name: str = "trig", inst_sql: str = "SELECT namespace, deployment, ts FROM rs") -> str:
     from tempora.sources.policies import (HPA_START_MAX, HPA_START_MIN, N_SETS, SET_HPA_NAMESPACE,
                                           TRIGGER_FIELDS, TRIGGER_SETS)
 
@@ -293,8 +293,7 @@ def _policy_tail(trig_name: str = "trig") -> str:
                       f" AS {n}" for n, t in TRIGGER_FIELDS)
     hns = " ".join(f"WHEN {k} THEN '{v}'" for k, v in SET_HPA_NAMESPACE.items() if v is not None)
     return f""",
-inst AS (SELECT namespace, deployment, ts FROM rs),
-wls AS (SELECT DISTINCT namespace, deployment FROM inst),
+wls AS (SELECT DISTINCT namespace, deployment FROM rs),
 tset0({cols}) AS (VALUES
     {vals}),
 tset AS (SELECT {casts} FROM tset0),
@@ -310,7 +309,8 @@ trig_all AS (
   FROM pol p JOIN tset t ON p.set_id = t.set_id),
 {trig_name} AS (SELECT * FROM trig_all WHERE NOT suspend),
 hpa AS (SELECT namespace AS hns, deployment || '-hpa' AS hname, {HPA_START_MIN} AS cur_min,
-               {HPA_START_MAX} AS cur_max FROM wls)"""
+               {HPA_START_MAX} AS cur_max FROM wls),
+inst AS ({inst_sql})"""
 
 
 def _policy_cte() -> str:
@@ -1018,3 +1018,28 @@ SELECT n.namespace, n.deployment,
          AS silhouette,
        CAST(n.n_cells AS BIGINT) AS n_cells, CAST(n.n_clusters AS BIGINT) AS n_clusters
 FROM n LEFT JOIN s ON n.namespace = s.namespace AND n.deployment = s.deployment""")
+
+
+_TICKS = f"""
+  SELECT DISTINCT k.namespace, k.deployment, k.ts FROM (
+    SELECT t.namespace, t.deployment, sp.t0, sp.t1,
+           timezone('UTC', (CAST(d.day AS TIMESTAMP) + to_minutes(CAST(m.mm AS BIGINT))) AT TIME ZONE t.zone) AS ts
+    FROM (SELECT tr.*, coalesce(z.zone_name, 'UTC') AS zone, {_mins('tr.start_time')} AS s, {_mins('tr.end_time')} AS e
+          FROM trig tr LEFT JOIN (SELECT name AS zone_name FROM pg_timezone_names()) z ON tr.timezone = z.zone_name
+          WHERE {_ok('tr.start_time')} AND {_ok('tr.end_time')}) t
+    JOIN (SELECT namespace, deployment, min(ts) AS t0, max(ts) AS t1 FROM rs GROUP BY ALL) sp
+      ON t.namespace = sp.namespace AND t.deployment = sp.deployment
+    CROSS JOIN LATERAL (SELECT unnest(range(CAST(sp.t0 AS DATE) - INTERVAL 1 DAY,
+                                            CAST(sp.t1 AS DATE) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS day) d
+    CROSS JOIN LATERAL (SELECT unnest([t.s, t.e]) AS mm) m) k
+  WHERE k.ts BETWEEN k.t0 AND k.t1"""
+
+_reg("schedule_boundaries", f"""WITH {RS}{_policy_tail(inst_sql=_TICKS)}{STATES_TAIL},
+lagged AS (
+  SELECT *, row_number() OVER w AS rn,
+         lag(min_replicas) OVER w AS pmin, lag(max_replicas) OVER w AS pmax
+  FROM bounds WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
+SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
+       CAST(max_replicas AS DOUBLE) AS max_replicas, error
+FROM lagged
+WHERE rn = 1 OR min_replicas IS DISTINCT FROM pmin OR max_replicas IS DISTINCT FROM pmax""")

@@ -550,3 +550,17 @@ def policy_documents_roundtrip(spark, sf_dir):
     return portable(t.select("policy_namespace", "policy_name", "hpa_target_namespace", "hpa_name", "name",
                              "priority", "timezone", "recurring", "start_time", "end_time", "start_min",
                              "start_max", "end_min", "end_max", "suspend"))
+
+
+@query("schedule_boundaries")
+def schedule_boundaries(spark, sf_dir):
+    """Effective bounds at the exact start/end instants of every trigger across each workload's
+    data span, collapsed to the instants where the bounds change."""
+    rs = _cut(E.replica_samples(spark, sf_dir))
+    wls = PO.workloads(rs)
+    trig = PO.policy_triggers(spark, wls)
+    span = rs.groupBy(*WL).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    ticks = S.boundary_instants(trig, span, spark)
+    st = S.window_state(ticks, trig, spark)
+    tl = S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls)))
+    return portable(_nullable_as_double(tl, "min_replicas", "max_replicas"))

@@ -227,3 +227,31 @@ def test_clock_parse(spark, text, ok):
 
     r = spark.createDataFrame([(text,)], "t string").select(clock_minutes(F.col("t")).alias("m")).first()
     assert (r["m"] is not None) == ok
+
+
+def test_boundary_instants_give_exact_change_times(spark):
+    trig = [
+        {"name": "business-hours", "priority": 10, "recurring": WD, "start_time": "09:00:00",
+         "end_time": "17:00:00", "start_min": 3, "start_max": 10, "end_min": 1, "end_max": 5},
+        {"name": "peak-hours", "priority": 20, "recurring": WD, "start_time": "11:00:00",
+         "end_time": "14:00:00", "start_min": 5, "start_max": 15, "end_min": 1, "end_max": 5},
+    ]
+    t = triggers_frame(spark, trig)
+    span = spark.createDataFrame([("default", "app", datetime(2024, 3, 20, 0, 0), datetime(2024, 3, 20, 23, 59))],
+                                 "namespace string, deployment string, t0 timestamp, t1 timestamp")
+    ticks = S.boundary_instants(t, span, spark)
+    hpa = spark.createDataFrame([("default", "app-hpa", 1, 5)],
+                                "namespace string, name string, min_replicas int, max_replicas int")
+    tl = S.schedule_timeline(S.effective_bounds(S.window_state(ticks, t, spark), hpa)).orderBy("ts").collect()
+    assert [(r["ts"].strftime("%H:%M"), r["min_replicas"], r["max_replicas"]) for r in tl] == [
+        ("09:00", 3, 10), ("11:00", 5, 15), ("14:00", 3, 10), ("17:00", 1, 5)]
+
+
+def test_boundary_instants_follow_the_zone(spark):
+    t = triggers_frame(spark, [{"name": "la", "recurring": WD, "timezone": "America/Los_Angeles",
+                                "start_time": "09:00:00", "end_time": "17:00:00"}])
+    span = spark.createDataFrame([("default", "app", datetime(2024, 3, 20, 0, 0), datetime(2024, 3, 21, 0, 0))],
+                                 "namespace string, deployment string, t0 timestamp, t1 timestamp")
+    got = sorted(r["ts"].strftime("%d %H:%M") for r in S.boundary_instants(t, span, spark).collect())
+    # 17:00 PDT on the 19th, 09:00 PDT on the 20th, 17:00 PDT on the 20th (the span end is inclusive)
+    assert got == ["20 00:00", "20 16:00", "21 00:00"]
