@@ -47,8 +47,10 @@ def source_fallback(samples: DataFrame, keys: list[str] = WL + ["metric_type"])
     return samples.join(best, keys).where(F.col("src_rank") == F.col("_best")).drop("_best")
 
 
-def resample(samples: DataFrame, step_minutes: int = 5,
-             keys: list[str] = WL + ["metric_type", "metric_name", "pod", "container", "series_id"]) -> DataFrame:
+RESAMPLE_KEYS = WL + ["metric_type", "metric_name", "pod", "container", "series_id"]
+
+
+def resample(samples: DataFrame, step_minutes: int = 5, keys: list[str] = RESAMPLE_KEYS) -> DataFrame:
     """One value per (series, step bucket): the latest sample in the bucket."""
     return (samples.where(F.col("value").isNotNull())
             .withColumn("bucket", bucket(F.col("ts"), step_minutes))
@@ -57,7 +59,7 @@ def resample(samples: DataFrame, step_minutes: int = 5,
                  F.count(F.lit(1)).alias("n_raw")))
 
 
-def counter_rate(samples: DataFrame, step_minutes: int = 5) -> DataFrame:
+def counter_rate(samples: DataFrame, step_minutes: int = 5, extra_keys: tuple = ()) -> DataFrame:
     """Reset-aware per-second rate of a counter per series and step bucket.
 
     increase(sample) = v - prev if v >= prev else v (counter reset); the rate of
@@ -69,7 +71,7 @@ def counter_rate(samples: DataFrame, step_minutes: int = 5) -> DataFrame:
     (series, bucket) partitions; the pair crossing into a bucket comes from the
     per-bucket first/last summary ordered per series (span/step rows).
     """
-    keys = WL + ["pod", "container", "series_id"]
+    keys = WL + ["pod", "container", "series_id", *extra_keys]
     s = (samples.where(F.col("value").isNotNull())
          .withColumn("bucket", bucket(F.col("ts"), step_minutes)))
     wb = Window.partitionBy(*keys, "bucket").orderBy("ts")
@@ -124,16 +126,20 @@ def v1_series(samples, step_minutes: int = 5) -> DataFrame:
     fallback); replicas = gauge (three fallback sources).
 
     ``samples`` is a DataFrame of all samples, or a loader ``metric_type -> DataFrame``
-    so each branch reads only its own sources (filter pushed to the scan).
+    so each branch reads only its own sources (filter pushed to the scan). Sources are
+    reduced to the step first and the first non-empty source is chosen on the reduced
+    rows: one raw scan per branch, and the rank join runs on step-sized data. (A source
+    counts as non-empty when it has at least one numeric sample.)
     """
     def load(t):
         return samples(t) if callable(samples) else samples.where(F.col("metric_type") == t)
 
-    cpu = counter_rate(source_fallback(load("cpu")), step_minutes)
+    src = ("metric_type", "src_rank")
+    cpu = source_fallback(counter_rate(load("cpu"), step_minutes, src))
     cpu = sum_by_pod(cpu, "rate").withColumn("metric_type", F.lit("cpu"))
-    mem = resample(source_fallback(load("memory")), step_minutes)
+    mem = source_fallback(resample(load("memory"), step_minutes, RESAMPLE_KEYS + ["src_rank"]))
     mem = sum_by_pod(mem).withColumn("metric_type", F.lit("memory"))
-    rep = resample(source_fallback(load("replicas")), step_minutes)
+    rep = source_fallback(resample(load("replicas"), step_minutes, RESAMPLE_KEYS + ["src_rank"]))
     rep = rep.select(*WL, "pod", "container", "bucket", "value").withColumn("metric_type", F.lit("replicas"))
     return cpu.unionByName(mem).unionByName(rep)
 
