@@ -36,7 +36,7 @@ DAY_TYPE_RECURRING = {"weekday": "M,TU,W,TH,F", "weekend": "SAT,SUN", "daily": "
 def hourly_points(samples: DataFrame) -> DataFrame:
     """One point per workload and hour: the last sample of the hour (a 1-hour step)."""
     return (samples.withColumn("hour_ts", bucket(F.col("ts"), 60))
-            .groupBy(*WL, "hour_ts").agg(F.max_by("value", "ts").alias("value"))
+            .groupBy(*WL, "hour_ts").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
             .withColumn("hour", F.hour("hour_ts"))
             .withColumn("day_type", F.when(F.weekday("hour_ts") >= 5, F.lit("weekend")).otherwise(F.lit("weekday"))))
 

@@ -49,11 +49,12 @@ def source_fallback(samples: DataFrame, keys: list[str] = WL + ["metric_type"])
 
 def resample(samples: DataFrame, step_minutes: int = 5,
              keys: list[str] = WL + ["metric_type", "metric_name", "pod", "container", "series_id"]) -> DataFrame:
-    """One value per (series, step bucket): the latest sample in the bucket."""
+    """One value per (series, step bucket): the latest sample in the bucket (equal instants:
+    the larger value, so a retried task picks the same row)."""
     return (samples.where(F.col("value").isNotNull())
             .withColumn("bucket", bucket(F.col("ts"), step_minutes))
             .groupBy(*keys, "bucket")
-            .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("last_ts"),
+            .agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("last_ts"),
                  F.count(F.lit(1)).alias("n_raw")))
 
 
@@ -72,15 +73,15 @@ def counter_rate(samples: DataFrame, step_minutes: int = 5) -> DataFrame:
     keys = WL + ["pod", "container", "series_id"]
     s = (samples.where(F.col("value").isNotNull())
          .withColumn("bucket", bucket(F.col("ts"), step_minutes)))
-    wb = Window.partitionBy(*keys, "bucket").orderBy("ts")
+    wb = Window.partitionBy(*keys, "bucket").orderBy("ts", "value")  # value breaks equal instants
     prev = F.lag("value").over(wb)
     inc = F.when(prev.isNull(), F.lit(None)).when(F.col("value") >= prev, F.col("value") - prev) \
         .otherwise(F.col("value"))
     within = (s.withColumn("_inc", inc)
               .groupBy(*keys, "bucket")
               .agg(F.sum("_inc").alias("inc_in"),
-                   F.min_by("value", "ts").alias("first_v"), F.min("ts").alias("first_ts"),
-                   F.max_by("value", "ts").alias("last_v"), F.max("ts").alias("last_ts")))
+                   F.min_by("value", F.struct("ts", "value")).alias("first_v"), F.min("ts").alias("first_ts"),
+                   F.max_by("value", F.struct("ts", "value")).alias("last_v"), F.max("ts").alias("last_ts")))
     ws = Window.partitionBy(*keys).orderBy("bucket")
     pv, pts = F.lag("last_v").over(ws), F.lag("last_ts").over(ws)
     cross = F.when(pv.isNull(), F.lit(None)).when(F.col("first_v") >= pv, F.col("first_v") - pv) \
