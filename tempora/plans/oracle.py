@@ -1043,3 +1043,15 @@ SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_
        CAST(max_replicas AS DOUBLE) AS max_replicas, error
 FROM lagged
 WHERE rn = 1 OR min_replicas IS DISTINCT FROM pmin OR max_replicas IS DISTINCT FROM pmax""")
+
+_reg("stream_resample_batch", f"""WITH {EV}
+SELECT namespace, deployment, strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS ts,
+       round(greatest(CAST(0 AS DOUBLE), max(value)), 6) AS value, CAST(count(*) AS BIGINT) AS n
+FROM ev WHERE value IS NOT NULL
+GROUP BY namespace, deployment, time_bucket(INTERVAL '5 minutes', ts)""")
+
+_reg("profile_partials_merge", f"""WITH {RS}
+SELECT namespace, deployment, CAST(isodow(ts) - 1 AS BIGINT) AS dow, CAST(hour(ts) AS BIGINT) AS hour,
+       round(avg(value), 6) AS avg, round(max(value), 6) AS max, round(min(value), 6) AS min,
+       round(stddev_pop(value), 6) AS std, CAST(count(*) AS BIGINT) AS count
+FROM rs GROUP BY ALL""")

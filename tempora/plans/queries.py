@@ -27,6 +27,7 @@ from tempora.sources import events as E
 from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
 from tempora.sources import sinks as SK
+from tempora.streaming import jobs as J
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -564,3 +565,26 @@ def schedule_boundaries(spark, sf_dir):
     st = S.window_state(ticks, trig, spark)
     tl = S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls)))
     return portable(_nullable_as_double(tl, "min_replicas", "max_replicas"))
+
+
+@query("stream_resample_batch")
+def stream_resample_batch(spark, sf_dir):
+    """The streaming 5-minute resample (watermark + tumbling window) run on the whole table in batch."""
+    ev = E.read_table(spark, sf_dir, "events")
+    raw = ev.select(F.concat(F.lit("ns-"), (F.col("user_id") % 10 % 3).cast("string")).alias("namespace"),
+                    F.concat(F.lit("app-"), (F.col("user_id") % 10).cast("string")).alias("deployment"),
+                    F.col("ts").cast("timestamp").alias("ts"), "value").where(F.col("value").isNotNull())
+    return portable(J.resample_stream(raw))
+
+
+@query("profile_partials_merge")
+def profile_partials_merge(spark, sf_dir):
+    """The streaming profile state: per-day partial sums (as micro-batches would write them)
+    merged into the hourly profile."""
+    rs = E.replica_samples(spark, sf_dir)
+    partials = (rs.withColumn("day", F.to_date("ts"))
+                .groupBy(*WL, "day", F.weekday("ts").alias("dow"), F.hour("ts").alias("hour"))
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"),
+                     F.sum(F.col("value") * F.col("value")).alias("ss"),
+                     F.max("value").alias("mx"), F.min("value").alias("mn")))
+    return portable(J.merge_profile(partials))

@@ -34,7 +34,8 @@ def resample_stream(samples: DataFrame, step: str = "5 minutes", watermark: str
             .select(*WL, F.col("w.start").alias("ts"), "value", "n"))
 
 
-def _profile_partials(batch: DataFrame) -> DataFrame:
+def profile_partials(batch: DataFrame) -> DataFrame:
+    """Mergeable partial state of the (workload, weekday, hour) profile: n, sum, sum of squares, max, min."""
     return (batch.groupBy(*WL, F.weekday("ts").alias("dow"), F.hour("ts").alias("hour"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"),
                  F.sum(F.col("value") * F.col("value")).alias("ss"),
@@ -45,7 +46,7 @@ def profile_refresh(samples: DataFrame, state_dir: str, checkpoint: str, trigger
     """Start the refresh query; each micro-batch overwrites its own ``batch_id=`` partition,
     so a retried batch replaces (never duplicates) its partials."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (_profile_partials(batch).withColumn("batch_id", F.lit(batch_id))
+        (profile_partials(batch).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(state_dir))
 
@@ -53,10 +54,9 @@ def profile_refresh(samples: DataFrame, state_dir: str, checkpoint: str, trigger
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_profile(spark, state_dir: str) -> DataFrame:
-    """Merged hourly profile from all partials: avg, max, min, population std, count."""
-    p = spark.read.parquet(state_dir)
-    g = (p.groupBy(*WL, "dow", "hour")
+def merge_profile(partials: DataFrame) -> DataFrame:
+    """Merge partial states: avg, max, min, population std (from sums), count."""
+    g = (partials.groupBy(*WL, "dow", "hour")
          .agg(F.sum("n").alias("count"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
               F.max("mx").alias("max"), F.min("mn").alias("min")))
     mean = F.col("s") / F.col("count")
@@ -64,6 +64,11 @@ def read_profile(spark, state_dir: str) -> DataFrame:
     return g.select(*WL, "dow", "hour", mean.alias("avg"), "max", "min", F.sqrt(var).alias("std"), "count")
 
 
+def read_profile(spark, state_dir: str) -> DataFrame:
+    """Merged hourly profile from all partials written by ``profile_refresh``."""
+    return merge_profile(spark.read.parquet(state_dir))
+
+
 def active_trigger_stream(samples: DataFrame, trigger_arrays: DataFrame, max_broadcast_rows: int = 1_000_000
                           ) -> DataFrame:
     """Each sample with its workload's winning Within trigger (NULL when none).
