@@ -1055,3 +1055,26 @@ SELECT namespace, deployment, CAST(isodow(ts) - 1 AS BIGINT) AS dow, CAST(hour(t
        round(avg(value), 6) AS avg, round(max(value), 6) AS max, round(min(value), 6) AS min,
        round(stddev_pop(value), 6) AS std, CAST(count(*) AS BIGINT) AS count
 FROM rs GROUP BY ALL""")
+
+
+_reg("deviation_alert_intervals", f"""WITH {CL}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL},
+ai AS (SELECT g.* FROM gen g JOIN ovl o ON g.namespace = o.namespace AND g.deployment = o.deployment
+                                         AND g.name = o.name
+       WHERE NOT o.suppressed),
+ai_flat AS (
+  SELECT a.namespace, a.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
+         coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace,
+         CAST(NULL AS INTEGER) AS set_id, a.name, CAST(a.priority AS INTEGER) AS priority, 'UTC' AS timezone,
+         true AS has_interval, a.recurring, CAST(NULL AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date,
+         a.start_time, a.end_time, CAST(a.min_replicas AS INTEGER) AS start_min,
+         CAST(a.max_replicas AS INTEGER) AS start_max, CAST(NULL AS INTEGER) AS end_min,
+         CAST(NULL AS INTEGER) AS end_max, false AS suspend
+  FROM ai a JOIN pol p ON a.namespace = p.namespace AND a.deployment = p.deployment),
+trig AS (SELECT * FROM manual UNION ALL SELECT * FROM ai_flat){STATES_TAIL}
+SELECT DISTINCT r.namespace, r.deployment,
+       strftime(date_trunc('hour', r.ts), '%Y-%m-%d %H:%M:%S') AS interval_start
+FROM rs r
+JOIN act ON r.namespace = act.namespace AND r.deployment = act.deployment AND r.ts = act.ts
+JOIN ai ON ai.namespace = act.namespace AND ai.deployment = act.deployment AND ai.name = act.active_name
+WHERE starts_with(act.active_name, 'ai-')
+  AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))""")

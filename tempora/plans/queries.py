@@ -486,9 +486,9 @@ def manual_overlap(spark, sf_dir):
     return portable(PL.manual_overlap(gen, manual))
 
 
-@query("deviation")
-def deviation(spark, sf_dir):
-    """Replica samples outside the bounds of the active generated trigger (manual ones skip)."""
+def _deviation_inputs(spark, sf_dir):
+    """Replica samples, the active trigger per instant (generated ``ai-`` and manual triggers
+    of each workload) and the bounds of the unsuppressed generated triggers."""
     rs, wls, gen, manual = _ai_and_manual(spark, sf_dir)
     keep = PL.manual_overlap(gen, manual).where(~F.col("suppressed")).select(*WL, "name")
     ai = gen.join(keep, WL + ["name"])
@@ -503,12 +503,27 @@ def deviation(spark, sf_dir):
                .withColumn("hpa_target_namespace",
                            F.coalesce(F.nullif(F.col("hpa_namespace"), F.lit("")), F.col("policy_namespace"))))
     trig = ai_flat.unionByName(manual.drop("set_id"))
-    st = S.window_state(rs.select(*WL, "ts"), trig, spark)
-    act = S.active_trigger(st)
+    act = S.active_trigger(S.window_state(rs.select(*WL, "ts"), trig, spark))
     bounds = ai.select(*WL, F.col("name").alias("active_name"), "min_replicas", "max_replicas")
+    return rs, act, bounds
+
+
+@query("deviation")
+def deviation(spark, sf_dir):
+    """Replica samples outside the bounds of the active generated trigger (manual ones skip)."""
+    rs, act, bounds = _deviation_inputs(spark, sf_dir)
     return portable(PL.deviation(rs, act, bounds))
 
 
+@query("deviation_alert_intervals")
+def deviation_alert_intervals(spark, sf_dir):
+    """The streaming alert de-duplication run in batch: at most one alert per workload and hour."""
+    rs, act, bounds = _deviation_inputs(spark, sf_dir)
+    a = rs.join(act, WL + ["ts"]).join(bounds, WL + ["active_name"], "left")
+    alerts = J.deviation_alerts(a, interval="1 hour")
+    return portable(alerts.select(*WL, "interval_start"))
+
+
 @query("active_trigger_rowwise")
 def active_trigger_rowwise(spark, sf_dir):
     """The streaming evaluation path run in batch: each instant picks its winner from its

@@ -119,4 +119,7 @@ def deviation_alerts(active: DataFrame, threshold_percent: int = 20, interval: s
     out = ((F.col("value") < F.col("min_replicas") * (1 - t)) | (F.col("value") > F.col("max_replicas") * (1 + t)))
     a = (active.where(F.col("active_name").startswith("ai-") & out)
          .withColumn("interval_start", F.window("ts", interval)["start"]))
-    return a.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(WL + ["interval_start"])
+    keys = WL + ["interval_start"]
+    if not a.isStreaming:  # a finite table: plain de-duplication has the same meaning
+        return a.dropDuplicates(keys)
+    return a.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
