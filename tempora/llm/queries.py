@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import simhash
+from tempora.llm import matrices, packing, simhash
 from tempora.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,28 @@ def query(name: str):
     return deco
 
 
+def tokenizer() -> str:
+    """The vocabulary file of the packing queries; a local file on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_min_slack_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids by minimum bin slack."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer(), window=4096, end_id=2)
+
+
+@query("op8_best_fit_matrices")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as rows of a token-id matrix of width 2048: the ids, cumulative piece lengths,
+    documents and starts of each row, and a checksum of its position ids."""
+    out = matrices.packed_matrices(read(spark, sf_dir, "documents"), tokenizer(), window=2048, end_id=2, pad_id=0)
+    return out.select("sequence_id", "input_ids", F.crc32("position_ids").alias("positions_crc32"), "cu_seqlens",
+                      F.col("doc_ids").alias("doc_id"), "starts")
+
+
 @query("op9_simhash_golay")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 4 differing bits."""
