@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import matrices, packing, simhash
+from tempora.llm import chat, licenses, matrices, maxscore, packing, simhash
 from tempora.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +27,42 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_license_templates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in the whole text of all documents."""
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
+# Fixed value: what both rows of the conversation -1 say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op3_chat_schemas")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as records of several layouts, formatted, and read back from the output."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    out = chat.read_back(chat.formatted(chat.canonical_turns(chat.records_of(turns.unionByName(own)))))
+    joined = F.array_join(F.transform("turns_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_read", "")
+    return out.select("conv_id", F.size("turns_read").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
+                      F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                      F.char_length("formatted").cast("long").alias("formatted_chars"), "layout")
+
+
 @query("op5_min_slack_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids by minimum bin slack."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer(), window=4096, end_id=2)
 
 
+@query("op6_maxscore_top_k")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every row whose vec_id is divisible by 20."""
+    return maxscore.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64).select(
+        "query_id", "rank", "vec_id", "score")
+
+
 @query("op8_best_fit_matrices")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rows of a token-id matrix of width 2048: the ids, cumulative piece lengths,
