@@ -3,45 +3,81 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
 
-CACHED_WORDS = 800_000  # bound of the cache of one Python worker, about 150 MB
+CACHED_WORDS = 1_200_000  # bound of the cache of one Python worker, about 250 MB
+# A Latin letter and then ASCII punctuation up to the end, where every word splitter cuts.
+_TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
+# Lower-case Latin words, which normalisers leave alone and splitters keep whole.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _ENCODERS: dict = {}
 
 
 def encoder(path: str, special_as_text: bool = False) -> Callable[[list[bytes]], list[bytes]]:
     """UTF-8 texts -> their ids as little-endian unsigned 32-bit integers.
 
-    The ids are those of ``encode(text, add_special_tokens=False)``. For tokenizers that split at
-    white space and drop it, a text's ids are those of its runs without ASCII white space, one
-    after another; so each distinct run is encoded once and kept. ASCII letters are put in lower
-    case before (such tokenizers do so as well), except where a special token may stand.
+    The ids are those of ``encode(text, add_special_tokens=False)``. If the tokenizer splits at
+    white space, drops it and takes letters as lower case, a text's ids are those of its runs
+    without ASCII white space, one after another; so each distinct run is encoded once and kept,
+    as a word and the punctuation after it. ASCII letters are put in lower case before, except
+    where a special token may stand. Texts go whole to other tokenizers.
     """
     key = (path, special_as_text)
     if key not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = special_as_text
-        cache: dict[bytes, bytes] = {}
-
-        def encode(texts: list[bytes]) -> list[bytes]:
-            runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
-            new = list({w for r in runs for w in r if w not in cache})
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list({w for r in runs for w in r})
-            for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            return [b"".join(map(cache.__getitem__, r)) for r in runs]
-
-        _ENCODERS[key] = encode
+        _ENCODERS[key] = _encoder(path, special_as_text)
     return _ENCODERS[key]
 
 
+def _encoder(path: str, special_as_text: bool) -> Callable[[list[bytes]], list[bytes]]:
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = special_as_text
+
+    def ids(t, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes()
+                for e in t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    one, two, both, upper, spaced = ids(tok, [b"one", b"two!", b"one two!", b"ONE", b" one\n\t"])
+    if both != one + two or upper != one or spaced != one:
+        return lambda texts: ids(tok, texts)
+
+    # the same model without normaliser and splitter, for words that need neither
+    bare = Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    probe = ["schön", "unlikeliest", "élève", "q"]
+    if ids(bare, [w.encode() for w in probe]) != ids(tok, [w.encode() for w in probe]):
+        bare = tok
+    cache: dict[bytes, bytes] = {}
+
+    def learn(runs: list[list[bytes]]) -> None:
+        seen = set().union(*runs)
+        new = seen.difference(cache)
+        if len(cache) + len(new) > CACHED_WORDS:
+            cache.clear()
+            new = seen
+        cut = {w: m.groups() for w in new if b"<|" not in w and (m := _TAIL.fullmatch(w))}
+        parts = new.difference(cut).union(*cut.values()).difference(cache)
+        plain = [w for w in parts if _PLAIN.fullmatch(w)]
+        rest = list(parts.difference(plain))
+        cache.update(zip(plain, ids(bare, plain)))
+        cache.update(zip(rest, ids(tok, rest)))
+        for w, (word, tail) in cut.items():
+            cache[w] = cache[word] + cache[tail]
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        learn(runs)
+        return [b"".join(map(cache.__getitem__, r)) for r in runs]
+
+    return encode
+
+
 def batches(texts: list[bytes], most: int = 4 << 20):
     """Slices of at most ``most`` bytes (or one text)."""
     at, size = 0, 0

@@ -149,3 +149,20 @@ def test_common_length_is_ranked_in_shards(spark, monkeypatch):
     rows = W.placed(df, lambda c: P.minimum_slack_plan(c, 16), ["doc_id"]).collect()
     assert len(rows) == 200
     whole([(r.length, r.sequence_id, r.offset) for r in rows], 16)
+
+
+def test_encoder_equals_the_library():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tempora.llm.tokens import encoder
+
+    texts = ["It's THE end, isn't it? x='s y're!'ll", "Élève ÉLÈVE, schön×schön÷ ß. ſ", "áb é, ≠ x̸!", "“quoted”, ‘x’… 1,000.50 v2.0b",
+             "<|endoftext|> <|ENDOFTEXT|>, x<|startoftext|>", "foo<|endoftext|>", "a b c\u0085d\x1ce", "pass=ab12-cd_ef!!! %%% |", "日本語、テスト。 한국어",
+             "İstanbul ΣΑΣ, ΑΣ", "", " \n"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for special in (False, True):
+            t = Tokenizer.from_file(P.path(name))
+            t.encode_special_tokens = special
+            got = encoder(P.path(name), special)([x.encode() for x in texts])
+            assert [list(np.frombuffer(x, "<u4")) for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
