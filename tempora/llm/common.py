@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -40,18 +39,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
-_INV = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+BLOCK = 1 << 20  # bytes hashed at once; a longer token is hashed on its own
+_ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64, i < n."""
-    if len(_POWERS.get("p", ())) < n:
-        m = max(n, 1 << 16)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """P^i and P^-i modulo 2^64 for i up to a block."""
+    if not _POWERS:
         with np.errstate(over="ignore"):
-            _POWERS["p"] = np.cumprod(np.r_[np.uint64(1), np.full(m - 1, 0x9E3779B97F4A7C15, np.uint64)])
-            _POWERS["q"] = np.cumprod(np.r_[np.uint64(1), np.full(m - 1, _INV, np.uint64)])
-    return _POWERS["p"], _POWERS["q"]
+            for k, p in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+                _POWERS[k] = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK, p, np.uint64)])
+    return _POWERS["up"], _POWERS["down"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,17 +69,43 @@ def token_hashes(buf: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     tokens have equal hashes wherever they stand.
     """
     a = np.frombuffer(buf, np.uint8)
+    if not len(a):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = classes[a]
-    edge = np.flatnonzero(np.diff(c)) + 1
-    start = np.r_[0, edge] if len(a) else np.zeros(0, np.int64)
-    end = np.r_[edge, len(a)] if len(a) else start
+    edge = np.flatnonzero(c[1:] != c[:-1]) + 1
+    start, end = np.r_[0, edge], np.r_[edge, len(a)]
     keep = c[start] != 0
     start, end = start[keep], end[keep]
-    p, q = _powers(len(a) + 1)
-    with np.errstate(over="ignore"):
-        s = np.r_[np.uint64(0), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * p[: len(a)])]
-        h = (s[end] - s[start]) * q[start]
-    return mix(h), start, end
+    h = np.zeros(len(start), np.uint64)
+    up, down = _powers()
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + BLOCK, "right"))
+        if j == i:
+            h[i] = xxhash.xxh64_intdigest(buf[start[i]:end[i]])
+            i += 1
+            continue
+        part = a[start[i]:end[j - 1]].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            s = np.r_[np.uint64(0), np.cumsum(part * up[: len(part)])]
+            x, y = start[i:j] - start[i], end[i:j] - start[i]
+            h[i:j] = mix((s[y] - s[x]) * down[x])
+        i = j
+    return h, start, end
+
+
+def slices(texts: list[bytes], classes: np.ndarray, most: int = BLOCK) -> Iterator[tuple]:
+    """(first text, number of texts, hashes, text number in the slice) for slices of the texts."""
+    at = 0
+    while at < len(texts):
+        n, size = at, 0
+        while n < len(texts) and (n == at or size + len(texts[n]) < most):
+            size += len(texts[n]) + 1
+            n += 1
+        ends = np.cumsum([len(t) + 1 for t in texts[at:n]])
+        h, start, _ = token_hashes(b"\n".join(texts[at:n]), classes)
+        yield at, n - at, h, np.searchsorted(ends, start, "right")
+        at = n
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, licenses, matrices, maxscore, packing, simhash
+from tempora.llm import chat, licenses, matrices, maxscore, packing, resampling, simhash
 from tempora.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.char_length("formatted").cast("long").alias("formatted_chars"), "layout")
 
 
+@query("op4_importance_resampling")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay when all are resampled towards those labelled good."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op5_min_slack_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids by minimum bin slack."""
