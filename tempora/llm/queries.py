@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, licenses, matrices, maxscore, packing, resampling, simhash
+from tempora.llm import chat, licenses, lines, matrices, maxscore, packing, resampling, simhash
 from tempora.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
 
 
+@query("op2_line_templates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose templates recur across documents."""
+    return lines.dedup_lines(read(spark, sf_dir, "documents"), n_chars="n_chars").select("doc_id", "text", "n_chars")
+
+
 # Fixed value: what both rows of the conversation -1 say.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
