@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, licenses, lines, matrices, maxscore, packing, resampling, simhash
+from tempora.llm import chat, leaks, licenses, lines, matrices, maxscore, packing, pseudonyms, resampling, simhash
 from tempora.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "rank", "vec_id", "score")
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: the session's ``spark.tempora.pseudonymKey``, else a fixed one for
+    runs on synthetic tables."""
+    return spark.conf.get("spark.tempora.pseudonymKey", "synthetic tables only").encode()[:64]
+
+
+@query("op7_feistel_pseudonyms")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by pseudonyms of the same format."""
+    return pseudonyms.pseudonymise(read(spark, sf_dir, "documents"), pseudonym_key(spark)).drop("spans")
+
+
 @query("op8_best_fit_matrices")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rows of a token-id matrix of width 2048: the ids, cumulative piece lengths,
@@ -89,3 +101,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 4 differing bits."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, bits=4, seed=42)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_seeded_alignment")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, by rare n-gram seeds and local alignment."""
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "score", "start", "end")
