@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SLICE_BYTES = 2 << 20  # of text that a task handles at once, or one longer text
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes in a text column (or one row), so that a
+    task's memory follows that bound and not the rows of a batch."""
+    for b in batches:
+        at = b.schema.get_field_index(column) if isinstance(column, str) else column
+        size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end, i = np.cumsum(size), 0
+        while i < b.num_rows:
+            before = int(end[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(end, before + most, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null reads as the empty text."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -22,15 +40,18 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function batch -> dict of columns in the order of ``schema``."""
+    """``mapInArrow`` with a function batch -> dict of columns in the order of ``schema``. Batches with
+    a text column ``t`` come in slices."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in sliced(iter([whole]), "t") if "t" in whole.schema.names else [whole]:
+                if not b.num_rows:
+                    continue
                 out = fn(b)
                 cols = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type)
                         for f in arrow]

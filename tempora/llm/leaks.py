@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import byte_classes, combine, slices
+from tempora.llm.common import byte_classes, combine, sliced, slices
 from tempora.session import materialize
 
 GRAM = 4
@@ -43,7 +43,7 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
     """``item_id, size, words, grams``: word hashes of each item (8 bytes each) and the hashes of its
     n-grams; an item shorter than a gram is one gram. Items without words are left out."""
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             ids, cols = b.column(0).to_pylist(), [[], [], [], []]
             for at, n, h, doc in slices(_lower(b.column(1)), _CLASSES):
                 edge = np.searchsorted(doc, np.arange(n + 1))
@@ -81,7 +81,7 @@ def regions(docs: DataFrame, marks: np.ndarray, grams: list[int], reach: int, do
     shift = np.uint64(64 - bits)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             ids, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
             cols: list[list] = [[] for _ in range(5)]
             for first, n, h, doc in slices(_lower(b.column(2)), _CLASSES):

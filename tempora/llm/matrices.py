@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import tokens
-from tempora.llm.common import byte_column
+from tempora.llm.common import byte_column, sliced
 
 WINDOW = 2048
 END_ID = 2
@@ -129,7 +129,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_i
     schema = pa.schema(list(zip(names, types)))
 
     def pieces(batches):
-        for b in batches:
+        for b in sliced(batches, "t"):
             doc, at = b.column(0).to_pylist(), 0
             for part in tokens.batches(byte_column(b, "t")):
                 for body in tokens.encoder(tokenizer, special_as_text)(part):

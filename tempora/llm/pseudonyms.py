@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.common import sliced
+
 ROUNDS = 8
 
 
@@ -254,7 +256,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
              pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             cols: list[list] = [[], [], [], []]
             for t in b.column(1).to_pylist():
                 new, spans = (None, []) if t is None else pseudonymised(t, key)

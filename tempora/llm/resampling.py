@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import SPACES, byte_classes, byte_column, combine, slices
+from tempora.llm.common import SPACES, byte_classes, byte_column, combine, sliced, slices
 from tempora.session import materialize
 
 BUCKETS = 1 << 16
@@ -70,7 +70,7 @@ def counts(docs: DataFrame, sample: DataFrame, doc_id: str, text: str, buckets:
 
     def run(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in batches:
+        for b in sliced(batches, "t"):
             texts = byte_column(b, "t")
             good = np.array([k == 1 for k in b.column(1).to_pylist()], bool)
             for at, n, bucket, doc in grams(texts, buckets):
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(sample), "doc_id")
 
     def weigh(batches):
-        for b in batches:
+        for b in sliced(batches, "t"):
             w = _log_weights(byte_column(b, "t"), ratio)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("kind")), pa.array(w)], names=["kind", "w"])
 
@@ -146,7 +146,7 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     ratio = model.ratio
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, "t"):
             w, key = _scored(b.column(0).to_pylist(), byte_column(b, "t"), ratio, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(key)], names=["doc_id", "log_weight", "key"])
 
@@ -212,7 +212,7 @@ def kept(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids, at = docs.columns.index(doc_id), docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, at):
             texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
             _, key = _scored(b.column(ids).cast(pa.int64()).to_pylist(), texts, ratio, seed)
             yield b.filter(pa.array(key >= least))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHED_WORDS = 1_200_000  # bound of the cache of one Python worker, about 250 MB
+CACHED_WORDS = 500_000  # bound of the cache of one Python worker, about 100 MB
 # A Latin letter and then ASCII punctuation up to the end, where every word splitter cuts.
 _TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
 # Lower-case Latin words, which normalisers leave alone and splitters keep whole.
