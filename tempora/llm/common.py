@@ -39,9 +39,9 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with a function batch -> dict of columns in the order of ``schema``. Batches with
-    a text column ``t`` come in slices."""
+    a text column ``t`` come in slices of at most ``most`` bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -49,7 +49,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in sliced(iter([whole]), "t") if "t" in whole.schema.names else [whole]:
+            for b in sliced(iter([whole]), "t", most) if "t" in whole.schema.names else [whole]:
                 if not b.num_rows:
                     continue
                 out = fn(b)

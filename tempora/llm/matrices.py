@@ -129,7 +129,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_i
     schema = pa.schema(list(zip(names, types)))
 
     def pieces(batches):
-        for b in sliced(batches, "t"):
+        for b in sliced(batches, "t", tokens.TEXT_BYTES):
             doc, at = b.column(0).to_pylist(), 0
             for part in tokens.batches(byte_column(b, "t")):
                 for body in tokens.encoder(tokenizer, special_as_text)(part):

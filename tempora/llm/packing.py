@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
         return dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), out))
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")), cut,
-                       "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+                       "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", tokens.TEXT_BYTES)
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id",

@@ -1,18 +1,22 @@
-"""Token ids of whole texts by a public tokenizer file, with a cache of words in each task process."""
+"""Token ids of whole texts by a public tokenizer file."""
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHED_WORDS = 500_000  # bound of the cache of one Python worker, about 100 MB
-# A Latin letter and then ASCII punctuation up to the end, where every word splitter cuts.
-_TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
+TEXT_BYTES = 8 << 20  # of text encoded together: the more, the fewer words are encoded again
+GROUP = 500  # words encoded as one string
+GATHERED = 1 << 19  # words whose ids are put in place at once
+
+# A Latin letter before ASCII punctuation other than the apostrophe, where every word splitter cuts.
+_CUT = r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])"
 # Lower-case Latin words, which normalisers leave alone and splitters keep whole.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_PLAIN = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 _ENCODERS: dict = {}
 
 
@@ -20,10 +24,10 @@ def encoder(path: str, special_as_text: bool = False) -> Callable[[list[bytes]],
     """UTF-8 texts -> their ids as little-endian unsigned 32-bit integers.
 
     The ids are those of ``encode(text, add_special_tokens=False)``. If the tokenizer splits at
-    white space, drops it and takes letters as lower case, a text's ids are those of its runs
-    without ASCII white space, one after another; so each distinct run is encoded once and kept,
-    as a word and the punctuation after it. ASCII letters are put in lower case before, except
-    where a special token may stand. Texts go whole to other tokenizers.
+    white space, drops it, takes letters as lower case and marks the ends of words, a text's ids
+    are those of its words, one after another: each distinct word of the texts is encoded once,
+    many to a call, and its ids are put wherever it stands. Texts in which a special token may
+    stand, and all texts with other tokenizers, are encoded whole.
     """
     key = (path, special_as_text)
     if key not in _ENCODERS:
@@ -38,47 +42,69 @@ def _encoder(path: str, special_as_text: bool) -> Callable[[list[bytes]], list[b
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = special_as_text
 
-    def ids(t, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
-
-    one, two, both, upper, spaced = ids(tok, [b"one", b"two!", b"one two!", b"ONE", b" one\n\t"])
-    if both != one + two or upper != one or spaced != one:
-        return lambda texts: ids(tok, texts)
-
-    # the same model without normaliser and splitter, for words that need neither
-    bare = Tokenizer.from_file(path)
-    bare.normalizer = normalizers.Sequence([])
-    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    probe = ["schön", "unlikeliest", "élève", "q"]
-    if ids(bare, [w.encode() for w in probe]) != ids(tok, [w.encode() for w in probe]):
-        bare = tok
-    cache: dict[bytes, bytes] = {}
-
-    def learn(runs: list[list[bytes]]) -> None:
-        seen = set().union(*runs)
-        new = seen.difference(cache)
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = seen
-        cut = {w: m.groups() for w in new if b"<|" not in w and (m := _TAIL.fullmatch(w))}
-        parts = new.difference(cut).union(*cut.values()).difference(cache)
-        plain = [w for w in parts if _PLAIN.fullmatch(w)]
-        rest = list(parts.difference(plain))
-        cache.update(zip(plain, ids(bare, plain)))
-        cache.update(zip(rest, ids(tok, rest)))
-        for w, (word, tail) in cut.items():
-            cache[w] = cache[word] + cache[tail]
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    one, two, both, upper, spaced = [list(x) for x in whole(["one", "two!", "one two!", "ONE", " one\n\t"])]
+    mark = getattr(tok.model, "end_of_word_suffix", None)
+    if both != one + two or upper != one or spaced != one or not mark:
+        return lambda texts: [x.astype("<u4").tobytes() for x in whole([t.decode() for t in texts])]
+
+    # the same model for plain words: no normaliser, cut at spaces only
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"),
+                                                   pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in tok.get_vocab(with_added_tokens=False).items():
+        ends[i] = token.endswith(mark)
+
+    def plain_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has."""
+        groups = [" ".join(words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in
+                                                        plain.encode_batch_fast(groups, add_special_tokens=False)]])
+        return ids, np.diff(np.flatnonzero(ends[ids]), prepend=-1)
+
+    def words_ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, where each word's begin, and how many there are."""
+        simple = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        first, other = np.flatnonzero(simple), np.flatnonzero(~simple)
+        ids, n = plain_words(words.take(pa.array(first)).to_pylist())
+        rest = whole(words.take(pa.array(other)).to_pylist())
+        size = np.zeros(len(words), np.int64)
+        if len(n) != len(first):
+            raise ValueError(f"{path}: words without an end")
+        size[first], size[other] = n, [len(x) for x in rest]
+        order = np.r_[first, other]
+        at = np.zeros(len(words), np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([ids, *rest]), at, size
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        learn(runs)
-        return [b"".join(map(cache.__getitem__, r)) for r in runs]
+        special = [i for i, t in enumerate(texts) if b"<|" in t]
+        own = dict(zip(special, whole([texts[i].decode() for i in special])))
+        low = pa.array([b"" if i in own else t.lower() for i, t in enumerate(texts)], pa.large_string())
+        runs = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _CUT, r"\1 \2"))
+        coded = runs.flatten().dictionary_encode()
+        code, cuts = coded.indices.to_numpy(), runs.offsets.to_numpy()
+        ids, at, size = words_ids(coded.dictionary)
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            i = len(out)
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + GATHERED, "right")) - 1)
+            part = code[cuts[i]:cuts[j]]
+            end = np.r_[0, np.cumsum(size[part])]
+            found = ids[np.repeat(at[part] - end[:-1], size[part]) + np.arange(end[-1])].astype("<u4")
+            bounds = end[cuts[i:j + 1] - cuts[i]]
+            out += [found[a:b].tobytes() if k not in own else own[k].astype("<u4").tobytes()
+                    for k, a, b in zip(range(i, j), bounds, bounds[1:])]
+        return out
 
     return encode
 
 
-def batches(texts: list[bytes], most: int = 4 << 20):
+def batches(texts: list[bytes], most: int = TEXT_BYTES) -> Iterator[list[bytes]]:
     """Slices of at most ``most`` bytes (or one text)."""
     at, size = 0, 0
     for i, t in enumerate(texts):
