@@ -43,41 +43,52 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    runs and tests) a fresh scratch folder is created and registered.
+    runs and tests) a fresh scratch folder is created and registered. A folder
+    of one machine is refused where executors run elsewhere.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (not d or is_machine_local(d, spark.conf.get("spark.hadoop.fs.defaultFS", "file:///"))):
+        raise RuntimeError(f"set spark.checkpoint.dir to a shared folder; {d or 'a scratch folder'} "
+                           "does not survive executor loss on a cluster")
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local "
-                               "scratch folder does not survive executor loss on a cluster")
         d = tempfile.mkdtemp(prefix="tempora-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def broadcast_if_small(df, max_rows: int = 1_000_000):
-    """Broadcast a static lookup side only after measuring it; beyond the bound the plain
-    DataFrame is returned and Spark shuffles both sides instead.
+def is_machine_local(path: str, default_fs: str = "file:///") -> bool:
+    """Whether a path names the file system of the machine that reads it."""
+    scheme = path.partition(":")[0] if "://" in path or path.startswith("file:") else default_fs.partition(":")[0]
+    return scheme == "file"
 
-    Meant for static sides of stream joins, where AQE cannot re-plan from runtime sizes.
-    """
-    from pyspark.sql import functions as F
 
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+_TABLES: dict[str, list[str]] = {}  # application id -> written tables
 
 
 def materialize(df, name: str = "cut"):
     """Cut lineage by writing a parquet table under the shared checkpoint folder and reading
     it back: one computation, columnar re-reads with pruning, and a lost executor re-reads
     files instead of replaying the plan. (``Dataset.checkpoint`` on an unpersisted plan
-    computes it twice.)"""
+    computes it twice.) ``release`` deletes the tables once their results are read."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this application; frames that read them
+    must not be used afterwards. Returns how many there were."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)

@@ -1,14 +1,15 @@
 """Structured Streaming jobs over metric-sample streams.
 
-* R1 ``resample_stream``: watermark + tumbling 5-minute windows, max per workload.
-* R2 ``profile_refresh``: foreachBatch writes idempotent per-batch partial sums of
-  the (workload, weekday, hour) profile to shared storage; ``read_profile`` merges them.
+* R1 ``resample_stream``: watermark + tumbling 5-minute windows, max per workload; NaN dropped.
+* R2 ``profile_refresh``: foreachBatch writes idempotent per-batch partials (count, mean, sum of
+  squared deviations) of the (workload, day, hour) profile to shared storage; ``read_profile``
+  merges the days of a rolling window and ``compact_profile`` folds batches into one table.
 * R3 ``active_trigger_stream``: stream-static join with each workload's trigger array;
   the winner is chosen row by row (no streaming aggregation).
-* R4 ``transitions_stream``: keyed state (last active trigger per workload) with
-  ``applyInPandasWithState``; emits only changes.
-* R5 ``deviation_alerts``: samples outside the active generated trigger's bounds,
-  at most one alert per workload and interval (``dropDuplicatesWithinWatermark``).
+* R4 ``transitions_stream``: keyed state (time and name of the last active trigger per workload)
+  with ``applyInPandasWithState``; emits only changes, in time order.
+* R5 ``deviation_alerts``: samples outside the active generated trigger's bounds, the first of
+  each workload and interval (a windowed aggregate, the same on tables and streams).
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ SAMPLE_SCHEMA = "namespace string, deployment string, ts timestamp, value double
 
 def resample_stream(samples: DataFrame, step: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Late rows beyond the watermark are dropped; each window is emitted once (append)."""
-    return (samples.withWatermark("ts", watermark)
+    return (samples.where(F.col("value").isNotNull() & ~F.isnan("value")).withWatermark("ts", watermark)
             .groupBy(*WL, F.window("ts", step).alias("w"))
             .agg(F.greatest(F.lit(0.0), F.max("value")).alias("value"), F.count(F.lit(1)).alias("n"))
             .select(*WL, F.col("w.start").alias("ts"), "value", "n"))
 
 
 def profile_partials(batch: DataFrame) -> DataFrame:
-    """Mergeable partial state of the (workload, weekday, hour) profile: n, sum, sum of squares, max, min."""
-    return (batch.groupBy(*WL, F.weekday("ts").alias("dow"), F.hour("ts").alias("hour"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"),
-                 F.sum(F.col("value") * F.col("value")).alias("ss"),
+    """Mergeable partial state of the (workload, day, hour) profile: count, mean, sum of squared
+    deviations from it, max, min. Rows without a value are left out."""
+    return (batch.where(F.col("value").isNotNull() & ~F.isnan("value"))
+            .groupBy(*WL, F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                 (F.var_pop("value") * F.count(F.lit(1))).alias("m2"),
                  F.max("value").alias("mx"), F.min("value").alias("mn")))
 
 
@@ -54,31 +57,55 @@ def profile_refresh(samples: DataFrame, state_dir: str, checkpoint: str, trigger
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def merge_profile(partials: DataFrame) -> DataFrame:
-    """Merge partial states: avg, max, min, population std (from sums), count."""
-    g = (partials.groupBy(*WL, "dow", "hour")
-         .agg(F.sum("n").alias("count"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-              F.max("mx").alias("max"), F.min("mn").alias("min")))
-    mean = F.col("s") / F.col("count")
-    var = F.greatest(F.lit(0.0), F.col("ss") / F.col("count") - mean * mean)
-    return g.select(*WL, "dow", "hour", mean.alias("avg"), "max", "min", F.sqrt(var).alias("std"), "count")
+def _merged(parts: F.Column) -> F.Column:
+    """Fold of partials (n, mean, m2, mx, mn); deviations are taken from the running mean, so large
+    means cancel nothing."""
+    def step(a, x):
+        n = a["n"] + x["n"]
+        d = x["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d * x["n"] / n).alias("mean"),
+                        (a["m2"] + x["m2"] + d * d * a["n"] * x["n"] / n).alias("m2"),
+                        F.greatest(a["mx"], x["mx"]).alias("mx"), F.least(a["mn"], x["mn"]).alias("mn"))
 
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), parts[0], step)
 
-def read_profile(spark, state_dir: str) -> DataFrame:
-    """Merged hourly profile from all partials written by ``profile_refresh``."""
-    return merge_profile(spark.read.parquet(state_dir))
 
+def _folded(partials: DataFrame, keys: list) -> DataFrame:
+    """Partials merged by ``keys``; a group has one row for each day and micro-batch."""
+    state = F.struct("n", "mean", "m2", "mx", "mn")
+    return (partials.groupBy(*keys).agg(F.sort_array(F.collect_list(state)).alias("p"))
+            .select(*WL, *[c for c in ("day", "dow", "hour") if c in keys], _merged(F.col("p")).alias("m"))
+            .select("*", "m.*").drop("m"))
 
-def active_trigger_stream(samples: DataFrame, trigger_arrays: DataFrame, max_broadcast_rows: int = 1_000_000
-                          ) -> DataFrame:
-    """Each sample with its workload's winning Within trigger (NULL when none).
 
-    The static side (one row per workload) is broadcast only when its measured
-    row count is within ``max_broadcast_rows``; otherwise the join shuffles.
-    """
-    from tempora.session import broadcast_if_small
+def compact_profile(spark, state_dir: str, to_dir: str) -> None:
+    """One row a (workload, day, hour) from all batches of ``state_dir``, as batch -1 of a new folder;
+    run between refreshes and go on with that folder."""
+    parts = _folded(spark.read.parquet(state_dir), WL + ["day", "hour"])
+    parts.withColumn("batch_id", F.lit(-1)).write.mode("errorifexists").partitionBy("batch_id").parquet(to_dir)
 
-    j = samples.join(broadcast_if_small(trigger_arrays, max_broadcast_rows), WL, "left")
+
+def merge_profile(partials: DataFrame, as_of=None, days: int = 30) -> DataFrame:
+    """Partials of the days in [as_of - days, as_of] (all without ``as_of``) merged to the hourly
+    profile: avg, max, min, population std, count."""
+    p = partials
+    if as_of is not None:
+        last = F.lit(as_of).cast("date")
+        p = p.where(F.col("day").between(F.date_sub(last, days), last))
+    g = _folded(p.withColumn("dow", F.weekday("day")), WL + ["dow", "hour"])
+    return g.select(*WL, "dow", "hour", F.col("mean").alias("avg"), F.col("mx").alias("max"), F.col("mn").alias("min"),
+                    F.sqrt(F.col("m2") / F.col("n")).alias("std"), F.col("n").alias("count"))
+
+
+def read_profile(spark, state_dir: str, as_of=None, days: int = 30) -> DataFrame:
+    """Merged hourly profile from the partials written by ``profile_refresh``."""
+    return merge_profile(spark.read.parquet(state_dir), as_of, days)
+
+
+def active_trigger_stream(samples: DataFrame, trigger_arrays: DataFrame) -> DataFrame:
+    """Each sample with its workload's winning Within trigger (NULL when none). Spark broadcasts the
+    static side if its files are below the broadcast threshold and shuffles both sides otherwise."""
+    j = samples.join(trigger_arrays, WL, "left")
     win = active_from_array(F.col("ts"), F.coalesce(F.col("triggers"), F.array().cast(trigger_arrays.schema[
         "triggers"].dataType)))
     return j.select(*WL, "ts", "value", win["name"].alias("active_name"), win["priority"].alias("active_priority"),
@@ -89,37 +116,38 @@ TRANSITION_SCHEMA = "namespace string, deployment string, ts timestamp, from_tri
 
 
 def _transitions(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    seen = state.exists
+    at, last = state.get if state.exists else (None, None)
+    rows = pd.concat(list(pdfs))[["ts", "active_name"]].sort_values("ts", kind="stable")
     out = []
-    for pdf in pdfs:
-        for ts, name in pdf.sort_values("ts")[["ts", "active_name"]].itertuples(index=False):
-            name = None if pd.isna(name) else name
-            if not seen or name != last:
-                out.append((key[0], key[1], ts, last, name))
-            last, seen = name, True
-    state.update((last,))
+    for ts, name in rows.itertuples(index=False):
+        if at is not None and ts < at:  # older than what the state has seen
+            continue
+        name = None if pd.isna(name) else name
+        if at is None or name != last:
+            out.append((key[0], key[1], ts, last, name))
+        at, last = ts, name
+    if at is not None:
+        state.update((at, last))
     yield pd.DataFrame(out, columns=["namespace", "deployment", "ts", "from_trigger", "to_trigger"])
 
 
 def transitions_stream(active: DataFrame) -> DataFrame:
-    """Keyed state per workload: the last active trigger; rows only where it changes.
-
-    Within a micro-batch rows are taken in time order; across batches, arrival order.
-    """
+    """Keyed state per workload: time and name of the last active trigger; rows only where it
+    changes, in time order. A sample older than the state (late by a whole micro-batch) is ignored."""
     return (active.select(*WL, "ts", "active_name").groupBy(*WL)
-            .applyInPandasWithState(_transitions, TRANSITION_SCHEMA, "last string", "append",
+            .applyInPandasWithState(_transitions, TRANSITION_SCHEMA, "at timestamp, last string", "append",
                                     GroupStateTimeout.NoTimeout))
 
 
 def deviation_alerts(active: DataFrame, threshold_percent: int = 20, interval: str = "5 minutes",
                      watermark: str = "10 minutes") -> DataFrame:
-    """Samples outside [min*(1-t), max*(1+t)] of an active ``ai-`` trigger; one per workload and interval."""
+    """The first sample of each workload and interval outside [min*(1-t), max*(1+t)] of an active
+    ``ai-`` trigger. A stream reports an interval once, when the watermark has passed its end."""
     t = threshold_percent / 100.0
     out = ((F.col("value") < F.col("min_replicas") * (1 - t)) | (F.col("value") > F.col("max_replicas") * (1 + t)))
-    a = (active.where(F.col("active_name").startswith("ai-") & out)
-         .withColumn("interval_start", F.window("ts", interval)["start"]))
-    keys = WL + ["interval_start"]
-    if not a.isStreaming:  # a finite table: plain de-duplication has the same meaning
-        return a.dropDuplicates(keys)
-    return a.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+    first = F.min(F.struct("ts", "active_name", "value", "min_replicas", "max_replicas"))
+    # a condition on ts stays above the watermark, which all samples then advance, not only deviating ones
+    alert = F.when(F.col("ts").isNotNull(), F.col("active_name").startswith("ai-") & out)
+    return (active.withWatermark("ts", watermark).where(alert)
+            .groupBy(*WL, F.window("ts", interval).alias("w")).agg(first.alias("f"))
+            .select(*WL, F.col("w.start").alias("interval_start"), "f.*"))
