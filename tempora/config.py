@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 WL = ["namespace", "deployment"]
 
@@ -43,14 +43,6 @@ METRIC_SOURCES = [
     ("replicas", "kube_deployment_status_replicas_ready", 2),
 ]
 
-# Expected load bands per segment of the synthetic replica signal.
-EXPECTED_BANDS = [
-    # segment, hours, days, min, max, avg
-    ("peak", list(range(9, 17)), [0, 1, 2, 3, 4], 3.0, 15.0, 4.5),
-    ("off_peak", list(range(0, 9)) + list(range(17, 24)), [0, 1, 2, 3, 4], 1.0, 3.0, 2.0),
-    ("weekend", list(range(0, 24)), [5, 6], 1.0, 3.0, 2.0),
-]
-
 
 @dataclass(frozen=True)
 class ProfileConfig:
@@ -98,9 +90,7 @@ class AnalysisConfig:
 
     k_min: int = 2
     k_max: int = 8
-    n_init: int = 10
-    max_iter: int = 300
-    seed: int = 42
+    max_iter: int = 20
     min_pattern_hours: float = 1.0
     min_support_rows: int = 10
     max_triggers: int = 10
@@ -108,4 +98,3 @@ class AnalysisConfig:
     priority_step: int = 10
     replica_buffer_percent: float = 0.2
     timezone: str = "UTC"
-    metrics: tuple = field(default=("cpu", "memory", "replicas"))
