@@ -105,24 +105,3 @@ def with_zone(df: DataFrame, spark: SparkSession, zone_col: str = "timezone",
 def date_text_ok(text: Column) -> Column:
     return F.coalesce(text.rlike(DATE_PATTERN) & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull(),
                       F.lit(False))
-
-
-def day_gate(instant: Column, local_ts: Column, has_interval: Column, recurring: Column,
-             start_date: Column, end_date: Column) -> Column:
-    """Whether the trigger applies on the instant's day.
-
-    No interval -> false. Recurring set -> today's local code must be listed
-    (dates then ignored). Else both dates valid and start 00:00Z < instant <
-    end 00:00Z (strict). Anything else -> false.
-    """
-    rec = F.coalesce(recurring, F.lit(""))
-    sd, ed = F.coalesce(start_date, F.lit("")), F.coalesce(end_date, F.lit(""))
-    listed = F.array_contains(recurring_codes(rec), local_day_code(local_ts))
-    start_ts = F.try_to_timestamp(sd, F.lit("yyyy-MM-dd"))
-    end_ts = F.try_to_timestamp(ed, F.lit("yyyy-MM-dd"))
-    in_range = (date_text_ok(sd) & date_text_ok(ed)
-                & F.coalesce((instant > start_ts) & (instant < end_ts), F.lit(False)))
-    return (F.when(~F.coalesce(has_interval, F.lit(False)), F.lit(False))
-             .when(rec != "", listed)
-             .when((sd != "") & (ed != ""), in_range)
-             .otherwise(F.lit(False)))

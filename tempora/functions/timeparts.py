@@ -29,29 +29,3 @@ def bucket(ts: Column, step_minutes: int) -> Column:
     """Floor an instant to a fixed step aligned on the epoch."""
     step = step_minutes * 60
     return F.timestamp_seconds((F.floor(F.unix_seconds(ts) / step) * step))
-
-
-def dow(ts: Column) -> Column:
-    """Day of week, Monday = 0."""
-    return F.weekday(ts)
-
-
-def time_features(ts: Column) -> dict[str, Column]:
-    """hour, minute, day_of_week (Mon=0), is_weekend, time_of_day, time_slot, week, date."""
-    h, m, d = F.hour(ts), F.minute(ts), F.weekday(ts)
-    return {
-        "hour": h,
-        "minute": m,
-        "day_of_week": d,
-        "is_weekend": (d >= 5).cast("int"),
-        "time_of_day": h + m / F.lit(60.0),
-        "time_slot": h * 4 + F.floor(m / 15).cast("int"),
-        "week": F.weekofyear(ts),
-        "date": F.date_format(ts, "yyyy-MM-dd"),
-        "is_peak": ((d < 5) & (h >= 9) & (h < 17)),
-    }
-
-
-def to_text(ts: Column) -> Column:
-    """Instant as UTC text, the portable form used in reports."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

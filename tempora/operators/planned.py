@@ -70,9 +70,11 @@ def weekend_split(points: DataFrame, cfg: PlannedConfig = PlannedConfig()) -> Da
 
 def peak_windows(points: DataFrame, cfg: PlannedConfig = PlannedConfig()) -> DataFrame:
     """Contiguous hours whose p95 exceeds the overall p50 x multiplier, per day type
-    (weekday/weekend when split, else daily), as ``ai-`` triggers ranked by peak size."""
+    (weekday/weekend when split, else daily), as ``ai-`` triggers ranked by peak size. Workloads
+    that don't pass the data gate have none; a peak of all 24 hours ends at 23:59:59."""
     split = weekend_split(points, cfg).select(*WL, "split", "overall_p50")
-    p = points.join(split, WL)
+    enough = data_gate(points, cfg).where("sufficient").select(*WL)
+    p = points.join(split.join(enough, WL), WL)
     p = p.withColumn("dtype", F.when(F.col("split"), F.col("day_type")).otherwise(F.lit("daily")))
     hp = (p.groupBy(*WL, "dtype", "hour", "overall_p50")
           .agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95")))
@@ -91,7 +93,8 @@ def peak_windows(points: DataFrame, cfg: PlannedConfig = PlannedConfig()) -> Dat
                     (F.lit(100) - (F.row_number().over(rank) - 1) * 10).alias("priority"),
                     F.try_element_at(rec, F.col("dtype")).alias("recurring"),
                     C.clock_text(F.col("start_hour"), F.lit(0)).alias("start_time"),
-                    C.clock_text(F.col("end_hour") % 24, F.lit(0)).alias("end_time"),
+                    F.when((F.col("start_hour") == 0) & (F.col("end_hour") == 24), F.lit("23:59:59"))
+                     .otherwise(C.clock_text(F.col("end_hour") % 24, F.lit(0))).alias("end_time"),
                     "min_replicas", F.greatest(F.col("max_replicas"), F.col("min_replicas")).alias("max_replicas"),
                     "peak_p95")
 

@@ -101,14 +101,12 @@ def segment_report(clean_samples: DataFrame) -> DataFrame:
                  F.min("value").alias("min"), F.max("value").alias("max")))
 
 
-def expected_band_check(report: DataFrame, spark) -> DataFrame:
-    """Segment report joined to the declared bands -> pass/fail per check."""
-    from tempora.config import EXPECTED_BANDS
-
-    bands = spark.createDataFrame(
-        [(s, float(lo), float(hi), float(a)) for s, _, _, lo, hi, a in EXPECTED_BANDS],
-        "segment string, exp_min double, exp_max double, exp_avg double")
-    j = report.join(F.broadcast(bands), "segment")
-    return j.select(*WL, "segment", "count", "avg", "min", "max", "exp_min", "exp_max", "exp_avg",
-                    ((F.col("min") >= F.col("exp_min")) & (F.col("max") <= F.col("exp_max"))).alias("in_band"),
-                    (F.abs(F.col("avg") - F.col("exp_avg")) <= F.col("exp_avg") * 0.5).alias("avg_close"))
+def expected_band_check(before: DataFrame, after: DataFrame, slack: float = 0.5) -> DataFrame:
+    """Segment report of a later period against the bands of an earlier one: is its range within
+    the earlier range, and its mean within ``slack`` of the earlier mean? Segments of both only."""
+    bands = before.select(*WL, "segment", F.col("min").alias("exp_min"), F.col("max").alias("exp_max"),
+                          F.col("avg").alias("exp_avg"))
+    return after.join(bands, WL + ["segment"]).select(
+        *WL, "segment", "count", "avg", "min", "max", "exp_min", "exp_max", "exp_avg",
+        ((F.col("min") >= F.col("exp_min")) & (F.col("max") <= F.col("exp_max"))).alias("in_band"),
+        (F.abs(F.col("avg") - F.col("exp_avg")) <= F.col("exp_avg") * slack).alias("avg_close"))

@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 
 from tempora.config import WL
 from tempora.functions.timeparts import bucket
+from tempora.session import materialize
 
 SERIES = ["series_id"]
 
 
-def lookback(samples: DataFrame, days: int, as_of=None) -> DataFrame:
-    """Keep samples in ``[as_of - days, as_of]``; ``as_of`` defaults to the newest sample."""
-    if as_of is None:
-        as_of = samples.agg(F.max("ts")).scalar()  # lazy scalar subquery, one partial max
-    else:
-        as_of = F.lit(as_of)
-    return samples.where(F.col("ts").between(as_of - F.expr(f"INTERVAL {days} DAYS"), as_of))
+def lookback(samples: DataFrame, days: int, as_of) -> DataFrame:
+    """Keep samples in ``[as_of - days, as_of]``. On raw tables filter with ``events.within`` instead,
+    which compares the stored column."""
+    end = F.lit(as_of).cast("timestamp")
+    return samples.where(F.col("ts").between(end - F.expr(f"INTERVAL {days} DAYS"), end))
 
 
 def select_labels(samples: DataFrame, equals: dict[str, str] | None = None,
@@ -38,17 +37,26 @@ def select_labels(samples: DataFrame, equals: dict[str, str] | None = None,
     return samples.where(cond)
 
 
-def source_fallback(samples: DataFrame, keys: list[str] = WL + ["metric_type"]) -> DataFrame:
+def best_source(reduced: DataFrame, keys: list[str] = WL + ["metric_type"]) -> DataFrame:
     """Per key, keep only the best-ranked source that has rows (first non-empty source wins).
 
-    The winning rank is an aggregate per key (partial, one row per key) joined back.
+    ``reduced`` holds rows that are already aggregated per source (with ``src_rank``). They are
+    written once, so the raw samples are scanned once; the winning rank of each key is joined back.
     """
-    best = samples.groupBy(*keys).agg(F.min("src_rank").alias("_best"))
-    return samples.join(best, keys).where(F.col("src_rank") == F.col("_best")).drop("_best")
+    r = materialize(reduced, "sources")
+    best = r.groupBy(*keys).agg(F.min("src_rank").alias("_best"))
+    return r.join(best, keys).where(F.col("src_rank") == F.col("_best")).drop("_best")
+
+
+def source_counts(samples: DataFrame) -> DataFrame:
+    """Samples and their sum per workload and metric source, with ``src_rank``."""
+    return (samples.groupBy(*WL, "metric_type", "metric_name", "src_rank")
+            .agg(F.count(F.lit(1)).alias("samples"), F.sum("value").alias("value_sum")))
 
 
 def resample(samples: DataFrame, step_minutes: int = 5,
-             keys: list[str] = WL + ["metric_type", "metric_name", "pod", "container", "series_id"]) -> DataFrame:
+             keys: list[str] = WL + ["metric_type", "metric_name", "pod", "container", "series_id", "src_rank"]
+             ) -> DataFrame:
     """One value per (series, step bucket): the latest sample in the bucket (equal instants:
     the larger value, so a retried task picks the same row)."""
     return (samples.where(F.col("value").isNotNull())
@@ -58,40 +66,44 @@ def resample(samples: DataFrame, step_minutes: int = 5,
                  F.count(F.lit(1)).alias("n_raw")))
 
 
-def counter_rate(samples: DataFrame, step_minutes: int = 5) -> DataFrame:
-    """Reset-aware per-second rate of a counter per series and step bucket.
+SERIES_KEYS = WL + ["metric_type", "src_rank", "pod", "container", "series_id"]
 
-    increase(sample) = v - prev if v >= prev else v (counter reset); the rate of
-    a bucket is the increase of the samples landing in it (including the step
-    from the previous sample) over the time since that previous sample. No
-    extrapolation to bucket edges.
 
-    Two levels keep it skew-safe: pairs inside a bucket are ordered within
-    (series, bucket) partitions; the pair crossing into a bucket comes from the
-    per-bucket first/last summary ordered per series (span/step rows).
+def counter_buckets(samples: DataFrame, step_minutes: int = 5) -> DataFrame:
+    """Per (series, step bucket): increase over the pairs inside the bucket, first and last sample.
+
+    increase(sample) = v - prev if v >= prev else v (counter reset). Pairs are ordered within
+    (series, bucket) partitions, so no window holds a whole series of raw rows.
     """
-    keys = WL + ["pod", "container", "series_id"]
-    s = (samples.where(F.col("value").isNotNull())
-         .withColumn("bucket", bucket(F.col("ts"), step_minutes)))
-    wb = Window.partitionBy(*keys, "bucket").orderBy("ts", "value")  # value breaks equal instants
-    prev = F.lag("value").over(wb)
+    keys = SERIES_KEYS + ["bucket"]
+    s = samples.where(F.col("value").isNotNull()).withColumn("bucket", bucket(F.col("ts"), step_minutes))
+    prev = F.lag("value").over(Window.partitionBy(*keys).orderBy("ts", "value"))  # value breaks equal instants
     inc = F.when(prev.isNull(), F.lit(None)).when(F.col("value") >= prev, F.col("value") - prev) \
         .otherwise(F.col("value"))
-    within = (s.withColumn("_inc", inc)
-              .groupBy(*keys, "bucket")
-              .agg(F.sum("_inc").alias("inc_in"),
-                   F.min_by("value", F.struct("ts", "value")).alias("first_v"), F.min("ts").alias("first_ts"),
-                   F.max_by("value", F.struct("ts", "value")).alias("last_v"), F.max("ts").alias("last_ts")))
-    ws = Window.partitionBy(*keys).orderBy("bucket")
-    pv, pts = F.lag("last_v").over(ws), F.lag("last_ts").over(ws)
+    return (s.withColumn("_inc", inc).groupBy(*keys)
+            .agg(F.sum("_inc").alias("inc_in"),
+                 F.min_by("value", F.struct("ts", "value")).alias("first_v"), F.min("ts").alias("first_ts"),
+                 F.max_by("value", F.struct("ts", "value")).alias("last_v"), F.max("ts").alias("last_ts")))
+
+
+def counter_rate(buckets: DataFrame, range_minutes: int = 5) -> DataFrame:
+    """Reset-aware per-second rate of a counter per series and step bucket, from ``counter_buckets``.
+
+    The rate of a bucket is the increase of the samples landing in it over their time. The step
+    from the last sample before the bucket counts if that sample is at most ``range_minutes`` old;
+    a wider gap is no pair, so nothing is bridged. No extrapolation to bucket edges.
+    """
+    ws = Window.partitionBy(*SERIES_KEYS).orderBy("bucket")
+    before = F.lag("last_ts").over(ws)
+    near = F.unix_micros("first_ts") - F.unix_micros(before) <= range_minutes * 60_000_000
+    pv, pts = F.when(near, F.lag("last_v").over(ws)), F.when(near, before)
     cross = F.when(pv.isNull(), F.lit(None)).when(F.col("first_v") >= pv, F.col("first_v") - pv) \
         .otherwise(F.col("first_v"))
     start = F.coalesce(pts, F.col("first_ts"))
     secs = (F.unix_micros(F.col("last_ts")) - F.unix_micros(start)) / F.lit(1e6)
     total = F.coalesce(F.col("inc_in"), F.lit(0.0)) + F.coalesce(cross, F.lit(0.0))
     has_pair = F.col("inc_in").isNotNull() | cross.isNotNull()
-    return (within.select(*keys, "bucket",
-                          F.when(has_pair & (secs > 0), total / secs).alias("rate"))
+    return (buckets.select(*SERIES_KEYS, "bucket", F.when(has_pair & (secs > 0), total / secs).alias("rate"))
             .where(F.col("rate").isNotNull()))
 
 
@@ -130,11 +142,11 @@ def v1_series(samples, step_minutes: int = 5) -> DataFrame:
     def load(t):
         return samples(t) if callable(samples) else samples.where(F.col("metric_type") == t)
 
-    cpu = counter_rate(source_fallback(load("cpu")), step_minutes)
+    cpu = counter_rate(best_source(counter_buckets(load("cpu"), step_minutes)))
     cpu = sum_by_pod(cpu, "rate").withColumn("metric_type", F.lit("cpu"))
-    mem = resample(source_fallback(load("memory")), step_minutes)
+    mem = best_source(resample(load("memory"), step_minutes))
     mem = sum_by_pod(mem).withColumn("metric_type", F.lit("memory"))
-    rep = resample(source_fallback(load("replicas")), step_minutes)
+    rep = best_source(resample(load("replicas"), step_minutes))
     rep = rep.select(*WL, "pod", "container", "bucket", "value").withColumn("metric_type", F.lit("replicas"))
     return cpu.unionByName(mem).unionByName(rep)
 

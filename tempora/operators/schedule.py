@@ -1,12 +1,11 @@
-"""Trigger evaluation: window state, active trigger, effective bounds, timelines.
+"""Trigger evaluation: window state, active trigger, effective bounds, timelines, event replay.
 
 Inputs are an ``instants`` table (``namespace, deployment, ts``) and the flat
-trigger table of each workload's policy. Instants join triggers by equality
-on the workload (a policy has a handful of triggers, so the trigger side is
-small per key; AQE broadcasts it when its measured size allows). Every later
-aggregate is keyed by ``(workload, ts)`` -- a hot workload is spread over its
-instants -- and the per-key lists are bounded by the number of triggers in
-one policy.
+trigger table of each workload's policies. Instants join the policy's triggers,
+held in one array per policy (a handful of triggers), by equality on the
+workload; everything about one instant is then decided row by row from that
+array, without another shuffle. Where triggers are reported one by one
+(``window_state``), instants join the flat trigger table instead.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from tempora.config import WL
 from tempora.functions import clock as C
 
+# States and error texts of the reports.
+START_ERROR, END_ERROR = "failed to parse start time", "failed to parse end time"
 STATE_UNKNOWN, STATE_BEFORE, STATE_WITHIN, STATE_AFTER = "Unknown", "Before", "Within", "After"
 
 
@@ -26,8 +27,8 @@ def prepare_triggers(triggers: DataFrame, spark: SparkSession) -> DataFrame:
     t = C.with_zone(triggers, spark, "timezone", "zone")
     rec = F.coalesce(F.col("recurring"), F.lit(""))
     sd, ed = F.coalesce(F.col("start_date"), F.lit("")), F.coalesce(F.col("end_date"), F.lit(""))
-    err = (F.when(~C.clock_ok(F.col("start_time")), F.lit("failed to parse start time"))
-            .when(~C.clock_ok(F.col("end_time")), F.lit("failed to parse end time")))
+    err = (F.when(~C.clock_ok(F.col("start_time")), F.lit(START_ERROR))
+            .when(~C.clock_ok(F.col("end_time")), F.lit(END_ERROR)))
     gate_kind = (F.when(~F.coalesce(F.col("has_interval"), F.lit(False)), F.lit("none"))
                   .when(rec != "", F.lit("recurring"))
                   .when((sd != "") & (ed != ""),
@@ -79,16 +80,32 @@ def window_state(instants: DataFrame, triggers: DataFrame, spark: SparkSession)
                     local.alias("local_ts"), state.alias("state"), err.alias("error"))
 
 
+def _items(triggers: DataFrame, spark: SparkSession, keys: list[str]) -> DataFrame:
+    """Prepared triggers as structs, those of one name within ``keys`` reduced to the one of the highest
+    priority (then of the least configuration, so ties are settled by the columns)."""
+    t = prepare_triggers(triggers, spark).withColumn("priority", F.coalesce(F.col("priority"), F.lit(0)))
+    rest = ["zone", "_s", "_e", "_err", "_gate", "_codes", "_sd", "_ed", "start_min", "start_max", "end_min", "end_max"]
+    one = F.min(F.struct((-F.col("priority")).alias("np"), *rest)).alias("x")
+    return t.groupBy(*keys, "name").agg(one).select(
+        *keys, F.struct("x.np", "name", (-F.col("x.np")).alias("priority"), *[f"x.{c}" for c in rest]).alias("item"))
+
+
 def trigger_arrays(triggers: DataFrame, spark: SparkSession) -> DataFrame:
     """One row per workload with all its prepared triggers in an array (bounded by the policy size).
 
     This is the static side for streams: each arriving sample evaluates its
     workload's triggers row by row, with no streaming aggregation or state.
     """
-    t = prepare_triggers(triggers, spark)
-    item = F.struct("name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"), "zone", "_s", "_e", "_err",
-                    "_gate", "_codes", "_sd", "_ed", "start_min", "start_max", "end_min", "end_max")
-    return t.groupBy(*WL).agg(F.collect_list(item).alias("triggers"))
+    return _items(triggers, spark, WL).groupBy(*WL).agg(F.array_sort(F.collect_list("item")).alias("triggers"))
+
+
+POLICY = ["policy_namespace", "policy_name", "hpa_target_namespace", "hpa_name"]
+
+
+def policy_arrays(triggers: DataFrame, spark: SparkSession) -> DataFrame:
+    """One row per policy with its prepared triggers, by priority (descending) and name."""
+    keys = WL + POLICY
+    return _items(triggers, spark, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("triggers"))
 
 
 def active_from_array(ts: F.Column, triggers: F.Column) -> F.Column:
@@ -100,14 +117,17 @@ def active_from_array(ts: F.Column, triggers: F.Column) -> F.Column:
     return F.try_element_at(F.array_sort(cands), F.lit(1))
 
 
-def active_trigger(states: DataFrame) -> DataFrame:
-    """Winning Within trigger per (workload, instant): highest priority, then name ascending."""
+def active_trigger(states: DataFrame, instants: DataFrame) -> DataFrame:
+    """Winning Within trigger per (workload, instant): highest priority, then name ascending. Instants
+    of a workload without triggers have none."""
     within = F.col("state") == STATE_WITHIN
     pick = F.min(F.when(within, F.struct((-F.col("priority")).alias("np"), F.col("name").alias("name"))))
-    return (states.groupBy(*WL, "ts")
-            .agg(pick.alias("_w"), F.count(F.when(within, 1)).alias("n_within"))
-            .select(*WL, "ts", F.col("_w.name").alias("active_name"),
-                    (-F.col("_w.np")).alias("active_priority"), "n_within"))
+    won = (states.groupBy(*WL, "ts")
+           .agg(pick.alias("_w"), F.count(F.when(within, 1)).alias("n_within"))
+           .select(*WL, "ts", F.col("_w.name").alias("active_name"),
+                   (-F.col("_w.np")).alias("active_priority"), "n_within"))
+    return instants.select(*WL, "ts").distinct().join(won, WL + ["ts"], "left").withColumn(
+        "n_within", F.coalesce("n_within", F.lit(0).cast("bigint")))
 
 
 def higher_priority_active(states: DataFrame) -> DataFrame:
@@ -127,52 +147,52 @@ def _apply(acc, x):
     return F.when(bad, acc).otherwise(F.struct(mn.alias("mn"), mx.alias("mx")))
 
 
-def effective_bounds(states: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Replica bounds in force at each instant, rebuilt from scratch.
+def _hpa(bounds: DataFrame) -> DataFrame:
+    return bounds.select(F.col("namespace").alias("hpa_target_namespace"), F.col("name").alias("hpa_name"),
+                         F.col("min_replicas").alias("cur_min"), F.col("max_replicas").alias("cur_max"))
+
+
+def effective_bounds(instants: DataFrame, triggers: DataFrame, bounds: DataFrame, spark: SparkSession) -> DataFrame:
+    """Replica bounds of each policy at each instant, rebuilt from scratch.
 
     Triggers are taken by priority (descending, name ascending), each name once.
     When any trigger is Within, the Within triggers of the top priority apply
     their start configs; otherwise every After trigger applies its end config
     in that order (the lowest priority lands last). Invalid configs leave the
-    bounds unchanged. The starting bounds are the HPA's current ones.
+    bounds unchanged. The starting bounds are the HPA's current ones. Instants of
+    a workload without a live trigger come out without bounds. One join of
+    instants with policy arrays; each row is then decided on its own.
     """
-    dedup = Window.partitionBy(*WL, "ts", "name").orderBy(F.desc("priority"))
-    s = states.withColumn("_k", F.row_number().over(dedup)).where("_k = 1")
-    within = F.col("state") == STATE_WITHIN
-    after = F.col("state") == STATE_AFTER
-    g = (s.groupBy(*WL, "ts", "hpa_target_namespace", "hpa_name")
-          .agg(F.max(F.when(within, F.col("priority"))).alias("top"),
-               F.collect_list(F.when(within, F.struct((-F.col("priority")).alias("np"), "name",
-                                                       F.col("start_min").alias("mn"),
-                                                       F.col("start_max").alias("mx")))).alias("_w"),
-               F.collect_list(F.when(after, F.struct((-F.col("priority")).alias("np"), "name",
-                                                      F.col("end_min").alias("mn"),
-                                                      F.col("end_max").alias("mx")))).alias("_a")))
-    b = bounds.select(F.col("namespace").alias("hpa_target_namespace"), F.col("name").alias("hpa_name"),
-                      F.col("min_replicas").alias("cur_min"), F.col("max_replicas").alias("cur_max"))
-    g = g.join(b, ["hpa_target_namespace", "hpa_name"], "left")
-    applied = F.when(F.col("top").isNotNull(),
-                     F.array_sort(F.filter("_w", lambda x: -x["np"] == F.col("top")))) \
-        .otherwise(F.array_sort(F.col("_a")))
-    steps = F.transform(applied, lambda x: F.struct(x["mn"].alias("mn"), x["mx"].alias("mx")))
-    zero = F.struct(F.col("cur_min").alias("mn"), F.col("cur_max").alias("mx"))
-    folded = F.aggregate(steps, zero, _apply)
+    j = (instants.join(policy_arrays(triggers, spark), WL, "left")
+         .join(_hpa(bounds), ["hpa_target_namespace", "hpa_name"], "left"))
+    seen = F.transform(F.col("triggers"), lambda x: F.struct(
+        x["np"].alias("np"), state_columns(F.col("ts"), x)[1].alias("state"),
+        F.struct(x["start_min"].alias("mn"), x["start_max"].alias("mx")).alias("start"),
+        F.struct(x["end_min"].alias("mn"), x["end_max"].alias("mx")).alias("end")))
+    j = j.withColumn("_seen", F.coalesce(seen, F.array().cast(j.select(seen.alias("s")).schema["s"].dataType)))
+    j = (j.withColumn("_w", F.filter("_seen", lambda x: x["state"] == STATE_WITHIN))
+          .withColumn("_a", F.filter("_seen", lambda x: x["state"] == STATE_AFTER)))
+    top = F.get(F.col("_w"), F.lit(0))["np"]
+    steps = F.when(F.size("_w") > 0, F.transform(F.filter("_w", lambda x: x["np"] == top), lambda x: x["start"])) \
+        .otherwise(F.transform("_a", lambda x: x["end"]))
+    folded = F.aggregate(steps, F.struct(F.col("cur_min").alias("mn"), F.col("cur_max").alias("mx")), _apply)
     missing = F.col("cur_max").isNull()
-    return g.select(*WL, "ts",
-                    F.when(F.col("top").isNotNull(), F.lit("start")).when(F.size("_a") > 0, F.lit("end"))
+    return j.select(*WL, "policy_namespace", "policy_name", "ts",
+                    F.when(F.size("_w") > 0, F.lit("start")).when(F.size("_a") > 0, F.lit("end"))
                      .otherwise(F.lit("none")).alias("source"),
                     F.when(missing, F.lit(None)).otherwise(folded["mn"]).alias("min_replicas"),
                     F.when(missing, F.lit(None)).otherwise(folded["mx"]).alias("max_replicas"),
-                    F.when(missing, F.lit("hpa not found")).alias("error"))
+                    F.when(F.col("policy_name").isNull(), F.lit("no policy"))
+                     .when(missing, F.lit("hpa not found")).alias("error"))
 
 
 def schedule_timeline(bounds_at: DataFrame) -> DataFrame:
-    """Collapse equal neighbours: keep the instants where a workload's bounds change.
+    """Collapse equal neighbours: keep the instants where a policy's bounds change.
 
-    The window is per workload in time order over instants already reduced to
+    The window is per policy in time order over instants already reduced to
     the sample step, so one partition holds at most span/step rows.
     """
-    w = Window.partitionBy(*WL).orderBy("ts")
+    w = Window.partitionBy(*WL, "policy_namespace", "policy_name").orderBy("ts")
     prev = F.struct(F.lag("min_replicas").over(w).alias("a"), F.lag("max_replicas").over(w).alias("b"))
     cur = F.struct(F.col("min_replicas").alias("a"), F.col("max_replicas").alias("b"))
     first = F.row_number().over(w) == 1
@@ -225,20 +245,81 @@ def trigger_validation(triggers: DataFrame, spark: SparkSession) -> DataFrame:
     return (t.select("policy_namespace", "policy_name", "name", F.explode(arr).alias("rule")))
 
 
+def _local_ticks(t: DataFrame, minutes: F.Column) -> DataFrame:
+    """UTC instants of clock minutes of every local day in the span of each prepared trigger."""
+    day = F.explode(F.sequence(F.date_sub(F.to_date("t0"), 1), F.date_add(F.to_date("t1"), 1)))
+    d = t.select("*", day.alias("day")).select("*", F.posexplode(minutes).alias("which", "m"))
+    local = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("m") * 60)
+    return (d.withColumn("local_ts", local).withColumn("ts", F.to_utc_timestamp(local, F.col("zone")))
+            .where(F.col("ts").between(F.col("t0"), F.col("t1"))))
+
+
 def boundary_instants(triggers: DataFrame, span: DataFrame, spark: SparkSession) -> DataFrame:
-    """Exact start/end instants of every trigger on every local day of its workload's span.
+    """Instants at which a bound rebuilt from scratch can change, for each workload's span.
 
-    ``span`` has one row per workload with ``t0``/``t1`` (the instants to cover). Each
-    trigger expands to (days in span + 2) x 2 local clock times, converted to UTC with the
-    trigger's zone; rows outside [t0, t1] are dropped. Work grows with triggers x days.
+    ``span`` has one row per workload with ``t0``/``t1`` (the instants to cover). These are the
+    span's start; the start, the end and the midnight of every local day of each trigger, by its
+    zone; and the first second in and after a date range. Work grows with triggers x days.
     """
     t = prepare_triggers(triggers, spark).where(F.col("_err").isNull()).join(span, WL)
-    day = F.explode(F.sequence(F.date_sub(F.to_date("t0"), 1), F.date_add(F.to_date("t1"), 1)))
-    d = t.select(*WL, "zone", "t0", "t1", "_s", "_e", day.alias("day"))
-    m = F.explode(F.array("_s", "_e"))
-    local = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("m") * 60)
-    ticks = d.select(*WL, "t0", "t1", "zone", "day", m.alias("m"))
-    utc = F.to_utc_timestamp(local, F.col("zone"))
-    return (ticks.select(*WL, utc.alias("ts"), "t0", "t1")
-            .where(F.col("ts").between(F.col("t0"), F.col("t1")))
-            .select(*WL, "ts").distinct())
+    clock = _local_ticks(t, F.array("_s", "_e", F.lit(0))).select(*WL, "ts")
+    dates = (t.where(F.col("_gate") == "range")
+             .select(*WL, "t0", "t1", F.explode(F.array(F.timestamp_seconds(F.unix_seconds("_sd") + 1), F.col("_ed"))).alias("ts"))
+             .where(F.col("ts").between(F.col("t0"), F.col("t1"))).select(*WL, "ts"))
+    return clock.unionByName(dates).unionByName(span.select(*WL, F.col("t0").alias("ts"))).distinct()
+
+
+def trigger_events(triggers: DataFrame, span: DataFrame, spark: SparkSession) -> DataFrame:
+    """Start and end events of each policy's recurring triggers, and what each of them applies.
+
+    A trigger starts and ends on the local days of its recurrence. At a start its start config is
+    applied, unless another trigger of higher priority is Within. At an end nothing happens while
+    another trigger of higher priority is Within; else the next trigger's start config is applied
+    (recurring triggers that are Within, by priority and name), or, if there is none, the ended
+    trigger's own end config. Columns: the policy, ``ts``, ``name``, ``kind`` (start or end),
+    ``applied`` (the trigger whose config is applied, null for none), ``mn`` and ``mx``.
+    """
+    t = prepare_triggers(triggers, spark).where((F.col("_err").isNull()) & (F.col("_gate") == "recurring")).join(span, WL)
+    ev = _local_ticks(t, F.array("_s", "_e")).where(F.array_contains("_codes", C.local_day_code(F.col("local_ts"))))
+    ev = ev.select(*WL, *POLICY, "ts", "name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"),
+                   F.when(F.col("which") == 0, F.lit("start")).otherwise(F.lit("end")).alias("kind"),
+                   F.struct("name", F.col("start_min").alias("mn"), F.col("start_max").alias("mx")).alias("own_start"),
+                   F.struct("name", F.col("end_min").alias("mn"), F.col("end_max").alias("mx")).alias("own_end"))
+    j = ev.join(policy_arrays(triggers, spark), WL + POLICY)
+    others = F.filter("triggers", lambda x: (x["name"] != F.col("name")) & (state_columns(F.col("ts"), x)[1] == STATE_WITHIN))
+    j = j.withColumn("_others", others)
+    j = j.withColumn("_next", F.get(F.filter("_others", lambda x: x["_gate"] == "recurring"), F.lit(0)))
+    higher = F.exists("_others", lambda x: x["priority"] > F.col("priority"))
+    next_start = F.struct(F.col("_next")["name"].alias("name"), F.col("_next")["start_min"].alias("mn"), F.col("_next")["start_max"].alias("mx"))
+    chosen = (F.when((F.col("kind") == "start") & ~higher, F.col("own_start"))
+               .when((F.col("kind") == "end") & F.col("_next").isNull(), F.col("own_end"))
+               .when((F.col("kind") == "end") & (F.col("_next")["priority"] <= F.col("priority")), next_start))
+    return j.select(*WL, *POLICY, "ts", "name", "priority", "kind", chosen.alias("c")).select(
+        *WL, *POLICY, "ts", "name", "priority", "kind", F.col("c.name").alias("applied"), F.col("c.mn").alias("mn"), F.col("c.mx").alias("mx"))
+
+
+def bounds_replay(events: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Bounds of each policy after each of its events, carried forward from event to event.
+
+    A fold over the policy's events in order (time; ends before starts; priority descending; name):
+    a config replaces the bounds it names, a config that is invalid together with the bounds in force
+    is rejected, an event that applies nothing changes nothing. Unlike ``effective_bounds``, which
+    rebuilds the bounds of any instant from the triggers' states alone, bounds stay as the last event
+    left them. A policy has at most two events a trigger and day of the span, whatever the samples.
+    """
+    one = F.struct("ts", (F.col("kind") != "end").alias("later"), (-F.col("priority")).alias("np"), "name", "kind", "applied", "mn", "mx")
+    g = (events.groupBy(*WL, *POLICY).agg(F.array_sort(F.collect_list(one)).alias("ev"))
+         .join(_hpa(bounds), ["hpa_target_namespace", "hpa_name"], "left"))
+    state = F.struct(F.col("cur_min").alias("mn"), F.col("cur_max").alias("mx"))
+
+    def step(acc, x):
+        return F.concat(acc, F.array(_apply(F.element_at(acc, -1), x)))
+
+    after = F.aggregate("ev", F.array(state), step, lambda a: F.slice(a, F.lit(2), F.size(a)))
+    rows = g.select(*WL, *POLICY, "cur_max", F.posexplode(F.arrays_zip("ev", after.alias("after"))).alias("i", "x"))
+    missing = F.col("cur_max").isNull()
+    return rows.select(*WL, "policy_namespace", "policy_name", (F.col("i") + 1).alias("event"), F.col("x.ev.ts").alias("ts"),
+                       F.col("x.ev.name").alias("name"), F.col("x.ev.kind").alias("kind"), F.col("x.ev.applied").alias("applied"),
+                       F.when(~missing, F.col("x.after.mn")).alias("min_replicas"),
+                       F.when(~missing, F.col("x.after.mx")).alias("max_replicas"),
+                       F.when(missing, F.lit("hpa not found")).alias("error"))

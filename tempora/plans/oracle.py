@@ -7,8 +7,6 @@ instants as ``YYYY-MM-DD HH:MM:SS`` text, lists as CSV text, integers BIGINT.
 
 from __future__ import annotations
 
-from tempora.config import DAY_CODES, EXPECTED_BANDS, TYPE_PRIORITY, DetectConfig
-
 ORACLE: dict[str, str] = {}
 
 
@@ -20,34 +18,61 @@ def _str_list(xs) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-CODES = _str_list(DAY_CODES)
+# Constants of the restatement, written out here and not taken from the engine.
+CODES = "['M', 'TU', 'W', 'TH', 'F', 'SAT', 'SUN']"
+PRIORITY_CASE = ("WHEN 'peak' THEN 100 WHEN 'weekday' THEN 90 WHEN 'morning' THEN 80 WHEN 'evening' THEN 75 "
+                 "WHEN 'afternoon' THEN 70 WHEN 'weekend' THEN 60 WHEN 'night' THEN 50 WHEN 'off-peak' THEN 40 "
+                 "WHEN 'seasonal' THEN 30")
+AS_OF = "TIMESTAMP '2024-01-28 00:00:00'"
+WEEK = [0, 1, 2, 3, 4]
+DETECTORS = [  # type, hours, days, confidence floor, least cells, maximum over the cells' maxima
+    ("peak", [9, 10, 11, 12, 13, 14, 15, 16], WEEK, 0.5, 1, True),
+    ("off-peak", [17, 18, 19, 20, 21, 22, 23, 0, 1, 2, 3, 4, 5, 6, 7, 8], WEEK, 0.5, 1, True),
+    ("night", [22, 23, 0, 1, 2, 3, 4, 5], WEEK, 0.5, 1, False),
+    ("weekend", list(range(24)), [5, 6], 0.5, 1, False),
+    ("morning", [6, 7, 8], WEEK, 0.4, 5, False),
+    ("evening", [17, 18, 19, 20, 21], WEEK, 0.4, 5, False),
+]
+
 
 # Derived samples shared by all queries ------------------------------------
-EV = """
+def _ev(days: int | None = None) -> str:
+    keep = "" if days is None else f" WHERE ts BETWEEN {AS_OF} - INTERVAL {days} DAY AND {AS_OF}"
+    return f"""
 ev AS (
   SELECT event_id, ts, user_id, event_type, value,
-         'ns-' || CAST(user_id % 10 % 3 AS VARCHAR) AS namespace,
-         'app-' || CAST(user_id % 10 AS VARCHAR) AS deployment,
-         'pod-' || CAST(user_id AS VARCHAR) AS pod
-  FROM events)"""
+         'ns-' || CAST(user_id % 3 AS VARCHAR) AS namespace,
+         'app-' || CAST(user_id AS VARCHAR) AS deployment,
+         'pod-' || CAST(event_id % 3 AS VARCHAR) AS pod
+  FROM events{keep})"""
+
 
-RS = EV + """,
+def _rs(days: int | None = None) -> str:
+    return _ev(days) + """,
 rs AS (
   SELECT namespace, deployment, b AS ts,
-         greatest(CAST(0 AS DOUBLE), max(CAST(floor(value / 25) AS DOUBLE)
-           + CASE WHEN isodow(b) <= 5 AND hour(b) >= 9 AND hour(b) < 17 THEN 4.0 ELSE 1.0 END)) AS value
+         greatest(CAST(0 AS DOUBLE), max(CAST(3 + floor(sqrt(greatest(value, 0))) AS DOUBLE))) AS value
   FROM (SELECT *, time_bucket(INTERVAL '5 minutes', ts) AS b FROM ev
         WHERE value IS NOT NULL AND NOT isnan(value))
   GROUP BY namespace, deployment, b)"""
 
-CL = RS + """,
+
+EV, RS = _ev(), _rs()
+
+
+def _cl(days: int | None = None) -> str:
+    return _rs(days) + CLEAN_TAIL
+
+
+CLEAN_TAIL = """,
 st0 AS (SELECT namespace, deployment, avg(value) AS mu, stddev_pop(value) AS sd FROM rs GROUP BY 1, 2),
 cl AS (
   SELECT r.namespace, r.deployment, r.ts, greatest(r.value, CAST(1 AS DOUBLE)) AS value
   FROM rs r JOIN st0 s ON r.namespace = s.namespace AND r.deployment = s.deployment
   WHERE s.sd <= 0 OR (r.value >= s.mu - 3.0 * s.sd AND r.value <= s.mu + 3.0 * s.sd))"""
 
-PROFILE = CL + """,
+CL = _cl()
+PROFILE_TAIL = """,
 hp AS (
   SELECT namespace, deployment, isodow(ts) - 1 AS dow, hour(ts) AS hour,
          avg(value) AS avg, max(value) AS mx, min(value) AS mn, stddev_pop(value) AS sd, count(*) AS n
@@ -66,17 +91,20 @@ dm AS (
   FROM dp GROUP BY ALL)"""
 
 
-def _detector_values(cfg: DetectConfig) -> tuple[str, str]:
+PROFILE = CL + PROFILE_TAIL
+
+
+def _detector_values() -> tuple[str, str]:
     meta = ",\n    ".join(
         f"('{t}', {i}, {_sql_list(h)}, {_sql_list(d)}, {fl}, {mc}, {'true' if mx else 'false'})"
-        for i, (t, h, d, fl, mc, mx) in enumerate(cfg.detectors()))
-    mem = ", ".join(f"('{t}', {d}, {hh})" for t, h, ds, *_ in cfg.detectors() for d in ds for hh in h)
+        for i, (t, h, d, fl, mc, mx) in enumerate(DETECTORS))
+    mem = ", ".join(f"('{t}', {d}, {hh})" for t, h, ds, *_ in DETECTORS for d in ds for hh in h)
     return meta, mem
 
 
-def patterns_cte(cfg: DetectConfig = DetectConfig()) -> str:
-    meta, mem = _detector_values(cfg)
-    return PROFILE + f""",
+def patterns_cte(days: int | None = None) -> str:
+    meta, mem = _detector_values()
+    return _cl(days) + PROFILE_TAIL + f""",
 meta(pattern_type, det_order, hours, days, conf_floor, min_cells, use_cell_max) AS (VALUES
     {meta}),
 mem(pattern_type, dow, hour) AS (VALUES {mem}),
@@ -100,7 +128,7 @@ gj AS (
          LEFT JOIN dm ON dm.namespace = g.namespace AND dm.deployment = g.deployment),
 pat AS (
   SELECT * FROM gj
-  WHERE g_max > 0 AND confidence >= {cfg.min_confidence} AND (
+  WHERE g_max > 0 AND confidence >= 0.6 AND (
      (pattern_type = 'peak' AND avg_replicas >= coalesce(daily_mean, 0) * 0.8)
   OR (pattern_type IN ('off-peak', 'night') AND avg_replicas <= gq[2])
   OR (pattern_type = 'weekend' AND abs(avg_replicas - coalesce(weekday_mean, 0)) >= g_std * 0.5)
@@ -112,17 +140,16 @@ def _hh(expr: str) -> str:
     return f"lpad(CAST({expr} AS VARCHAR), 2, '0')"
 
 
-def v2_trigger_cte(cfg: DetectConfig = DetectConfig()) -> str:
-    prio = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_PRIORITY.items())
-    b = cfg.replica_buffer_percent
-    if cfg.wrap_aware:
+def v2_trigger_cte(wrap_aware: bool = False) -> str:
+    b = 0.2
+    if wrap_aware:
         start = f"{_hh('hours[1]')} || ':00:00'"
         end = (f"CASE WHEN hours[len(hours)] + 1 >= 24 THEN '23:59:59' "
                f"ELSE {_hh('hours[len(hours)] + 1')} || ':00:00' END")
     else:
         start = f"{_hh('list_min(hours)')} || ':00:00'"
         end = f"{_hh('least(list_max(hours) + 1, 23)')} || ':00:00'"
-    return patterns_cte(cfg) + f""",
+    return patterns_cte() + f""",
 t0 AS (
   SELECT namespace, deployment, det_order, pattern_type, confidence,
          CASE WHEN days = [5, 6] THEN 'weekend' WHEN days = [0, 1, 2, 3, 4] THEN 'weekday' ELSE 'custom' END
@@ -130,8 +157,8 @@ t0 AS (
          CASE WHEN hours[1] >= 22 OR hours[1] < 6 THEN 'night' WHEN hours[1] < 9 THEN 'morning'
               WHEN hours[1] < 12 THEN 'late-morning' WHEN hours[1] < 17 THEN 'afternoon' ELSE 'evening' END
          || '-' || pattern_type AS name,
-         coalesce(CASE pattern_type {prio} END, 50) AS priority,
-         '{cfg.timezone}' AS timezone,
+         coalesce(CASE pattern_type {PRIORITY_CASE} END, 50) AS priority,
+         'UTC' AS timezone,
          {start} AS start_time,
          {end} AS end_time,
          array_to_string(list_transform(list_sort(days), lambda d: {CODES}[d + 1]), ',') AS recurring,
@@ -155,27 +182,27 @@ dflt_wl AS (
   SELECT ws.* FROM ws
   WHERE NOT EXISTS (SELECT 1 FROM pat p WHERE p.namespace = ws.namespace AND p.deployment = ws.deployment)),
 dflt AS (
-  {default_rows_sql('dflt_wl', cfg)})"""
+  {default_rows_sql('dflt_wl')})"""
 
 
-def default_rows_sql(src: str, cfg: DetectConfig = DetectConfig()) -> str:
-    b = cfg.replica_buffer_percent
+def default_rows_sql(src: str) -> str:
+    b = 0.2
     mn = f"greatest(1, CAST(trunc(q[1] * (1 - {b})) AS BIGINT))"
     mx = f"greatest({mn} + 1, CAST(trunc(mx * (1 + {b})) AS BIGINT))"
     cols = ("namespace, deployment, name, pattern_type, priority, timezone, start_time, end_time, recurring, "
             "min_replicas, max_replicas, end_min_replicas, end_max_replicas, confidence")
     return f"""SELECT {cols} FROM (
     SELECT namespace, deployment, 'default-baseline' AS name, 'weekday' AS pattern_type, 100 AS priority,
-           '{cfg.timezone}' AS timezone, '09:00:00' AS start_time, '17:00:00' AS end_time,
+           'UTC' AS timezone, '09:00:00' AS start_time, '17:00:00' AS end_time,
            'M,TU,W,TH,F' AS recurring, 2 AS min_replicas, 10 AS max_replicas, 1 AS end_min_replicas,
            2 AS end_max_replicas, 0.5 AS confidence
     FROM {src} WHERE coalesce(mx, 0) = 0
     UNION ALL
-    SELECT namespace, deployment, 'default-business-hours', 'peak', 100, '{cfg.timezone}', '09:00:00',
+    SELECT namespace, deployment, 'default-business-hours', 'peak', 100, 'UTC', '09:00:00',
            '17:00:00', 'M,TU,W,TH,F', {mn}, {mx}, 1, greatest(2, {mn}), 0.5
     FROM {src} WHERE coalesce(mx, 0) <> 0
     UNION ALL
-    SELECT namespace, deployment, 'default-weekend', 'weekend', 60, '{cfg.timezone}', '00:00:00',
+    SELECT namespace, deployment, 'default-weekend', 'weekend', 60, 'UTC', '00:00:00',
            '23:59:00', 'SAT,SUN', greatest(1, ({mn}) // 2), greatest(2, ({mx}) // 2), 1,
            greatest(2, greatest(1, ({mn}) // 2)), 0.5
     FROM {src} WHERE coalesce(mx, 0) <> 0)"""
@@ -240,15 +267,20 @@ SELECT namespace, deployment, segment, CAST(n AS BIGINT) AS count, round(avg, 6)
        round(mn, 6) AS min, round(mx, 6) AS max
 FROM seg""")
 
-_BANDS = ", ".join(f"('{s}', {float(lo)}, {float(hi)}, {float(a)})" for s, _, _, lo, hi, a in EXPECTED_BANDS)
-_reg("expected_band_check", f"""WITH {SEGMENT},
-bands(segment, exp_min, exp_max, exp_avg) AS (VALUES {_BANDS})
+_reg("expected_band_check", f"""WITH {CL},
+seg AS (
+  SELECT namespace, deployment, dayofmonth(ts) <= 15 AS early,
+         CASE WHEN isodow(ts) - 1 >= 5 THEN 'weekend'
+              WHEN hour(ts) >= 9 AND hour(ts) < 17 THEN 'peak' ELSE 'off_peak' END AS segment,
+         count(*) AS n, avg(value) AS avg, min(value) AS mn, max(value) AS mx
+  FROM cl GROUP BY ALL)
 SELECT s.namespace, s.deployment, s.segment, CAST(s.n AS BIGINT) AS count, round(s.avg, 6) AS avg,
-       round(s.mn, 6) AS min, round(s.mx, 6) AS max, round(b.exp_min, 6) AS exp_min,
-       round(b.exp_max, 6) AS exp_max, round(b.exp_avg, 6) AS exp_avg,
-       (s.mn >= b.exp_min AND s.mx <= b.exp_max) AS in_band,
-       (abs(s.avg - b.exp_avg) <= b.exp_avg * 0.5) AS avg_close
-FROM seg s JOIN bands b ON s.segment = b.segment""")
+       round(s.mn, 6) AS min, round(s.mx, 6) AS max, round(b.mn, 6) AS exp_min,
+       round(b.mx, 6) AS exp_max, round(b.avg, 6) AS exp_avg,
+       (s.mn >= b.mn AND s.mx <= b.mx) AS in_band,
+       (abs(s.avg - b.avg) <= b.avg * 0.5) AS avg_close
+FROM seg s JOIN seg b ON s.namespace = b.namespace AND s.deployment = b.deployment AND s.segment = b.segment
+WHERE NOT s.early AND b.early""")
 
 _reg("detector_patterns", f"""WITH {patterns_cte()}
 SELECT namespace, deployment, pattern_type, array_to_string(hours, ',') AS hours,
@@ -261,11 +293,17 @@ FROM pat""")
 _reg("v2_triggers", f"""WITH {v2_trigger_cte()}
 {TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
 
-_reg("v2_triggers_wrap_aware", f"""WITH {v2_trigger_cte(DetectConfig(wrap_aware=True))}
+_reg("v2_triggers_wrap_aware", f"""WITH {v2_trigger_cte(wrap_aware=True)}
 {TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
 
-_reg("v2_default_triggers", f"""WITH {PROFILE},
-d AS ({default_rows_sql('ws')})
+_reg("v2_default_triggers", f"""WITH {patterns_cte(2)},
+roster AS (SELECT DISTINCT 'ns-' || CAST(user_id % 3 AS VARCHAR) AS namespace, 'app-' || CAST(user_id AS VARCHAR) AS deployment
+           FROM events),
+need AS (
+  SELECT r.namespace, r.deployment, ws.mx, ws.q
+  FROM roster r LEFT JOIN ws ON r.namespace = ws.namespace AND r.deployment = ws.deployment
+  WHERE NOT EXISTS (SELECT 1 FROM pat p WHERE p.namespace = r.namespace AND p.deployment = r.deployment)),
+d AS ({default_rows_sql('need')})
 {TRIG_OUT} FROM d""")
 
 
@@ -273,43 +311,59 @@ d AS ({default_rows_sql('ws')})
 # trigger evaluation
 # ---------------------------------------------------------------------------
 
-def _lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return str(v)
-    return "'" + str(v).replace("'", "''") + "'"
+_SETS = """
+  (0, 'rush', 70, 'Europe/Berlin', true, 'M,TU,W,TH,F', NULL, NULL, -1, ':15:00', 3, ':45:00', 4, 9, 2, 4, false),
+  (0, 'lull', 20, 'Europe/Berlin', true, 'M,TU,W,TH,F', NULL, NULL, 3, ':45:00', -1, ':15:00', 1, 3, 1, 2, false),
+  (0, 'idle-days', 10, 'Europe/Berlin', true, 'SAT,SUN', NULL, NULL, NULL, '00:00:00', NULL, '23:59:59', 1, 2, NULL, NULL, false),
+  (1, 'core', 90, 'Asia/Tokyo', true, 'M,W,F', NULL, NULL, 0, ':00:00', 2, ':20:00', 7, 12, NULL, NULL, false),
+  (1, 'tail', 40, 'Asia/Tokyo', true, 'M,TU,W,TH', NULL, NULL, 1, ':40:00', 5, ':00:00', 4, 8, NULL, NULL, false),
+  (2, 'late', 60, 'UTC', true, 'TU,TH,SUN', NULL, NULL, 6, ':05:00', 9, ':50:00', 3, 8, 1, 2, false),
+  (2, 'later', 60, 'UTC', true, 'TU,TH,SUN', NULL, NULL, 7, ':10:00', 10, ':35:00', 2, 6, 1, 3, false),
+  (3, 'day', 55, 'America/New_York', true, 'M,TU,W,TH,F', NULL, NULL, -4, ':00:00', 6, ':30:00', 4, 11, 1, 4, false),
+  (3, 'pause-a', 33, 'America/New_York', true, 'SAT,SUN', NULL, NULL, NULL, '00:00:00', NULL, '23:59:59', 2, 6, 1, 3, false),
+  (3, 'pause-b', 32, 'America/New_York', true, 'SAT,SUN', NULL, NULL, NULL, '00:00:00', NULL, '23:59:59', 3, 7, 1, 3, false),
+  (4, 'base', 15, 'UTC', true, 'SUN,M,TU,W,TH,F,SAT', NULL, NULL, -3, ':00:00', 5, ':00:00', 2, 6, 1, 4, false),
+  (4, 'spike', 25, 'UTC', true, 'SUN,M,TU,W,TH,F,SAT', NULL, NULL, 0, ':30:00', 2, ':00:00', 5, 12, 2, 7, false),
+  (5, 'dated', 30, 'UTC', true, NULL, 4, 16, -2, ':00:00', 4, ':00:00', 4, 8, 1, 3, false),
+  (5, 'friday-night', 45, 'UTC', true, 'F', NULL, NULL, NULL, '22:30:00', NULL, '05:30:00', 2, 9, 1, 4, false),
+  (5, 'odd-zone', NULL, 'Nowhere/Land', true, 'M, XX', NULL, NULL, NULL, '00:00:00', NULL, '12:00:00', 2, 4, NULL, NULL, false),
+  (5, 'parked', 95, 'UTC', true, 'M,TU,W,TH,F', NULL, NULL, NULL, '00:00:00', NULL, '23:59:00', 9, 9, 1, 2, true),
+  (5, 'no-clock', 85, 'UTC', true, 'M,TU,W,TH,F', NULL, NULL, NULL, 'soon', 5, ':00:00', 3, 3, 1, 2, false),
+  (5, 'no-days', 75, 'UTC', false, NULL, NULL, NULL, NULL, '00:00:00', NULL, '23:00:00', 6, 6, 1, 2, false),
+  (5, 'crossed', 35, 'UTC', true, 'SAT,SUN', NULL, NULL, 0, ':00:00', 2, ':00:00', 6, 3, 1, 5, false),
+  (6, 'asleep', 50, 'UTC', true, 'SUN,M,TU,W,TH,F,SAT', NULL, NULL, 0, ':00:00', 4, ':00:00', 2, 5, 1, 2, true)"""
+
+
+def _set_clock(hours: str, text: str) -> str:
+    return (f"CASE WHEN t.{hours} IS NULL THEN t.{text} "
+            f"ELSE lpad(CAST((w.busy_hour + t.{hours} + 24) % 24 AS VARCHAR), 2, '0') || t.{text} END")
 
 
 def _policy_tail(trig_name: str = "trig", inst_sql: str = "SELECT namespace, deployment, ts FROM rs") -> str:
-    from tempora.sources.policies import (HPA_START_MAX, HPA_START_MIN, N_SETS, SET_HPA_NAMESPACE,
-                                          TRIGGER_FIELDS, TRIGGER_SETS)
-
-    cols = ", ".join(n for n, _ in TRIGGER_FIELDS)
-    vals = ",\n    ".join("(" + ", ".join(_lit(v) for v in row) + ")" for row in TRIGGER_SETS)
-    casts = ", ".join(f"CAST({n} AS {'INTEGER' if t == 'int' else 'BOOLEAN' if t == 'boolean' else 'VARCHAR'})"
-                      f" AS {n}" for n, t in TRIGGER_FIELDS)
-    hns = " ".join(f"WHEN {k} THEN '{v}'" for k, v in SET_HPA_NAMESPACE.items() if v is not None)
     return f""",
-wls AS (SELECT DISTINCT namespace, deployment FROM rs),
-tset0({cols}) AS (VALUES
-    {vals}),
-tset AS (SELECT {casts} FROM tset0),
+wls AS (
+  SELECT namespace, deployment, first(h ORDER BY n DESC, h) AS busy_hour, CAST(min(t) AS DATE) AS since
+  FROM (SELECT namespace, deployment, hour(ts) AS h, count(*) AS n, min(ts) AS t FROM rs GROUP BY ALL)
+  GROUP BY namespace, deployment),
+tset(set_id, name, priority, timezone, has_interval, recurring, d0, d1, h0, c0, h1, c1, start_min, start_max,
+     end_min, end_max, suspend) AS (VALUES {_SETS}),
 pol AS (
-  SELECT namespace, deployment, ascii(right(deployment, 1)) % {N_SETS} AS set_id,
+  SELECT namespace, deployment, ascii(right(deployment, 1)) % 7 AS set_id,
          namespace AS policy_namespace, deployment || '-schedule' AS policy_name,
-         CASE ascii(right(deployment, 1)) % {N_SETS} {hns} END AS hpa_namespace,
+         CASE WHEN ascii(right(deployment, 1)) % 7 = 2 THEN 'shared' END AS hpa_namespace,
          deployment || '-hpa' AS hpa_name
   FROM wls),
 trig_all AS (
   SELECT p.namespace, p.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
-         coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace, t.*
-  FROM pol p JOIN tset t ON p.set_id = t.set_id),
+         coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace,
+         t.name, t.priority, t.timezone, t.has_interval, t.recurring,
+         strftime(w.since + CAST(t.d0 AS INTEGER), '%Y-%m-%d') AS start_date,
+         strftime(w.since + CAST(t.d1 AS INTEGER), '%Y-%m-%d') AS end_date,
+         {_set_clock('h0', 'c0')} AS start_time, {_set_clock('h1', 'c1')} AS end_time,
+         t.start_min, t.start_max, t.end_min, t.end_max, t.suspend
+  FROM pol p JOIN wls w ON p.namespace = w.namespace AND p.deployment = w.deployment JOIN tset t ON p.set_id = t.set_id),
 {trig_name} AS (SELECT * FROM trig_all WHERE NOT suspend),
-hpa AS (SELECT namespace AS hns, deployment || '-hpa' AS hname, {HPA_START_MIN} AS cur_min,
-               {HPA_START_MAX} AS cur_max FROM wls),
+hpa AS (SELECT namespace AS hns, deployment || '-hpa' AS hname, 1 AS cur_min, 5 AS cur_max FROM wls),
 inst AS ({inst_sql})"""
 
 
@@ -363,23 +417,27 @@ st AS (
               WHEN cur >= e THEN 'After' ELSE 'Before' END AS state
   FROM j1),
 act AS (
-  SELECT namespace, deployment, ts,
+  SELECT i.namespace, i.deployment, i.ts,
          first(name ORDER BY priority DESC, name) FILTER (WHERE state = 'Within') AS active_name,
          max(priority) FILTER (WHERE state = 'Within') AS active_priority,
          count(*) FILTER (WHERE state = 'Within') AS n_within
-  FROM st GROUP BY ALL),
-dd AS (
-  SELECT *, row_number() OVER (PARTITION BY namespace, deployment, ts, name ORDER BY priority DESC) AS k FROM st),
+  FROM (SELECT DISTINCT namespace, deployment, ts FROM inst) i
+  LEFT JOIN st ON i.namespace = st.namespace AND i.deployment = st.deployment AND i.ts = st.ts
+  GROUP BY i.namespace, i.deployment, i.ts),
+livepol AS (SELECT DISTINCT namespace, deployment, policy_namespace, policy_name, hpa_target_namespace, hpa_name FROM trig),
 gb AS (
-  SELECT namespace, deployment, ts, hpa_target_namespace, hpa_name,
+  SELECT i.namespace, i.deployment, i.ts, p.policy_namespace, p.policy_name, p.hpa_target_namespace, p.hpa_name,
          max(priority) FILTER (WHERE state = 'Within') AS top,
          list({{'np': -priority, 'name': name, 'mn': start_min, 'mx': start_max}} ORDER BY -priority, name)
            FILTER (WHERE state = 'Within') AS w,
          list({{'np': -priority, 'name': name, 'mn': end_min, 'mx': end_max}} ORDER BY -priority, name)
            FILTER (WHERE state = 'After') AS a
-  FROM dd WHERE k = 1 GROUP BY ALL),
+  FROM inst i LEFT JOIN livepol p ON i.namespace = p.namespace AND i.deployment = p.deployment
+  LEFT JOIN st ON i.namespace = st.namespace AND i.deployment = st.deployment AND i.ts = st.ts
+              AND p.policy_namespace = st.policy_namespace AND p.policy_name = st.policy_name
+  GROUP BY ALL),
 eb AS (
-  SELECT gb.namespace, gb.deployment, gb.ts,
+  SELECT gb.namespace, gb.deployment, gb.ts, gb.policy_namespace, gb.policy_name,
          CASE WHEN top IS NOT NULL THEN 'start' WHEN len(coalesce(a, [])) > 0 THEN 'end' ELSE 'none' END AS source,
          hpa.cur_min, hpa.cur_max,
          list_reduce(
@@ -392,10 +450,10 @@ eb AS (
            {{'mn': hpa.cur_min, 'mx': hpa.cur_max}}) AS f
   FROM gb LEFT JOIN hpa ON gb.hpa_target_namespace = hpa.hns AND gb.hpa_name = hpa.hname),
 bounds AS (
-  SELECT namespace, deployment, ts, source,
+  SELECT namespace, deployment, ts, policy_namespace, policy_name, source,
          CASE WHEN cur_max IS NOT NULL THEN f.mn END AS min_replicas,
          CASE WHEN cur_max IS NOT NULL THEN f.mx END AS max_replicas,
-         CASE WHEN cur_max IS NULL THEN 'hpa not found' END AS error
+         CASE WHEN policy_name IS NULL THEN 'no policy' WHEN cur_max IS NULL THEN 'hpa not found' END AS error
   FROM eb)"""
 STATES = _policy_cte() + STATES_TAIL
 
@@ -418,7 +476,7 @@ SELECT namespace, deployment, {TS}, name, CAST(priority AS BIGINT) AS priority,
 FROM st""")
 
 _reg("effective_bounds", f"""WITH {STATES}
-SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
+SELECT namespace, deployment, policy_namespace, policy_name, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
        CAST(max_replicas AS DOUBLE) AS max_replicas, error
 FROM bounds""")
 
@@ -426,8 +484,8 @@ _reg("schedule_timeline", f"""WITH {STATES},
 lagged AS (
   SELECT *, row_number() OVER w AS rn,
          lag(min_replicas) OVER w AS pmin, lag(max_replicas) OVER w AS pmax
-  FROM bounds WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
-SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
+  FROM bounds WINDOW w AS (PARTITION BY namespace, deployment, policy_namespace, policy_name ORDER BY ts))
+SELECT namespace, deployment, policy_namespace, policy_name, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
        CAST(max_replicas AS DOUBLE) AS max_replicas, error
 FROM lagged
 WHERE rn = 1 OR min_replicas IS DISTINCT FROM pmin OR max_replicas IS DISTINCT FROM pmax""")
@@ -485,19 +543,22 @@ WHERE rule IS NOT NULL""")
 # metric samples, resampling and the merged per-bucket frame
 # ---------------------------------------------------------------------------
 
-def _samples_cte() -> str:
-    from tempora.config import METRIC_SOURCES
-    from tempora.sources.events import EVENT_METRIC
-
-    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_METRIC.items())
-    srcs = ", ".join(f"('{t}', '{n}', {r})" for t, n, r in METRIC_SOURCES)
-    return EV + f""",
-srcs(metric_type, metric_name, src_rank) AS (VALUES {srcs}),
+def _samples_cte(days: int | None = None) -> str:
+    return _ev(days) + """,
+srcs(metric_type, metric_name, src_rank) AS (VALUES
+  ('cpu', 'container_cpu_usage_seconds_total', 0),
+  ('memory', 'container_memory_usage_bytes', 0), ('memory', 'container_memory_working_set_bytes', 1),
+  ('replicas', 'kube_deployment_status_replicas', 0),
+  ('replicas', 'kube_horizontalpodautoscaler_status_current_replicas', 1),
+  ('replicas', 'kube_deployment_status_replicas_ready', 2)),
 ms0 AS (
-  SELECT event_id, ts, namespace, deployment, pod, 'main' AS container,
-         CASE event_type {names} END AS metric_name,
-         CASE WHEN isnan(value) THEN NULL ELSE value END AS value
-  FROM ev),
+  SELECT event_id, ts + to_minutes(CAST(scrape AS BIGINT)) AS ts, namespace, deployment, pod, 'main' AS container,
+         CASE event_type WHEN 'view' THEN 'container_cpu_usage_seconds_total'
+              WHEN 'click' THEN 'container_memory_usage_bytes' WHEN 'signup' THEN 'container_memory_working_set_bytes'
+              WHEN 'purchase' THEN 'kube_deployment_status_replicas'
+              WHEN 'error' THEN 'kube_horizontalpodautoscaler_status_current_replicas' END AS metric_name,
+         CASE WHEN isnan(value) THEN NULL ELSE value + value / 10 * scrape END AS value
+  FROM ev CROSS JOIN LATERAL (SELECT unnest(CASE WHEN event_type = 'view' THEN [0, 1, 2] ELSE [0] END) AS scrape) x),
 ms AS (
   SELECT m.*, s.metric_type, s.src_rank,
          '__name__=' || m.metric_name || '_container=main_deployment=' || m.deployment
@@ -508,11 +569,15 @@ best AS (SELECT namespace, deployment, metric_type, min(src_rank) AS b FROM ms G
 fb AS (
   SELECT ms.* FROM ms JOIN best b ON ms.namespace = b.namespace AND ms.deployment = b.deployment
                                  AND ms.metric_type = b.metric_type AND ms.src_rank = b.b),
+c0 AS (
+  SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY ts, value) AS v0,
+         lag(ts) OVER (PARTITION BY series_id ORDER BY ts, value) AS t0
+  FROM fb WHERE metric_type = 'cpu' AND value IS NOT NULL),
 c1 AS (
-  SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS pv,
-         lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS pts,
+  SELECT * EXCLUDE (v0, t0), CASE WHEN ts - t0 <= INTERVAL 5 MINUTE THEN v0 END AS pv,
+         CASE WHEN ts - t0 <= INTERVAL 5 MINUTE THEN t0 END AS pts,
          time_bucket(INTERVAL '5 minutes', ts) AS bucket
-  FROM fb WHERE metric_type = 'cpu' AND value IS NOT NULL),
+  FROM c0),
 c2 AS (
   SELECT namespace, deployment, pod, container, series_id, bucket,
          sum(CASE WHEN pv IS NULL THEN NULL WHEN value >= pv THEN value - pv ELSE value END) AS total,
@@ -616,13 +681,12 @@ lab AS (
 BK = "strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket"
 _KEYS = "namespace, deployment"
 
-_reg("samples_resample_5m", f"""WITH {_samples_cte()},
-lb AS (SELECT * FROM ms WHERE ts BETWEEN (SELECT max(ts) FROM ms) - INTERVAL 30 DAY AND (SELECT max(ts) FROM ms)),
+_reg("samples_resample_5m", f"""WITH {_samples_cte(14)},
 r AS (
   SELECT namespace, deployment, metric_type, metric_name, pod, series_id,
          time_bucket(INTERVAL '5 minutes', ts) AS bucket, arg_max(value, ts) AS value,
          max(ts) AS last_ts, count(*) AS n_raw
-  FROM lb WHERE value IS NOT NULL GROUP BY ALL)
+  FROM ms WHERE value IS NOT NULL GROUP BY ALL)
 SELECT namespace, deployment, metric_type, metric_name, pod, series_id, {BK}, round(value, 6) AS value,
        strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, CAST(n_raw AS BIGINT) AS n_raw
 FROM r""")
@@ -631,7 +695,7 @@ _reg("samples_label_filter", f"""WITH {_samples_cte()}
 SELECT CAST(event_id AS BIGINT) AS event_id, namespace, deployment, pod, container, metric_name, series_id,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 6) AS value
 FROM ms
-WHERE metric_name = 'container_cpu_usage_seconds_total' AND regexp_matches(pod, '^(?:pod-.*)$')""")
+WHERE metric_name = 'container_cpu_usage_seconds_total' AND regexp_matches(pod, '^(?:pod-1.*)$')""")
 
 _reg("source_fallback", f"""WITH {_samples_cte()}
 SELECT namespace, deployment, metric_type, metric_name, CAST(count(*) AS BIGINT) AS samples,
@@ -682,7 +746,7 @@ SELECT namespace, deployment, CAST(day_of_week AS BIGINT) AS day_of_week, CAST(t
        CAST(cluster AS BIGINT) AS cluster, round(distance2, 6) AS distance2
 FROM lab""")
 
-_reg("cluster_patterns_fixed", f"""WITH {_assign_cte()},
+_REFINED = """
 cp0 AS (
   SELECT g.namespace, g.deployment, l.cluster, min(g.time_slot) AS s0, max(g.time_slot) AS s1,
          list_sort(list_distinct(list(g.day_of_week))) AS days,
@@ -692,15 +756,12 @@ cp0 AS (
   FROM grid g JOIN lab l ON g.namespace = l.namespace AND g.deployment = l.deployment
                          AND g.day_of_week = l.day_of_week AND g.time_slot = l.time_slot
   GROUP BY g.namespace, g.deployment, l.cluster),
-cp1 AS (
-  SELECT *, s1 // 4 + CASE WHEN ((s1 % 4) + 1) * 15 >= 60 THEN 1 ELSE 0 END AS eh0,
-         CASE WHEN ((s1 % 4) + 1) * 15 >= 60 THEN 0 ELSE ((s1 % 4) + 1) * 15 END AS em0
-  FROM cp0),
+cp1 AS (SELECT *, least((s1 + 1) * 15, 1439) AS last_minute FROM cp0),
 cp AS (
-  SELECT namespace, deployment, cluster AS pattern_id, s0 // 4 AS start_hour, (s0 % 4) * 15 AS start_minute,
-         CASE WHEN eh0 >= 24 THEN 23 ELSE eh0 END AS end_hour, CASE WHEN eh0 >= 24 THEN 59 ELSE em0 END AS end_minute,
-         days, coalesce(avg_cpu, 0.0) AS avg_cpu, coalesce(avg_memory, 0.0) AS avg_memory,
-         coalesce(avg_replicas, 1.0) AS avg_replicas, greatest(1, coalesce(peak0, 1)) AS peak_replicas,
+  SELECT namespace, deployment, cluster AS pattern_id, s0 * 15 // 60 AS start_hour, s0 * 15 % 60 AS start_minute,
+         last_minute // 60 AS end_hour, last_minute % 60 AS end_minute,
+         days, round(coalesce(avg_cpu, 0.0), 9) AS avg_cpu, round(coalesce(avg_memory, 0.0), 9) AS avg_memory,
+         round(coalesce(avg_replicas, 1.0), 9) AS avg_replicas, greatest(1, coalesce(peak0, 1)) AS peak_replicas,
          CASE WHEN ncpu > 0 THEN least(1.0, greatest(0.5, 1 - sd / (avg_cpu + 1e-10))) ELSE 0.7 END AS confidence
   FROM cp1),
 cpd AS (
@@ -710,20 +771,202 @@ sup AS (
          CAST(ceil(max(f.replicas_mean)) AS INTEGER) AS rpeak
   FROM cpd p JOIN feat f ON p.namespace = f.namespace AND p.deployment = f.deployment
   WHERE f.hour BETWEEN p.start_hour AND p.end_hour AND list_contains(p.days, f.day_of_week)
-  GROUP BY ALL)
-SELECT p.namespace, p.deployment, CAST(p.pattern_id AS BIGINT) AS pattern_id,
-       CAST(p.start_hour AS BIGINT) AS start_hour, CAST(p.start_minute AS BIGINT) AS start_minute,
-       CAST(p.end_hour AS BIGINT) AS end_hour, CAST(p.end_minute AS BIGINT) AS end_minute,
-       array_to_string(p.days, ',') AS days, round(p.avg_cpu, 6) AS avg_cpu, round(p.avg_memory, 6) AS avg_memory,
-       round(coalesce(s.ravg, p.avg_replicas), 6) AS avg_replicas,
-       CAST(coalesce(s.rpeak, p.peak_replicas) AS BIGINT) AS peak_replicas,
-       round(p.confidence, 6) AS confidence, CAST(s.support AS BIGINT) AS support
-FROM cpd p JOIN sup s ON p.namespace = s.namespace AND p.deployment = s.deployment AND p.pattern_id = s.pattern_id
-WHERE s.support >= 10""")
+  GROUP BY ALL),
+refined AS (
+  SELECT p.namespace, p.deployment, p.pattern_id, p.start_hour, p.start_minute, p.end_hour, p.end_minute, p.days,
+         p.avg_cpu, p.avg_memory, round(coalesce(s.ravg, p.avg_replicas), 9) AS avg_replicas,
+         coalesce(s.rpeak, p.peak_replicas) AS peak_replicas, p.confidence, s.support
+  FROM cpd p JOIN sup s ON p.namespace = s.namespace AND p.deployment = s.deployment AND p.pattern_id = s.pattern_id
+  WHERE s.support >= 10)"""
+
+def _six(c: str) -> str:
+    """Six decimals, halves up, of a value kept to nine."""
+    return f"CAST(round(CAST({c} AS DECIMAL(30, 9)), 6) AS DOUBLE) AS {c}"
+
+
+_PATTERN_OUT = f"""CAST(pattern_id AS BIGINT) AS pattern_id,
+       CAST(start_hour AS BIGINT) AS start_hour, CAST(start_minute AS BIGINT) AS start_minute,
+       CAST(end_hour AS BIGINT) AS end_hour, CAST(end_minute AS BIGINT) AS end_minute,
+       array_to_string(days, ',') AS days, {_six('avg_cpu')}, {_six('avg_memory')}, {_six('avg_replicas')},
+       CAST(peak_replicas AS BIGINT) AS peak_replicas, {_six('confidence')}"""
+
+# patterns of a workload, merged: each joins the first leader before it that it matches
+_MERGED = """,
+mp AS (
+  SELECT namespace, deployment, count(*) AS n,
+         list({'days': days, 'r': avg_replicas, 'a': start_hour, 'b': end_hour} ORDER BY pattern_id) AS ps
+  FROM refined GROUP BY ALL),
+fold AS (
+  SELECT namespace, deployment, n, ps, 0 AS j, CAST([] AS BIGINT[]) AS leaders FROM mp
+  UNION ALL
+  SELECT namespace, deployment, n, ps, j + 1,
+         list_append(leaders, coalesce(list_min(list_filter(range(j), lambda q: leaders[q + 1] = q
+           AND ps[q + 1].days = ps[j + 1].days AND abs(ps[q + 1].r - ps[j + 1].r) < 2
+           AND ps[q + 1].a <= ps[j + 1].b AND ps[j + 1].a <= ps[q + 1].b)), j))
+  FROM fold WHERE j < n),
+led AS (
+  SELECT r.*, f.leaders[row_number() OVER (PARTITION BY r.namespace, r.deployment ORDER BY r.pattern_id)] AS leader
+  FROM refined r JOIN fold f ON r.namespace = f.namespace AND r.deployment = f.deployment AND f.j = f.n),
+mrg AS (
+  SELECT namespace, deployment, leader, min(start_hour) AS start_hour, min(start_minute) AS start_minute,
+         max(end_hour) AS end_hour, max(end_minute) AS end_minute, any_value(days) AS days, round(avg(avg_cpu), 9) AS avg_cpu,
+         round(avg(avg_memory), 9) AS avg_memory, round(avg(avg_replicas), 9) AS avg_replicas, max(peak_replicas) AS peak_replicas,
+         round(avg(confidence), 9) AS confidence
+  FROM led GROUP BY namespace, deployment, leader),
+merged_p AS (
+  SELECT * EXCLUDE (leader), row_number() OVER (PARTITION BY namespace, deployment ORDER BY leader) - 1 AS pattern_id FROM mrg)"""
+
+
+def _v1_triggers_sql(with_clause: str) -> str:
+    clock = "lpad(CAST({0}_hour AS VARCHAR), 2, '0') || ':' || lpad(CAST({0}_minute AS VARCHAR), 2, '0') || ':00'"
+    return f"""WITH RECURSIVE {with_clause},
+v1a AS (
+  SELECT *, row_number() OVER (PARTITION BY namespace, deployment ORDER BY avg_replicas DESC, pattern_id) - 1 AS i,
+         count(*) OVER (PARTITION BY namespace, deployment) AS n
+  FROM merged_p),
+v1b AS (SELECT *, row_number() OVER (PARTITION BY namespace, deployment ORDER BY confidence DESC, i) - 1 AS c FROM v1a),
+v1c AS (SELECT *, CASE WHEN n > 10 THEN c ELSE i END AS pos FROM v1b WHERE n <= 10 OR c < 10),
+v1d AS (
+  SELECT *, CASE WHEN days = [0, 1, 2, 3, 4] THEN 'weekday' WHEN days = [5, 6] THEN 'weekend'
+                 WHEN len(days) = 7 THEN 'daily' ELSE 'custom-' || CAST(i + 1 AS VARCHAR) END
+         || CASE WHEN start_hour < 12 THEN '-morning' WHEN start_hour < 17 THEN '-afternoon' ELSE '-evening' END
+         || CASE WHEN avg_replicas > 5 THEN '-high-load' WHEN avg_replicas > 2 THEN '-normal-load' ELSE '-low-load' END AS base,
+         greatest(1, CAST(trunc(avg_replicas * (1 - 0.2)) AS BIGINT)) AS mn
+  FROM v1c),
+v1e AS (SELECT *, row_number() OVER (PARTITION BY namespace, deployment, base ORDER BY pos) AS k FROM v1d),
+mined AS (
+  SELECT namespace, deployment, CASE WHEN k > 1 THEN base || '-' || CAST(k AS VARCHAR) ELSE base END AS name,
+         'pattern' AS pattern_type, 100 - pos * 10 AS priority, 'UTC' AS timezone, {clock.format('start')} AS start_time,
+         {clock.format('end')} AS end_time,
+         array_to_string(list_transform(days, lambda d: {CODES}[d + 1]), ',') AS recurring, mn AS min_replicas,
+         greatest(mn + 1, CAST(trunc(peak_replicas * (1 + 0.2)) AS BIGINT)) AS max_replicas, 1 AS end_min_replicas,
+         greatest(3, mn) AS end_max_replicas, confidence
+  FROM v1e),
+alone AS (
+  SELECT DISTINCT namespace, deployment FROM feat f
+  WHERE NOT EXISTS (SELECT 1 FROM mined m WHERE m.namespace = f.namespace AND m.deployment = f.deployment))
+{TRIG_OUT} FROM (
+  SELECT * FROM mined UNION ALL
+  SELECT namespace, deployment, 'default-business-hours', 'default', 100, 'UTC', '09:00:00', '17:00:00', 'M,TU,W,TH,F',
+         2, 10, 1, 3, 0.5 FROM alone)"""
+
+
+_reg("cluster_patterns_fixed", f"""WITH {_assign_cte()},
+{_REFINED}
+SELECT namespace, deployment, {_PATTERN_OUT}, CAST(support AS BIGINT) AS support FROM refined""")
+
+_reg("merged_patterns_fixed", f"""WITH RECURSIVE {_assign_cte()},
+{_REFINED}{_MERGED}
+SELECT namespace, deployment, {_PATTERN_OUT} FROM merged_p""")
+
+_reg("v1_triggers_fixed", _v1_triggers_sql(f"{_assign_cte()},\n{_REFINED}{_MERGED}"))
+
+
+def _dist(a: str, b: str) -> str:
+    return " + ".join(f"({a}[{n}] - {b}[{n}]) * ({a}[{n}] - {b}[{n}])" for n in range(1, 6))
+
+
+def _fit_cte() -> str:
+    """Best-k clustering: farthest-first seeds, Lloyd steps for every k, brute-force silhouettes."""
+    z = ", ".join(f"coalesce(round(z_{c}, 6), 0.0)" for c in _FEATURES)
+    cent = ", ".join(f"round(avg(z[{n}]), 9)" for n in range(1, 6))
+    nearest = (f"list_sort(list_transform({{0}}, lambda x: {{{{'d': {_dist('{1}', 'x.c')}, 'lab': x.lab}}}}))[1].lab")
+    return _zgrid_cte() + f""",
+cells0 AS (
+  SELECT namespace, deployment, day_of_week, time_slot, [{z}] AS z, count(*) OVER (PARTITION BY namespace, deployment) AS n,
+         row_number() OVER (PARTITION BY namespace, deployment ORDER BY day_of_week, time_slot) - 1 AS i
+  FROM zgrid),
+cells AS (SELECT * FROM cells0 WHERE n >= 3),
+sd AS (
+  SELECT c.namespace, c.deployment, 0 AS step, c.i, c.z, f.z AS seed, sqrt({_dist('c.z', 'f.z')}) AS near
+  FROM cells c JOIN cells f ON c.namespace = f.namespace AND c.deployment = f.deployment AND f.i = 0
+  UNION ALL
+  SELECT namespace, deployment, step + 1, i, z, nz, least(near, sqrt({_dist('z', 'nz')}))
+  FROM (SELECT *, first_value(z) OVER w AS nz, max(near) OVER (PARTITION BY namespace, deployment) AS far
+        FROM sd WINDOW w AS (PARTITION BY namespace, deployment ORDER BY near DESC, i)) q
+  WHERE step < 7 AND far > 0),
+seeds AS (SELECT DISTINCT namespace, deployment, step, seed FROM sd),
+most AS (
+  SELECT c.namespace, c.deployment, least(8, any_value(c.n) - 1, max(s.step) + 1) AS k
+  FROM cells c JOIN seeds s ON c.namespace = s.namespace AND c.deployment = s.deployment GROUP BY ALL),
+ks AS (SELECT namespace, deployment, unnest(range(least(2, k), k + 1)) AS k FROM most),
+start AS (
+  SELECT ks.namespace, ks.deployment, ks.k, list({{'lab': s.step, 'c': s.seed}} ORDER BY s.step) AS cs
+  FROM ks JOIN seeds s ON ks.namespace = s.namespace AND ks.deployment = s.deployment AND s.step < ks.k GROUP BY ALL),
+lk AS (
+  SELECT c.namespace, c.deployment, s.k, 0 AS iter, c.i, c.z, {nearest.format('s.cs', 'c.z')} AS lab
+  FROM cells c JOIN start s ON c.namespace = s.namespace AND c.deployment = s.deployment
+  UNION ALL
+  SELECT l.namespace, l.deployment, l.k, l.iter + 1, l.i, l.z, {nearest.format('q.cs', 'l.z')}
+  FROM lk l JOIN (
+    SELECT namespace, deployment, k, list({{'lab': lab, 'c': c}} ORDER BY lab) AS cs
+    FROM (SELECT namespace, deployment, k, lab, [{cent}] AS c FROM lk GROUP BY namespace, deployment, k, lab)
+    GROUP BY namespace, deployment, k) q
+    ON l.namespace = q.namespace AND l.deployment = q.deployment AND l.k = q.k
+  WHERE l.iter < 20),
+fit AS (SELECT * FROM lk WHERE iter = 20),
+pd AS (
+  SELECT a.namespace, a.deployment, a.i, b.i AS o, sqrt({_dist('a.z', 'b.z')}) AS d
+  FROM cells a JOIN cells b ON a.namespace = b.namespace AND a.deployment = b.deployment AND a.i <> b.i),
+pm AS (
+  SELECT f.namespace, f.deployment, f.k, f.i, f.lab AS ca, g.lab AS cb, avg(pd.d) AS md
+  FROM fit f JOIN pd ON f.namespace = pd.namespace AND f.deployment = pd.deployment AND f.i = pd.i
+  JOIN fit g ON g.namespace = f.namespace AND g.deployment = f.deployment AND g.k = f.k AND g.i = pd.o
+  GROUP BY ALL),
+pa AS (
+  SELECT namespace, deployment, k, i, max(CASE WHEN ca = cb THEN md END) AS a, min(CASE WHEN ca <> cb THEN md END) AS b
+  FROM pm GROUP BY ALL),
+sz AS (
+  SELECT namespace, deployment, k, count(*) AS n, count(DISTINCT lab) AS c FROM fit GROUP BY ALL),
+sil AS (
+  SELECT sz.namespace, sz.deployment, sz.k, CASE WHEN any_value(c) < 2 OR any_value(c) >= any_value(n) THEN NULL ELSE
+         avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) END AS score
+  FROM sz JOIN pa ON sz.namespace = pa.namespace AND sz.deployment = pa.deployment AND sz.k = pa.k
+  GROUP BY sz.namespace, sz.deployment, sz.k),
+pick AS (
+  SELECT *, row_number() OVER (PARTITION BY namespace, deployment ORDER BY coalesce(round(score, 9), -2) DESC, k) AS rn FROM sil),
+lab0 AS (
+  SELECT f.namespace, f.deployment, f.k, f.i, p.score, min(f.i) OVER (PARTITION BY f.namespace, f.deployment, f.lab) AS first_i
+  FROM fit f JOIN pick p ON p.rn = 1 AND f.namespace = p.namespace AND f.deployment = p.deployment AND f.k = p.k),
+lab AS (
+  SELECT l.namespace, l.deployment, l.k, c.day_of_week, c.time_slot, l.score,
+         dense_rank() OVER (PARTITION BY l.namespace, l.deployment ORDER BY l.first_i) - 1 AS cluster
+  FROM lab0 l JOIN cells c ON l.namespace = c.namespace AND l.deployment = c.deployment AND l.i = c.i)"""
+
+
+_reg("kmeans_best_k", f"""WITH RECURSIVE {_fit_cte()}
+SELECT namespace, deployment, CAST(k AS BIGINT) AS k, CAST(day_of_week AS BIGINT) AS day_of_week,
+       CAST(time_slot AS BIGINT) AS time_slot, CAST(cluster AS BIGINT) AS cluster, round(score, 6) AS score
+FROM lab""")
+
+_reg("v1_patterns", f"""WITH RECURSIVE {_fit_cte()},
+{_REFINED}{_MERGED}
+SELECT namespace, deployment, {_PATTERN_OUT} FROM merged_p""")
+
+_reg("v1_triggers", _v1_triggers_sql(f"{_fit_cte()},\n{_REFINED}{_MERGED}"))
+
+_reg("pattern_report", f"""WITH RECURSIVE {_fit_cte()},
+{_REFINED}{_MERGED},
+cnt AS (
+  SELECT namespace, deployment, count(*) FILTER (WHERE metric_type = 'cpu') AS c,
+         count(*) FILTER (WHERE metric_type = 'memory') AS m, count(*) FILTER (WHERE metric_type = 'replicas') AS r
+  FROM ser GROUP BY ALL),
+rep AS (
+  SELECT namespace, deployment, list({{'startHour': start_hour, 'startMinute': start_minute, 'endHour': end_hour,
+           'endMinute': end_minute, 'days': days, 'avgCpu': CAST(CAST(avg_cpu AS DECIMAL(30, 9)) AS DECIMAL(24, 6)),
+           'avgMemory': CAST(CAST(avg_memory AS DECIMAL(30, 9)) AS DECIMAL(24, 6)), 'avgReplicas': CAST(CAST(avg_replicas AS DECIMAL(30, 9)) AS DECIMAL(24, 6)),
+           'peakReplicas': peak_replicas, 'confidence': CAST(CAST(confidence AS DECIMAL(30, 9)) AS DECIMAL(24, 6))}} ORDER BY pattern_id) AS es
+  FROM merged_p GROUP BY ALL)
+SELECT c.namespace, c.deployment, CAST(coalesce(len(es), 0) AS BIGINT) AS patterns_detected,
+       CAST(to_json({{'success': true, 'patterns': coalesce(es, []),
+                'stats': {{'cpuDataPoints': c.c, 'memoryDataPoints': c.m, 'replicaDataPoints': c.r,
+                          'patternsDetected': coalesce(len(es), 0)}}}}) AS VARCHAR) AS report
+FROM cnt c LEFT JOIN rep ON c.namespace = rep.namespace AND c.deployment = rep.deployment""")
 
 _reg("v1_default_triggers", f"""WITH {_samples_cte()},
 wl AS (SELECT DISTINCT namespace, deployment FROM ms),
-cpu AS (SELECT DISTINCT namespace, deployment FROM ms WHERE metric_type = 'cpu')
+cpu AS (SELECT DISTINCT namespace, deployment FROM ev
+        WHERE event_type = 'view' AND ts BETWEEN {AS_OF} - INTERVAL 2 DAY AND {AS_OF})
 SELECT namespace, deployment, 'default-business-hours' AS name, 'default' AS pattern_type,
        CAST(100 AS BIGINT) AS priority, 'UTC' AS timezone, '09:00:00' AS start_time, '17:00:00' AS end_time,
        'M,TU,W,TH,F' AS recurring, CAST(2 AS BIGINT) AS min_replicas, CAST(10 AS BIGINT) AS max_replicas,
@@ -822,7 +1065,7 @@ WHERE coalesce(hpa_name, '') <> ''
 _reg("policy_snapshot_diff", f"""WITH {RS},
 snap AS (
   SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 1 ELSE 2 END AS half, namespace AS policy_namespace,
-         deployment || '-schedule' AS policy_name, count(DISTINCT (isodow(ts), hour(ts))) AS generation
+         deployment || '-schedule' AS policy_name, count(DISTINCT isodow(ts)) AS generation
   FROM rs GROUP BY ALL),
 a AS (SELECT * FROM snap WHERE half = 1),
 b AS (SELECT * FROM snap WHERE half = 2)
@@ -842,10 +1085,6 @@ SELECT policy_namespace AS namespace FROM pol UNION SELECT 'default'""")
 # ---------------------------------------------------------------------------
 
 def _planned_tail() -> str:
-    from tempora.operators.planned import DAY_TYPE_RECURRING, PlannedConfig
-
-    cfg = PlannedConfig()
-    rec = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DAY_TYPE_RECURRING.items())
     return f""",
 hpts AS (SELECT namespace, deployment, date_trunc('hour', ts) AS hour_ts, arg_max(value, ts) AS value
          FROM cl GROUP BY ALL),
@@ -855,21 +1094,21 @@ spl0 AS (
   SELECT namespace, deployment,
          quantile_cont(value, 0.95) FILTER (WHERE day_type = 'weekday') AS weekday_p95,
          quantile_cont(value, 0.95) FILTER (WHERE day_type = 'weekend') AS weekend_p95,
-         quantile_cont(value, 0.5) AS overall_p50
+         quantile_cont(value, 0.5) AS overall_p50, count(*) AS points
   FROM pts_h GROUP BY ALL),
 spl AS (
   SELECT *, CASE WHEN weekday_p95 > 0 THEN abs(weekday_p95 - weekend_p95) / weekday_p95 * 100 END AS diff_pct,
          coalesce(CASE WHEN weekday_p95 > 0 THEN abs(weekday_p95 - weekend_p95) / weekday_p95 * 100 END
-                  > {cfg.split_threshold_percent}, false) AS split
+                  > 20, false) AS split
   FROM spl0),
 hpk AS (
   SELECT p.namespace, p.deployment, CASE WHEN s.split THEN p.day_type ELSE 'daily' END AS dtype, p.hour,
          s.overall_p50, quantile_cont(p.value, 0.5) AS p50, quantile_cont(p.value, 0.95) AS p95
   FROM pts_h p JOIN spl s ON p.namespace = s.namespace AND p.deployment = s.deployment
-  GROUP BY ALL),
+  WHERE s.points >= 72 GROUP BY ALL),
 isl AS (
   SELECT *, hour - row_number() OVER (PARTITION BY namespace, deployment, dtype ORDER BY hour) AS grp
-  FROM hpk WHERE p95 > overall_p50 * {cfg.peak_multiplier_percent / 100.0}),
+  FROM hpk WHERE p95 > overall_p50 * 1.5),
 gw AS (
   SELECT namespace, deployment, dtype, grp, min(hour) AS start_hour, max(hour) + 1 AS end_hour,
          CAST(ceil(max(p50)) AS INTEGER) AS min_r, CAST(ceil(max(p95)) AS INTEGER) AS max_r, max(p95) AS peak_p95
@@ -881,14 +1120,15 @@ gen AS (
          dtype AS day_type,
          100 - (row_number() OVER (PARTITION BY namespace, deployment ORDER BY peak_p95 DESC, dtype, start_hour) - 1)
            * 10 AS priority,
-         CASE dtype {rec} END AS recurring,
+         CASE dtype WHEN 'weekday' THEN 'M,TU,W,TH,F' WHEN 'weekend' THEN 'SAT,SUN' ELSE 'M,TU,W,TH,F,SAT,SUN' END AS recurring,
          lpad(CAST(start_hour AS VARCHAR), 2, '0') || ':00:00' AS start_time,
-         lpad(CAST(end_hour % 24 AS VARCHAR), 2, '0') || ':00:00' AS end_time,
+         CASE WHEN start_hour = 0 AND end_hour = 24 THEN '23:59:59' ELSE lpad(CAST(end_hour % 24 AS VARCHAR), 2, '0') || ':00:00' END AS end_time,
          min_r AS min_replicas, greatest(max_r, min_r) AS max_replicas, peak_p95
   FROM gw)"""
 
 
-PLANNED = CL + _planned_tail()
+CL30 = _cl(30)
+PLANNED = CL30 + _planned_tail()
 
 
 def _hours_sql(st: str, en: str) -> str:
@@ -935,17 +1175,17 @@ SELECT namespace, deployment, name, day_type, CAST(priority AS BIGINT) AS priori
        round(peak_p95, 6) AS peak_p95
 FROM gen""")
 
-_reg("manual_overlap", f"""WITH {CL}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL}
+_reg("manual_overlap", f"""WITH {CL30}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL}
 SELECT namespace, deployment, name, suppressed, blocked_by FROM ovl""")
 
-_reg("deviation", f"""WITH {CL}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL},
+_reg("deviation", f"""WITH {CL30}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL},
 ai AS (SELECT g.* FROM gen g JOIN ovl o ON g.namespace = o.namespace AND g.deployment = o.deployment
                                          AND g.name = o.name
        WHERE NOT o.suppressed),
 ai_flat AS (
   SELECT a.namespace, a.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
          coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace,
-         CAST(NULL AS INTEGER) AS set_id, a.name, CAST(a.priority AS INTEGER) AS priority, 'UTC' AS timezone,
+         a.name, CAST(a.priority AS INTEGER) AS priority, 'UTC' AS timezone,
          true AS has_interval, a.recurring, CAST(NULL AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date,
          a.start_time, a.end_time, CAST(a.min_replicas AS INTEGER) AS start_min,
          CAST(a.max_replicas AS INTEGER) AS start_max, CAST(NULL AS INTEGER) AS end_min,
@@ -968,7 +1208,7 @@ FROM act""")
 _reg("policies_for_changed_hpa", f"""WITH {_policy_cte()},
 snap AS (
   SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 1 ELSE 2 END AS half, namespace, deployment,
-         count(DISTINCT (isodow(ts), hour(ts))) AS generation
+         count(DISTINCT isodow(ts)) AS generation
   FROM rs GROUP BY ALL),
 chg AS (
   SELECT a.namespace, a.deployment || '-hpa' AS name
@@ -1020,26 +1260,35 @@ SELECT n.namespace, n.deployment,
 FROM n LEFT JOIN s ON n.namespace = s.namespace AND n.deployment = s.deployment""")
 
 
+_PREPARED = f"""(SELECT tr.*, coalesce(z.zone_name, 'UTC') AS zone, {_mins('tr.start_time')} AS s, {_mins('tr.end_time')} AS e
+          FROM trig tr LEFT JOIN (SELECT name AS zone_name FROM pg_timezone_names()) z ON tr.timezone = z.zone_name
+          WHERE {_ok('tr.start_time')} AND {_ok('tr.end_time')})"""
+_SPAN = "(SELECT namespace, deployment, min(ts) AS t0, max(ts) AS t1 FROM rs GROUP BY ALL)"
+_DAYS = """CROSS JOIN LATERAL (SELECT unnest(range(CAST(sp.t0 AS DATE) - INTERVAL 1 DAY,
+                                            CAST(sp.t1 AS DATE) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS day) d"""
 _TICKS = f"""
   SELECT DISTINCT k.namespace, k.deployment, k.ts FROM (
     SELECT t.namespace, t.deployment, sp.t0, sp.t1,
            timezone('UTC', (CAST(d.day AS TIMESTAMP) + to_minutes(CAST(m.mm AS BIGINT))) AT TIME ZONE t.zone) AS ts
-    FROM (SELECT tr.*, coalesce(z.zone_name, 'UTC') AS zone, {_mins('tr.start_time')} AS s, {_mins('tr.end_time')} AS e
-          FROM trig tr LEFT JOIN (SELECT name AS zone_name FROM pg_timezone_names()) z ON tr.timezone = z.zone_name
-          WHERE {_ok('tr.start_time')} AND {_ok('tr.end_time')}) t
-    JOIN (SELECT namespace, deployment, min(ts) AS t0, max(ts) AS t1 FROM rs GROUP BY ALL) sp
-      ON t.namespace = sp.namespace AND t.deployment = sp.deployment
-    CROSS JOIN LATERAL (SELECT unnest(range(CAST(sp.t0 AS DATE) - INTERVAL 1 DAY,
-                                            CAST(sp.t1 AS DATE) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS day) d
-    CROSS JOIN LATERAL (SELECT unnest([t.s, t.e]) AS mm) m) k
+    FROM {_PREPARED} t
+    JOIN {_SPAN} sp ON t.namespace = sp.namespace AND t.deployment = sp.deployment
+    {_DAYS}
+    CROSS JOIN LATERAL (SELECT unnest([t.s, t.e, 0]) AS mm) m
+    UNION ALL SELECT namespace, deployment, t0, t1, t0 FROM {_SPAN}
+    UNION ALL
+    SELECT t.namespace, t.deployment, sp.t0, sp.t1, CAST(x.at AS TIMESTAMP)
+    FROM {_PREPARED} t JOIN {_SPAN} sp ON t.namespace = sp.namespace AND t.deployment = sp.deployment
+    CROSS JOIN LATERAL (SELECT unnest([try_strptime(t.start_date, '%Y-%m-%d') + INTERVAL 1 SECOND,
+                                       try_strptime(t.end_date, '%Y-%m-%d')]) AS at) x
+    WHERE coalesce(t.recurring, '') = '' AND t.start_date IS NOT NULL) k
   WHERE k.ts BETWEEN k.t0 AND k.t1"""
 
 _reg("schedule_boundaries", f"""WITH {RS}{_policy_tail(inst_sql=_TICKS)}{STATES_TAIL},
 lagged AS (
   SELECT *, row_number() OVER w AS rn,
          lag(min_replicas) OVER w AS pmin, lag(max_replicas) OVER w AS pmax
-  FROM bounds WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
-SELECT namespace, deployment, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
+  FROM bounds WINDOW w AS (PARTITION BY namespace, deployment, policy_namespace, policy_name ORDER BY ts))
+SELECT namespace, deployment, policy_namespace, policy_name, {TS}, source, CAST(min_replicas AS DOUBLE) AS min_replicas,
        CAST(max_replicas AS DOUBLE) AS max_replicas, error
 FROM lagged
 WHERE rn = 1 OR min_replicas IS DISTINCT FROM pmin OR max_replicas IS DISTINCT FROM pmax""")
@@ -1057,14 +1306,14 @@ SELECT namespace, deployment, CAST(isodow(ts) - 1 AS BIGINT) AS dow, CAST(hour(t
 FROM rs GROUP BY ALL""")
 
 
-_reg("deviation_alert_intervals", f"""WITH {CL}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL},
+_reg("deviation_alert_intervals", f"""WITH {CL30}{_policy_tail('manual')}{_planned_tail()}{OVERLAP_TAIL},
 ai AS (SELECT g.* FROM gen g JOIN ovl o ON g.namespace = o.namespace AND g.deployment = o.deployment
                                          AND g.name = o.name
        WHERE NOT o.suppressed),
 ai_flat AS (
   SELECT a.namespace, a.deployment, p.policy_namespace, p.policy_name, p.hpa_namespace, p.hpa_name,
          coalesce(nullif(p.hpa_namespace, ''), p.policy_namespace) AS hpa_target_namespace,
-         CAST(NULL AS INTEGER) AS set_id, a.name, CAST(a.priority AS INTEGER) AS priority, 'UTC' AS timezone,
+         a.name, CAST(a.priority AS INTEGER) AS priority, 'UTC' AS timezone,
          true AS has_interval, a.recurring, CAST(NULL AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date,
          a.start_time, a.end_time, CAST(a.min_replicas AS INTEGER) AS start_min,
          CAST(a.max_replicas AS INTEGER) AS start_max, CAST(NULL AS INTEGER) AS end_min,
@@ -1078,3 +1327,105 @@ JOIN act ON r.namespace = act.namespace AND r.deployment = act.deployment AND r.
 JOIN ai ON ai.namespace = act.namespace AND ai.deployment = act.deployment AND ai.name = act.active_name
 WHERE starts_with(act.active_name, 'ai-')
   AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))""")
+
+
+# events of triggers: the instants are the ends and starts themselves
+_EVENT_ROWS = f""",
+evt AS (
+  SELECT t.namespace, t.deployment, t.policy_namespace, t.policy_name, t.hpa_target_namespace, t.hpa_name, t.name,
+         coalesce(t.priority, 0) AS priority, m.kind, t.start_min, t.start_max, t.end_min, t.end_max,
+         timezone('UTC', (CAST(d.day AS TIMESTAMP) + to_minutes(CAST(CASE m.kind WHEN 'start' THEN t.s ELSE t.e END AS BIGINT)))
+                         AT TIME ZONE t.zone) AS ts, sp.t0, sp.t1
+  FROM {_PREPARED} t JOIN {_SPAN} sp ON t.namespace = sp.namespace AND t.deployment = sp.deployment
+  {_DAYS}
+  CROSS JOIN (VALUES ('start'), ('end')) m(kind)
+  WHERE t.has_interval AND coalesce(t.recurring, '') <> ''
+    AND list_contains({_codes('t.recurring')}, ['SUN', 'M', 'TU', 'W', 'TH', 'F', 'SAT'][dayofweek(d.day) + 1])),
+inst AS (SELECT DISTINCT namespace, deployment, ts FROM evt WHERE ts BETWEEN t0 AND t1)"""
+
+_EVENTS = RS + _policy_tail().rsplit(",\ninst AS", 1)[0] + _EVENT_ROWS + STATES_TAIL + """,
+oth AS (
+  SELECT v.namespace, v.deployment, v.policy_name, v.ts, v.name, v.kind,
+         max(o.priority) AS top_any,
+         max(o.priority) FILTER (WHERE coalesce(tr.recurring, '') <> '') AS top,
+         first({'name': o.name, 'mn': o.start_min, 'mx': o.start_max} ORDER BY o.priority DESC, o.name)
+           FILTER (WHERE coalesce(tr.recurring, '') <> '') AS nxt
+  FROM evt v JOIN st o ON v.namespace = o.namespace AND v.deployment = o.deployment AND v.policy_name = o.policy_name
+                      AND v.ts = o.ts AND o.name <> v.name AND o.state = 'Within'
+  JOIN trig tr ON tr.namespace = o.namespace AND tr.deployment = o.deployment AND tr.policy_name = o.policy_name AND tr.name = o.name
+  GROUP BY ALL),
+evd AS (
+  SELECT v.*, CASE WHEN v.kind = 'start' THEN CASE WHEN coalesce(top_any > v.priority, false) THEN NULL
+                        ELSE {'name': v.name, 'mn': v.start_min, 'mx': v.start_max} END
+                   WHEN nxt IS NULL THEN {'name': v.name, 'mn': v.end_min, 'mx': v.end_max}
+                   WHEN top > v.priority THEN NULL ELSE nxt END AS c
+  FROM evt v LEFT JOIN oth x ON v.namespace = x.namespace AND v.deployment = x.deployment AND v.policy_name = x.policy_name
+                            AND v.ts = x.ts AND v.name = x.name AND v.kind = x.kind
+  WHERE v.ts BETWEEN v.t0 AND v.t1)"""
+
+_reg("trigger_events", f"""WITH {_EVENTS}
+SELECT policy_namespace, policy_name, {TS}, name, kind, c.name AS applied, CAST(c.mn AS DOUBLE) AS mn,
+       CAST(c.mx AS DOUBLE) AS mx FROM evd""")
+
+_reg("bounds_replay", f"""WITH RECURSIVE {_EVENTS},
+pe AS (
+  SELECT namespace, deployment, policy_namespace, policy_name, hpa_target_namespace, hpa_name, ts, name, kind, c,
+         row_number() OVER (PARTITION BY policy_namespace, policy_name ORDER BY ts, kind <> 'end', priority DESC, name) AS event
+  FROM evd),
+rp AS (
+  SELECT p.policy_namespace, p.policy_name, CAST(0 AS BIGINT) AS event, any_value(h.cur_min) AS mn, any_value(h.cur_max) AS mx
+  FROM pe p JOIN hpa h ON p.hpa_target_namespace = h.hns AND p.hpa_name = h.hname GROUP BY ALL
+  UNION ALL
+  SELECT r.policy_namespace, r.policy_name, p.event,
+         CASE WHEN ok THEN coalesce(p.c.mn, r.mn) ELSE r.mn END, CASE WHEN ok THEN coalesce(p.c.mx, r.mx) ELSE r.mx END
+  FROM rp r JOIN pe p ON r.policy_namespace = p.policy_namespace AND r.policy_name = p.policy_name AND p.event = r.event + 1
+  CROSS JOIN LATERAL (SELECT NOT (coalesce(p.c.mn < 0, false) OR coalesce(p.c.mx <= 0, false)
+                                  OR coalesce(coalesce(p.c.mn, r.mn) > coalesce(p.c.mx, r.mx), false)) AS ok) q)
+SELECT p.namespace, p.deployment, p.policy_namespace, p.policy_name, CAST(p.event AS BIGINT) AS event, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts,
+       p.name, p.kind, p.c.name AS applied, CAST(r.mn AS DOUBLE) AS min_replicas, CAST(r.mx AS DOUBLE) AS max_replicas,
+       CASE WHEN r.mx IS NULL THEN 'hpa not found' END AS error
+FROM pe p LEFT JOIN rp r ON p.policy_namespace = r.policy_namespace AND p.policy_name = r.policy_name AND p.event = r.event""")
+
+# streams ---------------------------------------------------------------------
+_reg("stream_resample", f"""WITH {EV},
+w AS (
+  SELECT namespace, deployment, time_bucket(INTERVAL '5 minutes', ts) AS b, max(value) AS mx, count(*) AS n
+  FROM ev WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)
+SELECT namespace, deployment, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, round(greatest(CAST(0 AS DOUBLE), mx), 6) AS value,
+       CAST(n AS BIGINT) AS n
+FROM w WHERE b + INTERVAL 5 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM ev) - INTERVAL 10 MINUTE""")
+
+_reg("stream_profile", f"""WITH {EV}
+SELECT namespace, deployment, CAST(isodow(ts) - 1 AS BIGINT) AS dow, CAST(hour(ts) AS BIGINT) AS hour,
+       round(avg(value), 6) AS avg, round(max(value), 6) AS max, round(min(value), 6) AS min,
+       round(stddev_pop(value), 6) AS std, CAST(count(*) AS BIGINT) AS count
+FROM ev WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-28' - 14 AND DATE '2024-01-28' AND value IS NOT NULL AND NOT isnan(value)
+GROUP BY ALL""")
+
+_RAW_STATES = RS + _policy_tail(inst_sql="SELECT namespace, deployment, ts FROM ev") + STATES_TAIL
+
+_reg("stream_active_trigger", f"""WITH {_RAW_STATES}
+SELECT e.namespace, e.deployment, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS ts, active_name,
+       CAST(active_priority AS DOUBLE) AS active_priority
+FROM ev e JOIN act a ON e.namespace = a.namespace AND e.deployment = a.deployment AND e.ts = a.ts""")
+
+_reg("stream_transitions", f"""WITH {_RAW_STATES},
+lagged AS (
+  SELECT *, row_number() OVER w AS rn, lag(active_name) OVER w AS from_trigger
+  FROM act WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
+SELECT namespace, deployment, {TS}, from_trigger, active_name AS to_trigger
+FROM lagged WHERE rn = 1 OR from_trigger IS DISTINCT FROM active_name""")
+
+_ALERTS = ORACLE["deviation"].rsplit("SELECT r.namespace", 1)[0]
+_reg("stream_deviation_alerts", f"""{_ALERTS.rstrip()},
+closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS upto FROM rs)
+SELECT r.namespace, r.deployment, strftime(date_trunc('hour', r.ts), '%Y-%m-%d %H:%M:%S') AS interval_start,
+       strftime(min(r.ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(act.active_name, r.ts) AS active_name,
+       round(arg_min(r.value, r.ts), 6) AS value
+FROM rs r
+JOIN act ON r.namespace = act.namespace AND r.deployment = act.deployment AND r.ts = act.ts
+JOIN ai ON ai.namespace = act.namespace AND ai.deployment = act.deployment AND ai.name = act.active_name
+WHERE starts_with(act.active_name, 'ai-')
+  AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))
+GROUP BY r.namespace, r.deployment, date_trunc('hour', r.ts)
+HAVING date_trunc('hour', r.ts) + INTERVAL 1 HOUR <= (SELECT upto FROM closed)""")

@@ -7,6 +7,7 @@ the SQL oracle can compare values exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,15 @@ from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
-from tempora.session import materialize
+from tempora.session import checkpoint_dir, materialize
 from tempora.sources import events as E
 from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
 from tempora.sources import sinks as SK
 from tempora.streaming import jobs as J
 
+AS_OF = "2024-01-28 00:00:00"  # the instant that lookback windows end at; inside the events' month
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -107,7 +110,9 @@ def segment_report(spark, sf_dir):
 
 @query("expected_band_check")
 def expected_band_check(spark, sf_dir):
-    return portable(P.expected_band_check(P.segment_report(_clean(spark, sf_dir)), spark))
+    """Second half of the month against the bands of the first."""
+    c, early = _clean(spark, sf_dir), F.dayofmonth("ts") <= 15
+    return portable(P.expected_band_check(P.segment_report(c.where(early)), P.segment_report(c.where(~early))))
 
 
 # ---------------------------------------------------------------------------
@@ -135,10 +140,14 @@ def v2_triggers_wrap_aware(spark, sf_dir):
 
 @query("v2_default_triggers")
 def v2_default_triggers(spark, sf_dir):
-    """Defaults for every workload as if no pattern had been accepted (exercises both branches' math)."""
-    _, _, stats, _ = _profile_parts(spark, sf_dir)
-    none = stats.select(*WL).where(F.lit(False))
-    return portable(G.default_triggers(stats, none))
+    """Defaults of the workloads without an accepted pattern. The roster is every workload of the
+    table; patterns and statistics come from the last two days, so some have no data at all."""
+    rs = _cut(E.replica_samples(spark, sf_dir, as_of=AS_OF, days=2))
+    c = _cut(P.clean(rs))
+    stats = P.workload_stats(c)
+    pats = D.detect(P.hourly_profile(c), stats, P.daily_means(P.daily_profile(c)), spark)
+    roster = E.workload_samples(E.read_table(spark, sf_dir, "events")).select(*WL).distinct()
+    return portable(G.default_triggers(roster.join(stats, WL, "left"), pats))
 
 
 # ---------------------------------------------------------------------------
@@ -147,13 +156,18 @@ def v2_default_triggers(spark, sf_dir):
 
 def _schedule_inputs(spark, sf_dir):
     inst = _cut(E.replica_samples(spark, sf_dir).select(*WL, "ts"))
-    wls = PO.workloads(inst)
+    wls = _cut(PO.workloads(inst))
     return inst, wls, PO.policy_triggers(spark, wls)
 
 
 def _states(spark, sf_dir):
+    inst, _, trig = _schedule_inputs(spark, sf_dir)
+    return S.window_state(inst, trig, spark), inst
+
+
+def _bounds(spark, sf_dir):
     inst, wls, trig = _schedule_inputs(spark, sf_dir)
-    return S.window_state(inst, trig, spark), wls
+    return S.effective_bounds(inst, trig, PO.hpa_bounds(wls), spark)
 
 
 @query("window_state")
@@ -170,8 +184,8 @@ def _nullable_as_double(df, *cols):
 
 @query("active_trigger")
 def active_trigger(spark, sf_dir):
-    st, _ = _states(spark, sf_dir)
-    return portable(_nullable_as_double(S.active_trigger(st), "active_priority"))
+    st, inst = _states(spark, sf_dir)
+    return portable(_nullable_as_double(S.active_trigger(st, inst), "active_priority"))
 
 
 @query("higher_priority_active")
@@ -182,22 +196,18 @@ def higher_priority_active(spark, sf_dir):
 
 @query("effective_bounds")
 def effective_bounds(spark, sf_dir):
-    st, wls = _states(spark, sf_dir)
-    return portable(_nullable_as_double(S.effective_bounds(st, PO.hpa_bounds(wls)), "min_replicas",
-                                        "max_replicas"))
+    return portable(_nullable_as_double(_bounds(spark, sf_dir), "min_replicas", "max_replicas"))
 
 
 @query("schedule_timeline")
 def schedule_timeline(spark, sf_dir):
-    st, wls = _states(spark, sf_dir)
-    return portable(_nullable_as_double(S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls))),
-                                        "min_replicas", "max_replicas"))
+    return portable(_nullable_as_double(S.schedule_timeline(_bounds(spark, sf_dir)), "min_replicas", "max_replicas"))
 
 
 @query("trigger_transitions")
 def trigger_transitions(spark, sf_dir):
-    st, _ = _states(spark, sf_dir)
-    return portable(S.trigger_transitions(S.active_trigger(st)))
+    st, inst = _states(spark, sf_dir)
+    return portable(S.trigger_transitions(S.active_trigger(st, inst)))
 
 
 @query("trigger_cron_plan")
@@ -230,8 +240,8 @@ def _features(spark, sf_dir):
 
 @query("samples_resample_5m")
 def samples_resample_5m(spark, sf_dir):
-    s = R.lookback(_samples(spark, sf_dir), 30)
-    r = R.resample(s).withColumn("metric_type", F.col("metric_type"))
+    """The two weeks up to a day inside the data; the filter on the stored column reaches the scan."""
+    r = R.resample(E.samples(spark, sf_dir, as_of=AS_OF, days=14))
     return portable(r.select(*WL, "metric_type", "metric_name", "pod", "series_id", "bucket", "value",
                              "last_ts", "n_raw"))
 
@@ -239,28 +249,24 @@ def samples_resample_5m(spark, sf_dir):
 @query("samples_label_filter")
 def samples_label_filter(spark, sf_dir):
     s = R.select_labels(E.samples(spark, sf_dir, ["cpu"]), {"__name__": "container_cpu_usage_seconds_total"},
-                        {"pod": "pod-"})
+                        {"pod": "pod-1"})
     return portable(s.select("event_id", *WL, "pod", "container", "metric_name", "series_id", "ts", "value"))
 
 
 @query("source_fallback")
 def source_fallback(spark, sf_dir):
-    fb = R.source_fallback(_samples(spark, sf_dir))
-    return portable(fb.groupBy(*WL, "metric_type", "metric_name")
-                    .agg(F.count(F.lit(1)).alias("samples"), F.sum("value").alias("value_sum")))
+    return portable(R.best_source(R.source_counts(_samples(spark, sf_dir))).drop("src_rank"))
 
 
 @query("counter_rate_sum")
 def counter_rate_sum(spark, sf_dir):
-    fb = R.source_fallback(E.samples(spark, sf_dir, ["cpu"]))
-    rate = R.counter_rate(fb)
+    rate = R.counter_rate(R.best_source(R.counter_buckets(E.samples(spark, sf_dir, ["cpu"]))))
     return portable(R.sum_by_pod(rate, "rate"))
 
 
 @query("memory_sum_by_pod")
 def memory_sum_by_pod(spark, sf_dir):
-    fb = R.source_fallback(E.samples(spark, sf_dir, ["memory"]))
-    return portable(R.sum_by_pod(R.resample(fb)))
+    return portable(R.sum_by_pod(R.best_source(R.resample(E.samples(spark, sf_dir, ["memory"])))))
 
 
 @query("per_timestamp_stats")
@@ -347,11 +353,10 @@ def v1_triggers(spark, sf_dir):
 
 @query("v1_default_triggers")
 def v1_default_triggers(spark, sf_dir):
-    """Workloads whose mining yields no triggers get the default; here every workload with
-    samples but no usable CPU series is one (computed over the whole table)."""
-    s = _samples(spark, sf_dir)
-    has_cpu = s.where(F.col("metric_type") == "cpu").select(*WL).distinct()
-    return portable(G.v1_default_triggers(s.select(*WL), has_cpu))
+    """Workloads whose mining yields no triggers get the default; here every workload without a CPU
+    sample in the last two days is one (the roster is the whole table)."""
+    has_cpu = E.samples(spark, sf_dir, ["cpu"], as_of=AS_OF, days=2).select(*WL).distinct()
+    return portable(G.v1_default_triggers(_samples(spark, sf_dir).select(*WL), has_cpu))
 
 
 # ---------------------------------------------------------------------------
@@ -398,8 +403,7 @@ def run_stats(spark, sf_dir):
     c, hourly, stats, dm = _profile_parts(spark, sf_dir)
     pats = D.detect(hourly, stats, dm, spark)
     trig = G.v2_triggers(pats, stats)
-    fb = R.source_fallback(_samples(spark, sf_dir))
-    return portable(SK.run_stats(fb, pats, trig, c))
+    return portable(SK.run_stats(R.best_source(R.source_counts(_samples(spark, sf_dir))), pats, trig, c))
 
 
 # ---------------------------------------------------------------------------
@@ -423,10 +427,10 @@ def dangling_refs(spark, sf_dir):
 
 
 def _snapshot(rs, first_half: bool):
-    """Policy snapshot of one half of the month: generation = distinct (weekday, hour) cells with samples."""
+    """Policy snapshot of one half of the month: generation = distinct weekdays with samples."""
     half = F.dayofmonth("ts") <= 15
     s = rs.where(half if first_half else ~half)
-    g = s.groupBy(*WL).agg(F.countDistinct(F.weekday("ts"), F.hour("ts")).cast("bigint").alias("generation"))
+    g = s.groupBy(*WL).agg(F.countDistinct(F.weekday("ts")).cast("bigint").alias("generation"))
     return PO.policies(g.select(*WL)).drop("generation").join(g, WL)
 
 
@@ -446,8 +450,16 @@ def namespaces(spark, sf_dir):
 # planned hour-of-day analyzer (our reading of a prose specification)
 # ---------------------------------------------------------------------------
 
+# The events span one month, with two points a day and workload: the window is the month up to AS_OF.
+PLANNED = PL.PlannedConfig(lookback_days=30)
+
+
+def _planned_clean(spark, sf_dir):
+    return P.clean(_cut(E.replica_samples(spark, sf_dir, as_of=AS_OF, days=PLANNED.lookback_days)))
+
+
 def _points(spark, sf_dir):
-    return _cut(PL.hourly_points(_clean(spark, sf_dir)))
+    return _cut(PL.hourly_points(_planned_clean(spark, sf_dir)))
 
 
 @query("data_gate")
@@ -471,9 +483,9 @@ def peak_windows(spark, sf_dir):
 
 
 def _ai_and_manual(spark, sf_dir):
-    """One materialised replica series feeds workloads, cleaned points and instants."""
-    rs = _cut(E.replica_samples(spark, sf_dir))
-    wls = PO.workloads(rs)
+    """One materialised replica series of the planned window feeds workloads, cleaned points and instants."""
+    rs = _cut(E.replica_samples(spark, sf_dir, as_of=AS_OF, days=PLANNED.lookback_days))
+    wls = _cut(PO.workloads(rs))
     points = _cut(PL.hourly_points(P.clean(rs)))
     gen = _cut(PL.peak_windows(points))
     manual = PO.policy_triggers(spark, wls)
@@ -503,22 +515,22 @@ def _deviation_inputs(spark, sf_dir):
                .withColumn("hpa_target_namespace",
                            F.coalesce(F.nullif(F.col("hpa_namespace"), F.lit("")), F.col("policy_namespace"))))
     trig = ai_flat.unionByName(manual.drop("set_id"))
-    act = S.active_trigger(S.window_state(rs.select(*WL, "ts"), trig, spark))
+    act = S.active_trigger(S.window_state(rs.select(*WL, "ts"), trig, spark), rs)
     bounds = ai.select(*WL, F.col("name").alias("active_name"), "min_replicas", "max_replicas")
-    return rs, act, bounds
+    return rs, act, bounds, trig
 
 
 @query("deviation")
 def deviation(spark, sf_dir):
     """Replica samples outside the bounds of the active generated trigger (manual ones skip)."""
-    rs, act, bounds = _deviation_inputs(spark, sf_dir)
+    rs, act, bounds, _ = _deviation_inputs(spark, sf_dir)
     return portable(PL.deviation(rs, act, bounds))
 
 
 @query("deviation_alert_intervals")
 def deviation_alert_intervals(spark, sf_dir):
     """The streaming alert de-duplication run in batch: at most one alert per workload and hour."""
-    rs, act, bounds = _deviation_inputs(spark, sf_dir)
+    rs, act, bounds, _ = _deviation_inputs(spark, sf_dir)
     a = rs.join(act, WL + ["ts"]).join(bounds, WL + ["active_name"], "left")
     alerts = J.deviation_alerts(a, interval="1 hour")
     return portable(alerts.select(*WL, "interval_start"))
@@ -572,23 +584,125 @@ def policy_documents_roundtrip(spark, sf_dir):
 def schedule_boundaries(spark, sf_dir):
     """Effective bounds at the exact start/end instants of every trigger across each workload's
     data span, collapsed to the instants where the bounds change."""
-    rs = _cut(E.replica_samples(spark, sf_dir))
-    wls = PO.workloads(rs)
-    trig = PO.policy_triggers(spark, wls)
-    span = rs.groupBy(*WL).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    rs, wls, trig, span = _spans(spark, sf_dir)
     ticks = S.boundary_instants(trig, span, spark)
-    st = S.window_state(ticks, trig, spark)
-    tl = S.schedule_timeline(S.effective_bounds(st, PO.hpa_bounds(wls)))
+    tl = S.schedule_timeline(S.effective_bounds(ticks, trig, PO.hpa_bounds(wls), spark))
     return portable(_nullable_as_double(tl, "min_replicas", "max_replicas"))
 
 
+def _spans(spark, sf_dir):
+    rs = _cut(E.replica_samples(spark, sf_dir))
+    wls = _cut(PO.workloads(rs))
+    span = _cut(rs.groupBy(*WL).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")))
+    return rs, wls, PO.policy_triggers(spark, wls), span
+
+
+@query("trigger_events")
+def trigger_events(spark, sf_dir):
+    """Start and end events of every policy across its workload's span, and what each applies."""
+    _, _, trig, span = _spans(spark, sf_dir)
+    ev = S.trigger_events(trig, span, spark)
+    return portable(_nullable_as_double(ev.select("policy_namespace", "policy_name", "ts", "name", "kind", "applied", "mn", "mx"),
+                                        "mn", "mx"))
+
+
+@query("bounds_replay")
+def bounds_replay(spark, sf_dir):
+    """Bounds of every policy after each of its start and end events, carried forward."""
+    _, wls, trig, span = _spans(spark, sf_dir)
+    out = S.bounds_replay(S.trigger_events(trig, span, spark), PO.hpa_bounds(wls))
+    return portable(_nullable_as_double(out, "min_replicas", "max_replicas"))
+
+
+@query("merged_patterns_fixed")
+def merged_patterns_fixed(spark, sf_dir):
+    """The chain after fixed labels: patterns, refinement and merge."""
+    return portable(K.merge_patterns(_fixed_patterns(_features(spark, sf_dir))))
+
+
+def _fixed_patterns(f):
+    grid = K.slot_grid(f)
+    return K.refine_patterns(K.cluster_patterns(grid, K.assign_fixed(K.standardize(grid))), f)
+
+
+@query("v1_triggers_fixed")
+def v1_triggers_fixed(spark, sf_dir):
+    """Triggers of the patterns from fixed labels, plus the default for workloads without one."""
+    f = _features(spark, sf_dir)
+    mined = G.v1_triggers(_cut(K.merge_patterns(_fixed_patterns(f))))
+    return portable(mined.unionByName(G.v1_default_triggers(f.select(*WL), mined)))
+
+
+# ---------------------------------------------------------------------------
+# streams: the jobs themselves, run until their input is used up
+# ---------------------------------------------------------------------------
+
+def _stream_of(df):
+    """A file stream over a table written to the shared folder."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/stream-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _run_stream(df):
+    """Run a streaming frame over all its input into a table of the shared folder and read that."""
+    base = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/sink-{uuid.uuid4().hex}"
+    q = (df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+@query("stream_resample")
+def stream_resample(spark, sf_dir):
+    """R1 as a stream: the windows that the watermark closes."""
+    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
+    return portable(_run_stream(J.resample_stream(_stream_of(raw))))
+
+
+@query("stream_profile")
+def stream_profile(spark, sf_dir):
+    """R2 as a stream: partials of every day, compacted, and the profile of a two-week window."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/profile-{uuid.uuid4().hex}"
+    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
+    J.profile_refresh(_stream_of(raw), f"{base}/state", f"{base}/log").awaitTermination()
+    J.compact_profile(spark, f"{base}/state", f"{base}/compact")
+    return portable(J.read_profile(spark, f"{base}/compact", as_of=AS_OF[:10], days=14))
+
+
+def _active_stream(spark, sf_dir):
+    _, _, trig = _schedule_inputs(spark, sf_dir)
+    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
+    return J.active_trigger_stream(_stream_of(raw), _cut(S.trigger_arrays(trig, spark)))
+
+
+@query("stream_active_trigger")
+def stream_active_trigger(spark, sf_dir):
+    """R3 as a stream: each event with its workload's winning trigger."""
+    out = _run_stream(_active_stream(spark, sf_dir))
+    return portable(_nullable_as_double(out.select(*WL, "ts", "active_name", "active_priority"), "active_priority"))
+
+
+@query("stream_transitions")
+def stream_transitions(spark, sf_dir):
+    """R4 as a stream: the changes of the winning trigger."""
+    return portable(_run_stream(J.transitions_stream(_active_stream(spark, sf_dir))))
+
+
+@query("stream_deviation_alerts")
+def stream_deviation_alerts(spark, sf_dir):
+    """R5 as a stream: one alert per workload and hour that the watermark has passed."""
+    rs, _, _, trig = _deviation_inputs(spark, sf_dir)
+    active = J.active_trigger_stream(_stream_of(rs), _cut(S.trigger_arrays(trig, spark)))
+    alerts = _run_stream(J.deviation_alerts(active, interval="1 hour"))
+    return portable(alerts.select(*WL, "interval_start", "ts", "active_name", "value"))
+
+
 @query("stream_resample_batch")
 def stream_resample_batch(spark, sf_dir):
     """The streaming 5-minute resample (watermark + tumbling window) run on the whole table in batch."""
-    ev = E.read_table(spark, sf_dir, "events")
-    raw = ev.select(F.concat(F.lit("ns-"), (F.col("user_id") % 10 % 3).cast("string")).alias("namespace"),
-                    F.concat(F.lit("app-"), (F.col("user_id") % 10).cast("string")).alias("deployment"),
-                    F.col("ts").cast("timestamp").alias("ts"), "value").where(F.col("value").isNotNull())
+    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
     return portable(J.resample_stream(raw))
 
 
@@ -596,10 +710,4 @@ def stream_resample_batch(spark, sf_dir):
 def profile_partials_merge(spark, sf_dir):
     """The streaming profile state: per-day partial sums (as micro-batches would write them)
     merged into the hourly profile."""
-    rs = E.replica_samples(spark, sf_dir)
-    partials = (rs.withColumn("day", F.to_date("ts"))
-                .groupBy(*WL, "day", F.weekday("ts").alias("dow"), F.hour("ts").alias("hour"))
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"),
-                     F.sum(F.col("value") * F.col("value")).alias("ss"),
-                     F.max("value").alias("mx"), F.min("value").alias("mn")))
-    return portable(J.merge_profile(partials))
+    return portable(J.merge_profile(J.profile_partials(E.replica_samples(spark, sf_dir))))

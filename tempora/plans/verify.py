@@ -45,13 +45,14 @@ def rows_of(pdf):
     return cols, sorted(out)
 
 
-def compare(spark, name: str, sf_dir: str, con=None) -> dict:
+def compare(spark, name: str, sf_dir: str, con=None, run=None, sql: str | None = None) -> dict:
+    """Rows of a query against its SQL; ``run`` and ``sql`` default to the registered ones."""
     from tempora.plans.oracle import ORACLE
     from tempora.plans.queries import REGISTRY
 
     con = con or duck(sf_dir)
-    s = REGISTRY[name](spark, sf_dir).toPandas()
-    d = con.execute(ORACLE[name]).df()
+    s = (run or REGISTRY[name])(spark, sf_dir).toPandas()
+    d = con.execute(sql or ORACLE[name]).df()
     sc, sr = rows_of(s)
     dc, dr = rows_of(d)
     res = {"query": name, "spark_rows": len(sr), "oracle_rows": len(dr), "columns_match": sc == dc,

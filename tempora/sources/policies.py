@@ -16,56 +16,49 @@ from pyspark.sql import types as T
 
 from tempora.config import WL
 
+# Trigger sets of the derived policies. Clocks are hours after the workload's busiest hour with a
+# fixed minute and second, or fixed texts; dates are days after its first sample. One set a row group:
+# 0 a window, its complement overnight and whole weekend days; 1 overlapping windows without end
+# configs; 2 a tie of priorities, on an HPA in another namespace; 3 one window at two priorities;
+# 4 a window inside another on all days; 5 edge cases; 6 nothing but a suspended trigger.
 TRIGGER_FIELDS = [
     ("set_id", "int"), ("name", "string"), ("priority", "int"), ("timezone", "string"),
-    ("has_interval", "boolean"), ("recurring", "string"), ("start_date", "string"), ("end_date", "string"),
-    ("start_time", "string"), ("end_time", "string"),
+    ("has_interval", "boolean"), ("recurring", "string"), ("first_day", "int"), ("last_day", "int"),
+    ("start_hours", "int"), ("start_text", "string"), ("end_hours", "int"), ("end_text", "string"),
     ("start_min", "int"), ("start_max", "int"), ("end_min", "int"), ("end_max", "int"),
     ("suspend", "boolean"),
 ]
 TRIGGER_DDL = ", ".join(f"{n} {t}" for n, t in TRIGGER_FIELDS)
 
-LA = "America/Los_Angeles"
-WD = "M,TU,W,TH,F"
-
-# The sample trigger sets (set_id, name, priority, zone, has_interval,
-# recurring, start date, end date, start, end, start min/max, end min/max, suspend).
+WD, WE, ALL = "M,TU,W,TH,F", "SAT,SUN", "SUN,M,TU,W,TH,F,SAT"
 TRIGGER_SETS = [
-    # 0: business hours / overnight off-peak / weekend, one interval with both recurrence and dates
-    (0, "business-hours", 100, LA, True, WD, "2025-04-24", "2025-12-31", "09:00:00", "17:00:00", 5, 15, 2, 5, False),
-    (0, "offpeak-hours", 50, LA, True, WD, None, None, "17:00:00", "09:00:00", 2, 6, 1, 4, False),
-    (0, "weekend-hours", 25, LA, True, "SAT,SUN", None, None, "00:00:00", "23:59:59", 1, 3, 1, 2, False),
-    # 1: overlapping windows, no end configs
-    (1, "peak-hours", 100, LA, True, WD, None, None, "09:00:00", "11:30:00", 8, 15, None, None, False),
-    (1, "mid-morning", 50, LA, True, WD, None, None, "10:30:00", "13:00:00", 5, 10, None, None, False),
-    # 2: late overlapping windows including Sunday
-    (2, "first-window", 100, LA, True, "M,TU,W,TH,F,SUN", None, None, "14:05:00", "22:50:00", 5, 10, None, None,
-     False),
-    (2, "second-window", 50, LA, True, "M,TU,W,TH,F,SUN", None, None, "14:13:00", "23:25:00", 3, 7, None, None,
-     False),
-    # 3: same weekend window at priorities 53 and 52
-    (3, "business-hours", 100, LA, True, WD, None, None, "09:00:00", "20:00:00", 5, 10, 1, 3, False),
-    (3, "weekend-scale-down", 53, LA, True, "SAT,SUN", None, None, "00:00:00", "23:59:59", 3, 10, 1, 2, False),
-    (3, "weekend-scale-down-1", 52, LA, True, "SAT,SUN", None, None, "00:00:00", "23:59:59", 4, 10, 1, 2, False),
-    # 4: the two-trigger day scenario (UTC)
-    (4, "business-hours", 10, "UTC", True, WD, None, None, "09:00:00", "17:00:00", 3, 10, 1, 5, False),
-    (4, "peak-hours", 20, "UTC", True, WD, None, None, "11:00:00", "14:00:00", 5, 15, 1, 5, False),
-    # 5: edge cases
-    (5, "date-window", 30, "UTC", True, None, "2024-01-08", "2024-01-20", "08:00:00", "20:00:00", 4, 8, 1, 3, False),
-    (5, "overnight-friday", 40, "UTC", True, "F", None, None, "22:00:00", "06:00:00", 2, 9, 1, 4, False),
-    (5, "bad-zone", None, "Invalid/Timezone", True, "M, XX", None, None, "00:00:00", "12:00:00", 2, 4, None, None,
-     False),
-    (5, "suspended", 90, "UTC", True, WD, None, None, "00:00:00", "23:59:00", 9, 9, 1, 2, True),
-    (5, "bad-clock", 80, "UTC", True, WD, None, None, "invalid", "17:00:00", 3, 3, 1, 2, False),
-    (5, "no-interval", 70, "UTC", False, None, None, None, "00:00:00", "23:00:00", 6, 6, 1, 2, False),
-    (5, "invalid-bounds", 35, "UTC", True, "SAT,SUN", None, None, "10:00:00", "12:00:00", 5, 3, 1, 5, False),
+    (0, "rush", 70, "Europe/Berlin", True, WD, None, None, -1, ":15:00", 3, ":45:00", 4, 9, 2, 4, False),
+    (0, "lull", 20, "Europe/Berlin", True, WD, None, None, 3, ":45:00", -1, ":15:00", 1, 3, 1, 2, False),
+    (0, "idle-days", 10, "Europe/Berlin", True, WE, None, None, None, "00:00:00", None, "23:59:59", 1, 2, None, None, False),
+    (1, "core", 90, "Asia/Tokyo", True, "M,W,F", None, None, 0, ":00:00", 2, ":20:00", 7, 12, None, None, False),
+    (1, "tail", 40, "Asia/Tokyo", True, "M,TU,W,TH", None, None, 1, ":40:00", 5, ":00:00", 4, 8, None, None, False),
+    (2, "late", 60, "UTC", True, "TU,TH,SUN", None, None, 6, ":05:00", 9, ":50:00", 3, 8, 1, 2, False),
+    (2, "later", 60, "UTC", True, "TU,TH,SUN", None, None, 7, ":10:00", 10, ":35:00", 2, 6, 1, 3, False),
+    (3, "day", 55, "America/New_York", True, WD, None, None, -4, ":00:00", 6, ":30:00", 4, 11, 1, 4, False),
+    (3, "pause-a", 33, "America/New_York", True, WE, None, None, None, "00:00:00", None, "23:59:59", 2, 6, 1, 3, False),
+    (3, "pause-b", 32, "America/New_York", True, WE, None, None, None, "00:00:00", None, "23:59:59", 3, 7, 1, 3, False),
+    (4, "base", 15, "UTC", True, ALL, None, None, -3, ":00:00", 5, ":00:00", 2, 6, 1, 4, False),
+    (4, "spike", 25, "UTC", True, ALL, None, None, 0, ":30:00", 2, ":00:00", 5, 12, 2, 7, False),
+    (5, "dated", 30, "UTC", True, None, 4, 16, -2, ":00:00", 4, ":00:00", 4, 8, 1, 3, False),
+    (5, "friday-night", 45, "UTC", True, "F", None, None, None, "22:30:00", None, "05:30:00", 2, 9, 1, 4, False),
+    (5, "odd-zone", None, "Nowhere/Land", True, "M, XX", None, None, None, "00:00:00", None, "12:00:00", 2, 4, None, None, False),
+    (5, "parked", 95, "UTC", True, WD, None, None, None, "00:00:00", None, "23:59:00", 9, 9, 1, 2, True),
+    (5, "no-clock", 85, "UTC", True, WD, None, None, None, "soon", 5, ":00:00", 3, 3, 1, 2, False),
+    (5, "no-days", 75, "UTC", False, None, None, None, None, "00:00:00", None, "23:00:00", 6, 6, 1, 2, False),
+    (5, "crossed", 35, "UTC", True, WE, None, None, 0, ":00:00", 2, ":00:00", 6, 3, 1, 5, False),
+    (6, "asleep", 50, "UTC", True, ALL, None, None, 0, ":00:00", 4, ":00:00", 2, 5, 1, 2, True),
 ]
-N_SETS = 6
+N_SETS = 7
 
-# HPA namespace written in each set's policy (None = policy's own namespace).
-SET_HPA_NAMESPACE = {0: None, 1: None, 2: "default", 3: None, 4: None, 5: None}
+# HPA namespace written in each set's policy (None = policy's own namespace).
+SET_HPA_NAMESPACE = {2: "shared"}
 
-# Bounds every workload's HPA starts from.
+# Bounds every workload's HPA starts from.
 HPA_START_MIN, HPA_START_MAX = 1, 5
 
 
@@ -74,18 +67,21 @@ def trigger_sets(spark: SparkSession) -> DataFrame:
 
 
 def set_of(deployment) -> F.Column:
-    """Trigger set a workload's policy uses: code of the deployment's last character mod 6."""
+    """Trigger set a workload's policy uses: code of the deployment's last character mod the number of sets."""
     return F.ascii(F.substring(deployment, -1, 1)) % N_SETS
 
 
 def workloads(samples: DataFrame) -> DataFrame:
-    return samples.select(*WL).distinct()
+    """One row per workload: its busiest hour of day (most samples; the earliest of equals) and its first day."""
+    hours = samples.groupBy(*WL, F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t"))
+    top = F.min(F.struct((-F.col("n")).alias("n"), "hour"))
+    return hours.groupBy(*WL).agg(top.alias("top"), F.to_date(F.min("t")).alias("since")).select(
+        *WL, F.col("top.hour").alias("busy_hour"), "since")
 
 
 def policies(wls: DataFrame) -> DataFrame:
     """One policy per workload: name ``<deployment>-schedule``, HPA ``<deployment>-hpa``."""
-    ns_map = F.create_map(*[x for k, v in SET_HPA_NAMESPACE.items() if v is not None
-                            for x in (F.lit(k), F.lit(v))])
+    ns_map = F.create_map(*[x for k, v in SET_HPA_NAMESPACE.items() for x in (F.lit(k), F.lit(v))])
     sid = set_of(F.col("deployment"))
     return wls.select(
         *WL,
@@ -98,11 +94,23 @@ def policies(wls: DataFrame) -> DataFrame:
 
 
 def policy_triggers(spark: SparkSession, wls: DataFrame, include_suspended: bool = False) -> DataFrame:
-    """Flat trigger table for every workload's policy (suspended triggers dropped by default).
+    """Flat trigger table for every workload's policy (suspended triggers dropped by default), clocks
+    and dates by ``workloads``.
 
-    The trigger-set table is a fixed literal (19 rows), so broadcasting it is safe.
+    The trigger-set table is a fixed literal (20 rows), so broadcasting it is safe.
     """
-    t = policies(wls).join(F.broadcast(trigger_sets(spark)), "set_id")
+    def clock(hours, text):
+        hour = F.lpad(F.pmod(F.col("busy_hour") + F.col(hours), F.lit(24)).cast("string"), 2, "0")
+        return F.when(F.col(hours).isNull(), F.col(text)).otherwise(F.concat(hour, F.col(text)))
+
+    def day(days):
+        return F.date_format(F.date_add("since", F.col(days)), "yyyy-MM-dd")
+
+    t = policies(wls).join(wls, WL).join(F.broadcast(trigger_sets(spark)), "set_id").select(
+        *WL, "set_id", "policy_namespace", "policy_name", "generation", "hpa_namespace", "hpa_name", "name", "priority",
+        "timezone", "has_interval", "recurring", day("first_day").alias("start_date"), day("last_day").alias("end_date"),
+        clock("start_hours", "start_text").alias("start_time"), clock("end_hours", "end_text").alias("end_time"),
+        "start_min", "start_max", "end_min", "end_max", "suspend")
     if not include_suspended:
         t = t.where(~F.col("suspend"))
     return t.withColumn("hpa_target_namespace",

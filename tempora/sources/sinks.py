@@ -40,11 +40,11 @@ def policy_documents(triggers: DataFrame, api_version: str = "tempora/v1") -> Da
     return g.select(*WL, F.size("es").alias("n_triggers"), F.to_json(doc).alias("document"))
 
 
-def run_stats(samples_by_metric: DataFrame, patterns: DataFrame, triggers: DataFrame,
+def run_stats(sample_counts: DataFrame, patterns: DataFrame, triggers: DataFrame,
               replicas: DataFrame) -> DataFrame:
     """Per workload: points per metric, pattern and trigger counts, replica avg (2 dp), max/min (int)."""
-    pts = (samples_by_metric.groupBy(*WL)
-           .agg(*[F.count(F.when(F.col("metric_type") == m, 1)).alias(f"{m}_points")
+    pts = (sample_counts.groupBy(*WL)
+           .agg(*[F.sum(F.when(F.col("metric_type") == m, F.col("samples")).otherwise(0)).alias(f"{m}_points")
                   for m in ("cpu", "memory", "replicas")]))
     pc = patterns.groupBy(*WL).agg(F.count(F.lit(1)).alias("patterns"))
     tc = triggers.groupBy(*WL).agg(F.count(F.lit(1)).alias("triggers"))
@@ -59,14 +59,18 @@ def run_stats(samples_by_metric: DataFrame, patterns: DataFrame, triggers: DataF
 
 
 def pattern_report(patterns: DataFrame, series: DataFrame) -> DataFrame:
-    """Per workload: the mined patterns as JSON (camelCase fields) plus data-point counts."""
+    """Per workload: the mined patterns as JSON (camelCase fields, loads to six decimals) plus
+    data-point counts."""
+    def fixed(c):
+        return F.col(c).cast("decimal(24,6)")
+
     p = patterns.select(*WL, F.struct(
         F.col("pattern_id").alias("_id"),
         F.struct(F.col("start_hour").alias("startHour"), F.col("start_minute").alias("startMinute"),
                  F.col("end_hour").alias("endHour"), F.col("end_minute").alias("endMinute"),
-                 F.col("days"), F.col("avg_cpu").alias("avgCpu"), F.col("avg_memory").alias("avgMemory"),
-                 F.col("avg_replicas").alias("avgReplicas"), F.col("peak_replicas").alias("peakReplicas"),
-                 F.col("confidence")).alias("p")).alias("e"))
+                 F.col("days"), fixed("avg_cpu").alias("avgCpu"), fixed("avg_memory").alias("avgMemory"),
+                 fixed("avg_replicas").alias("avgReplicas"), F.col("peak_replicas").alias("peakReplicas"),
+                 fixed("confidence").alias("confidence")).alias("p")).alias("e"))
     pg = p.groupBy(*WL).agg(F.array_sort(F.collect_list("e")).alias("es"))
     counts = (series.groupBy(*WL)
               .agg(*[F.count(F.when(F.col("metric_type") == m, 1)).alias(n)

@@ -1,4 +1,5 @@
-"""Every registered query against its DuckDB oracle at sf0.001 (rows-only when no oracle)."""
+"""Every registered query against its DuckDB oracle at sf0.001; those without one, which have
+brute-force tests of their own, must at least give rows."""
 
 import os
 
@@ -19,11 +20,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
     if name in oracle_sql():
-        r = compare(spark, name, SF, con)
+        r = compare(spark, name, SF, con, queries()[name], oracle_sql()[name])
         assert r["values_match"], r
     else:
         df = queries()[name](spark, SF)
-        assert df.count() >= 0 and len(df.columns) > 0
+        assert df.count() > 0 and len(df.columns) > 0
 
 
 def test_entry(spark):

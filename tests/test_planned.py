@@ -47,6 +47,13 @@ def test_fewer_than_72_points_is_insufficient(spark):
     pts = PL.hourly_points(samples(spark, 2, lambda t: 3))
     r = PL.data_gate(pts).first()
     assert r["hourly_points"] == 48 and not r["sufficient"] and r["status"] == "InsufficientData"
+    peak = PL.hourly_points(samples(spark, 2, lambda t: 10 if 9 <= t.hour < 17 else 2))
+    assert PL.peak_windows(peak).count() == 0  # too little data gives a status and no trigger
+
+
+def test_peak_of_all_hours_ends_with_the_day(spark):
+    pts = PL.hourly_points(samples(spark, 30, lambda t: 10 if t.day % 4 == 0 else 2))
+    assert [(r["start_time"], r["end_time"]) for r in PL.peak_windows(pts).collect()] == [("00:00:00", "23:59:59")]
 
 
 def test_empty_input(spark):

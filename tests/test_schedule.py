@@ -24,10 +24,9 @@ def states(spark, trig_rows, stamps, **kw):
 
 def bounds_at(spark, trig_rows, stamps, cur=(1, 5), hpa_exists=True):
     t = triggers_frame(spark, trig_rows)
-    st = S.window_state(instants(spark, stamps), t, spark)
     hpa = spark.createDataFrame([("default", "app-hpa" if hpa_exists else "other", cur[0], cur[1])],
                                 "namespace string, name string, min_replicas int, max_replicas int")
-    out = S.effective_bounds(st, hpa).collect()
+    out = S.effective_bounds(instants(spark, stamps), t, hpa, spark).collect()
     return {r["ts"].strftime("%H:%M"): (r["min_replicas"], r["max_replicas"], r["error"]) for r in out}
 
 
@@ -170,7 +169,8 @@ def test_equal_priority_tie_breaks_on_name(spark):
     trig = [{"name": "b", "priority": 5, "recurring": WD, "start_time": "09:00:00", "end_time": "17:00:00"},
             {"name": "a", "priority": 5, "recurring": WD, "start_time": "09:00:00", "end_time": "17:00:00"}]
     t = triggers_frame(spark, trig)
-    act = S.active_trigger(S.window_state(instants(spark, ["2024-03-20 12:00:00"]), t, spark)).collect()
+    at = instants(spark, ["2024-03-20 12:00:00"])
+    act = S.active_trigger(S.window_state(at, t, spark), at).collect()
     assert act[0]["active_name"] == "a" and act[0]["n_within"] == 2
 
 
@@ -202,7 +202,7 @@ def test_priority_transitions(spark):
     assert got["12:00"][:2] == (3, 9)     # higher ends while lower active: lower's start config
     assert got["14:00"][:2] == (2, 4)     # all after: end configs in priority order; late has none
     t = triggers_frame(spark, trig)
-    act = S.active_trigger(S.window_state(instants(spark, stamps), t, spark))
+    act = S.active_trigger(S.window_state(instants(spark, stamps), t, spark), instants(spark, stamps))
     tr = S.trigger_transitions(act).orderBy("ts").collect()
     assert [(r["from_trigger"], r["to_trigger"]) for r in tr] == [
         (None, None), (None, "low"), ("low", "high"), ("high", "low"), ("low", None)]
@@ -242,9 +242,9 @@ def test_boundary_instants_give_exact_change_times(spark):
     ticks = S.boundary_instants(t, span, spark)
     hpa = spark.createDataFrame([("default", "app-hpa", 1, 5)],
                                 "namespace string, name string, min_replicas int, max_replicas int")
-    tl = S.schedule_timeline(S.effective_bounds(S.window_state(ticks, t, spark), hpa)).orderBy("ts").collect()
+    tl = S.schedule_timeline(S.effective_bounds(ticks, t, hpa, spark)).orderBy("ts").collect()
     assert [(r["ts"].strftime("%H:%M"), r["min_replicas"], r["max_replicas"]) for r in tl] == [
-        ("09:00", 3, 10), ("11:00", 5, 15), ("14:00", 3, 10), ("17:00", 1, 5)]
+        ("00:00", 1, 5), ("09:00", 3, 10), ("11:00", 5, 15), ("14:00", 3, 10), ("17:00", 1, 5)]
 
 
 def test_boundary_instants_follow_the_zone(spark):
@@ -253,5 +253,61 @@ def test_boundary_instants_follow_the_zone(spark):
     span = spark.createDataFrame([("default", "app", datetime(2024, 3, 20, 0, 0), datetime(2024, 3, 21, 0, 0))],
                                  "namespace string, deployment string, t0 timestamp, t1 timestamp")
     got = sorted(r["ts"].strftime("%d %H:%M") for r in S.boundary_instants(t, span, spark).collect())
-    # 17:00 PDT on the 19th, 09:00 PDT on the 20th, 17:00 PDT on the 20th (the span end is inclusive)
-    assert got == ["20 00:00", "20 16:00", "21 00:00"]
+    # 17:00 PDT on the 19th (and the span's start), local midnight, 09:00 and 17:00 PDT on the 20th (the end is inclusive)
+    assert got == ["20 00:00", "20 07:00", "20 16:00", "21 00:00"]
+
+
+def test_boundary_instants_of_date_ranges(spark):
+    t = triggers_frame(spark, [{"name": "d", "start_date": "2024-03-10", "end_date": "2024-03-12", "start_time": "00:00:00", "end_time": "23:00:00"}])
+    span = spark.createDataFrame([("default", "app", datetime(2024, 3, 9, 12), datetime(2024, 3, 12, 12))],
+                                 "namespace string, deployment string, t0 timestamp, t1 timestamp")
+    got = {r["ts"] for r in S.boundary_instants(t, span, spark).collect()}
+    assert {datetime(2024, 3, 9, 12), datetime(2024, 3, 10, 0, 0, 1), datetime(2024, 3, 12)} <= got
+
+
+def replay(spark, rows, day="2024-03-20", cur=(1, 5)):
+    t = triggers_frame(spark, rows)
+    d = datetime.fromisoformat(day)
+    span = spark.createDataFrame([("default", "app", d, d.replace(hour=23, minute=59))], "namespace string, deployment string, t0 timestamp, t1 timestamp")
+    hpa = spark.createDataFrame([("default", "app-hpa", *cur)], "namespace string, name string, min_replicas int, max_replicas int")
+    out = S.bounds_replay(S.trigger_events(t, span, spark), hpa).orderBy("event").collect()
+    return [(r["ts"].strftime("%H:%M"), r["name"], r["kind"], r["applied"], r["min_replicas"], r["max_replicas"]) for r in out]
+
+
+def window(name, priority, start, end, first, last):
+    return {"name": name, "priority": priority, "recurring": WD, "start_time": f"{start}:00", "end_time": f"{end}:00",
+            "start_min": first and first[0], "start_max": first and first[1], "end_min": last and last[0], "end_max": last and last[1]}
+
+
+def test_replay_hands_over_by_priority(spark):
+    got = replay(spark, [window("base", 10, "09:00", "17:00", (3, 10), (1, 5)), window("top", 20, "11:00", "14:00", (5, 15), (1, 5))])
+    assert got == [("09:00", "base", "start", "base", 3, 10), ("11:00", "top", "start", "top", 5, 15),
+                   ("14:00", "top", "end", "base", 3, 10), ("17:00", "base", "end", "base", 1, 5)]
+
+
+def test_replay_does_nothing_under_a_higher_trigger(spark):
+    got = replay(spark, [window("low", 5, "10:00", "12:00", (2, 3), (1, 2)), window("high", 50, "09:00", "15:00", (6, 9), (2, 7))])
+    assert got == [("09:00", "high", "start", "high", 6, 9), ("10:00", "low", "start", None, 6, 9),
+                   ("12:00", "low", "end", None, 6, 9), ("15:00", "high", "end", "high", 2, 7)]
+
+
+def test_replay_applies_the_ended_triggers_own_end(spark):
+    """At the second end the bounds are the second trigger's, whatever triggers ended before it; the
+    state alone says otherwise, since it lets the lowest priority land last."""
+    rows = [window("a", 10, "09:00", "12:00", (2, 3), (1, 4)), window("b", 20, "13:00", "15:00", (5, 8), (2, 7))]
+    assert [x[4:] for x in replay(spark, rows)] == [(2, 3), (1, 4), (5, 8), (2, 7)]
+    assert bounds_at(spark, rows, ["2024-03-20 15:00:00"])["15:00"][:2] == (1, 4)
+
+
+def test_replay_rejects_invalid_and_keeps_missing_configs(spark):
+    rows = [window("part", 10, "08:00", "09:00", (None, 8), None), window("bad", 10, "10:00", "11:00", (9, 2), (0, 6))]
+    assert [x[4:] for x in replay(spark, rows)] == [(1, 8), (1, 8), (1, 8), (0, 6)]
+
+
+def test_instants_without_live_triggers_stay(spark):
+    t = triggers_frame(spark, [{"name": "s", "suspend": True, "recurring": WD, "start_time": "09:00:00", "end_time": "17:00:00"}])
+    at = instants(spark, ["2024-03-20 12:00:00"])
+    hpa = spark.createDataFrame([("default", "app-hpa", 1, 5)], "namespace string, name string, min_replicas int, max_replicas int")
+    r = S.effective_bounds(at, t, hpa, spark).first()
+    assert (r["source"], r["min_replicas"], r["error"]) == ("none", None, "no policy")
+    assert S.active_trigger(S.window_state(at, t, spark), at).first()["n_within"] == 0

@@ -30,8 +30,9 @@ def test_hot_workload_is_bounded_after_the_step_reduction(spark):
 
 def test_hot_series_counter_rate_orders_within_buckets(spark):
     samples = E.metric_samples(_events(spark).withColumn("event_type", F.lit("view")))
-    rate = R.counter_rate(samples)
-    plan = rate._jdf.queryExecution().executedPlan().toString()
+    buckets = R.counter_buckets(samples)
+    rate = R.counter_rate(buckets)
+    plan = buckets._jdf.queryExecution().executedPlan().toString()
     first_window = [ln for ln in plan.splitlines() if "Window [" in ln and "lag(" in ln][-1]
     assert "bucket" in first_window.split("windowspecdefinition(")[1]   # raw rows ordered per (series, bucket)
     assert rate.groupBy("series_id", "bucket").count().where("count > 1").count() == 0

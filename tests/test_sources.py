@@ -86,23 +86,37 @@ def test_generated_policy_document(spark):
     assert d["spec"]["triggers"][0]["startHPAConfig"] == {"minReplicas": 3, "maxReplicas": 9}
 
 
-def test_counter_rate_with_reset(spark):
+COUNTER = ("namespace string, deployment string, metric_type string, src_rank int, pod string, container string, "
+           "series_id string, ts timestamp, value double")
+
+
+def counter(spark, vals):
     t0 = datetime(2024, 1, 1, 0, 0, 0)
-    vals = [(0, 10.0), (60, 20.0), (120, 5.0), (360, 15.0)]  # reset at 120 s; next bucket at 360 s
-    rows = [("n", "d", "p", "c", "s", t0 + timedelta(seconds=s), v) for s, v in vals]
-    df = spark.createDataFrame(rows, "namespace string, deployment string, pod string, container string, "
-                                     "series_id string, ts timestamp, value double")
-    got = {r["bucket"].minute: r["rate"] for r in R.counter_rate(df).collect()}
+    return spark.createDataFrame([("n", "d", "cpu", 0, "p", "c", "s", t0 + timedelta(seconds=s), v) for s, v in vals], COUNTER)
+
+
+def test_counter_rate_with_reset(spark):
+    df = counter(spark, [(0, 10.0), (60, 20.0), (120, 5.0), (360, 15.0)])  # reset at 120 s; next bucket at 360 s
+    got = {r["bucket"].minute: r["rate"] for r in R.counter_rate(R.counter_buckets(df)).collect()}
     # bucket 00:00: +10 then reset (+5) over 120 s; bucket 00:05: +10 over 240 s
     assert got[0] == pytest.approx(15 / 120) and got[5] == pytest.approx(10 / 240)
 
 
-def test_source_fallback_first_non_empty(spark):
+def test_counter_rate_bridges_no_gap(spark):
+    days = 3 * 86400
+    df = counter(spark, [(0, 10.0), (60, 20.0), (days, 500.0), (days + 30, 503.0), (2 * days, 900.0), (2 * days + 301, 901.0)])
+    got = {r["bucket"]: r["rate"] for r in R.counter_rate(R.counter_buckets(df)).collect()}
+    assert sorted(got.values()) == [pytest.approx(3 / 30), pytest.approx(10 / 60)]  # neither three days nor 301 seconds
+    wide = R.counter_rate(R.counter_buckets(df), range_minutes=6).collect()
+    assert pytest.approx(1 / 301) in [r["rate"] for r in wide]
+
+
+def test_best_source_first_non_empty(spark):
     rows = [("n", "d", "replicas", 1, 1.0), ("n", "d", "replicas", 2, 2.0), ("n", "e", "replicas", 0, 3.0),
             ("n", "e", "replicas", 1, 4.0)]
     df = spark.createDataFrame(rows, "namespace string, deployment string, metric_type string, src_rank int, "
                                      "value double")
-    got = sorted((r["deployment"], r["value"]) for r in R.source_fallback(df).collect())
+    got = sorted((r["deployment"], r["value"]) for r in R.best_source(df).collect())
     assert got == [("d", 1.0), ("e", 3.0)]
 
 
@@ -127,3 +141,31 @@ def test_zone_misplaced_under_interval_is_reported(spark, scratch):
     assert t.first()["timezone"] is None  # the misplaced zone does not apply
     rules = [r["rule"] for r in S.trigger_validation(t, spark).collect()]
     assert rules == ["zone_under_interval"]
+
+
+def test_checkpoint_folder_is_shared_and_released(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from tempora import session as SE
+
+    t = SE.materialize(spark.range(5), "kept")
+    path = t.inputFiles()[0].removeprefix("file://").removeprefix("file:").rsplit("/", 1)[0]
+    assert t.count() == 5 and os.path.isdir(path)
+    assert SE.release(spark) >= 1 and not os.path.exists(path) and SE.release(spark) == 0
+    assert SE.is_machine_local("/tmp/x") and SE.is_machine_local("file:/x") and not SE.is_machine_local("s3://b/x")
+    assert not SE.is_machine_local("/tmp/x", "hdfs://n:1/")
+
+    class Cluster:
+        """A session whose master is a cluster and whose folder is one machine's."""
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return "/tmp/checkpoints" if key == "spark.checkpoint.dir" else default
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        SE.checkpoint_dir(Cluster)
