@@ -370,7 +370,7 @@ def _resampled_with_labels(spark, sf_dir):
 
 @query("matrix_json_roundtrip")
 def matrix_json_roundtrip(spark, sf_dir):
-    """Resampled series -> one matrix document per (series, day) -> parsed back to rows."""
+    """Resampled series -> one matrix document per (series, hour) -> parsed back to rows."""
     docs = MX.samples_to_documents(_resampled_with_labels(spark, sf_dir), value_format="%s")
     back = MX.matrix_to_samples(docs.select(MX.parse_documents(F.col("document")).alias("d")), "d")
     return portable(back.select(*WL, "pod", "metric_name", "series_id", "ts", "value"))

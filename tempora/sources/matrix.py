@@ -56,25 +56,26 @@ def matrix_replicas(samples: DataFrame) -> DataFrame:
 
 
 def samples_to_documents(samples: DataFrame, value_format: str = "%d") -> DataFrame:
-    """One matrix document per (series, UTC day): ``[epoch, "value"]`` pairs in time order.
+    """One matrix document per (series, UTC hour): ``[epoch, "value"]`` pairs in time order. A
+    document holds the samples of one series and hour, which the scrape interval bounds.
 
     ``value_format`` formats the value text (``%d`` writes integers as the
     generator does; ``%s`` keeps full precision).
     """
-    day = F.to_date("ts")
+    hour = F.date_trunc("hour", "ts")
     pts = samples.where(F.col("value").isNotNull()).select(
-        "labels", "series_id", day.alias("day"),
+        "labels", "series_id", hour.alias("hour"),
         F.struct(F.unix_seconds("ts").alias("e"),
                  (F.format_string(value_format, F.col("value").cast("long")) if value_format == "%d"
                   else F.col("value").cast("string")).alias("v")).alias("p"))
-    g = pts.groupBy("series_id", "day").agg(F.first("labels").alias("metric"),
+    g = pts.groupBy("series_id", "hour").agg(F.first("labels").alias("metric"),
                                            F.array_sort(F.collect_list("p")).alias("ps"))
     values = F.transform("ps", lambda p: F.array(p["e"].cast("string"), p["v"]))
     doc = F.struct(F.lit("success").alias("status"),
                    F.struct(F.lit("matrix").alias("resultType"),
                             F.array(F.struct(F.col("metric"), values.alias("values"))).alias("result"))
                    .alias("data"))
-    return g.select("series_id", "day", F.to_json(doc).alias("document"))
+    return g.select("series_id", "hour", F.to_json(doc).alias("document"))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
