@@ -145,6 +145,17 @@ def byte_classes(kinds: dict[int, int] | None = None, rest: int = 1) -> np.ndarr
     return c
 
 
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``few``, one row a key, on the key and a salt from the columns ``spread``,
+    so the rows of one common key are dealt to several tasks."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    each = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(each, [key, "__salt"], how).drop("__salt")
+
+
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
