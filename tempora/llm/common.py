@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hands rows to Python in batches of at most 4 MB, unless the session sets another bound than
+    Spark's own of 64 MB: executors hold several batches at once outside their heap."""
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
+        spark.conf.set(ARROW_BYTES, "4m")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table, for a session with bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
