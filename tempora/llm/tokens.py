@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TEXT_BYTES = 8 << 20  # of text encoded together: the more, the fewer words are encoded again
+TEXT_BYTES = 4 << 20  # of text encoded together: the more, the fewer words are encoded again
 GROUP = 500  # words encoded as one string
-GATHERED = 1 << 19  # words whose ids are put in place at once
+GATHERED = 1 << 18  # words whose ids are put in place at once
 
 # A Latin letter before ASCII punctuation other than the apostrophe, where every word splitter cuts.
 _CUT = r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])"
@@ -42,8 +42,14 @@ def _encoder(path: str, special_as_text: bool) -> Callable[[list[bytes]], list[b
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = special_as_text
 
+    def encoded(t: Tokenizer, texts: list[str], most: int) -> Iterator[np.ndarray]:
+        """Ids of each text; the library's own objects exist for ``most`` texts at a time."""
+        for i in range(0, len(texts), most):
+            for e in t.encode_batch_fast(texts[i:i + most], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+
     def whole(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return list(encoded(tok, texts, 2000))
 
     one, two, both, upper, spaced = [list(x) for x in whole(["one", "two!", "one two!", "ONE", " one\n\t"])]
     mark = getattr(tok.model, "end_of_word_suffix", None)
@@ -62,8 +68,7 @@ def _encoder(path: str, special_as_text: bool) -> Callable[[list[bytes]], list[b
     def plain_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and how many each has."""
         groups = [" ".join(words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in
-                                                        plain.encode_batch_fast(groups, add_special_tokens=False)]])
+        ids = np.concatenate([np.zeros(0, np.uint32), *encoded(plain, groups, 20)])
         return ids, np.diff(np.flatnonzero(ends[ids]), prepend=-1)
 
     def words_ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
