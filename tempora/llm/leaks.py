@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of the benchmark mark bits of a map of fixed size. One scan of the corpus finds
-where documents hold such n-grams and sends those regions, as word hashes. N-grams that are
-common phrases of the corpus are no seeds; the rare ones join regions to items. Each pair is
-aligned locally, with gaps, so that copies with changed, missing or added words still score.
+where documents hold such n-grams and sends those regions, as word hashes. Every region meets
+every item that it shares an n-gram with, however common; regions with the same n-grams look
+for their items once. A pair with too few common words to reach the least score is left out
+before it is aligned. The others are aligned locally, with gaps, so that copies with changed,
+missing or added words still score.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import byte_classes, combine, sliced, slices
+from tempora.llm.common import byte_classes, combine, salted_join, sliced, slices
 from tempora.session import materialize
 
 GRAM = 4
@@ -152,15 +154,22 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, start, end
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
-    """``region, item, score, start, end`` from pairs with the words of both."""
+def reachable(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether item ``b`` can reach the least score in ``a``: at most its words that ``a`` has match."""
+    need = 1.0 if len(b) < LEAST_WORDS else least
+    return int(np.isin(b, a).sum()) >= need * len(b) - 1e-6
+
+
+def _aligned(pairs: DataFrame, least: float) -> DataFrame:
+    """``region, item, score, start, end`` from pairs with the words of both, if ``reachable``."""
     most = 1 << 21  # cells of one step of a batch of pairs
 
     def run(batches):
         for b in batches:
             r, i, p, q = [c.to_pylist() for c in b.columns]
             x, y = [np.frombuffer(v, np.uint64) for v in p], [np.frombuffer(v, np.uint64) for v in q]
-            order = sorted(range(len(r)), key=lambda k: (len(x[k]), len(y[k])))
+            able = [k for k in range(len(r)) if reachable(x[k], y[k], least)]
+            order = sorted(able, key=lambda k: (len(x[k]), len(y[k])))
             out = np.zeros((3, len(r)), np.int64)
             while order:
                 take, wide, tall = 0, 1, 1
@@ -171,14 +180,16 @@ def _aligned(pairs: DataFrame) -> DataFrame:
                     take += 1
                 part, order = order[:take], order[take:]
                 out[:, part] = align([x[k] for k in part], [y[k] for k in part])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out)], names=["region", "item", "score", "start", "end"])
+            cols = [b.column(0), b.column(1), *map(pa.array, out)]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(able, pa.int64())) for c in cols], names=["region", "item", "score", "start", "end"])
 
     return pairs.select("region", "item", "region_words", "item_words").mapInArrow(
         run, "region string, item string, score long, start long, end long")
 
 
 def seeds(items: DataFrame, found: DataFrame) -> DataFrame:
-    """``gram, item``: the n-grams of each item that aren't common phrases. A phrase is common if
+    """``gram, item``: the n-grams of each item that aren't common phrases; ``leaks`` takes all, as
+    an edited copy may keep nothing but such phrases. A phrase is common if
     more than a thousandth of the regions (and 100) and four times the item's median n-gram have
     it; the n-grams of an item that is itself copied everywhere are therefore still seeds."""
     often = found.select(F.explode("hits").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
@@ -188,6 +199,14 @@ def seeds(items: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(middle, "item").where(F.col("often") <= limit).select("gram", "item")
 
 
+def candidates(items: DataFrame, found: DataFrame) -> DataFrame:
+    """``set, item``: the items that share an n-gram with the regions of a set, those that hold the
+    same n-grams of the benchmark. No n-gram is left out."""
+    sets = found.select(F.xxhash64("hits").alias("set"), F.explode("hits").alias("gram")).distinct()
+    own = items.select("item", F.explode("grams").alias("gram")).distinct()
+    return salted_join(sets, own, "gram", ["set"], "inner").select("set", "item").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", gram: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
     """``doc_id, text_hash, item_id, score, start, end``: documents that hold an item.
@@ -203,10 +222,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     marks, reach = bit_map(items), int(shape.longest or 0) * 5 // 4 + gram
     found = materialize(regions(docs, marks, sorted(shape.grams), reach, doc_id, text).withColumn("region", F.md5("words")), "regions")
     texts = items.select("item", F.col("words").alias("item_words"), "size").dropDuplicates(["item"])
-    stretches = found.select("region", F.col("words").alias("region_words")).dropDuplicates(["region"])
-    pairs = (found.select("region", F.explode("hits").alias("gram")).distinct()
-             .join(seeds(items, found), "gram").select("region", "item").distinct())
-    scored = materialize(_aligned(pairs.join(stretches, "region").join(texts.drop("size"), "item")).join(texts.select("item", "size"), "item")
+    stretches = found.select("region", F.col("words").alias("region_words"), F.xxhash64("hits").alias("set")).dropDuplicates(["region"])
+    scored = materialize(_aligned(salted_join(stretches, candidates(items, found), "set", ["region"], "inner")
+                                  .join(texts.drop("size"), "item"), least).join(texts.select("item", "size"), "item")
                          .withColumn("share", F.col("score") / (MATCH * F.col("size")))
                          .where(F.col("share") >= F.when(F.col("size") < LEAST_WORDS, 1.0).otherwise(least)), "aligned")
     hits = (found.select("doc_id", "text_hash", "at", "region").join(scored, "region")

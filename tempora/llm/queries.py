@@ -105,6 +105,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_seeded_alignment")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, by rare n-gram seeds and local alignment."""
+    """Documents that hold a benchmark item, by n-gram seeds and local alignment."""
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "score", "start", "end")

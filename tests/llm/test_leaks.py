@@ -111,6 +111,26 @@ def test_common_phrases_are_no_seeds(spark):
     assert sorted((r.item, r.gram) for r in L.seeds(items, found).collect()) == [("a", 3), ("a", 4), ("a", 5), ("b", 9)]
 
 
+def test_edited_copies_in_many_documents(spark):
+    rng = np.random.default_rng(3)
+    item = [f"item{i}" for i in range(24)]
+    changed = [f"other{i}" if i in (6, 12, 18) else w for i, w in enumerate(item)]
+    body = lambda d: " ".join([*prose(rng, 20), *(item if d == 0 else changed), *prose(rng, 20)])
+    docs = {d: body(d) for d in range(160)}
+    frames = (spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+              spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.score for r in L.leaks(*frames).collect()}
+    assert got == pytest.approx(brute(docs, {1: " ".join(item)})) and len(got) == 160
+    assert L.without_leaks(*frames).count() == 0
+
+
+@settings(max_examples=120, deadline=None)
+@given(words, words)
+def test_unreachable_pairs_score_too_low(a, b):
+    if not L.reachable(np.array(a, np.uint64), np.array(b, np.uint64), L.LEAST_SCORE):
+        assert smith_waterman(a, b) / (L.MATCH * len(b)) < (1 if len(b) < L.LEAST_WORDS else L.LEAST_SCORE)
+
+
 def test_map_has_every_gram(spark):
     items = L.benchmark_items(spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(50))) for i in range(40)], "item_id long, text string"))
     marks = L.bit_map(items, 16)
