@@ -96,6 +96,28 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
 
 
+def test_held_out_toxic_documents_go(spark):
+    docs, labels = tables(spark, "/root/testdata/sf0.1")
+    got = {r.doc_id for r in R.resample(docs, labels.where("doc_id % 2 = 0")).collect()}
+    judged = labels.where("doc_id % 2 = 1").collect()
+    toxic = [r.doc_id in got for r in judged if r.quality == 1 and r.toxic == 1]
+    clean = [r.doc_id in got for r in judged if r.quality == 1 and r.toxic == 0]
+    print("toxic kept", np.mean(toxic), len(toxic), "clean kept", np.mean(clean), len(clean))
+    assert np.mean(toxic) < 0.25 and np.mean(clean) > 0.94
+
+
+def test_toxic_weights_count_each_mark_once():
+    marks = np.unique([b for b in range(0, R.TOXIC_BUCKETS, 3)])
+    ratio = 1 + marks / R.TOXIC_BUCKETS
+    texts = [b"", b"a b a b", b"x y z w v u t", b"a b"]
+    own = [set() for _ in texts]
+    for at, _, bucket, doc in R.grams(texts, R.TOXIC_BUCKETS):
+        for b, d in zip(bucket.tolist(), doc.tolist()):
+            own[at + d].add(b)
+    want = [sum(1 + b / R.TOXIC_BUCKETS for b in o if b % 3 == 0) for o in own]
+    assert R._toxic_weights(texts, marks, ratio).tolist() == pytest.approx(want)
+
+
 def test_query_and_filter_agree(spark):
     docs, labels = tables(spark)
     got = {r.doc_id for r in REGISTRY["op4_importance_resampling"](spark, SF).collect()}
