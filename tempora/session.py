@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,7 +67,14 @@ def is_machine_local(path: str, default_fs: str = "file:///") -> bool:
     return scheme == "file"
 
 
-_TABLES: dict[str, list[str]] = {}  # application id -> written tables
+_TABLES: dict[str, list[str]] = {}  # application id -> folders of written tables
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder that ``release`` deletes."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df, name: str = "cut"):
@@ -74,13 +82,9 @@ def materialize(df, name: str = "cut"):
     it back: one computation, columnar re-reads with pruning, and a lost executor re-reads
     files instead of replaying the plan. (``Dataset.checkpoint`` on an unpersisted plan
     computes it twice.) ``release`` deletes the tables once their results are read."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def release(spark: SparkSession) -> int:
