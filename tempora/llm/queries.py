@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, leaks, licenses, lines, matrices, maxscore, packing, pseudonyms, resampling, simhash
+from tempora.llm import (chat, crosstokens, leaks, licenses, lines, matrices, maxscore, packing, pseudonyms, resampling, simhash,
+                         warc, whitening)
 from tempora.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +109,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, by n-gram seeds and local alignment."""
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "score", "start", "end")
+
+
+@query("op11_indexed_warc")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by the index."""
+    index, folder = warc.archive_pages(read(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"))
+
+
+@query("op12_arrow_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two public vocabularies, aligned by their bytes."""
+    import public_tokenizers
+
+    return crosstokens.aligned(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_multiplicity_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened by the covariance of all of them."""
+    return whitening.whitened_components(read(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, components=32)
