@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import SLICE_BYTES, byte_column, sliced
+from tempora.llm.common import byte_column, sliced
 from tempora.session import materialize, shared_folder
 
-LOTS_A_FILE = 32  # slices a file of the written table, so a reader's batch stays small
-ENCODED = 256  # texts a call of a tokenizer
+LOT_BYTES = 1 << 20  # of text a slice; its tables take some hundred bytes a byte
+LOTS_A_FILE = 16  # slices a file of the written table, so a reader's batch stays small
+ENCODED = 256  # strings a call of a tokenizer
+GROUP = 200  # chunks a string
 
 PER_DOCUMENT = ("doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, "
                 "groups_sha256 array<string>")
@@ -42,7 +44,7 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _byte_level(path: str) -> tuple[Callable, list[bytes]]:
+def _byte_level(path: str) -> tuple[Callable, list[bytes], bool]:
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,34 +53,99 @@ def _byte_level(path: str) -> tuple[Callable, list[bytes]]:
     size = tok.get_vocab_size(with_added_tokens=True)
     letters, names = _byte_of_letter(), [tok.id_to_token(i) or "" for i in range(size)]
     own = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
-    return lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], own
+    cuts = getattr(tok.pre_tokenizer, "use_regex", False) and tok.normalizer is None
+    return lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], own, cuts
 
 
-def _pieces(path: str) -> tuple[Callable, list[bytes]]:
+def _pieces(path: str) -> tuple[Callable, list[bytes], bool]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
            for i in range(sp.get_piece_size())]
-    return lambda texts: sp.encode(texts, out_type=int, num_threads=1), own
+    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    cuts = all("▁" not in x.lstrip("▁") for x in names) and sp.encode("a  b c") == sp.encode("a") + sp.encode(" b") + sp.encode("c")
+    return lambda texts: sp.encode(texts, out_type=int, num_threads=1), own, cuts
 
 
-def tokenizer(path: str) -> tuple[Callable[[list[str]], list[list[int]]], pa.Array, pa.Array]:
+def tokenizer(path: str) -> tuple[Callable[[list[str]], list[list[int]]], pa.Array, pa.Array, bool]:
     """(encoder of texts into the ids of ``space + text``, the bytes of each id, each id in decimal
-    followed by nothing, comma, bar and semicolon). ``.model`` files are sentence pieces, which
-    add the space themselves; others are byte-level vocabularies."""
+    followed by nothing, comma, bar and semicolon, whether ``chunks`` can be encoded apart).
+    ``.model`` files are sentence pieces, which add the space themselves; others are byte-level
+    vocabularies."""
     if path not in _LOADED:
-        encode, own = (_pieces if path.endswith(".model") else _byte_level)(path)
+        encode, own, cuts = (_pieces if path.endswith(".model") else _byte_level)(path)
         shown = [f"{i}{after}" for after in ("", ",", "|", ";") for i in range(len(own))]
-        _LOADED[path] = (encode, pa.array(own, pa.large_binary()), pa.array([x.encode() for x in shown], pa.large_binary()))
+        _LOADED[path] = (encode, pa.array(own, pa.large_binary()), pa.array([x.encode() for x in shown], pa.large_binary()), bool(cuts))
     return _LOADED[path]
 
 
-def _encoded(encode: Callable, texts: list[str]) -> pa.Array:
-    parts = [pa.array(encode(texts[i:i + ENCODED]), pa.large_list(pa.int32())) for i in range(0, len(texts), ENCODED)]
+# Whether a byte after a space is surely none of white space: visible ASCII, and leads of letters
+# beyond it other than those under which white space has its code points.
+_SOLID = np.zeros(256, bool)
+_SOLID[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+
+
+def chunks(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The texts, each after a space, cut before single spaces with something visible behind; and the
+    number of chunks before each text. Byte-level splitters start a word there, and sentence
+    pieces hold spaces only at their start, so the ids of a text are those of its chunks."""
+    buf = b"".join(b" " + t for t in texts)
+    raw = np.frombuffer(buf, np.uint8)
+    space = raw == 0x20
+    cut = np.zeros(len(raw), bool)
+    cut[1:-1] = space[1:-1] & ~space[:-2] & _SOLID[raw[2:]]
+    first = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cut[first[:-1]] = True
+    at = np.append(np.flatnonzero(cut), len(raw))
+    return (pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(buf)]),
+            np.searchsorted(at, first))
+
+
+def _encoded(encode: Callable, texts: list[bytes]) -> pa.Array:
+    """A list of ids a text."""
+    plain = [t.decode("utf-8", "replace") for t in texts]
+    parts = [pa.array(encode(plain[i:i + ENCODED]), pa.large_list(pa.int32())) for i in range(0, len(plain), ENCODED)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.large_list(pa.int32()))
 
 
+def _grouped(encode: Callable, vocabulary: pa.Array, words: pa.Array) -> pa.Array:
+    """A list of ids for each chunk. Chunks that begin with one space before something visible and
+    end without a space are encoded side by side in long strings; the bytes of the ids tell
+    where each ends."""
+    size = pc.binary_length(words).to_numpy()
+    at = np.r_[0, np.cumsum(size)]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)
+    near = _SOLID[raw[np.minimum(at[:-1] + 1, len(raw) - 1)]] & (size > 1) & (raw[at[1:] - 1] != 0x20)
+    plain, odd = np.flatnonzero(near), np.flatnonzero(~near)
+    chosen = words.take(pa.array(plain)).to_pylist()
+    ids = _encoded(encode, [b"".join(chosen[i:i + GROUP])[1:] for i in range(0, len(chosen), GROUP)])
+    flat = pc.list_flatten(ids)
+    ends = np.cumsum(pc.binary_length(vocabulary.take(flat)).to_numpy())
+    last = np.searchsorted(ends, np.cumsum(size[plain]))
+    if len(plain) and (len(ends) == 0 or not np.array_equal(ends[np.minimum(last, len(ends) - 1)], np.cumsum(size[plain]))):
+        return _encoded(encode, [x[1:] for x in words.to_pylist()])  # some chunk isn't what its ids join to
+    together = pa.LargeListArray.from_arrays(pa.array(np.r_[0, last + 1]), flat)
+    rest = _encoded(encode, [x[1:] for x in words.take(pa.array(odd)).to_pylist()])
+    order = np.empty(len(words), np.int64)
+    order[np.r_[plain, odd]] = np.arange(len(words))
+    return pa.concat_arrays([together, rest]).take(pa.array(order))
+
+
+def encoded(texts: list[bytes], *paths: str) -> list[pa.Array]:
+    """For each tokenizer a list of ids a text. Each distinct chunk of the texts is encoded once."""
+    found = [tokenizer(p) for p in paths]
+    if not texts or not all(cuts for _, _, _, cuts in found):
+        return [_encoded(encode, texts) for encode, *_ in found]
+    each, first = chunks(texts)
+    each = each.dictionary_encode()
+    out = []
+    for encode, vocabulary, *_ in found:
+        own = _grouped(encode, vocabulary, each.dictionary).take(each.indices)
+        out.append(pa.LargeListArray.from_arrays(pa.array(own.offsets.to_numpy()[first]), pc.list_flatten(own)))
+    return out
+
+
 def _tokens(ids: pa.Array, vocabulary: pa.Array) -> tuple[memoryview, np.ndarray, pa.Table]:
     """The joined bytes of all tokens, where each document's begin and end in them, and a row a token
     with its document, its end in the document's bytes and its id."""
@@ -132,12 +199,9 @@ def aligned_slice(texts: list[bytes], path_a: str, path_b: str) -> dict[str, lis
     """What one slice of texts comes to: per text ``n_a, n_b, n_groups, n_links, groups_sha256``; per
     link its place in ``pairs`` (``codes``); per distinct pair (id of A * 2^32 + id of B) how often
     it is linked (``times``)."""
-    encode_a, bytes_a, shown_a = tokenizer(path_a)
-    encode_b, bytes_b, shown_b = tokenizer(path_b)
-    plain = [t.decode("utf-8", "replace") for t in texts]
+    (_, bytes_a, shown_a, _), (_, bytes_b, shown_b, _) = tokenizer(path_a), tokenizer(path_b)
     own = []
-    for encode, vocabulary in ((encode_a, bytes_a), (encode_b, bytes_b)):
-        ids = _encoded(encode, plain)
+    for ids, vocabulary in zip(encoded(texts, path_a, path_b), (bytes_a, bytes_b)):
         joined, bounds, table = _tokens(ids, vocabulary)
         own.append((table, _same(joined, bounds, texts)))
     good = own[0][1] & own[1][1] & np.array([bool(t) for t in texts], bool)
@@ -146,7 +210,7 @@ def aligned_slice(texts: list[bytes], path_a: str, path_b: str) -> dict[str, lis
     found = links(a, b)
     doc = found["doc"].to_numpy()
     key = (doc << 40) | found["end"].to_numpy()
-    cuts = np.unique(key)
+    cuts = key[np.diff(key, prepend=-1) != 0]
     per = {c: np.bincount(x, minlength=n) for c, x in (("n_a", a["doc"].to_numpy()), ("n_b", b["doc"].to_numpy()),
                                                        ("n_groups", cuts >> 40), ("n_links", doc))}
     shas = [hashlib.sha256(x).hexdigest() if ok else "" for x, ok in zip(_group_texts(a, b, cuts, n, shown_a, shown_b), good)]
@@ -166,7 +230,7 @@ def aligned_lots(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_i
     arrow = to_arrow_schema(_parse_datatype_string(LOTS))
 
     def run(batches):
-        for b in sliced(batches, "t", SLICE_BYTES):
+        for b in sliced(batches, "t", LOT_BYTES):
             if b.num_rows:
                 out = aligned_slice(byte_column(b, "t"), path_a, path_b) | {"lot": uuid.uuid4().hex, "doc_id": b.column(0)}
                 yield pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) if f.name in ("lot", "groups_sha256") else

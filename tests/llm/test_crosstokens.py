@@ -6,6 +6,8 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tempora.llm import crosstokens
@@ -97,3 +99,17 @@ def test_groups_of_one_slice(text):
     out = crosstokens.aligned_slice([text.encode()], A, B)
     assert out["n_links"].sum() == len(out["codes"]) == out["times"].sum()
     assert (out["pairs"][1:] > out["pairs"][:-1]).all()
+
+
+WORDS = st.sampled_from(["the", "déjà", " ", "  ", "\n", "\t ", " ", " ", "　", "—", "12", "n't", "東京", "🙂", "▁", "<s>", "\x00", "\x1c", "ﬁ", "a", "...", "\r\n", "​"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(WORDS, max_size=12).map(" ".join) | st.text(max_size=30) | st.lists(WORDS, max_size=12).map("".join), min_size=1, max_size=5))
+def test_chunks_have_the_ids_of_whole_texts(texts):
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    for path, got in zip((A, B), crosstokens.encoded(raw, A, B)):
+        encode, *_ = crosstokens.tokenizer(path)
+        for t, ids in zip(raw, got.to_pylist()):
+            if t and "▁".encode() not in t:  # such texts have no tokens
+                assert ids == list(encode([t.decode()])[0])
