@@ -18,8 +18,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node that has a link to another; root is the least node.
 
     Each round joins links with one row a node, never with each other, so a hub costs as many
-    rows as it has links; the number of rounds grows with the logarithm of the longest path.
-    Every round is written to the shared checkpoint folder. Self links and repeats are ignored;
+    rows as it has links; these rows of a node are written first, so both sides of the join are
+    plain exchanges and Spark can split a hub's links over several tasks. The number of rounds
+    grows with the logarithm of the longest path. Every round is written to the shared checkpoint folder. Self links and repeats are ignored;
     nulls are no nodes; an empty table gives an empty result.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
@@ -28,13 +29,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = _digest(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         # large star: every larger neighbour of a node points to the node's least neighbour
         large = (both.join(least, "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         large = materialize(large, "links")
         # small star: every smaller neighbour, and the node itself, points to the least one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = materialize(small, "links")
