@@ -52,6 +52,10 @@ LAYOUTS = (
 )
 
 MESSAGES = "array<struct<role: string, text: string>>"
+# A JSON parser takes strings and records of bounded size, so the texts of longer conversations are
+# carried beside the record, which holds this mark and a text's number in their place.
+ATTACHED = "\x00attached:"
+RECORD_CHARS = 4_000_000
 
 
 def schema_of(record: Column) -> Column:
@@ -86,9 +90,14 @@ def _mapped(layout: Layout, v: Column) -> Column:
     return F.transform(F.filter(own, lambda t: ~t["maybe"] | (t["text"] != "")), lambda t: _turn(t["role"], t["text"]))
 
 
-def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS,
+                    attached: str | None = None) -> DataFrame:
     """Adds ``layout`` and ``turns`` (array of role and text) to ``records``.
 
+    ``attached``: a column with the texts that marks in the record stand for, or null or empty if
+    it holds its texts itself (as it must without this column: the parser gives null, so no
+    layout, for strings over 20 million characters).
+
     The fingerprint of the record's schema selects the layout. Records that are null, no JSON
     object or of a schema that no layout has get null in both. A null role or text reads as
     empty; an empty list of messages has no schema of messages and so no layout. Columns of
@@ -100,6 +109,12 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[L
         same = F.col("__f") == F.xxhash64(F.lit(x.schema))
         name = F.when(same, F.lit(x.name)).otherwise(name)
         turns = F.when(same, _mapped(x, F.col("__v"))).otherwise(turns)
+    if attached:
+        def whole(t: Column) -> Column:
+            at = F.substr(t["text"], F.lit(len(ATTACHED) + 1)).try_cast("int")
+            return _turn(t["role"], F.when(t["text"].startswith(ATTACHED), F.get(attached, at)).otherwise(t["text"]))
+
+        turns = F.when(F.size(F.coalesce(attached, F.array().cast("array<string>"))) > 0, F.transform(turns, whole)).otherwise(turns)
     return own.withColumn("layout", name).withColumn("turns", turns).drop("__v", "__f")
 
 
@@ -155,8 +170,11 @@ def read_back(rendered: DataFrame, text: str = "formatted", spans: str = "loss_s
                 F.substr(F.col(text), s["start"].cast("int") + 1, s["length"].cast("int")), TEXT_ESCAPES))))
 
 
-def records_of(conversations: DataFrame) -> DataFrame:
-    """``conv_id, record``: each conversation of a table of turns as one JSON record.
+def records_of(conversations: DataFrame, most: int = RECORD_CHARS) -> DataFrame:
+    """``conv_id, record, attached``: each conversation of a table of turns as one JSON record.
+
+    If its texts have more than ``most`` characters together, they are in ``attached`` and the
+    record holds marks in their place; else ``attached`` is empty.
 
     As sources differ in their layouts, the shape of a conversation decides on its: one exchange
     is a prompt and a response; a system row and one exchange are an instruction with a system
@@ -166,6 +184,10 @@ def records_of(conversations: DataFrame) -> DataFrame:
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     one = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    long = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.char_length(r["text"])) > most
+    marked = F.transform("rows", lambda r, i: r.withField("text", F.when(r["text"] == "", "").otherwise(F.concat(F.lit(ATTACHED), i.cast("string")))))
+    one = one.withColumn("attached", F.when(long, F.transform("rows", lambda r: r["text"])).otherwise(F.array().cast("array<string>"))).withColumn(
+        "rows", F.when(long, marked).otherwise(F.col("rows")))
     roles = F.transform("rows", lambda r: r["role"])
     text = [F.col("rows")[i]["text"] for i in range(3)]
     sharing = F.transform("rows", lambda r: F.struct(
@@ -177,4 +199,4 @@ def records_of(conversations: DataFrame) -> DataFrame:
                     F.to_json(F.struct(text[0].alias("system"), text[1].alias("instruction"), text[2].alias("output"))))
               .when((F.pmod("conv_id", F.lit(2)) == 1) & known, F.to_json(F.struct(sharing.alias("conversations"))))
               .otherwise(F.to_json(F.struct(plain.alias("messages")))))
-    return one.select("conv_id", record.alias("record"))
+    return one.select("conv_id", record.alias("record"), "attached")

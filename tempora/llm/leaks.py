@@ -1,18 +1,22 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
 The n-grams of the benchmark mark bits of a map of fixed size. One scan of the corpus finds
-where documents hold such n-grams and sends those regions, as word hashes. Every region meets
-every item that it shares an n-gram with, however common; regions with the same n-grams look
-for their items once. A pair with too few common words to reach the least score is left out
-before it is aligned. The others are aligned locally, with gaps, so that copies with changed,
-missing or added words still score.
+where documents hold such n-grams and sends those regions, as word hashes; a region is as wide as
+an alignment through the n-gram can be for items of the n-gram's length class.
+
+Seeds join regions to items: n-grams that few items or few regions hold. A phrase that many of
+both hold is no seed alone, but together with a rare word: an alignment that reaches the least
+score matches so many words of the item that, of n words of which k must match, it matches one of
+the n - k + 1 that are in the fewest regions. So no pair is lost, and a common phrase doesn't pair
+all with all. Pairs with too few common words are left out; the others are aligned locally, with
+gaps, so that copies with changed, missing or added words still score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import byte_classes, combine, salted_join, sliced, slices
@@ -22,8 +26,8 @@ GRAM = 4
 MAP_BITS = 24  # of the bit map; its size, 2 MB, doesn't depend on the benchmark's
 MATCH, MISMATCH, GAP = 2, -2, -2
 LEAST_SCORE = 0.5  # share of the score of an unchanged copy of the item
+FEW = 16  # items or regions that hold an n-gram which is a seed alone
 LEAST_WORDS = 8  # shorter items are found only as unchanged copies
-COMMON_SHARE, COMMON_TIMES = 0.001, 4  # of regions, and times the item's median: more is a common phrase
 
 _CLASSES = byte_classes({b: 0 for b in range(128) if not chr(b).isalnum()})
 
@@ -62,59 +66,104 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
         run, "item_id long, size long, words binary, grams array<long>")
 
 
-def bit_map(items: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """Bit x is set if an n-gram's hash begins with the bits of x. What comes to the driver is at
-    most one row for each 64 bits of the map."""
+def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """Bit x is set if a hash of the column ``g`` begins with the bits of x. What comes to the driver
+    is at most one row for each 64 bits of the map."""
     top = F.shiftrightunsigned("g", 64 - bits)
-    found = (items.select(F.explode("grams").alias("g")).groupBy(F.shiftright(top, 6).alias("at"))
+    found = (hashes.groupBy(F.shiftright(top, 6).alias("at"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(g >>> %d & 63 as int))" % (64 - bits))).alias("word"))).toPandas()
     words = np.zeros(1 << bits - 6, np.uint64)
     words[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(np.uint64)
     return words
 
 
-REGION = "doc_id long, text_hash long, at long, words binary, hits array<long>"
+def marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the map may hold each hash; never false for one that it holds."""
+    x = h >> np.uint64(64 - int(np.log2(len(marks))) - 6)
+    return (marks[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def regions(docs: DataFrame, marks: np.ndarray, grams: list[int], reach: int, doc_id: str, text: str) -> DataFrame:
-    """``REGION``: stretches of a document, ``reach`` words around its benchmark n-grams, with the
-    hashes of these. Regions that overlap are one, so all of them are no longer than the text."""
-    bits = int(np.log2(len(marks))) + 6
-    shift = np.uint64(64 - bits)
+def needed(size, least: float):
+    """Words of an item of ``size`` words that must match, as a column."""
+    return F.when(size < LEAST_WORDS, size).otherwise(F.ceil(size * least - 1e-6))
+
+
+def widest(size: int, least: float) -> int:
+    """Words of a text that an alignment with an item of ``size`` words can span: gaps and changes
+    cost as much as matches give."""
+    return size if size < LEAST_WORDS else int(size * (2 - least)) + 1
+
+
+REGION = "doc_id long, text_hash long, at long, words binary"
+
+
+def regions(docs: DataFrame, maps: list[tuple[np.ndarray, int]], grams: list[int], doc_id: str, text: str) -> DataFrame:
+    """``REGION``: stretches of a document around its benchmark n-grams. ``maps``: for each class of
+    item lengths the map of its n-grams and how many words to take around one. Regions that
+    overlap are one, so all of them are no longer than the text."""
+    every = maps[0][0] if maps else np.zeros(1 << MAP_BITS - 6, np.uint64)
+    for m, _ in maps[1:]:
+        every = every | m
 
     def run(batches):
         for b in sliced(batches, 2):
             ids, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(4)]
             for first, n, h, doc in slices(_lower(b.column(2)), _CLASSES):
                 edge = np.searchsorted(doc, np.arange(n + 1))
-                found = []
+                low, high = [], []
                 for k in grams:
                     g, at = _grams(h, doc, k)
-                    x = g >> shift
-                    hit = (marks[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    found += list(zip(at[hit].tolist(), g[hit].view(np.int64).tolist()))
-                found.sort()
-                part, end, own = [], -1, -1
-                for at, g in [*found, (len(h), None)]:
-                    d = int(doc[at]) if g is not None else -1
-                    if part and (d != own or at - reach > end):
-                        low = max(int(edge[own]), part[0][0] - reach)
-                        high = min(int(edge[own + 1]), end)
-                        for col, v in zip(cols, (ids[first + own], hashes[first + own], low - int(edge[own]), h[low:high].tobytes(),
-                                                 sorted({x for _, x in part}))):
-                            col.append(v)
-                        part = []
-                    own, end = d, at + reach
-                    part.append((at, g))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))],
-                names=["doc_id", "text_hash", "at", "words", "hits"])
+                    hit = np.flatnonzero(marked(every, g))
+                    for marks, reach in maps:
+                        own = at[hit[marked(marks, g[hit])]]
+                        low.append(np.maximum(own - reach, edge[doc[own]]))
+                        high.append(np.minimum(own + reach, edge[doc[own] + 1]))
+                if not low:
+                    continue
+                low, high = np.concatenate(low), np.concatenate(high)
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.maximum.accumulate(high[order])
+                new = np.flatnonzero(np.r_[True, (low[1:] > high[:-1]) | (doc[low[1:]] != doc[low[:-1]])] if len(low) else [])
+                for i, j in zip(low[new], high[np.r_[new[1:], len(low)] - 1] if len(low) else []):
+                    d = int(doc[i])
+                    for col, v in zip(cols, (ids[first + d], hashes[first + d], int(i - edge[d]), h[i:j].tobytes())):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                             names=["doc_id", "text_hash", "at", "words"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"),
                        F.col(text).alias("t")).mapInArrow(run, REGION)
 
 
+def _exploded(rows: DataFrame, name: str, fn) -> DataFrame:
+    """``name, g, times``: for each row the hashes that ``fn`` makes of its words, each once with how
+    often it comes."""
+    def run(batches):
+        for b in batches:
+            found = [np.unique(fn(np.frombuffer(w, np.uint64)), return_counts=True) for w in b.column(1).to_pylist()]
+            if found:
+                at = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
+                                                  pa.array(np.concatenate([n for _, n in found]))], names=[name, "g", "times"])
+
+    return rows.select(name, "words").mapInArrow(run, f"{name} string, g long, times long")
+
+
+def words_of(rows: DataFrame, name: str, marks: np.ndarray | None = None) -> DataFrame:
+    """``name, g, times``: the distinct words of each row's ``words``, of those the map may hold."""
+    return _exploded(rows, name, lambda h: h if marks is None else h[marked(marks, h)])
+
+
+def grams_of(rows: DataFrame, name: str, sizes: list[int], marks: np.ndarray) -> DataFrame:
+    """``name, g, times``: the distinct n-grams of each row's ``words``, of those the map may hold."""
+    def fn(h):
+        g = np.concatenate([_grams(h, np.zeros(len(h)), k)[0] for k in sizes])
+        return g[marked(marks, g)]
+
+    return _exploded(rows, name, fn)
+
+
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman score of each pair, and start and end of the best alignment in ``a``.
 
@@ -154,13 +203,17 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, start, end
 
 
-def reachable(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether item ``b`` can reach the least score in ``a``: at most its words that ``a`` has match."""
+def reachable(a: np.ndarray, b: np.ndarray, least: float, gram: int = GRAM) -> bool:
+    """Whether item ``b`` can reach the least score in ``a``: at most its words that ``a`` has match,
+    and an n-gram of it must stand there."""
     need = 1.0 if len(b) < LEAST_WORDS else least
-    return int(np.isin(b, a).sum()) >= need * len(b) - 1e-6
+    if int(np.isin(b, a).sum()) < need * len(b) - 1e-6:
+        return False
+    n = min(gram, len(b))
+    return bool(np.isin(_grams(b, np.zeros(len(b)), n)[0], _grams(a, np.zeros(len(a)), n)[0]).any())
 
 
-def _aligned(pairs: DataFrame, least: float) -> DataFrame:
+def _aligned(pairs: DataFrame, least: float, gram: int) -> DataFrame:
     """``region, item, score, start, end`` from pairs with the words of both, if ``reachable``."""
     most = 1 << 21  # cells of one step of a batch of pairs
 
@@ -168,7 +221,7 @@ def _aligned(pairs: DataFrame, least: float) -> DataFrame:
         for b in batches:
             r, i, p, q = [c.to_pylist() for c in b.columns]
             x, y = [np.frombuffer(v, np.uint64) for v in p], [np.frombuffer(v, np.uint64) for v in q]
-            able = [k for k in range(len(r)) if reachable(x[k], y[k], least)]
+            able = [k for k in range(len(r)) if reachable(x[k], y[k], least, gram)]
             order = sorted(able, key=lambda k: (len(x[k]), len(y[k])))
             out = np.zeros((3, len(r)), np.int64)
             while order:
@@ -187,28 +240,41 @@ def _aligned(pairs: DataFrame, least: float) -> DataFrame:
         run, "region string, item string, score long, start long, end long")
 
 
-def seeds(items: DataFrame, found: DataFrame) -> DataFrame:
-    """``gram, item``: the n-grams of each item that aren't common phrases; ``leaks`` takes all, as
-    an edited copy may keep nothing but such phrases. A phrase is common if
-    more than a thousandth of the regions (and 100) and four times the item's median n-gram have
-    it; the n-grams of an item that is itself copied everywhere are therefore still seeds."""
-    often = found.select(F.explode("hits").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-    own = items.select("item", F.explode("grams").alias("gram")).distinct().join(often, "gram")
-    middle = own.groupBy("item").agg(F.percentile("often", 0.5).alias("middle"))
-    limit = F.greatest(F.lit(100.0), COMMON_SHARE * F.lit(found.count()), COMMON_TIMES * F.col("middle"))
-    return own.join(middle, "item").where(F.col("often") <= limit).select("gram", "item")
-
-
-def candidates(items: DataFrame, found: DataFrame) -> DataFrame:
-    """``set, item``: the items that share an n-gram with the regions of a set, those that hold the
-    same n-grams of the benchmark. No n-gram is left out."""
-    sets = found.select(F.xxhash64("hits").alias("set"), F.explode("hits").alias("gram")).distinct()
-    own = items.select("item", F.explode("grams").alias("gram")).distinct()
-    return salted_join(sets, own, "gram", ["set"], "inner").select("set", "item").distinct()
+def rare_words(texts: DataFrame, often: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``item, word``: of each item's words the rarest, so many that an alignment with the least score
+    matches one. ``texts``: ``item, size, words``; ``often``: ``g, often``, the regions that hold a
+    word (0 if it isn't there)."""
+    own = words_of(texts, "item").join(often, "g", "left").join(texts.select("item", "size"), "item")
+    before = F.coalesce(F.sum("times").over(Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "g")
+                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("before", before).where(F.col("before") <= F.col("size") - needed(F.col("size"), least)).select("item", F.col("g").alias("word"))
+
+
+def candidates(items: DataFrame, stretches: DataFrame, sizes: list[int], least: float = LEAST_SCORE, few: int = FEW) -> DataFrame:
+    """``region, item``: the pairs that share a seed. No other pair shares an n-gram and can reach the
+    least score. ``items``: ``item, size, words, grams``, one row an item; ``stretches``: ``region,
+    words``; ``few``: an n-gram held by so many items or regions at most is a seed alone."""
+    own = materialize(items.select("item", F.explode("grams").alias("g")), "grams")
+    held = materialize(grams_of(stretches, "region", sizes, bit_map(own)).select("region", "g"), "grams")
+    both = own.groupBy("g").agg(F.count("*").alias("items")).join(held.groupBy("g").agg(F.count("*").alias("regions")), "g")
+    crowded = materialize(both.where(F.least("items", "regions") > few).select("g"), "crowded")
+    direct = salted_join(held, own.join(crowded, "g", "left_anti"), "g", ["region"], "inner").select("region", "item").distinct()
+    if crowded.isEmpty():
+        return direct
+    phrases = own.join(crowded, "g")
+    held = materialize(salted_join(held, crowded, "g", ["region"], "left_semi"), "phrases")
+    texts = items.select("item", "size", "words").join(phrases.select("item").distinct(), "item", "left_semi")
+    near = stretches.join(held.select("region").distinct(), "region", "left_semi")
+    often = words_of(near, "region", bit_map(words_of(texts, "item"))).groupBy("g").agg(F.count("*").alias("often"))
+    rare = materialize(rare_words(texts, often, least), "rare")
+    words = words_of(near, "region", bit_map(rare.select(F.col("word").alias("g")))).select("region", F.col("g").alias("word"))
+    keyed = held.join(words, "region").select("region", F.xxhash64("g", "word").alias("seed"))
+    seeds = phrases.join(rare, "item").select("item", F.xxhash64("g", "word").alias("seed"))
+    return direct.unionByName(salted_join(keyed, seeds, "seed", ["region"], "inner").select("region", "item")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-          item_text: str = "text", gram: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
+          item_text: str = "text", gram: int = GRAM, least: float = LEAST_SCORE, few: int = FEW) -> DataFrame:
     """``doc_id, text_hash, item_id, score, start, end``: documents that hold an item.
 
     score: the best local alignment as a share of the item's score with itself, at least
@@ -217,14 +283,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     nothing; repeated rows come out once; an empty table gives an empty result; further columns
     are ignored.
     """
-    items = materialize(benchmark_items(benchmark, item_id, item_text, gram).withColumn("item", F.md5("words")), "items")
-    shape = items.agg(F.max("size").alias("longest"), F.collect_set(F.least("size", F.lit(gram))).alias("grams")).first()
-    marks, reach = bit_map(items), int(shape.longest or 0) * 5 // 4 + gram
-    found = materialize(regions(docs, marks, sorted(shape.grams), reach, doc_id, text).withColumn("region", F.md5("words")), "regions")
-    texts = items.select("item", F.col("words").alias("item_words"), "size").dropDuplicates(["item"])
-    stretches = found.select("region", F.col("words").alias("region_words"), F.xxhash64("hits").alias("set")).dropDuplicates(["region"])
-    scored = materialize(_aligned(salted_join(stretches, candidates(items, found), "set", ["region"], "inner")
-                                  .join(texts.drop("size"), "item"), least).join(texts.select("item", "size"), "item")
+    items = materialize(benchmark_items(benchmark, item_id, item_text, gram).withColumn("item", F.md5("words"))
+                        .withColumn("class", F.length(F.bin("size"))), "items")
+    classes = items.groupBy("class").agg(F.max("size").alias("size")).collect()  # a row for each power of two
+    maps = [(bit_map(items.where(F.col("class") == c["class"]).select(F.explode("grams").alias("g"))), widest(c.size, least) + gram) for c in classes]
+    sizes = sorted(r[0] for r in items.select(F.least("size", F.lit(gram)).cast("int")).distinct().collect())
+    found = materialize(regions(docs, maps, sizes, doc_id, text).withColumn("region", F.md5("words")), "regions")
+    texts = items.select("item", "words", "size", "grams").dropDuplicates(["item"])
+    stretches = materialize(found.select("region", "words").dropDuplicates(["region"]), "stretches")
+    pairs = materialize(candidates(texts, stretches, sizes, least, few), "pairs")
+    worded = pairs.join(stretches.withColumnRenamed("words", "region_words"), "region").join(texts.select("item", F.col("words").alias("item_words")), "item")
+    scored = materialize(_aligned(worded, least, gram).join(texts.select("item", "size"), "item")
                          .withColumn("share", F.col("score") / (MATCH * F.col("size")))
                          .where(F.col("share") >= F.when(F.col("size") < LEAST_WORDS, 1.0).otherwise(least)), "aligned")
     hits = (found.select("doc_id", "text_hash", "at", "region").join(scored, "region")
@@ -235,7 +304,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item of the benchmark."""
+    """The rows of ``docs``, with all their columns, that hold no item of the benchmark. Null and empty
+    texts stay; repeated rows stay or go together; an empty table on either side leaves all rows."""
     found = materialize(leaks(docs, benchmark, doc_id, text, **options).select(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct(), "leaks")
     own = docs.withColumn("__own", F.xxhash64(F.coalesce(text, F.lit(""))))

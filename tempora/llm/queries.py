@@ -49,7 +49,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as records of several layouts, formatted, and read back from the output."""
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
-    out = chat.read_back(chat.formatted(chat.canonical_turns(chat.records_of(turns.unionByName(own)))))
+    out = chat.read_back(chat.formatted(chat.canonical_turns(chat.records_of(turns.unionByName(own)), attached="attached")))
     joined = F.array_join(F.transform("turns_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_read", "")
     return out.select("conv_id", F.size("turns_read").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),

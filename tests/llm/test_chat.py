@@ -68,6 +68,29 @@ def test_conversations_edge_cases(spark):
     assert C.records_of(df.limit(0)).count() == 0
 
 
+def test_long_conversations_keep_their_texts(spark):
+    mark = C.ATTACHED
+    rows = [(1, 1, "user", "x" * 30), (1, 2, "assistant", "<y>" * 9), (2, 1, "system", mark + "1"), (2, 2, "user", mark + "0"), (2, 3, "assistant", ""),
+            (3, 1, "user", mark + "0"), (5, 1, "user", "u" * 40), (5, 2, "assistant", "a"), (5, 3, "user", "u" * 40), (7, 1, "tool", "t" * 41)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {}
+    for c, _, role, text in rows:
+        want.setdefault(c, []).append((role, text))
+    for most in (0, 20, 1000):
+        got = C.read_back(C.formatted(C.canonical_turns(C.records_of(df, most), attached="attached"))).collect()
+        assert {r.conv_id: [(t.role, t.text) for t in r.turns_read] for r in got} == want
+        assert {r.conv_id: r.layout for r in got} == {1: "prompt-response", 2: "instruction-system", 3: "from-value", 5: "from-value", 7: "messages"}
+
+
+def test_a_turn_beyond_the_parser(spark):
+    n = 20_000_001
+    df = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.expr(f"repeat('a', {n} + cast(id as int))").alias("text"))
+    out = C.read_back(C.formatted(C.canonical_turns(C.records_of(df), attached="attached")))
+    r = out.select("layout", F.size("turns_read").alias("n"), F.char_length(F.col("turns_read")[0]["text"]).alias("chars"),
+                   F.char_length(F.col("loss_read")[0]).alias("loss")).first()
+    assert tuple(r) == ("from-value", 1, n, n)
+
+
 def test_query_equals_plain_python(spark):
     turns = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():

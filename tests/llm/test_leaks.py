@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -77,7 +78,8 @@ def edited(rng, words, share):
     return out
 
 
-def test_edited_copies(spark):
+@pytest.mark.parametrize("few", [L.FEW, 0])
+def test_edited_copies(spark, few):
     rng = np.random.default_rng(8)
     items = {i: prose(rng, int(rng.integers(20, 60))) for i in range(12)}
     docs, planted = {}, {}
@@ -94,7 +96,7 @@ def test_edited_copies(spark):
     items[3][2:2] = ["this", "is", "the", "common", "phrase"]
     frames = (spark.createDataFrame([(d, t, 1.0) for d, t in docs.items()], "doc_id long, text string, score double"),
               spark.createDataFrame([(i, " ".join(t), 2.0) for i, t in items.items()], "item_id long, text string, score double"))
-    got = {(r.doc_id, r.item_id): r for r in L.leaks(*frames).collect()}
+    got = {(r.doc_id, r.item_id): r for r in L.leaks(*frames, few=few).collect()}
     want = brute(docs, {i: " ".join(t) for i, t in items.items()})
     assert {k: r.score for k, r in got.items()} == pytest.approx(want)
     assert {d for d, _ in got} >= {d for d in planted if (d, planted[d]) in want} and len(got) > 30
@@ -105,10 +107,44 @@ def test_edited_copies(spark):
         assert smith_waterman(part, items[i]) == round(r.score * 2 * len(items[i]))
 
 
-def test_common_phrases_are_no_seeds(spark):
-    items = spark.createDataFrame([("a", [1, 2, 3, 4, 5]), ("b", [9, 9, 9])], "item string, grams array<long>")
-    found = spark.createDataFrame([([1, 2],)] * 400 + [([3],)] * 20 + [([4, 5, 7],)] * 30 + [([9],)] * 500, "hits array<long>")
-    assert sorted((r.item, r.gram) for r in L.seeds(items, found).collect()) == [("a", 3), ("a", 4), ("a", 5), ("b", 9)]
+def test_rare_words(spark):
+    u = lambda x: np.array(x, np.uint64).tobytes()
+    texts = spark.createDataFrame([("a", 8, u([1, 1, 2, 3, 4, 5, 6, 7])), ("b", 3, u([8, 9, 10]))], "item string, size long, words binary")
+    often = spark.createDataFrame([(1, 500), (2, 400), (3, 3), (4, 9), (5, 2), (6, 90), (8, 7), (9, 1)], "g long, often long")
+    # 4 of 8 words must match, so one of the 5 rarest; all of 3 words, so the rarest
+    assert sorted((r.item, r.word) for r in L.rare_words(texts, often).collect()) == [("a", 3), ("a", 4), ("a", 5), ("a", 6), ("a", 7), ("b", 10)]
+
+
+def test_a_common_phrase_pairs_nothing(spark):
+    rng = np.random.default_rng(12)
+    phrase = "which of the following is true"
+    items = {i: f"{phrase} {' '.join(prose(rng, 24))}" for i in range(60)}
+    docs = {d: f"{' '.join(prose(rng, 40))} {phrase} {' '.join(prose(rng, 40))}" for d in range(300)}
+    docs[1000] = f"{' '.join(prose(rng, 40))} {items[7]} {' '.join(prose(rng, 40))}"
+    frames = (spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+              spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in L.leaks(*frames).collect()} == {(1000, 7)}
+    held = L.benchmark_items(frames[0].withColumnRenamed("doc_id", "item_id")).select(F.md5("words").alias("region"), "words")
+    own = L.benchmark_items(frames[1]).withColumn("item", F.md5("words")).drop("item_id")
+    alone, sharing = (L.candidates(own, held, [L.GRAM], few=n) for n in (10_000, L.FEW))
+    assert alone.count() >= 60 * 301 and sharing.count() < 4000  # words here are drawn from 5,000
+    wanted = {(r.region, r.item) for r in alone.collect()}
+    assert {(r.region, r.item) for r in sharing.collect()} <= wanted
+
+
+def test_insertions_up_to_the_score(spark):
+    """Four words in a row survive, and a foreign word follows every two others: the alignment spans
+    half as much again as the item."""
+    item = [f"it{i}" for i in range(200)]
+    text = item[:4] + [x for i in range(4, 200, 2) for x in (item[i], item[i + 1], f"foreign{i}")]
+    short = [f"sh{i}" for i in range(12)]
+    docs = {1: " ".join(["pre"] * 50 + text + ["post"] * 50), 2: " ".join(["pre"] * 400 + short[:8] + ["post"] * 400), 3: "pre post"}
+    items = {1: " ".join(item), 2: " ".join(short)}
+    frames = (spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+              spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    want = brute(docs, items)
+    assert want.keys() == {(1, 1), (2, 2)} and want[1, 1] < 0.52
+    assert {(r.doc_id, r.item_id): r.score for r in L.leaks(*frames).collect()} == pytest.approx(want)
 
 
 def test_edited_copies_in_many_documents(spark):
@@ -127,13 +163,15 @@ def test_edited_copies_in_many_documents(spark):
 @settings(max_examples=120, deadline=None)
 @given(words, words)
 def test_unreachable_pairs_score_too_low(a, b):
-    if not L.reachable(np.array(a, np.uint64), np.array(b, np.uint64), L.LEAST_SCORE):
+    n = min(L.GRAM, len(b))
+    common = {tuple(a[i:i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i:i + n]) for i in range(len(b) - n + 1)}
+    if not L.reachable(np.array(a, np.uint64), np.array(b, np.uint64), L.LEAST_SCORE) and common:
         assert smith_waterman(a, b) / (L.MATCH * len(b)) < (1 if len(b) < L.LEAST_WORDS else L.LEAST_SCORE)
 
 
 def test_map_has_every_gram(spark):
     items = L.benchmark_items(spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(50))) for i in range(40)], "item_id long, text string"))
-    marks = L.bit_map(items, 16)
+    marks = L.bit_map(items.select(F.explode("grams").alias("g")), 16)
     grams = {g for r in items.collect() for g in r.grams}
     assert len(grams) == 40 * 47
     want = {(g % (1 << 64)) >> 48 for g in grams}
