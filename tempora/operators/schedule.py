@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.config import WL
+from tempora.config import DAY_CODES, WL
 from tempora.functions import clock as C
 
 # States and error texts of the reports.
 START_ERROR, END_ERROR = "failed to parse start time", "failed to parse end time"
+NEGATIVE_MIN, NO_MAX = "minReplicas cannot be negative", "maxReplicas must be greater than 0"
+MIN_OVER_MAX = "minReplicas (%d) cannot be greater than maxReplicas (%d)"
 STATE_UNKNOWN, STATE_BEFORE, STATE_WITHIN, STATE_AFTER = "Unknown", "Before", "Within", "After"
 
 
@@ -147,6 +149,13 @@ def _apply(acc, x):
     return F.when(bad, acc).otherwise(F.struct(mn.alias("mn"), mx.alias("mx")))
 
 
+def rejection(acc, x):
+    """Why a config is rejected under the bounds in force, in the order of the checks; null if it isn't."""
+    mn, mx = F.coalesce(x["mn"], acc["mn"]), F.coalesce(x["mx"], acc["mx"])
+    return (F.when(x["mn"] < 0, F.lit(NEGATIVE_MIN)).when(x["mx"] <= 0, F.lit(NO_MAX))
+             .when(mn > mx, F.format_string(MIN_OVER_MAX, mn, mx)))
+
+
 def _hpa(bounds: DataFrame) -> DataFrame:
     return bounds.select(F.col("namespace").alias("hpa_target_namespace"), F.col("name").alias("hpa_name"),
                          F.col("min_replicas").alias("cur_min"), F.col("max_replicas").alias("cur_max"))
@@ -259,61 +268,141 @@ def boundary_instants(triggers: DataFrame, span: DataFrame, spark: SparkSession)
 
     ``span`` has one row per workload with ``t0``/``t1`` (the instants to cover). These are the
     span's start; the start, the end and the midnight of every local day of each trigger, by its
-    zone; and the first second in and after a date range. Work grows with triggers x days.
+    zone; the quarters of days on which a trigger's zone shifts its clock; and the first second in
+    and after a date range. Work grows with triggers x days.
     """
     t = prepare_triggers(triggers, spark).where(F.col("_err").isNull()).join(span, WL)
     clock = _local_ticks(t, F.array("_s", "_e", F.lit(0))).select(*WL, "ts")
     dates = (t.where(F.col("_gate") == "range")
              .select(*WL, "t0", "t1", F.explode(F.array(F.timestamp_seconds(F.unix_seconds("_sd") + 1), F.col("_ed"))).alias("ts"))
              .where(F.col("ts").between(F.col("t0"), F.col("t1"))).select(*WL, "ts"))
-    return clock.unionByName(dates).unionByName(span.select(*WL, F.col("t0").alias("ts"))).distinct()
+    return (clock.unionByName(dates).unionByName(_shift_ticks(t)).unionByName(span.select(*WL, F.col("t0").alias("ts"))).distinct())
+
+
+def _shift_ticks(t: DataFrame) -> DataFrame:
+    """Every quarter of an hour of the UTC days on which a zone's clock is shifted: minutes of the day
+    then come twice or not at all, at one of these instants."""
+    midnight = F.explode(F.sequence(F.date_trunc("day", F.col("t0")) - F.expr("INTERVAL 1 DAY"), F.col("t1"), F.expr("INTERVAL 1 DAY")))
+    d = t.select(*WL, "t0", "t1", "zone").distinct().select("*", midnight.alias("day"))
+    ahead = lambda at: F.unix_seconds(F.from_utc_timestamp(at, F.col("zone"))) - F.unix_seconds(at)
+    shifted = d.where(ahead(F.col("day")) != ahead(F.col("day") + F.expr("INTERVAL 1 DAY")))
+    quarter = F.explode(F.sequence(F.lit(0), F.lit(95)))
+    return (shifted.select("*", quarter.alias("q")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("day") + F.col("q") * 900))
+            .where(F.col("ts").between(F.col("t0"), F.col("t1"))).select(*WL, "ts"))
+
+
+def winner_changes(triggers: DataFrame, span: DataFrame, spark: SparkSession) -> DataFrame:
+    """``from_ts`` and the winning trigger (``active_name, active_priority``) from there on, for each
+    workload of ``span`` and each instant at which the winner changes, the span's start included."""
+    at = boundary_instants(triggers, span, spark)
+    j = at.join(trigger_arrays(triggers, spark), WL, "left")
+    win = active_from_array(F.col("ts"), F.coalesce(F.col("triggers"), F.array().cast(j.schema["triggers"].dataType)))
+    won = j.select(*WL, F.col("ts").alias("from_ts"), win["name"].alias("active_name"), win["priority"].alias("active_priority"))
+    w = Window.partitionBy(*WL).orderBy("from_ts")
+    same = F.lag("active_name").over(w).eqNullSafe(F.col("active_name")) & (F.row_number().over(w) > 1)
+    return won.withColumn("_same", same).where(~F.col("_same")).drop("_same")
+
+
+def by_interval(instants: DataFrame, changes: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """Each instant with the ``payload`` of the last change at or before it.
+
+    A change holds until the next one of its ``keys``; these intervals are dealt to the days that
+    they touch and meet the instants by key and day, so every instant meets the intervals of its
+    own day and not all changes of the key. Instants before the first change get nulls.
+    """
+    w = Window.partitionBy(*keys).orderBy("from_ts")
+    to = F.lead("from_ts").over(w)
+    last = instants.agg(F.max("ts").alias("last"))
+    held = (changes.select(*keys, "from_ts", *payload).withColumn("to_ts", to).join(F.broadcast(last))
+            .withColumn("_day", F.explode(F.sequence(F.to_date("from_ts"), F.greatest(F.to_date("from_ts"), F.to_date(F.coalesce("to_ts", "last")))))))
+    i, h = instants.withColumn("_day", F.to_date("ts")).alias("i"), held.alias("h")
+    on = [F.col(f"i.{k}") == F.col(f"h.{k}") for k in [*keys, "_day"]]
+    on += [F.col("i.ts") >= F.col("h.from_ts"), F.col("h.to_ts").isNull() | (F.col("i.ts") < F.col("h.to_ts"))]
+    return i.join(h, on, "left").select(*[F.col(f"i.{c}") for c in instants.columns], *[F.col(f"h.{c}") for c in payload])
+
+
+def _fires_on(local_ts: F.Column) -> F.Column:
+    """Whether a trigger's clock jobs run on a local day: on the known days of its recurrence; every
+    day if it has none, dated triggers included."""
+    known = F.filter("_codes", lambda c: c.isin(*DAY_CODES))
+    return (F.size(known) == 0) | F.array_contains(known, C.local_day_code(local_ts))
 
 
 def trigger_events(triggers: DataFrame, span: DataFrame, spark: SparkSession) -> DataFrame:
-    """Start and end events of each policy's recurring triggers, and what each of them applies.
-
-    A trigger starts and ends on the local days of its recurrence. At a start its start config is
-    applied, unless another trigger of higher priority is Within. At an end nothing happens while
-    another trigger of higher priority is Within; else the next trigger's start config is applied
-    (recurring triggers that are Within, by priority and name), or, if there is none, the ended
-    trigger's own end config. Columns: the policy, ``ts``, ``name``, ``kind`` (start or end),
-    ``applied`` (the trigger whose config is applied, null for none), ``mn`` and ``mx``.
+    """Start, end and refresh events of each policy, and what each of them applies.
+
+    A trigger with a recurrence or a date range starts and ends on the local days of its recurrence,
+    a dated one every day. At a start its start config is applied, unless another trigger of higher
+    priority is Within. At an end nothing happens while another trigger of higher priority is Within;
+    else the next trigger's start config is applied (triggers that are Within, by priority and name),
+    or, if there is none, the ended trigger's own end config. At the span's start and at every 00:00
+    UTC all triggers are set up anew: those of the top priority that are Within apply their start
+    configs, or, if none is Within, all that are After their end configs; a row each. Columns: the
+    policy, ``ts``, ``name``, ``kind`` (start, end or refresh), ``applied`` (the trigger whose config
+    is applied, null for none), ``mn`` and ``mx``.
     """
-    t = prepare_triggers(triggers, spark).where((F.col("_err").isNull()) & (F.col("_gate") == "recurring")).join(span, WL)
-    ev = _local_ticks(t, F.array("_s", "_e")).where(F.array_contains("_codes", C.local_day_code(F.col("local_ts"))))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    live = F.coalesce(F.col("has_interval"), F.lit(False)) & (text("recurring") | (text("start_date") & text("end_date")))
+    t = prepare_triggers(triggers, spark).where(F.col("_err").isNull() & live).join(span, WL)
+    ev = _local_ticks(t, F.array("_s", "_e")).where(_fires_on(F.col("local_ts")))
     ev = ev.select(*WL, *POLICY, "ts", "name", F.coalesce(F.col("priority"), F.lit(0)).alias("priority"),
                    F.when(F.col("which") == 0, F.lit("start")).otherwise(F.lit("end")).alias("kind"),
                    F.struct("name", F.col("start_min").alias("mn"), F.col("start_max").alias("mx")).alias("own_start"),
                    F.struct("name", F.col("end_min").alias("mn"), F.col("end_max").alias("mx")).alias("own_end"))
-    j = ev.join(policy_arrays(triggers, spark), WL + POLICY)
+    arrays = policy_arrays(triggers, spark)
+    j = ev.join(arrays, WL + POLICY)
     others = F.filter("triggers", lambda x: (x["name"] != F.col("name")) & (state_columns(F.col("ts"), x)[1] == STATE_WITHIN))
     j = j.withColumn("_others", others)
-    j = j.withColumn("_next", F.get(F.filter("_others", lambda x: x["_gate"] == "recurring"), F.lit(0)))
+    j = j.withColumn("_next", F.get("_others", F.lit(0)))
     higher = F.exists("_others", lambda x: x["priority"] > F.col("priority"))
     next_start = F.struct(F.col("_next")["name"].alias("name"), F.col("_next")["start_min"].alias("mn"), F.col("_next")["start_max"].alias("mx"))
     chosen = (F.when((F.col("kind") == "start") & ~higher, F.col("own_start"))
                .when((F.col("kind") == "end") & F.col("_next").isNull(), F.col("own_end"))
                .when((F.col("kind") == "end") & (F.col("_next")["priority"] <= F.col("priority")), next_start))
-    return j.select(*WL, *POLICY, "ts", "name", "priority", "kind", chosen.alias("c")).select(
-        *WL, *POLICY, "ts", "name", "priority", "kind", F.col("c.name").alias("applied"), F.col("c.mn").alias("mn"), F.col("c.mx").alias("mx"))
+    cols = [*WL, *POLICY, "ts", "name", "priority", "kind"]
+    timed = j.select(*cols, chosen.alias("c")).select(*cols, F.col("c.name").alias("applied"), F.col("c.mn").alias("mn"), F.col("c.mx").alias("mx"))
+    return timed.unionByName(_refresh_events(arrays, span).select(*timed.columns))
+
+
+def _refresh_events(arrays: DataFrame, span: DataFrame) -> DataFrame:
+    """What setting up all triggers anew applies, at the span's start and at every 00:00 UTC in it."""
+    midnight = F.sequence(F.date_trunc("day", F.col("t0")), F.col("t1"), F.expr("INTERVAL 1 DAY"))
+    at = F.array_distinct(F.concat(F.array("t0"), F.filter(midnight, lambda x: x >= F.col("t0"))))
+    seen = F.transform("triggers", lambda x: F.struct(x.alias("x"), state_columns(F.col("ts"), x)[1].alias("state")))
+    j = arrays.join(span, WL).select(*WL, *POLICY, "triggers", F.explode(at).alias("ts")).withColumn("_seen", seen)
+    j = j.withColumn("_w", F.filter("_seen", lambda y: y["state"] == STATE_WITHIN))
+
+    def config(y, which):
+        return F.struct(y["x"]["name"].alias("name"), y["x"]["priority"].alias("priority"), y["x"][f"{which}_min"].alias("mn"), y["x"][f"{which}_max"].alias("mx"))
+
+    top = F.get("_w", F.lit(0))["x"]["priority"]
+    starts = F.transform(F.filter("_w", lambda y: y["x"]["priority"] == top), lambda y: config(y, "start"))
+    ends = F.transform(F.filter("_seen", lambda y: y["state"] == STATE_AFTER), lambda y: config(y, "end"))
+    rows = j.select(*WL, *POLICY, "ts", F.explode(F.when(F.size("_w") > 0, starts).otherwise(ends)).alias("c"))
+    return rows.select(*WL, *POLICY, "ts", "c.name", "c.priority", F.lit("refresh").alias("kind"), F.col("c.name").alias("applied"), "c.mn", "c.mx")
 
 
 def bounds_replay(events: DataFrame, bounds: DataFrame) -> DataFrame:
     """Bounds of each policy after each of its events, carried forward from event to event.
 
-    A fold over the policy's events in order (time; ends before starts; priority descending; name):
+    A fold over the policy's events in order (time; ends, starts, refreshes; priority descending; name):
     a config replaces the bounds it names, a config that is invalid together with the bounds in force
     is rejected, an event that applies nothing changes nothing. Unlike ``effective_bounds``, which
     rebuilds the bounds of any instant from the triggers' states alone, bounds stay as the last event
-    left them. A policy has at most two events a trigger and day of the span, whatever the samples.
+    left them. A policy has at most three events a trigger and day of the span, whatever the samples.
+    ``rejected``: the reason if the event's config was rejected (see ``rejected_updates``).
     """
-    one = F.struct("ts", (F.col("kind") != "end").alias("later"), (-F.col("priority")).alias("np"), "name", "kind", "applied", "mn", "mx")
+    order = F.when(F.col("kind") == "end", 0).when(F.col("kind") == "start", 1).otherwise(2)
+    one = F.struct("ts", order.alias("later"), (-F.col("priority")).alias("np"), "name", "kind", "applied", "mn", "mx")
     g = (events.groupBy(*WL, *POLICY).agg(F.array_sort(F.collect_list(one)).alias("ev"))
          .join(_hpa(bounds), ["hpa_target_namespace", "hpa_name"], "left"))
-    state = F.struct(F.col("cur_min").alias("mn"), F.col("cur_max").alias("mx"))
+    state = F.struct(F.col("cur_min").alias("mn"), F.col("cur_max").alias("mx"), F.lit(None).cast("string").alias("rejected"))
 
     def step(acc, x):
-        return F.concat(acc, F.array(_apply(F.element_at(acc, -1), x)))
+        last = F.element_at(acc, -1)
+        now = F.struct(last["mn"].alias("mn"), last["mx"].alias("mx"))
+        new = _apply(now, x)
+        return F.concat(acc, F.array(F.struct(new["mn"].alias("mn"), new["mx"].alias("mx"), rejection(now, x).alias("rejected"))))
 
     after = F.aggregate("ev", F.array(state), step, lambda a: F.slice(a, F.lit(2), F.size(a)))
     rows = g.select(*WL, *POLICY, "cur_max", F.posexplode(F.arrays_zip("ev", after.alias("after"))).alias("i", "x"))
@@ -322,4 +411,12 @@ def bounds_replay(events: DataFrame, bounds: DataFrame) -> DataFrame:
                        F.col("x.ev.name").alias("name"), F.col("x.ev.kind").alias("kind"), F.col("x.ev.applied").alias("applied"),
                        F.when(~missing, F.col("x.after.mn")).alias("min_replicas"),
                        F.when(~missing, F.col("x.after.mx")).alias("max_replicas"),
-                       F.when(missing, F.lit("hpa not found")).alias("error"))
+                       F.when(missing, F.lit("hpa not found")).alias("error"),
+                       F.when(~missing, F.col("x.after.rejected")).alias("rejected"))
+
+
+def rejected_updates(replayed: DataFrame) -> DataFrame:
+    """The events of ``bounds_replay`` whose config was rejected, with the reason and the bounds that
+    stayed in force."""
+    return replayed.where(F.col("rejected").isNotNull()).select(
+        *WL, "policy_namespace", "policy_name", "event", "ts", "name", "kind", "applied", F.col("rejected").alias("reason"), "min_replicas", "max_replicas")

@@ -1329,8 +1329,14 @@ WHERE starts_with(act.active_name, 'ai-')
   AND (r.value < ai.min_replicas * (1 - 0.2) OR r.value > ai.max_replicas * (1 + 0.2))""")
 
 
-# events of triggers: the instants are the ends and starts themselves
+# events of triggers: clock jobs of every trigger with an interval (dated ones run daily), and a
+# rebuild at the span's start and at each midnight
+_KNOWN = f"list_filter({_codes('t.recurring')}, lambda x: list_contains(['SUN', 'M', 'TU', 'W', 'TH', 'F', 'SAT'], x))"
 _EVENT_ROWS = f""",
+mid AS (
+  SELECT namespace, deployment, t0 AS ts FROM {_SPAN}
+  UNION
+  SELECT namespace, deployment, unnest(range(date_trunc('day', t0) + INTERVAL 1 DAY, t1 + INTERVAL 1 MICROSECOND, INTERVAL 1 DAY)) FROM {_SPAN}),
 evt AS (
   SELECT t.namespace, t.deployment, t.policy_namespace, t.policy_name, t.hpa_target_namespace, t.hpa_name, t.name,
          coalesce(t.priority, 0) AS priority, m.kind, t.start_min, t.start_max, t.end_min, t.end_max,
@@ -1339,53 +1345,76 @@ evt AS (
   FROM {_PREPARED} t JOIN {_SPAN} sp ON t.namespace = sp.namespace AND t.deployment = sp.deployment
   {_DAYS}
   CROSS JOIN (VALUES ('start'), ('end')) m(kind)
-  WHERE t.has_interval AND coalesce(t.recurring, '') <> ''
-    AND list_contains({_codes('t.recurring')}, ['SUN', 'M', 'TU', 'W', 'TH', 'F', 'SAT'][dayofweek(d.day) + 1])),
-inst AS (SELECT DISTINCT namespace, deployment, ts FROM evt WHERE ts BETWEEN t0 AND t1)"""
+  WHERE t.has_interval AND (coalesce(t.recurring, '') <> '' OR (coalesce(t.start_date, '') <> '' AND coalesce(t.end_date, '') <> ''))
+    AND (coalesce(len({_KNOWN}), 0) = 0 OR list_contains({_KNOWN}, ['SUN', 'M', 'TU', 'W', 'TH', 'F', 'SAT'][dayofweek(d.day) + 1]))),
+inst AS (SELECT DISTINCT namespace, deployment, ts FROM evt WHERE ts BETWEEN t0 AND t1 UNION SELECT * FROM mid)"""
 
 _EVENTS = RS + _policy_tail().rsplit(",\ninst AS", 1)[0] + _EVENT_ROWS + STATES_TAIL + """,
 oth AS (
-  SELECT v.namespace, v.deployment, v.policy_name, v.ts, v.name, v.kind,
-         max(o.priority) AS top_any,
-         max(o.priority) FILTER (WHERE coalesce(tr.recurring, '') <> '') AS top,
-         first({'name': o.name, 'mn': o.start_min, 'mx': o.start_max} ORDER BY o.priority DESC, o.name)
-           FILTER (WHERE coalesce(tr.recurring, '') <> '') AS nxt
+  SELECT v.namespace, v.deployment, v.policy_name, v.ts, v.name, v.kind, max(o.priority) AS top,
+         first({'name': o.name, 'mn': o.start_min, 'mx': o.start_max} ORDER BY o.priority DESC, o.name) AS nxt
   FROM evt v JOIN st o ON v.namespace = o.namespace AND v.deployment = o.deployment AND v.policy_name = o.policy_name
                       AND v.ts = o.ts AND o.name <> v.name AND o.state = 'Within'
-  JOIN trig tr ON tr.namespace = o.namespace AND tr.deployment = o.deployment AND tr.policy_name = o.policy_name AND tr.name = o.name
   GROUP BY ALL),
+again AS (
+  SELECT st.*, max(priority) FILTER (WHERE state = 'Within') OVER (PARTITION BY st.namespace, st.deployment, policy_name, st.ts) AS top
+  FROM st JOIN mid ON st.namespace = mid.namespace AND st.deployment = mid.deployment AND st.ts = mid.ts),
 evd AS (
-  SELECT v.*, CASE WHEN v.kind = 'start' THEN CASE WHEN coalesce(top_any > v.priority, false) THEN NULL
+  SELECT v.namespace, v.deployment, v.policy_namespace, v.policy_name, v.hpa_target_namespace, v.hpa_name, v.ts, v.name, v.priority, v.kind,
+         CASE WHEN v.kind = 'start' THEN CASE WHEN coalesce(top > v.priority, false) THEN NULL
                         ELSE {'name': v.name, 'mn': v.start_min, 'mx': v.start_max} END
                    WHEN nxt IS NULL THEN {'name': v.name, 'mn': v.end_min, 'mx': v.end_max}
                    WHEN top > v.priority THEN NULL ELSE nxt END AS c
   FROM evt v LEFT JOIN oth x ON v.namespace = x.namespace AND v.deployment = x.deployment AND v.policy_name = x.policy_name
                             AND v.ts = x.ts AND v.name = x.name AND v.kind = x.kind
-  WHERE v.ts BETWEEN v.t0 AND v.t1)"""
+  WHERE v.ts BETWEEN v.t0 AND v.t1
+  UNION ALL
+  SELECT namespace, deployment, policy_namespace, policy_name, hpa_target_namespace, hpa_name, ts, name, priority, 'refresh',
+         CASE WHEN state = 'Within' THEN {'name': name, 'mn': start_min, 'mx': start_max} ELSE {'name': name, 'mn': end_min, 'mx': end_max} END
+  FROM again WHERE (state = 'Within' AND priority = top) OR (state = 'After' AND top IS NULL))"""
 
 _reg("trigger_events", f"""WITH {_EVENTS}
 SELECT policy_namespace, policy_name, {TS}, name, kind, c.name AS applied, CAST(c.mn AS DOUBLE) AS mn,
        CAST(c.mx AS DOUBLE) AS mx FROM evd""")
 
-_reg("bounds_replay", f"""WITH RECURSIVE {_EVENTS},
+_REPLAY = f"""{_EVENTS},
 pe AS (
   SELECT namespace, deployment, policy_namespace, policy_name, hpa_target_namespace, hpa_name, ts, name, kind, c,
-         row_number() OVER (PARTITION BY policy_namespace, policy_name ORDER BY ts, kind <> 'end', priority DESC, name) AS event
+         row_number() OVER (PARTITION BY policy_namespace, policy_name
+                            ORDER BY ts, list_position(['end', 'start', 'refresh'], kind), priority DESC, name) AS event
   FROM evd),
 rp AS (
-  SELECT p.policy_namespace, p.policy_name, CAST(0 AS BIGINT) AS event, any_value(h.cur_min) AS mn, any_value(h.cur_max) AS mx
+  SELECT p.policy_namespace, p.policy_name, CAST(0 AS BIGINT) AS event, any_value(h.cur_min) AS mn, any_value(h.cur_max) AS mx,
+         CAST(NULL AS VARCHAR) AS reason
   FROM pe p JOIN hpa h ON p.hpa_target_namespace = h.hns AND p.hpa_name = h.hname GROUP BY ALL
   UNION ALL
   SELECT r.policy_namespace, r.policy_name, p.event,
-         CASE WHEN ok THEN coalesce(p.c.mn, r.mn) ELSE r.mn END, CASE WHEN ok THEN coalesce(p.c.mx, r.mx) ELSE r.mx END
+         CASE WHEN ok THEN coalesce(p.c.mn, r.mn) ELSE r.mn END, CASE WHEN ok THEN coalesce(p.c.mx, r.mx) ELSE r.mx END,
+         CASE WHEN ok THEN NULL WHEN p.c.mn < 0 THEN 'minReplicas cannot be negative'
+              WHEN p.c.mx <= 0 THEN 'maxReplicas must be greater than 0'
+              ELSE 'minReplicas (' || coalesce(p.c.mn, r.mn) || ') cannot be greater than maxReplicas (' || coalesce(p.c.mx, r.mx) || ')' END
   FROM rp r JOIN pe p ON r.policy_namespace = p.policy_namespace AND r.policy_name = p.policy_name AND p.event = r.event + 1
   CROSS JOIN LATERAL (SELECT NOT (coalesce(p.c.mn < 0, false) OR coalesce(p.c.mx <= 0, false)
-                                  OR coalesce(coalesce(p.c.mn, r.mn) > coalesce(p.c.mx, r.mx), false)) AS ok) q)
+                                  OR coalesce(coalesce(p.c.mn, r.mn) > coalesce(p.c.mx, r.mx), false)) AS ok) q)"""
+
+_reg("bounds_replay", f"""WITH RECURSIVE {_REPLAY}
 SELECT p.namespace, p.deployment, p.policy_namespace, p.policy_name, CAST(p.event AS BIGINT) AS event, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts,
        p.name, p.kind, p.c.name AS applied, CAST(r.mn AS DOUBLE) AS min_replicas, CAST(r.mx AS DOUBLE) AS max_replicas,
        CASE WHEN r.mx IS NULL THEN 'hpa not found' END AS error
 FROM pe p LEFT JOIN rp r ON p.policy_namespace = r.policy_namespace AND p.policy_name = r.policy_name AND p.event = r.event""")
 
+_reg("rejected_updates", f"""WITH RECURSIVE {_REPLAY}
+SELECT p.namespace, p.deployment, p.policy_namespace, p.policy_name, CAST(p.event AS BIGINT) AS event, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts,
+       p.name, p.kind, p.c.name AS applied, r.reason, CAST(r.mn AS DOUBLE) AS min_replicas, CAST(r.mx AS DOUBLE) AS max_replicas
+FROM pe p JOIN rp r ON p.policy_namespace = r.policy_namespace AND p.policy_name = r.policy_name AND p.event = r.event
+WHERE r.reason IS NOT NULL""")
+
+_reg("active_trigger_by_interval", f"""WITH {STATES}
+SELECT namespace, deployment, {TS}, active_name, CAST(active_priority AS DOUBLE) AS active_priority
+FROM act""")
+
+_reg("effective_bounds_by_interval", f"""SELECT * FROM ({ORACLE["effective_bounds"]}) b WHERE policy_name IS NOT NULL""")
+
 # streams ---------------------------------------------------------------------
 _reg("stream_resample", f"""WITH {EV},
 w AS (
@@ -1416,6 +1445,28 @@ lagged AS (
 SELECT namespace, deployment, {TS}, from_trigger, active_name AS to_trigger
 FROM lagged WHERE rn = 1 OR from_trigger IS DISTINCT FROM active_name""")
 
+# timers: the winner at every instant at which it can change, up to the watermark of the whole stream
+_CLOCK = "(SELECT namespace, deployment, min(ts) AS t0, (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev) AS t1 FROM rs GROUP BY ALL)"
+_reg("stream_timed_transitions", f"""WITH {RS}{_policy_tail(inst_sql=_TICKS.replace(_SPAN, _CLOCK))}{STATES_TAIL},
+lagged AS (
+  SELECT *, row_number() OVER w AS rn, lag(active_name) OVER w AS from_trigger
+  FROM act WHERE EXISTS (SELECT 1 FROM trig t WHERE t.namespace = act.namespace AND t.deployment = act.deployment)
+  WINDOW w AS (PARTITION BY namespace, deployment ORDER BY ts))
+SELECT namespace, deployment, {TS}, from_trigger, active_name AS to_trigger
+FROM lagged WHERE rn = 1 OR from_trigger IS DISTINCT FROM active_name""")
+
+_ALL_LIVE = _policy_tail(inst_sql="SELECT namespace, deployment, ts FROM ev").replace("SELECT * FROM trig_all WHERE NOT suspend", "SELECT * FROM trig_all")
+_reg("stream_policy_versions", f"""WITH {RS}{_ALL_LIVE}{STATES_TAIL},
+own AS (
+  SELECT st.namespace, st.deployment, st.ts, first(st.name ORDER BY st.priority DESC, st.name) AS active_name, max(st.priority) AS active_priority
+  FROM st JOIN trig t ON st.namespace = t.namespace AND st.deployment = t.deployment AND st.name = t.name
+  WHERE state = 'Within' AND (NOT t.suspend OR st.ts >= TIMESTAMP '2024-01-15') GROUP BY ALL)
+SELECT e.namespace, e.deployment, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS ts, active_name,
+       CASE WHEN e.ts >= TIMESTAMP '2024-01-15' THEN 2.0
+            WHEN EXISTS (SELECT 1 FROM trig t WHERE t.namespace = e.namespace AND t.deployment = e.deployment AND NOT t.suspend) THEN 1.0 END::DOUBLE
+         AS generation, CAST(active_priority AS DOUBLE) AS active_priority
+FROM ev e LEFT JOIN own o ON e.namespace = o.namespace AND e.deployment = o.deployment AND e.ts = o.ts""")
+
 _ALERTS = ORACLE["deviation"].rsplit("SELECT r.namespace", 1)[0]
 _reg("stream_deviation_alerts", f"""{_ALERTS.rstrip()},
 closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS upto FROM rs)

@@ -7,7 +7,6 @@ the SQL oracle can compare values exactly.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
 from tempora.plans.report import portable
-from tempora.session import checkpoint_dir, materialize
+from tempora.session import materialize, shared_folder
 from tempora.sources import events as E
 from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
@@ -188,6 +187,29 @@ def active_trigger(spark, sf_dir):
     return portable(_nullable_as_double(S.active_trigger(st, inst), "active_priority"))
 
 
+@query("active_trigger_by_interval")
+def active_trigger_by_interval(spark, sf_dir):
+    """The winner of every instant from the intervals between changes: no instant evaluates a trigger."""
+    inst, wls, trig = _schedule_inputs(spark, sf_dir)
+    span = inst.groupBy(*WL).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    changes = _cut(S.winner_changes(trig, span, spark))
+    out = S.by_interval(inst.distinct(), changes, WL, ["active_name", "active_priority"])
+    return portable(_nullable_as_double(out, "active_priority"))
+
+
+@query("effective_bounds_by_interval")
+def effective_bounds_by_interval(spark, sf_dir):
+    """The bounds of every instant from the intervals between the instants at which they can change."""
+    inst, wls, trig = _schedule_inputs(spark, sf_dir)
+    span = inst.groupBy(*WL).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    ticks = S.boundary_instants(trig, span, spark)
+    keys = [*WL, "policy_namespace", "policy_name"]
+    at = _cut(S.effective_bounds(ticks, trig, PO.hpa_bounds(wls), spark).where(F.col("policy_name").isNotNull()).withColumnRenamed("ts", "from_ts"))
+    policies = at.select(*keys).distinct()
+    out = S.by_interval(inst.join(policies, WL), at, keys, ["source", "min_replicas", "max_replicas", "error"])
+    return portable(_nullable_as_double(out, "min_replicas", "max_replicas"))
+
+
 @query("higher_priority_active")
 def higher_priority_active(spark, sf_dir):
     st, _ = _states(spark, sf_dir)
@@ -610,7 +632,15 @@ def trigger_events(spark, sf_dir):
 def bounds_replay(spark, sf_dir):
     """Bounds of every policy after each of its start and end events, carried forward."""
     _, wls, trig, span = _spans(spark, sf_dir)
-    out = S.bounds_replay(S.trigger_events(trig, span, spark), PO.hpa_bounds(wls))
+    out = S.bounds_replay(S.trigger_events(trig, span, spark), PO.hpa_bounds(wls)).drop("rejected")
+    return portable(_nullable_as_double(out, "min_replicas", "max_replicas"))
+
+
+@query("rejected_updates")
+def rejected_updates(spark, sf_dir):
+    """The updates of the replay that were rejected, with the reason and the bounds in force."""
+    _, wls, trig, span = _spans(spark, sf_dir)
+    out = S.rejected_updates(S.bounds_replay(S.trigger_events(trig, span, spark), PO.hpa_bounds(wls)))
     return portable(_nullable_as_double(out, "min_replicas", "max_replicas"))
 
 
@@ -637,65 +667,131 @@ def v1_triggers_fixed(spark, sf_dir):
 # streams: the jobs themselves, run until their input is used up
 # ---------------------------------------------------------------------------
 
-def _stream_of(df):
-    """A file stream over a table written to the shared folder."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/stream-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+SLICES = 3  # of time; a stream gets one after another
+
+
+def _slices(df):
+    """The rows of a table in slices of time, in order."""
+    t0, t1 = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if t0 is None:
+        return [df]
+    at = F.floor((F.unix_micros("ts") - t0) * SLICES / (t1 - t0 + 1))
+    return [df.where(at == i) for i in range(SLICES)]
+
+
+def _source(df, path):
+    """A stream over a folder of the table's schema, empty so far."""
+    df.limit(0).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
 
+def _advance(slices, path, run):
+    """Add slice after slice to a stream's input and let the query use each up before the next: every
+    slice is a micro-batch of its own, and the query goes on from its checkpoint."""
+    for part in slices:
+        part.write.mode("append").parquet(path)
+        run().awaitTermination()
 
-def _run_stream(df):
-    """Run a streaming frame over all its input into a table of the shared folder and read that."""
-    base = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/sink-{uuid.uuid4().hex}"
-    q = (df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+def _streamed(df, job, first=None):
+    """The result of a streaming job over a table's slices. ``first``: rows that come with the first."""
+    spark, base = df.sparkSession, shared_folder(df.sparkSession, "stream")
+    slices = _slices(df)
+    if first is not None:
+        slices[0] = slices[0].unionByName(first.select(df.columns))
+    out = job(_source(df, f"{base}/in"))
+
+    def run():
+        return (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log")
+                .outputMode("append").trigger(availableNow=True).start())
+
+    _advance(slices, f"{base}/in", run)
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def _raw(spark, sf_dir):
+    return E.workload_samples(E.read_table(spark, sf_dir, "events"))
 
 
 @query("stream_resample")
 def stream_resample(spark, sf_dir):
     """R1 as a stream: the windows that the watermark closes."""
-    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
-    return portable(_run_stream(J.resample_stream(_stream_of(raw))))
+    return portable(_streamed(_raw(spark, sf_dir), J.resample_stream))
 
 
 @query("stream_profile")
 def stream_profile(spark, sf_dir):
     """R2 as a stream: partials of every day, compacted, and the profile of a two-week window."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/profile-{uuid.uuid4().hex}"
-    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
-    J.profile_refresh(_stream_of(raw), f"{base}/state", f"{base}/log").awaitTermination()
+    base, raw = shared_folder(spark, "profile"), _raw(spark, sf_dir)
+    source = _source(raw, f"{base}/in")
+    _advance(_slices(raw), f"{base}/in", lambda: J.profile_refresh(source, f"{base}/state", f"{base}/log"))
     J.compact_profile(spark, f"{base}/state", f"{base}/compact")
     return portable(J.read_profile(spark, f"{base}/compact", as_of=AS_OF[:10], days=14))
 
 
-def _active_stream(spark, sf_dir):
+def _arrays(spark, sf_dir):
     _, _, trig = _schedule_inputs(spark, sf_dir)
-    raw = E.workload_samples(E.read_table(spark, sf_dir, "events"))
-    return J.active_trigger_stream(_stream_of(raw), _cut(S.trigger_arrays(trig, spark)))
+    return _cut(S.trigger_arrays(trig, spark))
 
 
 @query("stream_active_trigger")
 def stream_active_trigger(spark, sf_dir):
     """R3 as a stream: each event with its workload's winning trigger."""
-    out = _run_stream(_active_stream(spark, sf_dir))
+    arrays = _arrays(spark, sf_dir)
+    out = _streamed(_raw(spark, sf_dir), lambda s: J.active_trigger_stream(s, arrays))
     return portable(_nullable_as_double(out.select(*WL, "ts", "active_name", "active_priority"), "active_priority"))
 
 
 @query("stream_transitions")
 def stream_transitions(spark, sf_dir):
     """R4 as a stream: the changes of the winning trigger."""
-    return portable(_run_stream(J.transitions_stream(_active_stream(spark, sf_dir))))
+    arrays = _arrays(spark, sf_dir)
+    return portable(_streamed(_raw(spark, sf_dir), lambda s: J.transitions_stream(J.active_trigger_stream(s, arrays))))
+
+
+@query("stream_timed_transitions")
+def stream_timed_transitions(spark, sf_dir):
+    """R4 with timers: the changes of the winning trigger at their own time, up to the watermark; the
+    samples only move the clock."""
+    _, _, trig, span = _spans(spark, sf_dir)
+    plans = J.policy_events(S.trigger_arrays(trig, spark).join(span.select(*WL, "t0"), WL), F.col("t0"))
+    clock = _raw(spark, sf_dir).select(*WL, "ts", F.lit(None).cast("string").alias("plan"))
+    return portable(_streamed(clock, J.timed_transitions, first=plans))
+
+
+CHANGED = "2024-01-15 00:00:00"  # the instant from which the second version of the policies holds
+
+
+@query("stream_policy_versions")
+def stream_policy_versions(spark, sf_dir):
+    """R3 while policies change: between two micro-batches of the running stream, suspended triggers
+    are put in force from the middle of the month on."""
+    wls = _cut(PO.workloads(E.replica_samples(spark, sf_dir)))
+    raw, base = _raw(spark, sf_dir), shared_folder(spark, "versions")
+    source = _source(raw, f"{base}/in")
+    changed = F.lit(CHANGED).cast("timestamp")
+
+    def publish(generation, since, everything):
+        trig = PO.policy_triggers(spark, wls, include_suspended=everything)
+        J.publish_policies(S.trigger_arrays(trig, spark), since, generation, f"{base}/versions")
+
+    def run():
+        return J.active_refresh(source, f"{base}/versions", f"{base}/out", f"{base}/log")
+
+    publish(1, F.lit("2024-01-01").cast("timestamp"), False)
+    _advance([raw.where(F.col("ts") < changed)], f"{base}/in", run)
+    publish(2, changed, True)
+    _advance([raw.where(F.col("ts") >= changed)], f"{base}/in", run)
+    out = spark.read.parquet(f"{base}/out").select(*WL, "ts", "generation", "active_name", "active_priority")
+    return portable(_nullable_as_double(out, "generation", "active_priority"))
 
 
 @query("stream_deviation_alerts")
 def stream_deviation_alerts(spark, sf_dir):
     """R5 as a stream: one alert per workload and hour that the watermark has passed."""
     rs, _, _, trig = _deviation_inputs(spark, sf_dir)
-    active = J.active_trigger_stream(_stream_of(rs), _cut(S.trigger_arrays(trig, spark)))
-    alerts = _run_stream(J.deviation_alerts(active, interval="1 hour"))
+    arrays = _cut(S.trigger_arrays(trig, spark))
+    alerts = _streamed(rs, lambda s: J.deviation_alerts(J.active_trigger_stream(s, arrays), interval="1 hour"))
     return portable(alerts.select(*WL, "interval_start", "ts", "active_name", "value"))
 
 

@@ -6,14 +6,19 @@
   merges the days of a rolling window and ``compact_profile`` folds batches into one table.
 * R3 ``active_trigger_stream``: stream-static join with each workload's trigger array;
   the winner is chosen row by row (no streaming aggregation).
+* R3 ``active_refresh``: the same with a table of policy versions that grows while the stream runs;
+  every micro-batch reads it anew, every sample meets the version of its time.
 * R4 ``transitions_stream``: keyed state (time and name of the last active trigger per workload)
   with ``applyInPandasWithState``; emits only changes, in time order.
+* R4 ``timed_transitions``: keyed state with an event-time timer at the next start or end of the
+  workload's triggers, so a change is reported at its own time without any sample near it.
 * R5 ``deviation_alerts``: samples outside the active generated trigger's bounds, the first of
   each workload and interval (a windowed aggregate, the same on tables and streams).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tempora.config import WL
 from tempora.operators.schedule import active_from_array
+from tempora.streaming import windows as W
 
 SAMPLE_SCHEMA = "namespace string, deployment string, ts timestamp, value double"
 
@@ -139,6 +145,87 @@ def transitions_stream(active: DataFrame) -> DataFrame:
                                     GroupStateTimeout.NoTimeout))
 
 
+POLICY_EVENT_SCHEMA = "namespace string, deployment string, ts timestamp, plan string"
+
+
+def policy_events(trigger_arrays: DataFrame, since) -> DataFrame:
+    """``POLICY_EVENT_SCHEMA`` rows: the plan of each workload from ``since`` (a column) on."""
+    return trigger_arrays.select(*WL, since.alias("ts"), W.plan_json(F.col("triggers")).alias("plan"))
+
+
+def _timed(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    upto, last, started, versions = state.get if state.exists else (None, None, False, "[]")
+    known = {(int(since), plan) for since, plan in json.loads(versions)}
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            known |= {(int(ts.timestamp()), plan) for ts, plan in pdf[["ts", "plan"]].itertuples(index=False)}
+    versions = sorted(known)
+    clock = state.getCurrentWatermarkMs() // 1000
+    upto = min(versions)[0] - 1 if upto is None else upto
+    out = []
+    for at, before, now in W.changes(versions, upto, clock, last, started):
+        out.append((key[0], key[1], pd.Timestamp(at, unit="s"), before, now))
+        last, started = now, True
+    upto = max(upto, clock)
+    kept = [v for v in versions if v[0] > upto]
+    kept = ([max(v for v in versions if v[0] <= upto)] if len(kept) < len(versions) else []) + kept
+    state.update((upto, last, started, json.dumps(kept)))
+    state.setTimeoutTimestamp(max(W.next_tick(kept, upto), clock + 1) * 1000)
+    yield pd.DataFrame(out, columns=["namespace", "deployment", "ts", "from_trigger", "to_trigger"])
+
+
+def timed_transitions(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """Changes of each workload's winning trigger at the instants at which they happen.
+
+    ``events``: a stream of ``POLICY_EVENT_SCHEMA`` rows; rows without a plan (samples) only move the
+    clock, and no group ever gets them. A row with a plan is a policy version in force from its
+    ``ts`` on; later rows of a workload replace it from theirs. Each workload holds its versions and
+    last winner, and a timer at the next instant at which a window can begin or end; when the
+    watermark passes it, all changes up to the watermark are emitted, in time order. The first row
+    is the beginning of the first version. Versions that come after the watermark has passed
+    their time are dropped with other late rows. Two versions at one time: the greater text wins.
+    """
+    seen = events.withWatermark("ts", watermark)
+    # a condition on ts stays above the watermark, so that rows without a plan advance it
+    plans = seen.where(F.when(F.col("ts").isNotNull(), F.col("plan").isNotNull()))
+    return plans.groupBy(*WL).applyInPandasWithState(
+        _timed, TRANSITION_SCHEMA, "upto long, last string, started boolean, versions string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def publish_policies(trigger_arrays: DataFrame, valid_from, generation: int, path: str) -> None:
+    """Adds a version of the workloads' trigger arrays, in force from ``valid_from`` (a column) on, to
+    the version table at ``path``. Versions are told apart by time, then by generation."""
+    (trigger_arrays.select(*WL, valid_from.alias("valid_from"), F.lit(generation).cast("long").alias("generation"), "triggers")
+     .write.mode("append").parquet(path))
+
+
+def active_versions(samples: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each sample with its workload's winning trigger in the version that is in force at its time;
+    null before the first version. A workload has as many array entries as versions."""
+    one = F.struct("valid_from", "generation", "triggers")
+    arrays = versions.groupBy(*WL).agg(F.sort_array(F.collect_list(one)).alias("versions"))
+    j = samples.join(arrays, WL, "left")
+    past = F.filter("versions", lambda v: v["valid_from"] <= F.col("ts"))
+    last = F.try_element_at(past, F.lit(-1))
+    none = F.array().cast(versions.schema["triggers"].dataType)
+    win = active_from_array(F.col("ts"), F.coalesce(last["triggers"], none))
+    return j.select(*WL, "ts", "value", last["generation"].alias("generation"), win["name"].alias("active_name"),
+                    win["priority"].alias("active_priority"))
+
+
+def active_refresh(samples: DataFrame, versions_path: str, out_dir: str, checkpoint: str, trigger: dict | None = None):
+    """Start a query that writes ``active_versions`` of every micro-batch to its own ``batch_id=``
+    partition of ``out_dir``. The version table is read anew in each micro-batch, so a version
+    published while the query runs acts from the next one on, for the samples of its time."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        versions = batch.sparkSession.read.parquet(versions_path)
+        (active_versions(batch, versions).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
+
+    w = samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def deviation_alerts(active: DataFrame, threshold_percent: int = 20, interval: str = "5 minutes",
                      watermark: str = "10 minutes") -> DataFrame:
     """The first sample of each workload and interval outside [min*(1-t), max*(1+t)] of an active
