@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.config import WL
 from tempora.functions import clock as C
 from tempora.functions.timeparts import bucket
+from tempora.operators.schedule import prepare_triggers
 
 
 @dataclass(frozen=True)
@@ -99,32 +100,60 @@ def peak_windows(points: DataFrame, cfg: PlannedConfig = PlannedConfig()) -> Dat
                     "peak_p95")
 
 
-def covered_hours(start_time: Column, end_time: Column) -> Column:
-    """Hours of day a half-open (wrapping) clock window touches."""
-    s, e = C.clock_minutes(start_time), C.clock_minutes(end_time)
-    return F.filter(F.sequence(F.lit(0), F.lit(23)),
-                    lambda h: F.when(s == e, F.lit(False))
-                    .when(s < e, (h * 60 < e) & (h * 60 + 60 > s))
-                    .otherwise((h * 60 + 60 > s) | (h * 60 < e)))
-
-
-def manual_overlap(generated: DataFrame, manual: DataFrame) -> DataFrame:
-    """Generated triggers with a ``suppressed`` flag: a manual trigger (name without ``ai-``) of
-    the same workload shares at least one hour and one day with it (no recurrence = any day)."""
-    g = generated.select(*WL, "name", "recurring", "start_time", "end_time",
-                         covered_hours(F.col("start_time"), F.col("end_time")).alias("g_hours"),
-                         C.recurring_codes(F.col("recurring")).alias("g_days"))
-    m = (manual.where(~F.col("name").startswith("ai-"))
-         .select(*WL, F.col("name").alias("m_name"),
-                 covered_hours(F.col("start_time"), F.col("end_time")).alias("m_hours"),
-                 F.when(F.coalesce(F.col("recurring"), F.lit("")) == "", F.lit(None))
-                  .otherwise(C.recurring_codes(F.col("recurring"))).alias("m_days")))
-    j = g.join(m, WL, "left")
-    hit = (F.coalesce(F.arrays_overlap("g_hours", "m_hours"), F.lit(False))
-           & F.coalesce(F.arrays_overlap("g_days", "m_days"), F.col("m_days").isNull()))
-    return (j.groupBy(*WL, "name")
-            .agg(F.max(F.coalesce(hit, F.lit(False))).alias("suppressed"),
-                 F.min(F.when(hit, F.col("m_name"))).alias("blocked_by")))
+WEEK_MINUTES = 7 * 24 * 60
+SHARED_MINUTES = 60  # of a week that make two windows overlap
+
+
+def week_intervals(prepared: DataFrame, week) -> Column:
+    """The minutes (UTC, from 0) of the week that begins on the date ``week`` in which a prepared
+    trigger is Within, as an array of half-open intervals.
+
+    A window that wraps midnight has two parts on each of its local days, by the day's own code; a
+    dated trigger has those between its dates. Local clocks are turned into instants day by day, so
+    zones and shifted clocks count. A trigger has at most two intervals for each of ten days.
+    """
+    zero = F.unix_seconds(F.lit(week).cast("timestamp"))
+    days = F.sequence(F.date_sub(F.lit(week).cast("date"), 1), F.date_add(F.lit(week).cast("date"), 8))
+    s, e = F.col("_s"), F.col("_e")
+    part = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    parts = F.when(s < e, F.array(part(s, e))).when(s > e, F.array(part(F.lit(0), e), part(s, F.lit(1440)))).otherwise(none)
+    first = F.when(F.col("_gate") == "range", F.floor((F.unix_seconds("_sd") - zero) / 60) + 1).otherwise(0)
+    last = F.when(F.col("_gate") == "range", F.ceil((F.unix_seconds("_ed") - zero) / 60)).otherwise(WEEK_MINUTES)
+
+    def instant(day: Column, minute: Column) -> Column:
+        local = F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + minute * 60)
+        return F.floor((F.unix_seconds(F.to_utc_timestamp(local, F.col("zone"))) - zero) / 60)
+
+    def of_day(day: Column) -> Column:
+        runs = F.when(F.col("_gate") == "recurring", F.array_contains("_codes", C.local_day_code(day.cast("timestamp")))).otherwise(
+            F.col("_gate") == "range")
+        own = F.transform(parts, lambda p: F.struct(F.greatest(instant(day, p["a"]), F.lit(0), first).alias("a"),
+                                                    F.least(instant(day, p["b"]), F.lit(WEEK_MINUTES), last).alias("b")))
+        return F.when(runs & F.col("_err").isNull(), own).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+    return F.filter(F.flatten(F.transform(days, of_day)), lambda x: x["a"] < x["b"])
+
+
+def manual_overlap(generated: DataFrame, manual: DataFrame, spark: SparkSession, week: str) -> DataFrame:
+    """Generated triggers with a ``suppressed`` flag: a manual trigger (name without ``ai-``) of the
+    same workload shares at least an hour of the week that begins on ``week`` with it, each window by
+    its own zone, days and dates (no zone is UTC). A manual trigger without an interval or with an
+    invalid clock is never Within and suppresses nothing."""
+    def minutes(triggers: DataFrame) -> DataFrame:
+        absent = {c: F.lit(v).cast(k) for c, v, k in (("timezone", "UTC", "string"), ("has_interval", True, "boolean"), ("start_date", None, "string"),
+                                                      ("end_date", None, "string")) if c not in triggers.columns}
+        t = prepare_triggers(triggers.withColumns(absent), spark)
+        return t.select(*WL, "name", week_intervals(t, week).alias("at"))
+
+    g = minutes(generated)
+    m = minutes(manual.where(~F.col("name").startswith("ai-"))).select(*WL, F.col("name").alias("m_name"), F.col("at").alias("m_at"))
+    zero = F.lit(0).cast("long")
+    shared = F.aggregate("at", zero, lambda n, x: n + F.aggregate(
+        "m_at", zero, lambda k, y: k + F.greatest(zero, F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"]))))
+    hit = F.coalesce(shared >= SHARED_MINUTES, F.lit(False))
+    return (g.join(m, WL, "left").groupBy(*WL, "name")
+            .agg(F.max(hit).alias("suppressed"), F.min(F.when(hit, F.col("m_name"))).alias("blocked_by")))
 
 
 def deviation(samples: DataFrame, active: DataFrame, bounds: DataFrame,

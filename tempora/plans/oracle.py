@@ -140,7 +140,7 @@ def _hh(expr: str) -> str:
     return f"lpad(CAST({expr} AS VARCHAR), 2, '0')"
 
 
-def v2_trigger_cte(wrap_aware: bool = False) -> str:
+def v2_trigger_cte(wrap_aware: bool = False, days: int | None = None) -> str:
     b = 0.2
     if wrap_aware:
         start = f"{_hh('hours[1]')} || ':00:00'"
@@ -149,7 +149,7 @@ def v2_trigger_cte(wrap_aware: bool = False) -> str:
     else:
         start = f"{_hh('list_min(hours)')} || ':00:00'"
         end = f"{_hh('least(list_max(hours) + 1, 23)')} || ':00:00'"
-    return patterns_cte() + f""",
+    return patterns_cte(days) + f""",
 t0 AS (
   SELECT namespace, deployment, det_order, pattern_type, confidence,
          CASE WHEN days = [5, 6] THEN 'weekend' WHEN days = [0, 1, 2, 3, 4] THEN 'weekday' ELSE 'custom' END
@@ -293,10 +293,13 @@ FROM pat""")
 _reg("v2_triggers", f"""WITH {v2_trigger_cte()}
 {TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
 
+_reg("stream_v2_triggers", f"""WITH {v2_trigger_cte(days=14)}
+{TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
+
 _reg("v2_triggers_wrap_aware", f"""WITH {v2_trigger_cte(wrap_aware=True)}
 {TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
 
-_reg("v2_default_triggers", f"""WITH {patterns_cte(2)},
+_reg("v2_default_triggers", f"""WITH {patterns_cte(30)},
 roster AS (SELECT DISTINCT 'ns-' || CAST(user_id % 3 AS VARCHAR) AS namespace, 'app-' || CAST(user_id AS VARCHAR) AS deployment
            FROM events),
 need AS (
@@ -965,8 +968,9 @@ FROM cnt c LEFT JOIN rep ON c.namespace = rep.namespace AND c.deployment = rep.d
 
 _reg("v1_default_triggers", f"""WITH {_samples_cte()},
 wl AS (SELECT DISTINCT namespace, deployment FROM ms),
-cpu AS (SELECT DISTINCT namespace, deployment FROM ev
-        WHERE event_type = 'view' AND ts BETWEEN {AS_OF} - INTERVAL 2 DAY AND {AS_OF})
+cpu AS (SELECT DISTINCT f.namespace, f.deployment FROM ({ORACLE["v1_triggers_fixed"]}) f
+        JOIN ev ON ev.namespace = f.namespace AND ev.deployment = f.deployment AND f.pattern_type <> 'default'
+               AND ev.event_type = 'view' AND ev.ts BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF})
 SELECT namespace, deployment, 'default-business-hours' AS name, 'default' AS pattern_type,
        CAST(100 AS BIGINT) AS priority, 'UTC' AS timezone, '09:00:00' AS start_time, '17:00:00' AS end_time,
        'M,TU,W,TH,F' AS recurring, CAST(2 AS BIGINT) AS min_replicas, CAST(10 AS BIGINT) AS max_replicas,
@@ -1131,28 +1135,32 @@ CL30 = _cl(30)
 PLANNED = CL30 + _planned_tail()
 
 
-def _hours_sql(st: str, en: str) -> str:
-    s, e = _mins(st), _mins(en)
-    return (f"list_filter(range(24), lambda h: CASE WHEN ({s}) = ({e}) THEN false "
-            f"WHEN ({s}) < ({e}) THEN h * 60 < ({e}) AND h * 60 + 60 > ({s}) "
-            f"ELSE h * 60 + 60 > ({s}) OR h * 60 < ({e}) END)")
-
-
+# every minute of the week, by each window's own clock
+_IN = "CASE WHEN s <= e THEN cur >= s AND cur < e ELSE cur >= s OR cur < e END"
+_DAY = "['SUN', 'M', 'TU', 'W', 'TH', 'F', 'SAT'][dayofweek({}) + 1]"
 OVERLAP_TAIL = f""",
-gh AS (SELECT namespace, deployment, name, {_hours_sql('start_time', 'end_time')} AS g_hours,
-              {_codes('recurring')} AS g_days FROM gen),
-mh AS (SELECT namespace, deployment, name AS m_name, {_hours_sql('start_time', 'end_time')} AS m_hours,
-              CASE WHEN coalesce(recurring, '') = '' THEN NULL ELSE {_codes('recurring')} END AS m_days
-       FROM manual WHERE NOT starts_with(name, 'ai-')),
+wk AS (SELECT TIMESTAMP '2024-01-22' + to_minutes(CAST(m AS BIGINT)) AS ts FROM range(10080) r(m)),
+gmin AS (
+  SELECT namespace, deployment, name, ts
+  FROM (SELECT g.namespace, g.deployment, g.name, g.recurring, wk.ts, hour(wk.ts) * 60 + minute(wk.ts) AS cur,
+               {_mins('g.start_time')} AS s, {_mins('g.end_time')} AS e FROM gen g CROSS JOIN wk)
+  WHERE list_contains({_codes('recurring')}, {_DAY.format('ts')}) AND {_IN}),
+mloc AS (
+  SELECT m.*, wk.ts, timezone(coalesce(z.name, 'UTC'), wk.ts AT TIME ZONE 'UTC') AS local_ts, {_mins('m.start_time')} AS s, {_mins('m.end_time')} AS e
+  FROM manual m LEFT JOIN pg_timezone_names() z ON m.timezone = z.name CROSS JOIN wk
+  WHERE NOT starts_with(m.name, 'ai-') AND m.has_interval AND {_ok('m.start_time')} AND {_ok('m.end_time')}),
+mmin AS (
+  SELECT namespace, deployment, name, ts FROM (SELECT *, hour(local_ts) * 60 + minute(local_ts) AS cur FROM mloc)
+  WHERE {_IN} AND CASE WHEN coalesce(recurring, '') <> '' THEN list_contains({_codes('recurring')}, {_DAY.format('local_ts')})
+                       ELSE coalesce(ts > try_strptime(start_date, '%Y-%m-%d') AND ts < try_strptime(end_date, '%Y-%m-%d'), false) END),
 hits AS (
-  SELECT g.namespace, g.deployment, g.name, m.m_name,
-         coalesce(list_has_any(g.g_hours, m.m_hours), false)
-           AND coalesce(list_has_any(g.g_days, m.m_days), m.m_days IS NULL) AS hit
-  FROM gh g LEFT JOIN mh m ON g.namespace = m.namespace AND g.deployment = m.deployment),
+  SELECT g.namespace, g.deployment, g.name, m.name AS m_name, count(*) AS minutes
+  FROM gmin g JOIN mmin m ON g.namespace = m.namespace AND g.deployment = m.deployment AND g.ts = m.ts GROUP BY ALL),
 ovl AS (
-  SELECT namespace, deployment, name, coalesce(bool_or(coalesce(hit, false)), false) AS suppressed,
-         min(m_name) FILTER (WHERE hit) AS blocked_by
-  FROM hits GROUP BY ALL)"""
+  SELECT g.namespace, g.deployment, g.name, coalesce(bool_or(h.minutes >= 60), false) AS suppressed,
+         min(h.m_name) FILTER (WHERE h.minutes >= 60) AS blocked_by
+  FROM (SELECT DISTINCT namespace, deployment, name FROM gen) g
+  LEFT JOIN hits h ON g.namespace = h.namespace AND g.deployment = h.deployment AND g.name = h.name GROUP BY ALL)"""
 
 _reg("data_gate", f"""WITH {PLANNED}
 SELECT namespace, deployment, CAST(count(*) AS BIGINT) AS hourly_points, count(*) >= 72 AS sufficient,

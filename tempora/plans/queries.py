@@ -27,10 +27,13 @@ from tempora.sources import events as E
 from tempora.sources import matrix as MX
 from tempora.sources import policies as PO
 from tempora.sources import sinks as SK
+from tempora.streaming import histograms as H
 from tempora.streaming import jobs as J
 
 AS_OF = "2024-01-28 00:00:00"  # the instant that lookback windows end at; inside the events' month
 
+WEEK = "2024-01-22"  # the Monday of the week that ends with AS_OF, in which windows are compared
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -137,11 +140,14 @@ def v2_triggers_wrap_aware(spark, sf_dir):
     return portable(G.v2_triggers(pats, stats, cfg))
 
 
+LOOKBACK = 30  # days of the miners
+
+
 @query("v2_default_triggers")
 def v2_default_triggers(spark, sf_dir):
-    """Defaults of the workloads without an accepted pattern. The roster is every workload of the
-    table; patterns and statistics come from the last two days, so some have no data at all."""
-    rs = _cut(E.replica_samples(spark, sf_dir, as_of=AS_OF, days=2))
+    """Defaults of the workloads without an accepted pattern in the miner's 30 days. The roster is
+    every workload of the table, so some may have no data at all."""
+    rs = _cut(E.replica_samples(spark, sf_dir, as_of=AS_OF, days=LOOKBACK))
     c = _cut(P.clean(rs))
     stats = P.workload_stats(c)
     pats = D.detect(P.hourly_profile(c), stats, P.daily_means(P.daily_profile(c)), spark)
@@ -375,10 +381,12 @@ def v1_triggers(spark, sf_dir):
 
 @query("v1_default_triggers")
 def v1_default_triggers(spark, sf_dir):
-    """Workloads whose mining yields no triggers get the default; here every workload without a CPU
-    sample in the last two days is one (the roster is the whole table)."""
-    has_cpu = E.samples(spark, sf_dir, ["cpu"], as_of=AS_OF, days=2).select(*WL).distinct()
-    return portable(G.v1_default_triggers(_samples(spark, sf_dir).select(*WL), has_cpu))
+    """Defaults of the workloads without a mined trigger: those without a pattern, and those that
+    have no CPU sample in the miner's 30 days (the roster is the whole table)."""
+    has_cpu = E.samples(spark, sf_dir, ["cpu"], as_of=AS_OF, days=LOOKBACK).select(*WL).distinct()
+    mined = G.v1_triggers(_cut(K.merge_patterns(_fixed_patterns(_features(spark, sf_dir)))))
+    kept = mined.join(has_cpu, WL, "left_semi")
+    return portable(G.v1_default_triggers(_samples(spark, sf_dir).select(*WL), kept))
 
 
 # ---------------------------------------------------------------------------
@@ -517,14 +525,14 @@ def _ai_and_manual(spark, sf_dir):
 @query("manual_overlap")
 def manual_overlap(spark, sf_dir):
     _, _, gen, manual = _ai_and_manual(spark, sf_dir)
-    return portable(PL.manual_overlap(gen, manual))
+    return portable(PL.manual_overlap(gen, manual, spark, WEEK))
 
 
 def _deviation_inputs(spark, sf_dir):
     """Replica samples, the active trigger per instant (generated ``ai-`` and manual triggers
     of each workload) and the bounds of the unsuppressed generated triggers."""
     rs, wls, gen, manual = _ai_and_manual(spark, sf_dir)
-    keep = PL.manual_overlap(gen, manual).where(~F.col("suppressed")).select(*WL, "name")
+    keep = PL.manual_overlap(gen, manual, spark, WEEK).where(~F.col("suppressed")).select(*WL, "name")
     ai = gen.join(keep, WL + ["name"])
     pol = PO.policies(wls).drop("set_id")
     ai_flat = (ai.join(pol, WL)
@@ -729,6 +737,18 @@ def stream_profile(spark, sf_dir):
     return portable(J.read_profile(spark, f"{base}/compact", as_of=AS_OF[:10], days=14))
 
 
+@query("stream_v2_triggers")
+def stream_v2_triggers(spark, sf_dir):
+    """R2 to the triggers: the streamed value histogram, compacted to the two weeks that end with the
+    day before AS_OF, and the triggers mined from it."""
+    rs, base = _cut(E.replica_samples(spark, sf_dir)), shared_folder(spark, "histogram")
+    source = _source(rs, f"{base}/in")
+    _advance(_slices(rs), f"{base}/in", lambda: H.histogram_refresh(source, f"{base}/state", f"{base}/log"))
+    H.compact_histogram(spark, f"{base}/state", f"{base}/compact", as_of="2024-01-27", days=13)
+    counts = _cut(H.merge_counts(spark.read.parquet(f"{base}/compact")))
+    return portable(H.triggers_of_counts(counts, spark))
+
+
 def _arrays(spark, sf_dir):
     _, _, trig = _schedule_inputs(spark, sf_dir)
     return _cut(S.trigger_arrays(trig, spark))

@@ -61,14 +61,34 @@ def test_empty_input(spark):
     assert PL.data_gate(pts).count() == 0 and PL.peak_windows(pts).count() == 0
 
 
-def test_manual_overlap_suppresses_by_hour_and_day(spark):
-    gen = spark.createDataFrame(
-        [("n", "d", "ai-peak-daily-09-17", "M,TU,W,TH,F,SAT,SUN", "09:00:00", "17:00:00"),
-         ("n", "d", "ai-peak-weekend-20-22", "SAT,SUN", "20:00:00", "22:00:00")],
-        "namespace string, deployment string, name string, recurring string, start_time string, end_time string")
-    manual = triggers_frame(spark, [
-        {"name": "business", "recurring": "M,TU,W,TH,F", "start_time": "16:30:00", "end_time": "18:00:00"},
-        {"name": "ai-old", "recurring": "SAT,SUN", "start_time": "20:00:00", "end_time": "21:00:00"}],
-        namespace="n", deployment="d")
-    got = {r["name"]: (r["suppressed"], r["blocked_by"]) for r in PL.manual_overlap(gen, manual).collect()}
+def overlap(spark, gen, manual):
+    g = spark.createDataFrame([("n", "d", *x) for x in gen], "namespace string, deployment string, name string, recurring string, start_time string, end_time string")
+    m = triggers_frame(spark, manual, namespace="n", deployment="d")
+    return {r["name"]: (r["suppressed"], r["blocked_by"]) for r in PL.manual_overlap(g, m, spark, "2024-01-22").collect()}
+
+
+ALL_DAYS = "M,TU,W,TH,F,SAT,SUN"
+
+
+def test_manual_overlap_suppresses_by_shared_minutes(spark):
+    got = overlap(spark, [("ai-peak-daily-09-17", ALL_DAYS, "09:00:00", "17:00:00"), ("ai-peak-weekend-20-22", "SAT,SUN", "20:00:00", "22:00:00")],
+                  [{"name": "business", "recurring": "M,TU,W,TH,F", "start_time": "16:30:00", "end_time": "18:00:00"},
+                   {"name": "ai-old", "recurring": "SAT,SUN", "start_time": "20:00:00", "end_time": "21:00:00"}])
     assert got == {"ai-peak-daily-09-17": (True, "business"), "ai-peak-weekend-20-22": (False, None)}
+
+
+def test_manual_overlap_by_zone_wrap_dates_and_an_hour(spark):
+    day = [("ai-day", ALL_DAYS, "09:00:00", "11:00:00")]
+    window = lambda **k: [{"name": "m", "recurring": ALL_DAYS, "start_time": "09:00:00", "end_time": "11:00:00", **k}]
+    assert overlap(spark, day, window())["ai-day"] == (True, "m")
+    assert overlap(spark, day, window(timezone="Asia/Tokyo"))["ai-day"] == (False, None)  # 00:00 to 02:00 UTC
+    assert overlap(spark, day, window(timezone="Asia/Tokyo", start_time="18:00:00", end_time="19:00:00"))["ai-day"] == (True, "m")
+    assert overlap(spark, day, window(start_time="10:55:00"))["ai-day"] == (False, None)  # 5 minutes a day
+    assert overlap(spark, day, window(recurring="M", start_time="10:01:00"))["ai-day"] == (False, None)
+    assert overlap(spark, day, window(recurring="M", start_time="10:00:00"))["ai-day"] == (True, "m")
+    assert overlap(spark, day, window(start_time="23:00:00", end_time="09:30:00", recurring="TU"))["ai-day"] == (False, None)
+    assert overlap(spark, day, window(start_time="23:00:00", end_time="10:00:00", recurring="TU"))["ai-day"] == (True, "m")
+    assert overlap(spark, day, window(recurring=None, start_date="2024-01-25", end_date="2024-01-26"))["ai-day"] == (True, "m")
+    assert overlap(spark, day, window(recurring=None, start_date="2024-02-25", end_date="2024-02-26"))["ai-day"] == (False, None)
+    assert overlap(spark, day, window(has_interval=False))["ai-day"] == (False, None)
+    assert overlap(spark, day, window(start_time="soon"))["ai-day"] == (False, None)

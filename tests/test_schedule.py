@@ -311,3 +311,75 @@ def test_instants_without_live_triggers_stay(spark):
     r = S.effective_bounds(at, t, hpa, spark).first()
     assert (r["source"], r["min_replicas"], r["error"]) == ("none", None, "no policy")
     assert S.active_trigger(S.window_state(at, t, spark), at).first()["n_within"] == 0
+
+
+def dated(name, priority, start, end, first, last, days=("2024-03-18", "2024-03-24")):
+    return window(name, priority, start, end, first, last) | {"recurring": None, "start_date": days[0], "end_date": days[1]}
+
+
+@pytest.mark.parametrize("priority, applied", [(10, "special"), (30, None)])
+def test_a_dated_trigger_takes_over_at_an_end(spark, priority, applied):
+    rows = [window("daily", 20, "09:00", "15:00", (2, 6), (1, 2)), dated("special", priority, "08:00", "20:00", (4, 9), (1, 3))]
+    at_end = [x for x in replay(spark, rows) if x[0] == "15:00"]
+    assert [x[1:4] for x in at_end] == [("daily", "end", applied)]
+    assert at_end[0][4:] == ((4, 9) if applied else at_end[0][4:]) and replay(spark, rows)[-1] == ("20:00", "special", "end", "special", 1, 3)
+
+
+def test_a_dated_trigger_runs_daily_outside_its_dates_too(spark):
+    """Its clock jobs have no date; only its state, and so others' priority, has."""
+    rows = [dated("special", 30, "08:00", "20:00", (4, 9), (1, 3), ("2024-05-01", "2024-05-09")), window("daily", 20, "09:00", "15:00", (2, 6), (1, 2))]
+    assert replay(spark, rows) == [("08:00", "special", "start", "special", 4, 9), ("09:00", "daily", "start", "daily", 2, 6),
+                                   ("15:00", "daily", "end", "daily", 1, 2), ("20:00", "special", "end", "special", 1, 3)]
+
+
+def test_refresh_at_midnight(spark):
+    """At 00:00 the states are set up anew: the overnight window of the top priority applies again; with
+    none Within, all that are After by their own zone apply their ends in order of priority."""
+    night = window("night", 40, "22:00", "06:00", (3, 7), (1, 4))
+    assert replay(spark, [night])[0] == ("00:00", "night", "refresh", "night", 3, 7)
+    tokyo = [window("a", 20, "01:00", "05:00", (2, 3), (2, 8)) | {"timezone": "Asia/Tokyo"},
+             window("b", 10, "02:00", "08:00", (2, 3), (1, 6)) | {"timezone": "Asia/Tokyo"}]  # 09:00 there at 00:00 UTC
+    assert [x for x in replay(spark, tokyo) if x[2] == "refresh"] == [("00:00", "a", "refresh", "a", 2, 8), ("00:00", "b", "refresh", "b", 1, 6)]
+
+
+def test_unknown_days_run_daily(spark):
+    row = window("odd", 10, "09:00", "10:00", (2, 3), (1, 2)) | {"recurring": "XX"}
+    assert [x[2] for x in replay(spark, [row])] == ["start", "end"]
+
+
+def test_rejected_updates_say_why(spark):
+    rows = [window("neg", 10, "08:00", "09:00", (-1, 8), None), window("zero", 10, "10:00", "11:00", (1, 0), None),
+            window("crossed", 10, "12:00", "13:00", (9, 2), None), window("high", 10, "14:00", "15:00", (7, None), (0, 6))]
+    t = triggers_frame(spark, rows)
+    d = datetime(2024, 3, 20)
+    span = spark.createDataFrame([("default", "app", d, d.replace(hour=23))], "namespace string, deployment string, t0 timestamp, t1 timestamp")
+    hpa = spark.createDataFrame([("default", "app-hpa", 1, 5)], "namespace string, name string, min_replicas int, max_replicas int")
+    out = S.rejected_updates(S.bounds_replay(S.trigger_events(t, span, spark), hpa)).orderBy("event").collect()
+    assert [(r["name"], r["kind"], r["reason"], r["min_replicas"], r["max_replicas"]) for r in out] == [
+        ("neg", "start", "minReplicas cannot be negative", 1, 5), ("zero", "start", "maxReplicas must be greater than 0", 1, 5),
+        ("crossed", "start", "minReplicas (9) cannot be greater than maxReplicas (2)", 1, 5),
+        ("high", "start", "minReplicas (7) cannot be greater than maxReplicas (5)", 1, 5)]
+
+
+@pytest.mark.parametrize("zone, day", [("America/New_York", "2024-03-10"), ("America/New_York", "2024-11-03"), ("Australia/Lord_Howe", "2024-04-07"), ("UTC", "2024-03-10")])
+def test_winners_by_interval_equal_winners_of_each_minute(spark, zone, day):
+    """Every minute of three days around a shifted clock, windows that begin inside the shift included."""
+    rows = [{"name": "a", "priority": 10, "timezone": zone, "recurring": "SAT,SUN,M", "start_time": "01:30:00", "end_time": "02:30:00"},
+            {"name": "b", "priority": 20, "timezone": zone, "recurring": "SUN", "start_time": "02:10:00", "end_time": "23:50:00"},
+            {"name": "c", "priority": 5, "timezone": zone, "recurring": "SAT,SUN", "start_time": "23:00:00", "end_time": "01:45:00"},
+            {"name": "d", "priority": 30, "timezone": zone, "start_date": day, "end_date": "2024-12-01", "start_time": "12:00:00", "end_time": "12:20:00"}]
+    t = triggers_frame(spark, rows)
+    d = datetime.fromisoformat(day)
+    inst = spark.range(3 * 1440).selectExpr("'default' namespace", "'app' deployment", f"timestamp'{day}' + make_interval(0,0,0,-1,0,cast(id as int),30) ts")
+    span = inst.groupBy("namespace", "deployment").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    got = S.by_interval(inst, S.winner_changes(t, span, spark), ["namespace", "deployment"], ["active_name"])
+    want = S.active_trigger(S.window_state(inst, t, spark), inst)
+    assert {r["ts"]: r["active_name"] for r in got.collect()} == {r["ts"]: r["active_name"] for r in want.collect()}
+
+
+def test_by_interval_before_the_first_change_and_on_it(spark):
+    c = spark.createDataFrame([("k", datetime(2024, 1, 2), "x"), ("k", datetime(2024, 1, 4, 12), "y")], "key string, from_ts timestamp, v string")
+    at = [datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 4, 11, 59), datetime(2024, 1, 4, 12), datetime(2024, 2, 9)]
+    i = spark.createDataFrame([(k, t) for t in at for k in ("k", "other")], "key string, ts timestamp")
+    got = {(r["key"], r["ts"]): r["v"] for r in S.by_interval(i, c, ["key"], ["v"]).collect()}
+    assert [got["k", t] for t in at] == [None, "x", "x", "y", "y"] and all(got["other", t] is None for t in at)
