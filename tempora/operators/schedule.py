@@ -268,7 +268,7 @@ def boundary_instants(triggers: DataFrame, span: DataFrame, spark: SparkSession)
 
     ``span`` has one row per workload with ``t0``/``t1`` (the instants to cover). These are the
     span's start; the start, the end and the midnight of every local day of each trigger, by its
-    zone; the quarters of days on which a trigger's zone shifts its clock; and the first second in
+    zone; the minutes of days on which a trigger's zone shifts its clock; and the first second in
     and after a date range. Work grows with triggers x days.
     """
     t = prepare_triggers(triggers, spark).where(F.col("_err").isNull()).join(span, WL)
@@ -280,14 +280,14 @@ def boundary_instants(triggers: DataFrame, span: DataFrame, spark: SparkSession)
 
 
 def _shift_ticks(t: DataFrame) -> DataFrame:
-    """Every quarter of an hour of the UTC days on which a zone's clock is shifted: minutes of the day
-    then come twice or not at all, at one of these instants."""
+    """Every minute of the UTC days on which a zone's clock is shifted: minutes of the day then come
+    twice or not at all."""
     midnight = F.explode(F.sequence(F.date_trunc("day", F.col("t0")) - F.expr("INTERVAL 1 DAY"), F.col("t1"), F.expr("INTERVAL 1 DAY")))
     d = t.select(*WL, "t0", "t1", "zone").distinct().select("*", midnight.alias("day"))
     ahead = lambda at: F.unix_seconds(F.from_utc_timestamp(at, F.col("zone"))) - F.unix_seconds(at)
     shifted = d.where(ahead(F.col("day")) != ahead(F.col("day") + F.expr("INTERVAL 1 DAY")))
-    quarter = F.explode(F.sequence(F.lit(0), F.lit(95)))
-    return (shifted.select("*", quarter.alias("q")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("day") + F.col("q") * 900))
+    minute = F.explode(F.sequence(F.lit(0), F.lit(1439)))
+    return (shifted.select("*", minute.alias("m")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("day") + F.col("m") * 60))
             .where(F.col("ts").between(F.col("t0"), F.col("t1"))).select(*WL, "ts"))
 
 
