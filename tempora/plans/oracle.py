@@ -228,6 +228,8 @@ SELECT namespace, deployment, CAST(dow AS BIGINT) AS dow, CAST(hour AS BIGINT) A
        CAST(n AS BIGINT) AS count
 FROM hp""")
 
+_reg("profile_csv", ORACLE["hourly_profile"])
+
 _reg("daily_profile", f"""WITH {PROFILE}
 SELECT namespace, deployment, CAST(dow AS BIGINT) AS dow, round(avg, 6) AS avg, round(mx, 6) AS max,
        round(mn, 6) AS min
@@ -708,6 +710,23 @@ FROM fb GROUP BY ALL""")
 _reg("counter_rate_sum", f"""WITH {_samples_cte()}
 SELECT namespace, deployment, pod, container, {BK}, round(value, 6) AS value FROM cpu_pod""")
 
+# a pair counts in every range that holds its later sample's bucket
+_reg("counter_rate_sliding", f"""WITH {_samples_cte()},
+pr AS (
+  SELECT *, time_bucket(INTERVAL '5 minutes', ts) AS bucket, t0 IS NOT NULL AND ts - t0 <= INTERVAL 30 MINUTE AS pair
+  FROM c0),
+per AS (
+  SELECT namespace, deployment, pod, container, series_id, bucket, count(*) FILTER (WHERE pair) AS n,
+         sum(CASE WHEN value >= v0 THEN value - v0 ELSE value END) FILTER (WHERE pair) AS inc,
+         sum(epoch_us(ts) - epoch_us(t0)) FILTER (WHERE pair) AS us
+  FROM pr GROUP BY ALL),
+wide AS (
+  SELECT a.namespace, a.deployment, a.pod, a.container, a.series_id, a.bucket, sum(b.n) AS n, sum(b.inc) AS inc, sum(b.us) AS us
+  FROM per a JOIN per b ON a.series_id = b.series_id AND b.bucket <= a.bucket AND b.bucket > a.bucket - INTERVAL 30 MINUTE
+  GROUP BY ALL)
+SELECT namespace, deployment, pod, container, {BK}, round(sum(inc / (us / 1e6)), 6) AS value
+FROM wide WHERE n > 0 AND us > 0 GROUP BY namespace, deployment, pod, container, bucket""")
+
 _reg("memory_sum_by_pod", f"""WITH {_samples_cte()}
 SELECT namespace, deployment, pod, container, {BK}, round(value, 6) AS value FROM mem_pod""")
 
@@ -865,6 +884,9 @@ SELECT namespace, deployment, {_PATTERN_OUT} FROM merged_p""")
 _reg("v1_triggers_fixed", _v1_triggers_sql(f"{_assign_cte()},\n{_REFINED}{_MERGED}"))
 
 
+_reg("v1_triggers_most_confident", ORACLE["v1_triggers_fixed"].replace("n > 10 THEN c", "n > 2 THEN c").replace("n <= 10 OR c < 10", "n <= 2 OR c < 2"))
+
+
 def _dist(a: str, b: str) -> str:
     return " + ".join(f"({a}[{n}] - {b}[{n}]) * ({a}[{n}] - {b}[{n}])" for n in range(1, 6))
 
@@ -897,17 +919,17 @@ start AS (
   SELECT ks.namespace, ks.deployment, ks.k, list({{'lab': s.step, 'c': s.seed}} ORDER BY s.step) AS cs
   FROM ks JOIN seeds s ON ks.namespace = s.namespace AND ks.deployment = s.deployment AND s.step < ks.k GROUP BY ALL),
 lk AS (
-  SELECT c.namespace, c.deployment, s.k, 0 AS iter, c.i, c.z, {nearest.format('s.cs', 'c.z')} AS lab
+  SELECT c.namespace, c.deployment, s.k, 0 AS iter, c.i, c.z, {nearest.format('s.cs', 'c.z')} AS lab, CAST(NULL AS INTEGER) AS prev
   FROM cells c JOIN start s ON c.namespace = s.namespace AND c.deployment = s.deployment
   UNION ALL
-  SELECT l.namespace, l.deployment, l.k, l.iter + 1, l.i, l.z, {nearest.format('q.cs', 'l.z')}
+  SELECT l.namespace, l.deployment, l.k, l.iter + 1, l.i, l.z, {nearest.format('q.cs', 'l.z')}, l.lab
   FROM lk l JOIN (
-    SELECT namespace, deployment, k, list({{'lab': lab, 'c': c}} ORDER BY lab) AS cs
-    FROM (SELECT namespace, deployment, k, lab, [{cent}] AS c FROM lk GROUP BY namespace, deployment, k, lab)
+    SELECT namespace, deployment, k, list({{'lab': lab, 'c': c}} ORDER BY lab) AS cs, bool_or(moved) AS moved
+    FROM (SELECT namespace, deployment, k, lab, [{cent}] AS c, bool_or(lab IS DISTINCT FROM prev) AS moved FROM lk GROUP BY namespace, deployment, k, lab)
     GROUP BY namespace, deployment, k) q
     ON l.namespace = q.namespace AND l.deployment = q.deployment AND l.k = q.k
-  WHERE l.iter < 20),
-fit AS (SELECT * FROM lk WHERE iter = 20),
+  WHERE q.moved AND l.iter < 300),
+fit AS (SELECT * FROM lk QUALIFY iter = max(iter) OVER (PARTITION BY namespace, deployment, k)),
 pd AS (
   SELECT a.namespace, a.deployment, a.i, b.i AS o, sqrt({_dist('a.z', 'b.z')}) AS d
   FROM cells a JOIN cells b ON a.namespace = b.namespace AND a.deployment = b.deployment AND a.i <> b.i),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.config import WL, DetectConfig, ProfileConfig
+from tempora.config import WL, AnalysisConfig, DetectConfig, ProfileConfig
 from tempora.operators import cluster as K
 from tempora.operators import detect as D
 from tempora.operators import planned as PL
@@ -292,6 +292,13 @@ def counter_rate_sum(spark, sf_dir):
     return portable(R.sum_by_pod(rate, "rate"))
 
 
+@query("counter_rate_sliding")
+def counter_rate_sliding(spark, sf_dir):
+    """Rates over half an hour at every five minutes, summed by pod."""
+    rate = R.sliding_rate(R.best_source(R.counter_buckets(E.samples(spark, sf_dir, ["cpu"]))), 5, 30)
+    return portable(R.sum_by_pod(rate, "rate"))
+
+
 @query("memory_sum_by_pod")
 def memory_sum_by_pod(spark, sf_dir):
     return portable(R.sum_by_pod(R.best_source(R.resample(E.samples(spark, sf_dir, ["memory"])))))
@@ -652,6 +659,23 @@ def rejected_updates(spark, sf_dir):
     return portable(_nullable_as_double(out, "min_replicas", "max_replicas"))
 
 
+@query("v1_triggers_most_confident")
+def v1_triggers_most_confident(spark, sf_dir):
+    """Triggers where workloads have more patterns than triggers are allowed: the two most confident."""
+    cfg = AnalysisConfig(max_triggers=2)
+    f = _features(spark, sf_dir)
+    mined = G.v1_triggers(_cut(K.merge_patterns(_fixed_patterns(f))), cfg)
+    return portable(mined.unionByName(G.v1_default_triggers(f.select(*WL), mined, cfg)))
+
+
+@query("profile_csv")
+def profile_csv(spark, sf_dir):
+    """The hourly profile written as CSV files in the shared folder and read back."""
+    profile, path = P.hourly_profile(_clean(spark, sf_dir)), shared_folder(spark, "csv")
+    SK.write_csv(profile, path)
+    return portable(spark.read.schema(profile.schema).option("header", True).csv(path))
+
+
 @query("merged_patterns_fixed")
 def merged_patterns_fixed(spark, sf_dir):
     """The chain after fixed labels: patterns, refinement and merge."""

@@ -169,3 +169,33 @@ def test_checkpoint_folder_is_shared_and_released(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="shared folder"):
         SE.checkpoint_dir(Cluster)
+
+
+def test_sliding_rate_folds_buckets(spark):
+    """Against all pairs of consecutive samples, at every range; a range of one step is the plain rate."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    t, v, rows = 0, 0.0, []
+    for _ in range(300):
+        t += int(rng.choice([20, 60, 200, 700, 3000]))
+        v = float(rng.integers(5)) if rng.random() < 0.05 else v + float(rng.integers(50))
+        rows.append((t, v))
+    start = datetime(2024, 1, 1)
+    labels = {"namespace": "n", "deployment": "d", "metric_type": "cpu", "src_rank": 0, "pod": "p", "container": "c", "series_id": "s"}
+    df = spark.createDataFrame([(*labels.values(), start + timedelta(seconds=x), y) for x, y in rows],
+                               "namespace string, deployment string, metric_type string, src_rank int, pod string, container string, series_id string, ts timestamp, value double")
+    buckets = R.counter_buckets(df)
+    plain = {r["bucket"]: r["rate"] for r in R.counter_rate(buckets).collect()}
+    assert {r["bucket"]: r["rate"] for r in R.sliding_rate(buckets, 5, 5).collect()} == pytest.approx(plain)
+    for wide in (10, 60):
+        got = {r["bucket"]: r["rate"] for r in R.sliding_rate(buckets, 5, wide).collect()}
+        want = {}
+        for b in {x // 300 * 300 for x, _ in rows}:
+            pairs = [(x1 - x0, y1 - y0 if y1 >= y0 else y1) for (x0, y0), (x1, y1) in zip(rows, rows[1:])
+                     if b - wide * 60 < x1 // 300 * 300 <= b and x1 - x0 <= wide * 60]
+            if sum(s for s, _ in pairs):
+                want[start + timedelta(seconds=b)] = sum(i for _, i in pairs) / sum(s for s, _ in pairs)
+        assert got == pytest.approx(want)
+    with pytest.raises(ValueError):
+        R.sliding_rate(buckets, 5, 7)
