@@ -91,6 +91,7 @@ class AnalysisConfig:
     k_min: int = 2
     k_max: int = 8
     max_iter: int = 300
+    n_init: int = 10
     min_pattern_hours: float = 1.0
     min_support_rows: int = 10
     max_triggers: int = 10

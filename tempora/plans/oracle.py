@@ -891,8 +891,11 @@ def _dist(a: str, b: str) -> str:
     return " + ".join(f"({a}[{n}] - {b}[{n}]) * ({a}[{n}] - {b}[{n}])" for n in range(1, 6))
 
 
+GOLDEN = "0.6180339887498949::DOUBLE"  # its multiples modulo 1 are the draws of the restarts
+
+
 def _fit_cte() -> str:
-    """Best-k clustering: farthest-first seeds, Lloyd steps for every k, brute-force silhouettes."""
+    """Best-k clustering: ten starts (farthest-first, then drawn by squared distance), Lloyd steps for every k, brute-force silhouettes."""
     z = ", ".join(f"coalesce(round(z_{c}, 6), 0.0)" for c in _FEATURES)
     cent = ", ".join(f"round(avg(z[{n}]), 9)" for n in range(1, 6))
     nearest = (f"list_sort(list_transform({{0}}, lambda x: {{{{'d': {_dist('{1}', 'x.c')}, 'lab': x.lab}}}}))[1].lab")
@@ -903,33 +906,50 @@ cells0 AS (
   FROM zgrid),
 cells AS (SELECT * FROM cells0 WHERE n >= 3),
 sd AS (
-  SELECT c.namespace, c.deployment, 0 AS step, c.i, c.z, f.z AS seed, sqrt({_dist('c.z', 'f.z')}) AS near
-  FROM cells c JOIN cells f ON c.namespace = f.namespace AND c.deployment = f.deployment AND f.i = 0
+  SELECT c.namespace, c.deployment, r, 0 AS step, c.i, c.z, f.z AS seed,
+         CASE r WHEN 0 THEN sqrt({_dist('c.z', 'f.z')}) ELSE pow(sqrt({_dist('c.z', 'f.z')}), 2) END AS near
+  FROM cells c CROSS JOIN range(10) t(r) JOIN cells f ON c.namespace = f.namespace AND c.deployment = f.deployment
+   AND f.i = CASE r WHEN 0 THEN 0 ELSE CAST(floor(((r * 8) * {GOLDEN} % 1) * c.n) AS BIGINT) END
   UNION ALL
-  SELECT namespace, deployment, step + 1, i, z, nz, least(near, sqrt({_dist('z', 'nz')}))
-  FROM (SELECT *, first_value(z) OVER w AS nz, max(near) OVER (PARTITION BY namespace, deployment) AS far
-        FROM sd WINDOW w AS (PARTITION BY namespace, deployment ORDER BY near DESC, i)) q
+  SELECT namespace, deployment, r, step + 1, i, z, nz,
+         least(near, CASE r WHEN 0 THEN sqrt({_dist('z', 'nz')}) ELSE pow(sqrt({_dist('z', 'nz')}), 2) END)
+  FROM (SELECT *, any_value(z) FILTER (WHERE i = ni) OVER (PARTITION BY namespace, deployment, r) AS nz
+        FROM (SELECT *, CASE r WHEN 0 THEN first_value(i) OVER (PARTITION BY namespace, deployment, r ORDER BY near DESC, i)
+                          ELSE min(i) FILTER (WHERE near > 0 AND upto >= ((r * 8 + step + 1) * {GOLDEN} % 1) * total)
+                               OVER (PARTITION BY namespace, deployment, r) END AS ni
+              FROM (SELECT *, max(near) OVER p AS far, sum(near) OVER p AS total,
+                           sum(near) OVER (PARTITION BY namespace, deployment, r ORDER BY i) AS upto
+                    FROM sd WINDOW p AS (PARTITION BY namespace, deployment, r)) w0) w1) q
   WHERE step < 7 AND far > 0),
-seeds AS (SELECT DISTINCT namespace, deployment, step, seed FROM sd),
+seeds AS (SELECT DISTINCT namespace, deployment, r, step, seed FROM sd),
 most AS (
   SELECT c.namespace, c.deployment, least(8, any_value(c.n) - 1, max(s.step) + 1) AS k
-  FROM cells c JOIN seeds s ON c.namespace = s.namespace AND c.deployment = s.deployment GROUP BY ALL),
+  FROM cells c JOIN seeds s ON s.r = 0 AND c.namespace = s.namespace AND c.deployment = s.deployment GROUP BY ALL),
 ks AS (SELECT namespace, deployment, unnest(range(least(2, k), k + 1)) AS k FROM most),
 start AS (
-  SELECT ks.namespace, ks.deployment, ks.k, list({{'lab': s.step, 'c': s.seed}} ORDER BY s.step) AS cs
+  SELECT ks.namespace, ks.deployment, ks.k, s.r, list({{'lab': s.step, 'c': s.seed}} ORDER BY s.step) AS cs
   FROM ks JOIN seeds s ON ks.namespace = s.namespace AND ks.deployment = s.deployment AND s.step < ks.k GROUP BY ALL),
 lk AS (
-  SELECT c.namespace, c.deployment, s.k, 0 AS iter, c.i, c.z, {nearest.format('s.cs', 'c.z')} AS lab, CAST(NULL AS INTEGER) AS prev
+  SELECT c.namespace, c.deployment, s.k, s.r, 0 AS iter, c.i, c.z, {nearest.format('s.cs', 'c.z')} AS lab, CAST(NULL AS INTEGER) AS prev
   FROM cells c JOIN start s ON c.namespace = s.namespace AND c.deployment = s.deployment
   UNION ALL
-  SELECT l.namespace, l.deployment, l.k, l.iter + 1, l.i, l.z, {nearest.format('q.cs', 'l.z')}, l.lab
+  SELECT l.namespace, l.deployment, l.k, l.r, l.iter + 1, l.i, l.z, {nearest.format('q.cs', 'l.z')}, l.lab
   FROM lk l JOIN (
-    SELECT namespace, deployment, k, list({{'lab': lab, 'c': c}} ORDER BY lab) AS cs, bool_or(moved) AS moved
-    FROM (SELECT namespace, deployment, k, lab, [{cent}] AS c, bool_or(lab IS DISTINCT FROM prev) AS moved FROM lk GROUP BY namespace, deployment, k, lab)
-    GROUP BY namespace, deployment, k) q
-    ON l.namespace = q.namespace AND l.deployment = q.deployment AND l.k = q.k
+    SELECT namespace, deployment, k, r, list({{'lab': lab, 'c': c}} ORDER BY lab) AS cs, bool_or(moved) AS moved
+    FROM (SELECT namespace, deployment, k, r, lab, [{cent}] AS c, bool_or(lab IS DISTINCT FROM prev) AS moved
+          FROM lk GROUP BY namespace, deployment, k, r, lab)
+    GROUP BY namespace, deployment, k, r) q
+    ON l.namespace = q.namespace AND l.deployment = q.deployment AND l.k = q.k AND l.r = q.r
   WHERE q.moved AND l.iter < 300),
-fit AS (SELECT * FROM lk QUALIFY iter = max(iter) OVER (PARTITION BY namespace, deployment, k)),
+tried AS (SELECT * FROM lk QUALIFY iter = max(iter) OVER (PARTITION BY namespace, deployment, k, r)),
+inertia AS (
+  SELECT namespace, deployment, k, r, sum(e) AS e
+  FROM (SELECT namespace, deployment, k, r, lab, count(*) * ({" + ".join(f"var_pop(z[{n}])" for n in range(1, 6))}) AS e FROM tried GROUP BY ALL)
+  GROUP BY ALL),
+chosen AS (SELECT * FROM inertia QUALIFY row_number() OVER (PARTITION BY namespace, deployment, k ORDER BY round(e, 9), r) = 1),
+fit AS (
+  SELECT t.namespace, t.deployment, t.k, t.i, t.z, t.lab
+  FROM tried t JOIN chosen c ON t.namespace = c.namespace AND t.deployment = c.deployment AND t.k = c.k AND t.r = c.r),
 pd AS (
   SELECT a.namespace, a.deployment, a.i, b.i AS o, sqrt({_dist('a.z', 'b.z')}) AS d
   FROM cells a JOIN cells b ON a.namespace = b.namespace AND a.deployment = b.deployment AND a.i <> b.i),
