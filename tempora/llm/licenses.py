@@ -26,24 +26,79 @@ BASE = {
     "mit license": "mit",
 }
 
-# Wording of well-known licenses and notices, by label.
+# Wording of public licenses and notices, by label. Whole licenses and headers come
+# with all their mandatory words, so one that is changed or cut short is not accepted.
+_DISCLAIMED = (
+    "this software is provided by {owner:1-8} as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {owner:1-8} be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods "
+    "or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage")
+_REDISTRIBUTED = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+    "are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following "
+    "disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+    "disclaimer in the documentation and or other materials provided with the distribution")
+_NOTICE = (
+    "this {{work:1-4}} is free software you can redistribute it and or modify it under the terms of the gnu {0} public license as published "
+    "by the free software foundation either version {{number:1-2}} of the license or [[at your option]] any later version this {{work:1-4}} "
+    "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+    "fitness for a particular purpose see the gnu {0} public license for more details")
 TEMPLATES = {
     "agpl": "gnu affero general public license [[version 3]]",
+    "agpl-header": _NOTICE.format("affero general"),
     "all-rights-reserved": "[[copyright {holder:1-8}]] all rights reserved",
     "apache-2.0": "[[licensed under the]] apache license [[version]] 2 0",
-    "bsd": "redistribution and use in source and binary forms [[with or without modification]] are permitted",
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use {work:2-3} except in compliance with the license you may "
+        "obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed "
+        "to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    "bsd-2-clause": f"{_REDISTRIBUTED} {_DISCLAIMED}",
+    "bsd-3-clause": (
+        f"{_REDISTRIBUTED} [[3]] neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote "
+        f"products derived from this software without specific prior written permission {_DISCLAIMED}"),
     "cc-by-4.0": "cc by 4 0",
     "cc-by-nc-4.0": "[[licensed under]] cc by nc 4 0",
     "cc-by-sa-4.0": "[[licensed under]] cc by sa 4 0",
     "creative-commons": "creative commons attribution [[{terms:1-3}]] {version:1-2} [[international]] license",
     "gpl-2.0": "gnu general public license [[as published by the free software foundation]] [[either]] version 2",
     "gpl-3.0": "gnu general public license [[as published by the free software foundation]] [[either]] version 3",
+    "gpl-header": _NOTICE.format("general"),
+    "isc": (
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies the software is provided as is and {owner:1-8} "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall {owner:1-8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss "
+        "of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with "
+        "the use or performance of this software"),
     "lgpl": "gnu lesser general public license [[version {number:1-2}]]",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of {work:1-6} and associated documentation files",
+    "lgpl-header": _NOTICE.format("lesser general"),
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "[[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall "
+        "be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+        "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall {owner:2-8} be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     "mit-notice": "[[released]] under the mit license",
     "mpl-2.0": "mozilla public license [[version]] 2 0",
+    "mpl-2.0-header": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
+        "this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"),
     "public-domain": "[[released]] into the public domain",
     "spdx": "spdx license identifier {identifier:1-3}",
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will {owner:2-8} be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software "
+        "must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+        "acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly "
+        "marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from "
+        "any source distribution"),
 }
 
 # Words are runs of digits, ASCII letters and bytes from 0x80 on; everything else separates.

@@ -42,10 +42,15 @@ def brute(text):
                 base.add(label)
                 spans.append((i, i + len(p), label))
     for label, t in L.TEMPLATES.items():
-        parts = L.parse(t)
+        whole = pattern(L.parse(t))
+        some = re.compile(whole + "(?= |$)")
+        if not some.search(joined):
+            continue
         for i, a in enumerate(at):
+            if not some.match(joined, a):
+                continue
             ends = [j for j in range(i + 1, len(words) + 1)
-                    if re.fullmatch(pattern(parts), joined[a:at[j] if j < len(at) else len(joined)])]
+                    if re.fullmatch(whole, joined[a:at[j] if j < len(at) else len(joined)])]
             if ends:
                 spans.append((i, max(ends), label))
     covered = {k for i, j, _ in spans for k in range(i, j)}
@@ -113,3 +118,78 @@ def test_bad_markup():
             L.parse(t)
     with pytest.raises(ValueError):
         L.Scanner(["{v:1-2} a"])
+
+
+MIT = """Copyright (c) 2021 Jane Q. Public
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def labels_of(text):
+    s = L.Scanner(list(L.TEMPLATES.values()))
+    return {list(L.TEMPLATES)[n] for n, _, _ in s.matches(L.words_of(text.encode()))}
+
+
+def filled(template, options):
+    """The words of a template, with or without its optional parts, and one word more than the least for
+    each variable."""
+    out = []
+
+    def add(parts):
+        for p in parts:
+            if isinstance(p, bytes):
+                out.append(p.decode())
+            elif isinstance(p, tuple):
+                out.extend(f"name{i}" for i in range(min(p[0] + 1, p[1])))
+            elif options:
+                add(p)
+
+    add(L.parse(template))
+    return out
+
+
+def test_the_whole_license_is_accepted_and_a_clause_is_not():
+    assert "mit" in labels_of(MIT) and "mit" in labels_of("/* " + MIT.replace("\n", "\n * ") + " */")
+    assert "mit" in labels_of(MIT.replace("THE\nAUTHORS OR COPYRIGHT HOLDERS", "ACME WIDGETS INC."))
+    clause = MIT[MIT.index("Permission"):MIT.index("to deal")] + "to look at it on Tuesdays only; selling is forbidden."
+    assert labels_of(clause) == set()
+    for old, new in (("without restriction", "with restriction"), ("sublicense, ", ""), ("shall be included", "may be included"), ("NONINFRINGEMENT", "INFRINGEMENT")):
+        assert "mit" not in labels_of(MIT.replace(old, new)), old
+
+
+WHOLE = [n for n in L.TEMPLATES if n.endswith("header") or n in ("bsd-2-clause", "bsd-3-clause", "isc", "mit", "zlib")]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+@pytest.mark.parametrize("options", [True, False])
+def test_every_mandatory_word_counts(name, options):
+    words = filled(L.TEMPLATES[name], options)
+    s = L.Scanner([L.TEMPLATES[name]])
+    run = lambda w: any(j - i >= len(w) - 1 for _, i, j in s.matches([x.encode() for x in w]))
+    assert run(words) and len(words) > 30
+    fixed = [i for i, w in enumerate(filled(L.TEMPLATES[name], False)) if not w.startswith("name")]
+    least = filled(L.TEMPLATES[name], False)
+    for i in fixed:
+        assert not run([*least[:i], "misprint", *least[i + 1:]]), least[i]
+    assert not run(least[:-5])
+
+
+def test_two_clauses_are_not_three():
+    two, three = (" ".join(filled(L.TEMPLATES[n], True)) for n in ("bsd-2-clause", "bsd-3-clause"))
+    assert labels_of(two) == {"bsd-2-clause"} and labels_of(three) == {"bsd-3-clause"}

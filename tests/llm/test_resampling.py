@@ -139,3 +139,74 @@ def test_edge_cases(spark):
     assert R.kept(docs, labels.limit(0)).count() == 6  # no model: every weight is 0, nothing is rejected
     assert R.kept(docs.limit(0), labels).count() == 0 and R.resample(docs.limit(0), labels).count() == 0
     assert R.scores(docs, R.Model(np.zeros(1 << 16), 0.0)).where(F.col("log_weight") != 0).count() == 0
+
+
+def test_who_stays_equals_plain_python(spark):
+    """The whole query restated over dictionaries, but for the choice of the labelled halves: models,
+    weights, marks of toxic text, both cuts, noise and the size of the sample."""
+    from collections import Counter
+    from math import log
+
+    import xxhash
+
+    docs, labels = tables(spark, "/root/testdata/sf0.001")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    good = {r.doc_id: r.kind for r in R.labelled_sample(labels).collect()}
+    tox = {r.doc_id: r.kind for r in R.toxic_sample(labels).collect()}
+    hashes = {}
+
+    def wide(text):
+        """64-bit hashes of words and pairs."""
+        out = []
+        for g in plain_grams(text):
+            if g not in hashes:
+                h = [token_hashes(w.encode(), byte_classes())[0] for w in g]
+                hashes[g] = int((h[0] if len(h) == 1 else R.combine(*h))[0])
+            out.append(hashes[g])
+        return out
+
+    grams = {d: wide(t) for d, t in rows.items()}
+    raw, target = Counter(), Counter()
+    for d, g in grams.items():
+        raw.update(x >> 48 for x in g)
+        if good.get(d) == 1:
+            target.update(x >> 48 for x in g)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: log(target[b] + 1) - log(raw[b] * scale + 1)
+    weight = {d: sum(ratio(x >> 48) for x in g) for d, g in grams.items()}
+
+    def cut_between(high, low):
+        best, where = 0.0, -np.inf
+        values = sorted({*high, *low})
+        for a, b in zip([None, *values], [*values, None]):
+            t = -np.inf if a is None else np.inf if b is None else (a + b) / 2
+            gain = sum(x >= t for x in high) / len(high) + sum(x < t for x in low) / len(low)
+            if gain > best + 1e-12:
+                best, where = gain, t
+        return where
+
+    cut = cut_between([weight[d] for d in rows if good.get(d) == 2], [weight[d] for d in rows if good.get(d) == 0])
+    own = {d: {x >> 44 for x in g} for d, g in grams.items()}
+    n = {k: sum(tox.get(d) == k for d in rows) for k in (1, 3)}
+    seen = {k: Counter(b for d in rows if tox.get(d) == k for b in own[d]) for k in (1, 3)}
+    marks = {}
+    for b in seen[3]:
+        share = (seen[3][b] + seen[1][b]) / (n[1] + n[3])
+        spread = (share * (1 - share) * n[1] * n[3] / (n[1] + n[3])) ** 0.5
+        r = log(seen[3][b] + 1) - log(seen[1][b] * n[3] / n[1] + 1)
+        if seen[3][b] - n[3] * share > R.SIGNIFICANT * spread and r > 0:
+            marks[b] = r
+    sums = {d: sum(marks.get(b, 0.0) for b in s) for d, s in own.items()}
+    high, low = ([sums[d] for d in rows if tox.get(d) == k] for k in (4, 2))
+    limit = cut_between(high, low) if marks and high and low else np.inf
+    limit = limit if limit > 0 else np.inf
+
+    def noise(d):
+        u = xxhash.xxh64_intdigest(rows[d].encode(), (7 + d) % (1 << 64))
+        return -log(-log((u + 0.5) / 2.0 ** 64 * (1 - 1e-12)))
+
+    able = {d: weight[d] + noise(d) for d in rows if sums[d] < limit}
+    k = sum(weight[d] >= cut for d in able)
+    want = set(sorted(able, key=able.get, reverse=True)[:k])
+    got = {r.doc_id for r in REGISTRY["op4_importance_resampling"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and 0 < len(got) < len(rows)
