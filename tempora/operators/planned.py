@@ -141,7 +141,7 @@ def manual_overlap(generated: DataFrame, manual: DataFrame, spark: SparkSession,
     its own zone, days and dates (no zone is UTC). A manual trigger without an interval or with an
     invalid clock is never Within and suppresses nothing."""
     def minutes(triggers: DataFrame) -> DataFrame:
-        absent = {c: F.lit(v).cast(k) for c, v, k in (("timezone", "UTC", "string"), ("has_interval", True, "boolean"), ("start_date", None, "string"),
+        absent = {c: F.lit(v).cast(k) for c, v, k in (("has_interval", True, "boolean"), ("start_date", None, "string"),
                                                       ("end_date", None, "string")) if c not in triggers.columns}
         t = prepare_triggers(triggers.withColumns(absent), spark)
         return t.select(*WL, "name", week_intervals(t, week).alias("at"))

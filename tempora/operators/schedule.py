@@ -24,9 +24,10 @@ STATE_UNKNOWN, STATE_BEFORE, STATE_WITHIN, STATE_AFTER = "Unknown", "Before", "W
 
 
 def prepare_triggers(triggers: DataFrame, spark: SparkSession) -> DataFrame:
-    """Per-trigger constants computed once on the (small) trigger table: resolved zone,
-    start/end minutes, time-text error, recurrence codes and the date range as instants."""
-    t = C.with_zone(triggers, spark, "timezone", "zone")
+    """Per-trigger constants computed once on the (small) trigger table: resolved zone (UTC without
+    a ``timezone`` column), start/end minutes, time-text error, recurrence codes and the date
+    range as instants."""
+    t = C.with_zone(triggers, spark, "timezone", "zone") if "timezone" in triggers.columns else triggers.withColumn("zone", F.lit("UTC"))
     rec = F.coalesce(F.col("recurring"), F.lit(""))
     sd, ed = F.coalesce(F.col("start_date"), F.lit("")), F.coalesce(F.col("end_date"), F.lit(""))
     err = (F.when(~C.clock_ok(F.col("start_time")), F.lit(START_ERROR))
@@ -312,9 +313,9 @@ def by_interval(instants: DataFrame, changes: DataFrame, keys: list[str], payloa
     """
     w = Window.partitionBy(*keys).orderBy("from_ts")
     to = F.lead("from_ts").over(w)
-    last = instants.agg(F.max("ts").alias("last"))
-    held = (changes.select(*keys, "from_ts", *payload).withColumn("to_ts", to).join(F.broadcast(last))
-            .withColumn("_day", F.explode(F.sequence(F.to_date("from_ts"), F.greatest(F.to_date("from_ts"), F.to_date(F.coalesce("to_ts", "last")))))))
+    last = F.lit(instants.agg(F.max("ts")).first()[0]).cast("timestamp")
+    days = F.sequence(F.to_date("from_ts"), F.greatest(F.to_date("from_ts"), F.to_date(F.coalesce("to_ts", last))))
+    held = changes.select(*keys, "from_ts", *payload).withColumn("to_ts", to).withColumn("_day", F.explode(days))
     i, h = instants.withColumn("_day", F.to_date("ts")).alias("i"), held.alias("h")
     on = [F.col(f"i.{k}") == F.col(f"h.{k}") for k in [*keys, "_day"]]
     on += [F.col("i.ts") >= F.col("h.from_ts"), F.col("h.to_ts").isNull() | (F.col("i.ts") < F.col("h.to_ts"))]
