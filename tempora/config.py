@@ -52,6 +52,7 @@ class ProfileConfig:
     min_replicas_floor: float = 1.0
     step_minutes: int = 5
     exact_percentiles: bool = True  # False -> percentile_approx (bounded memory per group)
+    select_percentiles: bool = False  # True -> exact by selection (no buffer of a group's distinct values)
     approx_accuracy: int = 10000
 
 

@@ -4,8 +4,8 @@ Inputs are step-reduced series (one value per workload and 5-minute bucket),
 so a workload holds at most span / step rows whatever the raw volume. Every
 aggregate is keyed by workload plus a time cell, or by workload alone over
 algebraic (partially aggregated) functions; exact percentiles buffer one
-count per distinct value (``exact_percentiles=False`` switches to the
-bounded-memory approximation).
+count per distinct value (``select_percentiles=True`` selects them without a
+buffer, ``exact_percentiles=False`` switches to the bounded-memory approximation).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.config import WL, ProfileConfig
+from tempora.operators.quantiles import grouped_quantiles
 
 PCTS = [0.25, 0.5, 0.75, 0.9, 0.95]
 
@@ -60,10 +61,13 @@ def daily_profile(clean_samples: DataFrame) -> DataFrame:
 
 def workload_stats(clean_samples: DataFrame, cfg: ProfileConfig = ProfileConfig()) -> DataFrame:
     """wl -> avg, max, min, std (population), p25, p50, p75, p90, p95."""
-    g = (clean_samples.groupBy(*WL)
-         .agg(F.avg("value").alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"),
-              F.stddev_pop("value").alias("std"), percentiles("value", PCTS, cfg).alias("_p"),
-              F.count(F.lit(1)).alias("n")))
+    aggs = [F.avg("value").alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"),
+            F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")]
+    if cfg.select_percentiles:
+        p = grouped_quantiles(clean_samples, WL, "value", PCTS, cfg.approx_accuracy)
+        g = clean_samples.groupBy(*WL).agg(*aggs).join(p.select(*WL, F.col("quantiles").alias("_p")), WL)
+    else:
+        g = clean_samples.groupBy(*WL).agg(*aggs, percentiles("value", PCTS, cfg).alias("_p"))
     return g.select(*WL, "avg", "max", "min", "std",
                     *[F.col("_p")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75", "p90", "p95"])],
                     "n")

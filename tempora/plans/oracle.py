@@ -241,6 +241,8 @@ SELECT namespace, deployment, round(avg, 6) AS avg, round(mx, 6) AS max, round(m
        round(q[4], 6) AS p90, round(q[5], 6) AS p95, CAST(n AS BIGINT) AS n
 FROM ws""")
 
+ORACLE["workload_stats_by_selection"] = ORACLE["workload_stats"]
+
 _reg("daily_means", f"""WITH {PROFILE}
 SELECT namespace, deployment, round(daily_mean, 6) AS daily_mean, round(weekday_mean, 6) AS weekday_mean
 FROM dm""")
@@ -295,6 +297,9 @@ FROM pat""")
 _reg("v2_triggers", f"""WITH {v2_trigger_cte()}
 {TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
 
+_reg("v2_triggers_lookback", f"""WITH {v2_trigger_cte(days=30)}
+{TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
+
 _reg("stream_v2_triggers", f"""WITH {v2_trigger_cte(days=14)}
 {TRIG_OUT} FROM (SELECT * FROM trig UNION ALL SELECT * FROM dflt)""")
 
@@ -727,6 +732,13 @@ wide AS (
 SELECT namespace, deployment, pod, container, {BK}, round(sum(inc / (us / 1e6)), 6) AS value
 FROM wide WHERE n > 0 AND us > 0 GROUP BY namespace, deployment, pod, container, bucket""")
 
+_reg("namespace_quantiles", f"""WITH {_samples_cte()},
+nq AS (SELECT namespace, metric_name, count(value) AS n, quantile_cont(value, [0.05, 0.5, 0.95, 0.99]) AS q
+       FROM ms0 WHERE metric_name IS NOT NULL GROUP BY ALL)
+SELECT namespace, metric_name, CAST(n AS BIGINT) AS n, round(q[1], 6) AS p05, round(q[2], 6) AS p50, round(q[3], 6) AS p95,
+       round(q[4], 6) AS p99
+FROM nq""")
+
 _reg("memory_sum_by_pod", f"""WITH {_samples_cte()}
 SELECT namespace, deployment, pod, container, {BK}, round(value, 6) AS value FROM mem_pod""")
 

@@ -21,6 +21,7 @@ from tempora.operators import profile as P
 from tempora.operators import resample as R
 from tempora.operators import schedule as S
 from tempora.operators import triggers as G
+from tempora.operators.quantiles import grouped_quantiles
 from tempora.plans.report import portable
 from tempora.session import materialize, shared_folder
 from tempora.sources import events as E
@@ -95,6 +96,22 @@ def workload_stats(spark, sf_dir):
     return portable(P.workload_stats(_clean(spark, sf_dir)))
 
 
+@query("workload_stats_by_selection")
+def workload_stats_by_selection(spark, sf_dir):
+    """The same statistics with percentiles by selection, for workloads of any number of values."""
+    return portable(P.workload_stats(_clean(spark, sf_dir), ProfileConfig(select_percentiles=True)))
+
+
+@query("namespace_quantiles")
+def namespace_quantiles(spark, sf_dir):
+    """Exact quantiles of the raw samples of each namespace and metric: few groups of nearly all
+    rows, each with about as many distinct values as rows."""
+    s = E.samples(spark, sf_dir)
+    q = grouped_quantiles(s, ["namespace", "metric_name"], "value", [0.05, 0.5, 0.95, 0.99], accuracy=1000)
+    names = ["p05", "p50", "p95", "p99"]
+    return portable(q.select("namespace", "metric_name", "n", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(names)]))
+
+
 @query("daily_means")
 def daily_means(spark, sf_dir):
     return portable(P.daily_means(P.daily_profile(_clean(spark, sf_dir))))
@@ -133,6 +150,15 @@ def v2_triggers(spark, sf_dir):
     return portable(G.v2_triggers(pats, stats))
 
 
+@query("v2_triggers_lookback")
+def v2_triggers_lookback(spark, sf_dir):
+    """Triggers mined from the 30 days before an instant; the scan reads no other events."""
+    c = _cut(P.clean(E.replica_samples(spark, sf_dir, as_of=AS_OF, days=LOOKBACK)))
+    stats = P.workload_stats(c)
+    pats = D.detect(P.hourly_profile(c), stats, P.daily_means(P.daily_profile(c)), spark)
+    return portable(G.v2_triggers(pats, stats))
+
+
 @query("v2_triggers_wrap_aware")
 def v2_triggers_wrap_aware(spark, sf_dir):
     cfg = DetectConfig(wrap_aware=True)
