@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data.
 
 Numbers and dates that pass their checks (card numbers by their check digit, bank accounts by
-their remainder, calendar dates, address ranges) are permuted within their format by a keyed
+their remainder, calendar dates in digits or words, addresses of both versions, phone numbers by
+their country code) are permuted within their format by a keyed
 Feistel network, so a pseudonym passes the same checks and equal values stay equal in all
 documents. Values whose permutation isn't valid are permuted again until it is, which keeps the
 mapping one to one. Names of mail addresses and secrets are permuted in the same way over their
@@ -11,6 +12,7 @@ letters and digits.
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 import string
 from functools import lru_cache
@@ -57,9 +59,15 @@ def permuted(value: int, left: int, right: int, key: bytes, tweak: bytes, valid=
             return value
 
 
-def permuted_chars(text: str, key: bytes, tweak: bytes) -> str:
-    """Letters stay letters of their case and digits stay digits; other characters stay."""
-    kinds = [next((k for k in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in k), "") for c in text]
+ASCII = {"0": string.digits, "a": string.ascii_lowercase, "A": string.ascii_uppercase}
+# and the accented letters of western Europe, U+00C0 to U+00FF without the two signs among them
+LATIN = ASCII | {"\u00e0": "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7),
+                 "\u00c0": "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)}
+
+
+def permuted_chars(text: str, key: bytes, tweak: bytes, alphabets: dict[str, str] = ASCII) -> str:
+    """Letters stay letters of their case and digits stay digits; what is in no alphabet stays."""
+    kinds = [next((k for k in alphabets.values() if c in k), "") for c in text]
     places = [i for i, k in enumerate(kinds) if k]
     if not places:
         return text
@@ -69,7 +77,8 @@ def permuted_chars(text: str, key: bytes, tweak: bytes) -> str:
     for n, (i, size) in enumerate(zip(places, sizes)):
         value = value * size + kinds[i].index(text[i])
         left, right = (left * size, right) if n < middle else (left, right * size)
-    shape = "".join("0aA"[(string.digits, string.ascii_lowercase, string.ascii_uppercase).index(k)] if k else c for k, c in zip(kinds, text))
+    marks = {k: mark for mark, k in alphabets.items()}
+    shape = "".join(marks.get(k, c) for k, c in zip(kinds, text))
     value = feistel(value, left, right, key, tweak + shape.encode())
     out = list(text)
     for i, size in zip(reversed(places), reversed(sizes)):
@@ -107,14 +116,35 @@ def card(text: str, key: bytes) -> str | None:
     return _like(checked(v), text)
 
 
-def phone(text: str, key: bytes) -> str | None:
-    """Ten national digits, of which the first isn't 0, after an optional 1."""
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                   "81 82 84 86 90 91 92 93 94 95 98").split()
+
+
+def phone(text: str, key: bytes, trunk: bool = False) -> str | None:
+    """National digits, of which the first isn't 0: ten after an optional 1; or 6 to 12 after + and
+    a country code, at most 15 in all; or, with ``trunk``, 9 to 10 after the prefix 0. The same
+    national digits have one pseudonym in all these forms."""
     d = _digits(text)
-    head, d = d[:-10], d[-10:]
-    ok = lambda s: s[0] != "0"
-    if len(d) != 10 or head not in ("", "1") or not ok(d):
+    if text.startswith("+") and d[0] != "1":
+        cut = 1 if d[0] == "7" else 2 if d[:2] in TWO_DIGIT_CODES else 3
+        cut += d[cut:cut + 1] == "0" and "(0)" in text  # a trunk prefix in brackets
+        least, most = 6, min(12, 15 - cut)
+    elif trunk:
+        cut, least, most = 1, 9, 10
+    else:
+        cut, least, most = int(len(d) == 11 and d[0] == "1"), 10, 10
+    head, d = d[:cut], d[cut:]
+    n = len(d)
+    if not least <= n <= most or d[0] == "0":
         return None
-    return _like(head + f"{permuted(int(d), 10 ** 5, 10 ** 5, key, b'phone', lambda v: ok(f'{v:010d}')):010d}", text)
+    tweak = b"phone" if n == 10 else b"phone%d" % n
+    v = permuted(int(d), 10 ** (n // 2), 10 ** (n - n // 2), key, tweak, lambda v: v >= 10 ** (n - 1))
+    return _like(f"{head}{v}", text)
+
+
+def trunk_phone(text: str, key: bytes) -> str | None:
+    return phone(text, key, trunk=True)
 
 
 def social(text: str, key: bytes) -> str | None:
@@ -133,6 +163,20 @@ def address(text: str, key: bytes) -> str | None:
     return ".".join(map(str, v.to_bytes(4, "big")))
 
 
+def long_address(text: str, key: bytes) -> str | None:
+    """Addresses of 128 bits of which at least three groups aren't zero, in any spelling; the
+    pseudonym is in the shortest one."""
+    def ok(v: int) -> bool:
+        groups = sum(v >> s & 0xFFFF > 0 for s in range(0, 128, 16))
+        return groups > 2 and any(c.isdigit() for c in str(ipaddress.IPv6Address(v)))
+
+    try:
+        v = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(permuted(v, 1 << 64, 1 << 64, key, b"long address", ok))) if ok(v) else None
+
+
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -155,6 +199,36 @@ def date(text: str, key: bytes) -> str | None:
     return None
 
 
+# The months in English, German, French and Spanish.
+MONTHS = [names.split() for names in (
+    "january february march april may june july august september october november december",
+    "januar februar m\u00e4rz april mai juni juli august september oktober november dezember",
+    "janvier f\u00e9vrier mars avril mai juin juillet ao\u00fbt septembre octobre novembre d\u00e9cembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre")]
+_MONTH = "(?i:" + "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m))) + ")"
+
+
+def spoken_date(text: str, key: bytes) -> str | None:
+    """Days with the month in words, the day before or after it. They are permuted like dates with the
+    year first, so both spellings of a day stay linked; a month stays in its language (the first that
+    has the word) and case."""
+    word = re.search(_MONTH, text)[0]
+    names = next(x for x in MONTHS if word.lower() in x)
+    day, year = re.findall(r"\d+", text)
+    try:
+        n = datetime.date(int(year), names.index(word.lower()) + 1, int(day)).toordinal()
+    except ValueError:
+        return None
+    if not FIRST <= n <= LAST:
+        return None
+    new = datetime.date.fromordinal(FIRST + permuted(n - FIRST, 272, 272, key, b"date{y", lambda v: v <= LAST - FIRST))
+    name = names[new.month - 1]
+    name = name.upper() if word.isupper() else name.capitalize() if word[0].isupper() else name
+    d = f"{new.day:02d}" if len(day) == 2 and day[0] == "0" else str(new.day)
+    parts = iter([name, d, str(new.year)] if text.startswith(word) else [d, name, str(new.year)])
+    return re.sub(rf"{_MONTH}|\d+", lambda _: next(parts), text)
+
+
 def account(text: str, key: bytes) -> str | None:
     """Bank account numbers whose letters and digits leave the remainder 1 by 97."""
     plain = text.replace(" ", "")
@@ -168,7 +242,7 @@ def account(text: str, key: bytes) -> str | None:
 
 def mail(text: str, key: bytes) -> str | None:
     name, at, host = text.partition("@")
-    return permuted_chars(name, key, b"mail" + host.lower().encode()) + at + host
+    return permuted_chars(name, key, b"mail" + host.lower().encode(), LATIN) + at + host
 
 
 def secret(text: str, key: bytes) -> str | None:
@@ -178,18 +252,26 @@ def secret(text: str, key: bytes) -> str | None:
     return permuted_chars(text, key, b"secret")
 
 
+_ACCENTED = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
 # In the order of trial at one place. Group 1, if any, is the part that is permuted.
 KINDS = (
-    ("mail", mail, r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}"),
+    ("mail", mail, rf"[A-Za-z0-9._%+\-{_ACCENTED}]{{1,64}}@[A-Za-z0-9\-{_ACCENTED}]{{1,63}}(?:\.[A-Za-z0-9\-{_ACCENTED}]{{1,63}})*\.[A-Za-z]{{2,24}}"),
     ("account", account, r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", secret, r"(?<![A-Za-z0-9])AKIA([0-9A-Z]{16})(?![A-Za-z0-9])"),
     ("secret", secret, r"(?i:password|passwd|secret|token|api_?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9+/_\-]{8,128})"),
     ("secret", secret, r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}\d)(?=[0-9a-f]{0,63}[a-f])([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})(?![A-Za-z0-9])"),
     ("date", date, r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\d\-/]|\.\d)"),
+    ("date", spoken_date, rf"(?<![\d.,\-/])\d{{1,2}}(?:\.|st|nd|rd|th)? (?:of |de )?{_MONTH} (?:de )?\d{{4}}(?![\d\-/])"),
+    ("date", spoken_date, rf"(?<![A-Za-z{_ACCENTED}]){_MONTH} \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?![\d\-/])"),
     ("address", address, r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"),
+    ("address", long_address, r"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{5,38}[0-9A-Fa-f](?![A-Za-z0-9]|:[0-9A-Fa-f:])"),
+    ("social", social, r"(?<![A-Za-z])(?i:ssn|social security (?:number|no\.?))(?: is)?[ :#]{1,3}(\d{9}|\d{3}-\d{2}-\d{4})(?![\d\-])"),
     ("social", social, r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", card, r"(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-]?\d)"),
     ("phone", phone, r"(?<![\d\-])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])"),
+    ("phone", phone, r"(?<![A-Za-z0-9+])\+[1-9]\d{0,3}+(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d{1,4}+){2,6}+(?![\d\-])"),
+    ("phone", trunk_phone, r"(?<![\d.,\-+])(?<!\d )(?:0\d{1,4} \d{3,4} \d{3,4}|0\d{2,4} \d{6,8}|\(0\d{1,4}\) ?\d{3,4} ?\d{3,4}|0\d(?:[ .]\d{2}){4})(?![ .]?\d|-)"),
 )
 _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, _, p) in enumerate(KINDS)), re.A)
 _SOME = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|key)", re.A)
@@ -249,8 +331,10 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
 
     A null text stays null, with no values; repeated rows and null ids come out as they come in;
     an empty table gives an empty result; further columns are ignored. The key decides on the
-    pseudonyms: who holds it can link them, so it is given and never stored.
+    pseudonyms: who holds it can link them, so it is given and never stored; an empty one is refused.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = ("doc_id", "text", "n_values", "kinds", "spans")
     types = (pa.int64(), pa.string(), pa.int64(), pa.string(),
              pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))

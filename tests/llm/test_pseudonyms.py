@@ -117,3 +117,39 @@ def test_edge_cases(spark):
     assert by[1].text is None and by[1].n_values == 0 and by[2].text == "" and by[4].text == rows[5][1]
     assert by[None].text == by[3].text != "a@b.cd" and by[5].n_values == 1
     assert P.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+ABROAD = [
+    ("phone", "+44 20 7946 0958"), ("phone", "+49 (0)30 1234567"), ("phone", "+33 1 23 45 67 89"), ("phone", "+4915112345678"),
+    ("phone", "020 7946 0958"), ("phone", "(020) 7946 0958"), ("phone", "01 23 45 67 89"), ("address", "2001:db8::1"),
+    ("address", "2001:0DB8:85a3:0000:0000:8a2e:0370:7334"), ("date", "3 March 1984"), ("date", "March 3rd, 1984"), ("date", "3. März 1984"),
+    ("date", "3 de marzo de 1984"), ("date", "14 août 2001"), ("date", "29 FEBRUARY 2020"), ("mail", "müller@exämple.de"), ("mail", "éèêëïü@x.fr"),
+]
+
+
+@pytest.mark.parametrize("kind,value", ABROAD)
+def test_forms_of_other_countries(kind, value):
+    test_values_stay_valid_and_linked(kind, value)
+
+
+@pytest.mark.parametrize("value", ["30 February 2020", "March 45, 1984", "3 March 1884", "12:30:45", "aa:bb:cc:dd:ee:ff", "abc::def", "::1", "+10 000 000",
+                                   "+44 00 7946 0958", "0123 4567", "1:2:3:4:5:6:7:8:9", "std::vector", "SSN 000123456", "march 3", "+1 012 555 2485"])
+def test_other_forms_that_fail_stay(value):
+    test_what_fails_its_checks_stays(value)
+
+
+def test_one_value_in_two_spellings_is_linked():
+    new = lambda s: P.pseudonymised(s, KEY)[0]
+    digits = lambda s: re.sub(r"\D", "", new(s))
+    assert digits("+44 20 7946 0958")[2:] == digits("020 7946 0958")[1:] == digits("+44 (0)20 7946 0958")[3:] == digits("+442079460958")[2:]
+    assert new("2001:db8:0:0:1:0:0:1") == new("2001:0DB8::1:0:0:1") != "2001:db8::1:0:0:1"
+    assert new("SSN: 078051120")[5:] == new("SSN 078-05-1120")[4:].replace("-", "") != "078051120"
+    assert new("078-05-1120") == new("SSN 078-05-1120")[4:]
+    iso = datetime.date.fromisoformat(new("1984-03-03"))
+    assert new("3 March 1984") == f"{iso.day} {iso:%B} {iso.year}" and new("March 3, 1984") == f"{iso:%B} {iso.day}, {iso.year}"
+    assert new("03 mars 1984") == f"{iso.day:02d} {P.MONTHS[2][iso.month - 1]} {iso.year}"
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        P.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), b"")
