@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.session import materialize
+
 
 def brackets(x: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
     """``keys, _n, _lo, _hi``: the rows of each group and, for each quantile, values that its two
@@ -32,13 +34,14 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
 
     Null and NaN values don't count; a group without others has ``n`` 0 and null quantiles; null keys
     are a group; an empty table gives no row; ties and repeated rows count as often as they come;
-    further columns are ignored. Only counts of (group, value) and one row a group are shuffled.
+    further columns are ignored. Only counts of (group, value) and one row a group are shuffled; the
+    rows are read twice, and the brackets are written once (``session.release`` deletes them).
     """
     if not probs or not all(0 <= p <= 1 for p in probs):
         raise ValueError(f"quantiles between 0 and 1 are needed, not {probs}")
     v = F.col(value).cast("double")
     x = df.select(*[F.col(k) for k in keys], F.when(~F.isnan(v), v).alias("_v"))
-    near = brackets(x, keys, probs, accuracy)
+    near = materialize(brackets(x, keys, probs, accuracy), "brackets")
     counts = x.where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
     right = near.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi", "_n")
