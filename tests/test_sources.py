@@ -171,6 +171,45 @@ def test_checkpoint_folder_is_shared_and_released(spark, monkeypatch):
         SE.checkpoint_dir(Cluster)
 
 
+UNSET = '''
+import datetime, sys
+from tempora.session import build_session, checkpoint_dir, materialize, release
+from __spark_entry__ import queries
+
+master, scratch = sys.argv[1:]
+spark = build_session(master, 2, extra={"spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1"})
+assert not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir()
+start, kinds = datetime.datetime(2024, 1, 1), ["view", "click", "signup", "purchase", "error"]
+rows = [(i, start + datetime.timedelta(minutes=7 * i), i % 4, kinds[i % 5], float(i % 9)) for i in range(60)]
+spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{scratch}/data/events.parquet")
+print("rows", *[queries()[q](spark, f"{scratch}/data").count() for q in ("hourly_profile", "counter_rate_sum", "dangling_refs")])
+tables = [materialize(spark.range(5)) for _ in range(3)]
+assert [t.count() for t in tables] == [5, 5, 5]
+folder = checkpoint_dir(spark)
+assert len({t.inputFiles()[0].rsplit("/", 2)[0] for t in tables}) == 1 and checkpoint_dir(spark) == folder  # no nested folders
+assert ("/warehouse/" in folder) == ("cluster" in master), folder
+assert release(spark) >= 3
+spark.stop()
+'''
+
+
+@pytest.mark.parametrize("master", ["local[2]", "local-cluster[1,1,1024]"])
+def test_queries_run_where_no_checkpoint_folder_is_set(scratch, master):
+    """Spark fixes spark.checkpoint.dir when a session starts, so a session without it goes on without it."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.makedirs(f"{scratch}/conf")
+    env = os.environ | {"SPARK_CONF_DIR": f"{scratch}/conf", "SPARK_WORKER_DIR": f"{scratch}/work", "SPARK_LOCAL_DIRS": f"{scratch}/local", "SPARK_LOCAL_IP": "127.0.0.1",
+                        "SPARK_SCALA_VERSION": "2.13", "TMPDIR": scratch, "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable}
+    env = {k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_SUBMIT", "SPARK_ENV_LOADED"))}
+    run = subprocess.run([sys.executable, "-c", UNSET, master, scratch], env=env, cwd=scratch, capture_output=True, text=True, timeout=240)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert [int(x) > 0 for x in run.stdout.split("rows")[1].split()] == [True, True, True]
+
+
 def test_sliding_rate_folds_buckets(spark):
     """Against all pairs of consecutive samples, at every range; a range of one step is the plain rate."""
     import numpy as np
