@@ -171,6 +171,20 @@ def test_checkpoint_folder_is_shared_and_released(spark, monkeypatch):
         SE.checkpoint_dir(Cluster)
 
 
+def spark_home(scratch):
+    """Links to Spark's files, beside which the executors of a local cluster work: the files' own folder may not be writable."""
+    import os
+
+    import pyspark
+
+    home, files = f"{scratch}/home", os.path.dirname(pyspark.__file__)
+    os.makedirs(f"{home}/work")
+    for x in os.listdir(files):
+        if x != "work":
+            os.symlink(f"{files}/{x}", f"{home}/{x}")
+    return home
+
+
 UNSET = '''
 import datetime, sys
 from tempora.session import build_session, checkpoint_dir, materialize, release
@@ -202,7 +216,7 @@ def test_queries_run_where_no_checkpoint_folder_is_set(scratch, master):
 
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     os.makedirs(f"{scratch}/conf")
-    env = os.environ | {"SPARK_CONF_DIR": f"{scratch}/conf", "SPARK_WORKER_DIR": f"{scratch}/work", "SPARK_LOCAL_DIRS": f"{scratch}/local", "SPARK_LOCAL_IP": "127.0.0.1",
+    env = os.environ | {"SPARK_CONF_DIR": f"{scratch}/conf", "SPARK_HOME": spark_home(scratch), "SPARK_WORKER_DIR": f"{scratch}/work", "SPARK_LOCAL_DIRS": f"{scratch}/local", "SPARK_LOCAL_IP": "127.0.0.1",
                         "SPARK_SCALA_VERSION": "2.13", "TMPDIR": scratch, "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable}
     env = {k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_SUBMIT", "SPARK_ENV_LOADED"))}
     run = subprocess.run([sys.executable, "-c", UNSET, master, scratch], env=env, cwd=scratch, capture_output=True, text=True, timeout=240)
@@ -210,6 +224,94 @@ def test_queries_run_where_no_checkpoint_folder_is_set(scratch, master):
     assert [int(x) > 0 for x in run.stdout.split("rows")[1].split()] == [True, True, True]
 
 
+def test_folder_of_a_mount_is_used_on_a_cluster(spark, monkeypatch):
+    """A path without a store's name may be a mount that all machines share: it is tried, not refused."""
+    import glob
+    import os
+    from weakref import WeakKeyDictionary
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tempora import session as SE
+
+    monkeypatch.setattr(SE, "_FOLDERS", WeakKeyDictionary(), raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert SE.checkpoint_dir(spark) == folder and not glob.glob(f"{folder}/tables/tried-*")
+    rows = spark.range(0, 6, 1, 3).selectExpr("id", "if(id = 2, null, cast(id as string)) AS s")
+    assert sorted(map(tuple, SE.materialize(rows).collect())) == sorted(map(tuple, rows.collect()))
+    assert SE.materialize(rows.where("id < 0")).columns == ["id", "s"] and SE.materialize(rows.where("id < 0")).count() == 0
+    write = DataFrameWriter.parquet
+
+    def lossy(self, path, *a, **b):
+        write(self, path, *a, **b)
+        os.remove(min(glob.glob(f"{path}/part-*")))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lossy)
+    with pytest.raises(RuntimeError, match="holds 4 of 6 rows"):
+        SE.materialize(rows)
+    assert "were found again" in SE.no_tables(spark, folder)
+
+
+def test_folder_that_cannot_be_written_is_passed_over(spark, scratch, monkeypatch):
+    from weakref import WeakKeyDictionary
+
+    from tempora import session as SE
+
+    open(f"{scratch}/file", "w").close()
+
+    class Session:
+        """The test's session with settings and a master of its own."""
+        def __init__(self, of, **own):
+            self.__dict__.update(own, of=of)
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+    def session(master, **folders):
+        settings = {f"spark.{k.replace('_', '.')}": v for k, v in folders.items()}
+        return Session(spark, sparkContext=Session(spark.sparkContext, master=master), conf=Session(spark.conf, get=lambda k, d=None: settings.get(k, d)))
+
+    monkeypatch.setenv("TMPDIR", f"{scratch}/none")  # no such folder
+    with pytest.warns(UserWarning, match="/file/kept"):
+        assert SE.checkpoint_dir(session("spark://host:7077", checkpoint_dir=f"{scratch}/file/kept", sql_warehouse_dir=f"{scratch}/tables")) == f"{scratch}/tables/checkpoints"
+    with pytest.raises(RuntimeError, match="shared folder"):
+        SE.checkpoint_dir(session("spark://host:7077", checkpoint_dir=f"{scratch}/file/kept", sql_warehouse_dir=f"{scratch}/file/tables"))
+    with pytest.warns(UserWarning, match="/file/kept"):
+        local = session("local[4]", checkpoint_dir=f"{scratch}/file/kept")
+        folder = SE.checkpoint_dir(local)
+    assert "tempora-ckpt-" in folder and SE.checkpoint_dir(local) == folder
+
+
+UNSHARED = '''
+import sys
+from tempora.session import build_session, checkpoint_dir, materialize
+
+scratch = sys.argv[1]
+spark = build_session("local-cluster[2,1,1024]", 2, extra={"spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.checkpoint.dir": "/proc/self/cwd/kept",
+                      "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1"})
+print("folder", checkpoint_dir(spark))
+print("rows", materialize(spark.range(0, 50, 1, 4)).count())
+spark.stop()
+'''
+
+
+def test_folder_that_executors_do_not_share_is_passed_over(scratch):
+    """Each process has a folder of its own behind /proc/self/cwd: what executors write there, the driver never sees."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.makedirs(f"{scratch}/conf")
+    env = os.environ | {"SPARK_CONF_DIR": f"{scratch}/conf", "SPARK_HOME": spark_home(scratch), "SPARK_LOCAL_DIRS": f"{scratch}/local", "SPARK_LOCAL_IP": "127.0.0.1",
+                        "SPARK_SCALA_VERSION": "2.13", "TMPDIR": scratch, "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable}
+    env = {k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_SUBMIT", "SPARK_ENV_LOADED"))}
+    run = subprocess.run([sys.executable, "-c", UNSHARED, scratch], env=env, cwd=scratch, capture_output=True, text=True, timeout=240)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert f"folder file:{scratch}/warehouse/checkpoints\n" in run.stdout.replace("file://", "file:") and "rows 50\n" in run.stdout, run.stdout
+
+
 def test_sliding_rate_folds_buckets(spark):
     """Against all pairs of consecutive samples, at every range; a range of one step is the plain rate."""
     import numpy as np
